@@ -14,7 +14,9 @@ from spark_explore.functions.vectors import mean_vector
 from spark_explore.operators.filters import AllOf, AnyOf, Between, Group
 from spark_explore.operators.mapping import build_index_map
 from spark_explore.plans.search import SearchIndex
-from spark_explore.sources.collections import Tables
+from spark_explore.sizing import cut_lineage, local_table
+from spark_explore.sources.collections import SCHEMAS as LAYOUT
+from spark_explore.sources.collections import VALUE_COLUMNS, Tables
 
 B = 1_000_000_000
 DIM = 64
@@ -27,26 +29,52 @@ TAGTYPES = {1: "categorical", 2: "numerical_int", 3: "numerical_double", 4: "tim
 VALUES = ["tag_id", "tagset_id", "tagtype", "value_str", "value_long", "value_double", "value_ts"]
 
 
+# Columns of the given tables; declared, so that opening one costs no job.
+SCHEMAS = {
+    "documents": "doc_id long, text string, lang string, source string, n_chars long",
+    "embeddings": "vec_id long, embedding array<float>, label int",
+    "labels": "doc_id long, quality int, toxic int",
+    "benchmark": "item_id long, text string",
+    "events": "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string",
+    "orders": "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+}
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     # Event times are written without a zone; they are read as UTC everywhere.
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def number_in(values: list[str], column: str):
-    return F.array_position(F.array(*[F.lit(v) for v in values]), F.col(column)).cast("long")
-
-
-def _tag(df: DataFrame, media_id, tagset_id: int, tag, tagtype: str, value) -> DataFrame:
-    """Taggings of one facet with their typed value."""
-    column = {"categorical": "value_str", "numerical_int": "value_long",
-              "numerical_double": "value_double", "timestamp": "value_ts"}[tagtype]
-    kinds = {"value_str": "string", "value_long": "long", "value_double": "double", "value_ts": "timestamp"}
-    typed = [(value if c == column else F.lit(None)).cast(k).alias(c) for c, k in kinds.items()]
-    return df.select(
-        media_id.cast("long").alias("media_id"),
-        (F.lit(tagset_id * B) + tag.cast("long")).alias("tag_id"),
-        F.lit(tagset_id).alias("tagset_id"), F.lit(tagtype).alias("tagtype"), *typed,
+    return F.expr(_number_in(values, column))
+
+
+def _number_in(values: list[str], column: str) -> str:
+    listed = ", ".join(f"'{v}'" for v in values)
+    return f"array_position(array({listed}), {column})"
+
+
+KINDS = {"value_str": "string", "value_long": "bigint", "value_double": "double", "value_ts": "timestamp"}
+
+
+def _tag(df: DataFrame, media_id: str, tagset_id: int, tag: str, tagtype: str, value: str) -> DataFrame:
+    """Taggings of one facet with their typed value, from SQL expressions."""
+    typed = [
+        f"cast({value if c == VALUE_COLUMNS[tagtype] else 'null'} as {k}) as {c}" for c, k in KINDS.items()
+    ]
+    return df.selectExpr(
+        f"cast({media_id} as bigint) as media_id",
+        f"{tagset_id * B}L + cast({tag} as bigint) as tag_id",
+        f"{tagset_id} as tagset_id", f"'{tagtype}' as tagtype", *typed,
+    )
+
+
+def _media(df: DataFrame, media_id: str, source: str, source_type: int, thumb: str, group: str) -> DataFrame:
+    return df.selectExpr(
+        f"cast({media_id} as bigint) as media_id", f"{source} as source", f"{source_type} as source_type",
+        f"cast({thumb} as string) as thumbnail_uri", f"cast({group} as bigint) as group_id",
     )
 
 
@@ -56,18 +84,21 @@ def _tables(spark, name, medias, tagged, facets, embeddings=None) -> Tables:
     for part in tagged[1:]:
         every = every.unionByName(part)
     return Tables(
-        collections=spark.createDataFrame(
-            [(name, True, "exact", "http://thumbs", "http://media")],
-            "collection string, enabled boolean, index_type string, "
-            "thumbnail_media_url string, original_media_url string",
+        collections=local_table(
+            spark,
+            [{"collection": name, "enabled": True, "index_type": "exact",
+              "thumbnail_media_url": "http://thumbs", "original_media_url": "http://media"}],
+            LAYOUT["collections"],
         ),
         medias=medias.select(own, "media_id", "source", "source_type", "thumbnail_uri", "group_id"),
-        tag_types=spark.createDataFrame(
-            [(name, i, t) for i, t in TAGTYPES.items()], "collection string, tagtype_id int, tagtype string"
+        tag_types=local_table(
+            spark, [{"collection": name, "tagtype_id": i, "tagtype": t} for i, t in TAGTYPES.items()],
+            LAYOUT["tag_types"],
         ),
-        tagsets=spark.createDataFrame(
-            [(name, i, facet, t) for i, facet, t in facets],
-            "collection string, tagset_id int, name string, tagtype_id int",
+        tagsets=local_table(
+            spark,
+            [{"collection": name, "tagset_id": i, "name": facet, "tagtype_id": t} for i, facet, t in facets],
+            LAYOUT["tagsets"],
         ),
         tag_values=every.select(own, *VALUES).distinct(),
         taggings=every.select(own, "media_id", "tag_id"),
@@ -90,41 +121,27 @@ def media_tables(spark: SparkSession, sf_dir: str) -> Tables:
     events = read(spark, sf_dir, "events")
     active = events.where("value >= 150").join(ids, F.col("user_id") == F.col("vec_id"), "left_semi")
     first = events.join(ids, F.col("event_id") == F.col("vec_id"), "left_semi")
-    none = F.lit(None)
-    item = F.lit(1000) + F.col("vec_id")
-    of_doc = F.lit(1000) + F.col("doc_id")
     labels = emb.select("label").distinct()
     solo = spark.range(11, 13)
-
-    def media(df, media_id, source, source_type, thumb, group):
-        return df.select(
-            media_id.cast("long").alias("media_id"), source.alias("source"),
-            F.lit(source_type).alias("source_type"), thumb.cast("string").alias("thumbnail_uri"),
-            group.cast("long").alias("group_id"),
-        )
-
     medias = (
-        media(emb, item, F.format_string("img/%d.jpg", "vec_id"), 1,
-              F.format_string("thumb/%d.jpg", "vec_id"), F.col("label") + 1)
-        .unionByName(media(labels, F.col("label") + 1, F.format_string("vid/%d.mp4", "label"), 2, none, none))
-        .unionByName(media(solo, F.col("id"), F.format_string("solo/%d.jpg", "id"), 1, none, none))
+        _media(emb, "1000 + vec_id", "concat('img/', vec_id, '.jpg')", 1, "concat('thumb/', vec_id, '.jpg')",
+               "1 + label")
+        .unionByName(_media(labels, "1 + label", "concat('vid/', label, '.mp4')", 2, "null", "null"))
+        .unionByName(_media(solo, "id", "concat('solo/', id, '.jpg')", 1, "null", "null"))
     )
-    source_no = F.substring("source", 4, 9).cast("long")
-    component = F.round(F.col("embedding")[0].cast("double"), 3)
     tagged = [
-        _tag(emb, item, 1, F.col("vec_id"), "numerical_int", F.col("vec_id")),
-        _tag(docs, of_doc, 2, number_in(LANGS, "lang"), "categorical", F.col("lang")),
-        _tag(solo.where("id = 12"), F.col("id"), 2, F.lit(2), "categorical", F.lit("en")),
-        _tag(docs, of_doc, 3, source_no, "categorical", F.col("source")),
-        _tag(docs, of_doc, 4, F.col("n_chars"), "numerical_int", F.col("n_chars")),
-        _tag(rated, of_doc, 5, F.col("quality"), "categorical", F.col("quality").cast("string")),
-        _tag(rated, of_doc, 6, F.col("toxic"), "categorical", F.col("toxic").cast("string")),
-        _tag(active.select("user_id", "event_type").distinct(), F.lit(1000) + F.col("user_id"), 7,
-             number_in(EVENTS, "event_type"), "categorical", F.col("event_type")),
-        _tag(first, F.lit(1000) + F.col("event_id"), 8, F.col("event_id"), "timestamp", F.col("ts")),
-        _tag(emb, item, 9, F.col("vec_id"), "numerical_double", component),
-        _tag(labels, F.col("label") + 1, 10, F.col("label") % 2, "categorical",
-             F.when(F.col("label") % 2 == 0, "even").otherwise("odd")),
+        _tag(emb, "1000 + vec_id", 1, "vec_id", "numerical_int", "vec_id"),
+        _tag(docs, "1000 + doc_id", 2, _number_in(LANGS, "lang"), "categorical", "lang"),
+        _tag(solo.where("id = 12"), "id", 2, "2", "categorical", "'en'"),
+        _tag(docs, "1000 + doc_id", 3, "substring(source, 4)", "categorical", "source"),
+        _tag(docs, "1000 + doc_id", 4, "n_chars", "numerical_int", "n_chars"),
+        _tag(rated, "1000 + doc_id", 5, "quality", "categorical", "quality"),
+        _tag(rated, "1000 + doc_id", 6, "toxic", "categorical", "toxic"),
+        _tag(active.select("user_id", "event_type").distinct(), "1000 + user_id", 7,
+             _number_in(EVENTS, "event_type"), "categorical", "event_type"),
+        _tag(first, "1000 + event_id", 8, "event_id", "timestamp", "ts"),
+        _tag(emb, "1000 + vec_id", 9, "vec_id", "numerical_double", "round(cast(embedding[0] as double), 3)"),
+        _tag(labels, "1 + label", 10, "label % 2", "categorical", "if(label % 2 = 0, 'even', 'odd')"),
     ]
     vectors = emb.select(F.lit("media").alias("collection"), F.col("vec_id").alias("index_id"), "embedding")
     return _tables(spark, "media", medias, tagged, MEDIA_FACETS, vectors)
@@ -151,22 +168,16 @@ ORDER_FACETS = [(2, "status", 1), (3, "priority", 1), (4, "totalprice", 3), (5,
 def orders_tables(spark: SparkSession, sf_dir: str) -> Tables:
     orders = read(spark, sf_dir, "orders")
     customers = orders.select("o_custkey").distinct()
-    item = F.lit(B) + F.col("o_orderkey")
-    group = F.lit(1) + F.col("o_custkey")
-    medias = orders.select(
-        item.alias("media_id"), F.format_string("order/%d", "o_orderkey").alias("source"),
-        F.lit(1).alias("source_type"), F.lit(None).cast("string").alias("thumbnail_uri"), group.alias("group_id"),
-    ).unionByName(customers.select(
-        group.alias("media_id"), F.format_string("customer/%d", "o_custkey").alias("source"),
-        F.lit(2).alias("source_type"), F.lit(None).cast("string").alias("thumbnail_uri"),
-        F.lit(None).cast("long").alias("group_id"),
-    ))
+    item, group = f"{B} + o_orderkey", "1 + o_custkey"
+    medias = _media(orders, item, "concat('order/', o_orderkey)", 1, "null", group).unionByName(
+        _media(customers, group, "concat('customer/', o_custkey)", 2, "null", "null")
+    )
     tagged = [
-        _tag(orders, item, 2, number_in(STATUSES, "o_orderstatus"), "categorical", F.col("o_orderstatus")),
-        _tag(orders, item, 3, number_in(PRIORITIES, "o_orderpriority"), "categorical", F.col("o_orderpriority")),
-        _tag(orders, item, 4, F.col("o_orderkey"), "numerical_double", F.col("o_totalprice")),
-        _tag(orders, item, 5, F.col("o_orderkey"), "timestamp", F.col("o_orderdate")),
-        _tag(customers, group, 6, F.col("o_custkey") % 3, "numerical_int", F.col("o_custkey") % 3),
+        _tag(orders, item, 2, _number_in(STATUSES, "o_orderstatus"), "categorical", "o_orderstatus"),
+        _tag(orders, item, 3, _number_in(PRIORITIES, "o_orderpriority"), "categorical", "o_orderpriority"),
+        _tag(orders, item, 4, "o_orderkey", "numerical_double", "o_totalprice"),
+        _tag(orders, item, 5, "o_orderkey", "timestamp", "o_orderdate"),
+        _tag(customers, group, 6, "o_custkey % 3", "numerical_int", "o_custkey % 3"),
     ]
     return _tables(spark, "orders", medias, tagged, ORDER_FACETS)
 
@@ -185,20 +196,14 @@ DOCUMENT_FACETS = [(1, "Vector Index ID", 2), (2, "lang", 1), (4, "n_chars", 2)]
 
 def documents_tables(spark: SparkSession, sf_dir: str) -> Tables:
     docs = read(spark, sf_dir, "documents")
-    item = F.lit(1000) + F.col("doc_id")
-    group = F.lit(1) + F.substring("source", 4, 9).cast("long")
-    uri = F.lit(None).cast("string").alias("thumbnail_uri")
-    medias = docs.select(
-        item.alias("media_id"), F.format_string("doc/%d", "doc_id").alias("source"),
-        F.lit(1).alias("source_type"), uri, group.alias("group_id"),
-    ).unionByName(docs.select("source").distinct().select(
-        group.alias("media_id"), "source", F.lit(2).alias("source_type"), uri,
-        F.lit(None).cast("long").alias("group_id"),
-    ))
+    item, group = "1000 + doc_id", "1 + cast(substring(source, 4) as bigint)"
+    medias = _media(docs, item, "concat('doc/', doc_id)", 1, "null", group).unionByName(
+        _media(docs.select("source").distinct(), group, "source", 2, "null", "null")
+    )
     tagged = [
-        _tag(docs, item, 1, F.col("doc_id"), "numerical_int", F.col("doc_id")),
-        _tag(docs, item, 2, number_in(LANGS, "lang"), "categorical", F.col("lang")),
-        _tag(docs, item, 4, F.col("n_chars"), "numerical_int", F.col("n_chars")),
+        _tag(docs, item, 1, "doc_id", "numerical_int", "doc_id"),
+        _tag(docs, item, 2, _number_in(LANGS, "lang"), "categorical", "lang"),
+        _tag(docs, item, 4, "n_chars", "numerical_int", "n_chars"),
     ]
     vectors = embed_text(docs, "text", "embedding").select(
         F.lit("documents").alias("collection"), F.col("doc_id").alias("index_id"), "embedding"
@@ -213,7 +218,8 @@ DOCUMENT_TREES = {
 
 
 def search_index(tables: Tables, **ivf) -> SearchIndex:
-    return SearchIndex(tables.embeddings, build_index_map(tables), tables.medias, **ivf)
+    """What a search needs; the mapping is made once, as when a collection is loaded."""
+    return SearchIndex(tables.embeddings, cut_lineage(build_index_map(tables)), tables.medias, **ivf)
 
 
 def topics(spark: SparkSession, sf_dir: str) -> DataFrame:

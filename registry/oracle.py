@@ -27,7 +27,7 @@ tagged AS (
       NULL, NULL::DOUBLE, NULL::TIMESTAMP FROM events JOIN items ON vec_id = user_id WHERE value >= 150
   UNION ALL SELECT 1000 + event_id, 8 * {B}::BIGINT + event_id, 8, NULL, NULL, NULL, ts
       FROM events JOIN items ON vec_id = event_id
-  UNION ALL SELECT 1000 + vec_id, 9 * {B}::BIGINT + vec_id, 9, NULL, NULL, round(v[1], 3), NULL FROM items
+  UNION ALL SELECT 1000 + vec_id, 9 * {B}::BIGINT + vec_id, 9, NULL, NULL, round(v[1], 3) + 0.0, NULL FROM items
   UNION ALL SELECT DISTINCT (1 + label)::BIGINT, 10 * {B}::BIGINT + label % 2, 10,
       CASE WHEN label % 2 = 0 THEN 'even' ELSE 'odd' END, NULL, NULL::DOUBLE, NULL::TIMESTAMP FROM items),
 groups AS (SELECT media_id FROM medias WHERE group_id IS NULL),
@@ -188,7 +188,7 @@ samp AS (SELECT s.req_id AS sid, s.label AS y, list_append(e.v, 1.0::DOUBLE) AS
          FROM {samples} s JOIN {vectors} e ON e.{key} = s.index_id),
 sizes AS (SELECT sid, count(*)::DOUBLE AS m FROM samp GROUP BY sid HAVING max(y) > 0),
 it(k, sid, w) AS (
-  SELECT 0, sid, list_transform(range(65), z -> 0.0::DOUBLE) FROM sizes
+  SELECT 0, sid, (SELECT list(0.0::DOUBLE) FROM range(65)) FROM sizes
   UNION ALL
   SELECT k + 1, sid, list(v ORDER BY j) FROM (
     SELECT it.k, it.sid, j.j, (1 - 1.0::DOUBLE / (it.k + 1)) * max(it.w[j.j])

@@ -301,7 +301,7 @@ def _swap(sessions, mapped):
 def rf_hyperplane(spark, sf_dir):
     t = fx.media_tables(spark, sf_dir)
     samples = feedback.feedback_samples(*_swap(_sessions(spark, sf_dir), mapping.build_index_map(t)))
-    models = feedback.train_hyperplanes(feedback.with_vectors(samples, t.embeddings))
+    models = feedback.train_hyperplanes(samples, t.embeddings)
     return models.select("req_id", F.posexplode("weights").alias("dim", "weight")).select(
         "req_id", "dim", (F.round("weight", 6) + 0.0).alias("weight")
     )
@@ -450,7 +450,7 @@ def _events(spark, sf_dir, stream=False):
     raw = fx.read(spark, sf_dir, "events")
     if stream:
         # The stream follows the folder; only the files of the events table are taken.
-        raw = spark.readStream.schema(raw.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+        raw = spark.readStream.schema(fx.SCHEMAS["events"]).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     return raw.select(
         "event_id", F.col("ts").cast("timestamp").alias("ts"),
         F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("session"),

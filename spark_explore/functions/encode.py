@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spark_explore.functions.vectors import l2_normalize
+from spark_explore.functions.vectors import l2_normalize, let
 
 # Fixed values of the hashed encoder.
 DIM = 64
@@ -37,15 +37,9 @@ def embed_text(
         return df.withColumn(vector, l2_normalize(encoder(F.col(text))))
     tokens = F.regexp_extract_all(F.lower(F.col(text)), F.lit(TOKEN), F.lit(0))
     letters = F.array_join(F.transform(tokens, _bucket_letter), "")
-    counts = F.array(
-        *[
-            F.length("_letters") - F.length(F.replace(F.col("_letters"), F.lit(chr(48 + b)), F.lit("")))
-            for b in range(DIM)
-        ]
-    )
-    return (
-        df.withColumn("_letters", letters)
-        .withColumn("_counts", counts.cast("array<double>"))
-        .withColumn(vector, l2_normalize(F.col("_counts")))
-        .drop("_letters", "_counts")
-    )
+
+    def counts(word: Column) -> Column:
+        rest = [F.length(F.replace(word, F.lit(chr(48 + b)), F.lit(""))) for b in range(DIM)]
+        return F.array(*[F.length(word) - r for r in rest])
+
+    return df.withColumn(vector, l2_normalize(let(letters, counts)))

@@ -17,14 +17,24 @@ def dot(a: Column, b: Column) -> Column:
     )
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, however often the body names it.
+
+    A lambda variable is a bound value; a plain column may be inlined at every use.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def l2_norm(vec: Column) -> Column:
     return F.sqrt(dot(vec, vec))
 
 
 def l2_normalize(vec: Column) -> Column:
     """Unit vector; null for the zero vector, which has no direction."""
-    norm = l2_norm(vec)
-    return F.when(norm > 0, F.transform(as_doubles(vec), lambda x: x / norm))
+    return let(
+        as_doubles(vec),
+        lambda v: let(l2_norm(v), lambda n: F.when(n > 0, F.transform(v, lambda x: x / n))),
+    )
 
 
 def mean_vector(vec: str, dim: int) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spark_explore.functions.vectors import dot
 from spark_explore.operators.mapping import to_index_ids, total_items
-from spark_explore.sizing import cut_lineage, is_small, small_side
+from spark_explore.sizing import cut_lineage, small_side
 
 RANDOM_SAMPLES = 5
 DRAWS = 64
@@ -124,24 +124,26 @@ def _train_large(samples: DataFrame) -> DataFrame:
     return model.select("req_id", "weights")
 
 
-def train_hyperplanes(samples: DataFrame) -> DataFrame:
+def train_hyperplanes(samples: DataFrame, embeddings: DataFrame) -> DataFrame:
     """``(req_id, weights)``: full-batch hinge-loss separators, bias last.
 
-    ``samples``: ``(req_id, label, embedding)``. Requests without a positive
-    sample are dropped.
+    ``samples``: ``(req_id, collection, index_id, label)``. Requests without a
+    positive sample are dropped.
     """
+    samples = cut_lineage(samples)
     sizes = samples.groupBy("req_id").agg(F.count("*").alias("m"), F.max("label").alias("best"))
-    sizes = cut_lineage(sizes.where(F.col("best") > 0))
-    usable = samples.select("req_id", "label", "embedding")
-    small = sizes.where(F.col("m") <= SAMPLES_PER_TASK)
-    large = sizes.where(F.col("m") > SAMPLES_PER_TASK)
+    sizes = cut_lineage(sizes.where(F.col("best") > 0).drop("best"))
+    largest = sizes.agg(F.max("m")).first()[0] or 0
+    ids = small_side(sizes)
+    within = F.col("m") <= SAMPLES_PER_TASK
     models = (
-        usable.join(small_side(small.select("req_id")), "req_id", "left_semi")
+        with_vectors(samples.join(ids.where(within), "req_id"), embeddings)
+        .select("req_id", "label", "embedding")
         .groupBy("req_id").applyInPandas(_train_one, WEIGHTS)
     )
-    if is_small(large, 0):
+    if largest <= SAMPLES_PER_TASK:
         return models
-    rest = usable.join(small_side(large.select("req_id")), "req_id", "left_semi")
+    rest = with_vectors(samples.join(ids.where(~within), "req_id"), embeddings)
     return models.unionByName(_train_large(rest))
 
 

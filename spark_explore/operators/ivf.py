@@ -3,12 +3,12 @@
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spark_explore.operators.topk import DECIMALS, Skips, top_items
-from spark_explore.sizing import cut_lineage, is_small
+from spark_explore.sizing import cut_lineage, is_small, local_table
 
 PROBES = 64
 MAX_CENTROIDS = 200_000
@@ -18,8 +18,8 @@ def train_centroids(embeddings: DataFrame, cells: int, seed: int = 42) -> DataFr
     """``(cell, centroid)`` by distributed k-means over all vectors."""
     vectors = embeddings.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
     model = KMeans(k=cells, seed=seed, maxIter=10).fit(vectors)
-    centers = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
-    return embeddings.sparkSession.createDataFrame(centers, "cell long, centroid array<double>")
+    centers = [{"cell": i, "centroid": c.tolist()} for i, c in enumerate(model.clusterCenters())]
+    return local_table(embeddings.sparkSession, centers, "cell long, centroid array<double>")
 
 
 def assign_cells(embeddings: DataFrame, centroids: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spark_explore.sizing import cut_lineage, small_side
+from spark_explore.sizing import cut_lineage, local_table, measured, small_side
 
 DECIMALS = 6
 
@@ -188,7 +188,7 @@ class Skips:
                 .groupBy("collection", "index_id")
                 .agg(F.array_distinct(F.flatten(F.collect_list("reqs"))).alias("reqs"))
             )
-        return small_side(lists.withColumnRenamed("reqs", "skip_reqs"))
+        return measured(lists.withColumnRenamed("reqs", "skip_reqs"))
 
 
 def top_items(
@@ -227,7 +227,7 @@ def top_items(
             raise ValueError("requests name filters but no passing items were given")
         # With a filter on every request, other items need not be scored at all.
         how = "inner" if size["filtered"] == size["rows"] else "left"
-        items = items.join(small_side(passed), ["collection", "index_id"], how)
+        items = items.join(measured(passed), ["collection", "index_id"], how)
     shared = (
         size["rows"] <= SHARED_PROBES
         and (size["cells"] or 0) * 8 <= SHARED_BYTES
@@ -262,7 +262,7 @@ def _shared_scan(items, probes, part, skips) -> DataFrame:
         parts[no] = Probes(table.filter(mask))
         key["part_no"] = no
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in probes.select(*part).schema)
-    numbers = spark.createDataFrame(keys, f"{fields}, part_no int")
+    numbers = local_table(spark, keys, f"{fields}, part_no int")
     for column in part:
         # Literal values reach the scan and prune partitions and row groups.
         values = {key[column] for key in keys}

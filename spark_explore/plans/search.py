@@ -8,7 +8,7 @@ from pyspark.sql import Window
 
 from spark_explore.functions.encode import embed_text
 from spark_explore.operators.feedback import (
-    feedback_samples, hyperplane_requests, train_hyperplanes, with_vectors,
+    feedback_samples, hyperplane_requests, train_hyperplanes,
 )
 from spark_explore.operators.filters import faceted_search
 from spark_explore.operators.ivf import PROBES, ivf_topk
@@ -119,7 +119,7 @@ def rf_search(
         asked = with_text.withColumn("n", F.lit(PSEUDO_RELEVANT))
         pseudo = cut_lineage(text_search(asked, index, encoder, **limits))
     samples = feedback_samples(requests, index.index_map, positives, negatives, pseudo, seed)
-    models = train_hyperplanes(with_vectors(samples, index.embeddings))
+    models = train_hyperplanes(samples, index.embeddings)
     return vector_search(hyperplane_requests(requests, models), index, **limits)
 
 

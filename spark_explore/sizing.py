@@ -2,6 +2,7 @@
 
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,3 +38,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the checkpoint folder and go on from there."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def measured(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Write a costly side once, so that counting it for a broadcast does not compute it again."""
+    return small_side(cut_lineage(df), max_rows)
+
+
+def local_table(spark, rows: list[dict], schema: str) -> DataFrame:
+    """A few driver-made rows as a local relation (no job, no Python rows)."""
+    table = pa.Table.from_pylist(rows) if rows else None
+    return spark.createDataFrame(table if rows else [], schema)
