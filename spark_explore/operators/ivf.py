@@ -59,7 +59,8 @@ def write_ivf(centroids: DataFrame, assigned: DataFrame, folder: str) -> None:
     """
     centroids.write.parquet(f"{folder}/centroids")
     (
-        assigned.repartitionByRange("collection", "cell", "index_id")
+        assigned.withColumn("embedding", F.col("embedding").cast("array<float>"))
+        .repartitionByRange("collection", "cell", "index_id")
         .sortWithinPartitions("collection", "cell", "index_id")
         .write.partitionBy("collection").parquet(f"{folder}/vectors")
     )

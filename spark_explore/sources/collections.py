@@ -8,6 +8,7 @@ from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 SCHEMAS = {
     "collections": "collection string, enabled boolean, index_type string, "
@@ -81,6 +82,8 @@ def write_collection(tables: Tables, folder: str, mode: str = "errorifexists") -
         df = getattr(tables, name)
         if df is None:
             continue
+        fields = StructType.fromDDL(SCHEMAS[name])
+        df = df.select(*[F.col(f.name).cast(f.dataType) for f in fields])
         if name in cluster:
             keys = ["collection", cluster[name]]
             df = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
