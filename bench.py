@@ -43,8 +43,12 @@ def session() -> SparkSession:
 def prepare(spark, folder):
     """Write the three collections, their mappings and the IVF index."""
     loaded = {}
+    # The given texts are one file; as files of a cluster table they are read by all cores.
+    fx.read(spark, SF_DIR, "documents").repartition(int(CPUS) * 2).write.parquet(f"{folder}/documents.parquet")
+    for name in ("embeddings", "labels", "events", "orders", "benchmark"):
+        fx.read(spark, SF_DIR, name).write.parquet(f"{folder}/{name}.parquet")
     for name, make in (("media", fx.media_tables), ("orders", fx.orders_tables), ("documents", fx.documents_tables)):
-        write_collection(make(spark, SF_DIR), f"{folder}/{name}", mode="ignore")
+        write_collection(make(spark, folder), f"{folder}/{name}", mode="ignore")
         tables = read_collection(spark, f"{folder}/{name}")
         if tables.embeddings is not None:
             mapping.build_index_map(tables).write.parquet(f"{folder}/{name}/index_map")
@@ -100,7 +104,7 @@ def main():
         "rf_search": lambda: search.rf_search(
             sessions, media_index, rated.where("quality = 1"), rated.where("quality = 0")),
         "faceted_search": lambda: filters.faceted_search(facet_requests, filters.passing(orders, fx.ORDER_TREES)),
-        "embed_text": lambda: embed_text(fx.read(spark, SF_DIR, "documents"), "text").select("doc_id", "query_vec"),
+        "embed_text": lambda: embed_text(fx.read(spark, folder, "documents"), "text").select("doc_id", "query_vec"),
         "item_metadata": lambda: items.item_metadata(orders, orders.medias, [2, 3, 4]),
         "client_events": lambda: audit.client_events(fx.read(spark, SF_DIR, "events").select(
             F.concat(F.lit("u"), "user_id").alias("session"), F.col("ts").cast("timestamp").alias("ts"),

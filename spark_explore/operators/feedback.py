@@ -142,9 +142,9 @@ def train_hyperplanes(samples: DataFrame, embeddings: DataFrame) -> DataFrame:
         .groupBy("req_id").applyInPandas(_train_one, WEIGHTS)
     )
     if largest <= SAMPLES_PER_TASK:
-        return models
+        return cut_lineage(models)
     rest = with_vectors(samples.join(ids.where(~within), "req_id"), embeddings)
-    return models.unionByName(_train_large(rest))
+    return cut_lineage(models.unionByName(_train_large(rest)))
 
 
 def hyperplane_requests(requests: DataFrame, models: DataFrame) -> DataFrame:

@@ -7,12 +7,11 @@ An item passes on its own tags only; an item without any tag never passes.
 import json
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from spark_explore.operators.mapping import group_medias
-from spark_explore.sizing import small_side
+from spark_explore.sizing import cut_lineage, small_side
 from spark_explore.sources.collections import VALUE_COLUMNS, Tables
 
 MASK_BITS = 60
@@ -231,7 +230,8 @@ def passing(tables: Tables, trees: dict[str, Tree]) -> DataFrame:
     A passing group stands for all its children and leaves the result itself;
     a group here is any media without a ``group_id``.
     """
-    own = passing_own(tables, trees)
+    # Written once: the aggregation of all taggings is used, and counted, more than once below.
+    own = cut_lineage(passing_own(tables, trees))
     groups = group_medias(tables.medias).select("collection", "media_id")
     items = own.join(groups, ["collection", "media_id"], "left_anti")
     passed_groups = own.join(groups, ["collection", "media_id"], "left_semi").withColumnRenamed(

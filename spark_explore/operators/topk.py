@@ -205,63 +205,65 @@ def top_items(
             items of its parts (its collection, or the index cells it probes)
     passed  ``(collection, index_id, filter_ids)``: items passing each filter
     """
-    probes = cut_lineage(
-        probes.where(F.col("query_vec").isNotNull()).select(
-            *part, F.col("req_id").cast("long"), F.col("query_vec").cast("array<double>"),
-            F.col("n").cast("int"), F.col("filter_id").cast("string"),
-        )
+    probes = probes.where(F.col("query_vec").isNotNull()).select(
+        *part, F.col("req_id").cast("long"), F.col("query_vec").cast("array<double>"),
+        F.col("n").cast("int"), F.col("filter_id").cast("string"),
     )
-    size = probes.agg(
-        F.count("*").alias("rows"),
-        F.sum(F.size("query_vec")).alias("cells"),
-        F.max(F.size("query_vec")).alias("dim"),
-        F.sum(F.col("n").cast("long")).alias("results"),
-        F.max("n").alias("deepest"),
-        F.count("filter_id").alias("filtered"),
-    ).first()
+    # One job fetches a batch that fits, or shows that it does not.
+    fetched = probes.limit(SHARED_PROBES + 1).toArrow()
+    shared = fetched.num_rows <= SHARED_PROBES and _fits(fetched)
+    if shared:
+        rows, filtered = fetched.num_rows, fetched.num_rows - fetched["filter_id"].null_count
+        deepest = pc.max(fetched["n"]).as_py() or 0
+    else:
+        probes = cut_lineage(probes)
+        rows, filtered, deepest = probes.agg(
+            F.count("*"), F.count("filter_id"), F.max("n")
+        ).first()
     items = items.where(F.col("embedding").isNotNull()).select(
         *dict.fromkeys([*part, "collection"]), "index_id", "embedding"
     )
-    if size["filtered"]:
+    if filtered:
         if passed is None:
             raise ValueError("requests name filters but no passing items were given")
         # With a filter on every request, other items need not be scored at all.
-        how = "inner" if size["filtered"] == size["rows"] else "left"
+        how = "inner" if filtered == rows else "left"
         items = items.join(measured(passed), ["collection", "index_id"], how)
-    shared = (
-        size["rows"] <= SHARED_PROBES
-        and (size["cells"] or 0) * 8 <= SHARED_BYTES
-        and (size["results"] or 0) <= SHARED_RESULTS
-    )
     if shared:
-        found = _shared_scan(items, probes, part, skips)
+        found = _shared_scan(items, fetched, probes.select(*part).schema, part, skips)
     else:
-        slices = -(-size["rows"] // SLICE_PROBES)
+        dim = probes.select(F.size("query_vec")).first()[0]
+        slices = -(-rows // SLICE_PROBES)
         slice_no = F.pmod(F.xxhash64("req_id", F.lit("slice")), F.lit(slices))
         found = reduce(
             DataFrame.unionByName,
-            [_cell_scan(items, probes.where(slice_no == s), part, skips, size["dim"])
-             for s in range(slices)],
+            [_cell_scan(items, probes.where(slice_no == s), part, skips, dim) for s in range(slices)],
         )
     order = Window.partitionBy("req_id").orderBy(F.desc("score"), "index_id")
     return (
         found.withColumn("rank", F.row_number().over(order))
-        .where((F.col("rank") <= (size["deepest"] or 0)) & (F.col("rank") <= F.col("n")))
+        .where((F.col("rank") <= deepest) & (F.col("rank") <= F.col("n")))
         .select("req_id", "index_id", "score", "rank")
     )
 
 
-def _shared_scan(items, probes, part, skips) -> DataFrame:
+def _fits(probes: pa.Table) -> bool:
+    """Whether a fetched batch is small enough in bytes and in results to be shared."""
+    return (
+        probes.nbytes <= SHARED_BYTES and (pc.sum(probes["n"]).as_py() or 0) <= SHARED_RESULTS
+    )
+
+
+def _shared_scan(items, table, key_schema, part, skips) -> DataFrame:
     """Bounded batch: every task holds all requests and scans its own items."""
     spark = items.sparkSession
-    table = probes.toArrow()
     keys = table.select(part).group_by(part).aggregate([]).to_pylist()
     parts = {}
     for no, key in enumerate(keys):
         mask = reduce(pc.and_, [pc.equal(table[c], key[c]) for c in part])
         parts[no] = Probes(table.filter(mask))
         key["part_no"] = no
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in probes.select(*part).schema)
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in key_schema)
     numbers = local_table(spark, keys, f"{fields}, part_no int")
     for column in part:
         # Literal values reach the scan and prune partitions and row groups.
@@ -271,7 +273,9 @@ def _shared_scan(items, probes, part, skips) -> DataFrame:
     items = items.join(F.broadcast(numbers), part)
     extra = ["filter_ids"] if "filter_ids" in items.columns else []
     if skips is not None:
-        items = items.join(skips.lists(probes), ["collection", "index_id"], "left")
+        asked = [{"req_id": r} for r in table["req_id"].unique().to_pylist()]
+        hidden = skips.lists(local_table(spark, asked, "req_id long"))
+        items = items.join(hidden, ["collection", "index_id"], "left")
         extra.append("skip_reqs")
     everywhere = spark.sparkContext.broadcast(parts)
     return items.select("part_no", "index_id", "embedding", *extra).mapInArrow(

@@ -2,9 +2,8 @@
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from spark_explore.functions.encode import embed_text
 from spark_explore.operators.feedback import (
@@ -63,8 +62,9 @@ def vector_search(
 
 def text_search(requests: DataFrame, index: SearchIndex, encoder=None, **limits) -> DataFrame:
     """Search by text: ``requests`` is ``(req_id, collection, text, n[, filter_id])``."""
-    asked = embed_text(requests, "text", encoder=encoder)
-    return vector_search(asked.where(F.col("query_vec").isNotNull()), index, **limits)
+    asked = embed_text(requests, "text", encoder=encoder).where(F.col("query_vec").isNotNull())
+    # Written once: a neural encoder must not run again for the final join.
+    return vector_search(cut_lineage(asked), index, **limits)
 
 
 def multi_text_search(requests: DataFrame, index: SearchIndex, encoder=None,
@@ -82,7 +82,7 @@ def multi_text_search(requests: DataFrame, index: SearchIndex, encoder=None,
         extra = requests.select(*base).join(separators, "req_id")
         parts = parts.unionByName(extra.select(*base, F.lit(-1).alias("part"), "query_vec"))
     # One search per part: its number is kept in the low half of the id.
-    parts = parts.where(F.col("query_vec").isNotNull()).select(
+    parts = cut_lineage(parts.where(F.col("query_vec").isNotNull())).select(
         (F.shiftleft(F.col("req_id"), 20) + F.col("part") + 1).alias("req_id"), "collection", "n", "query_vec"
     )
     found = vector_search(parts, index)
