@@ -68,9 +68,9 @@ def feedback_samples(
     no_neg = requests.join(negatives, "req_id", "left_anti")
     neg = negatives.select("req_id", "collection", "media_id")
     return (
-        to_index_ids(pos, index_map).withColumn("label", F.lit(1.0))
+        to_index_ids(small_side(pos), index_map).withColumn("label", F.lit(1.0))
         .unionByName(random_samples(no_pos, index_map, seed + "+", 1.0))
-        .unionByName(to_index_ids(neg, index_map).withColumn("label", F.lit(-1.0)))
+        .unionByName(to_index_ids(small_side(neg), index_map).withColumn("label", F.lit(-1.0)))
         .unionByName(random_samples(no_neg, index_map, seed + "-", -1.0))
     )
 

@@ -3,7 +3,6 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spark_explore.sizing import small_side
 from spark_explore.sources.collections import INDEX_FACET, Tables
 
 
@@ -51,8 +50,10 @@ def group_medias(medias: DataFrame) -> DataFrame:
 
 
 def _orphans(left: DataFrame, right: DataFrame, on: list[str], name: str) -> DataFrame:
-    missing = left.join(right.select(*on), on, "left_anti")
-    return missing.groupBy("collection").agg(F.count("*").alias(name))
+    # Counted per key first: a tag on a third of all items is one row in the join.
+    keys = left.groupBy(*on).agg(F.count("*").alias("uses"))
+    missing = keys.join(right.select(*on), on, "left_anti")
+    return missing.groupBy("collection").agg(F.sum("uses").alias(name))
 
 
 def validate_collection(tables: Tables, index_map: DataFrame) -> DataFrame:

@@ -49,7 +49,7 @@ def skip_items(
     if not single:
         return None
     pairs = single[0] if len(single) == 1 else single[0].unionByName(single[1])
-    items = to_index_ids(pairs, index_map)
+    items = to_index_ids(small_side(pairs), index_map)
     if excluded is None:
         return Skips(items)
     members = medias.where(F.col("group_id").isNotNull()).join(index_map, ["collection", "media_id"])

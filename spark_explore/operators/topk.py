@@ -127,7 +127,7 @@ class Best:
         )
 
 
-def _scan(batches, parts: dict[int, Probes]):
+def _scan(batches, parts: dict[int, pa.Table]):
     best: dict[int, Best] = {}
     for batch in batches:
         if batch.num_rows == 0:
@@ -136,7 +136,7 @@ def _scan(batches, parts: dict[int, Probes]):
         for no in np.unique(part_no):
             rows = batch if (part_no == no).all() else batch.filter(pa.array(part_no == no))
             if no not in best:
-                best[no] = Best(parts[no])
+                best[no] = Best(Probes(parts[no]))
             best[no].add(rows)
     for part in best.values():
         yield part.found()
@@ -261,22 +261,25 @@ def _shared_scan(items, table, key_schema, part, skips) -> DataFrame:
     parts = {}
     for no, key in enumerate(keys):
         mask = reduce(pc.and_, [pc.equal(table[c], key[c]) for c in part])
-        parts[no] = Probes(table.filter(mask))
+        parts[no] = table.filter(mask)
         key["part_no"] = no
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in key_schema)
-    numbers = local_table(spark, keys, f"{fields}, part_no int")
     for column in part:
         # Literal values reach the scan and prune partitions and row groups.
         values = {key[column] for key in keys}
-        if 0 < len(values) <= 1000:
-            items = items.where(F.col(column).isin(*values))
-    items = items.join(F.broadcast(numbers), part)
+        if len(values) <= 1000:
+            items = items.where(F.col(column).isin(*values) if values else F.lit(False))
+    if len(keys) <= 1:
+        items = items.withColumn("part_no", F.lit(0))
+    else:
+        fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in key_schema)
+        items = items.join(F.broadcast(local_table(spark, keys, f"{fields}, part_no int")), part)
     extra = ["filter_ids"] if "filter_ids" in items.columns else []
     if skips is not None:
         asked = [{"req_id": r} for r in table["req_id"].unique().to_pylist()]
         hidden = skips.lists(local_table(spark, asked, "req_id long"))
         items = items.join(hidden, ["collection", "index_id"], "left")
         extra.append("skip_reqs")
+    # Plain Arrow tables: a broadcast must not need this package on the executors.
     everywhere = spark.sparkContext.broadcast(parts)
     return items.select("part_no", "index_id", "embedding", *extra).mapInArrow(
         lambda batches: _scan(batches, everywhere.value), FOUND

@@ -14,7 +14,7 @@ from spark_explore.operators.ivf import PROBES, ivf_topk
 from spark_explore.operators.mapping import to_index_ids, to_media_ids
 from spark_explore.operators.skip import skip_items
 from spark_explore.operators.topk import top_items
-from spark_explore.sizing import cut_lineage
+from spark_explore.sizing import BROADCAST_ROWS, cut_lineage
 
 PSEUDO_RELEVANT = 10
 STRATEGIES = ("text", "rf", "faceted")
@@ -54,7 +54,12 @@ def vector_search(
     else:
         found = ivf_topk(requests, index.centroids, index.embeddings, index.nprobe, skips, passed,
                          adaptive=True)
-    found = found.join(requests.select("req_id", "collection"), "req_id")
+    owners = requests.select("req_id", "collection")
+    # The answer has at most the sum of all n rows: below the bound the mapping stays unshuffled.
+    if (requests.agg(F.sum("n")).first()[0] or 0) <= BROADCAST_ROWS:
+        found = F.broadcast(found.join(F.broadcast(owners), "req_id"))
+    else:
+        found = found.join(owners, "req_id")
     return to_media_ids(found, index.index_map).select(
         "req_id", "collection", "rank", "media_id", "score"
     )
@@ -123,6 +128,25 @@ def rf_search(
     return vector_search(hyperplane_requests(requests, models), index, **limits)
 
 
+def split_requests(requests: DataFrame, collections: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Valid requests, and rejected ones with ``error_type`` and ``message`` for the audit log.
+
+    ``collections`` is the registry; a collection that is switched off has no answers.
+    """
+    enabled = collections.where("enabled").select("collection", F.lit(True).alias("known"))
+    kind = F.col("kind")
+    fault = (
+        F.when(kind.isNull() | ~kind.isin(*STRATEGIES), F.lit("Unknown search strategy"))
+        .when(F.col("known").isNull(), F.lit("Unknown collection"))
+        .when((kind == "text") & F.col("text").isNull(), F.lit("Text search without text"))
+        .when((kind == "faceted") & F.col("filter_id").isNull(), F.lit("Faceted search without filters"))
+        .when(F.col("n").isNull() | (F.col("n") < 0), F.lit("Bad number of results"))
+    )
+    checked = requests.join(F.broadcast(enabled), "collection", "left").withColumn("message", fault).drop("known")
+    rejected = checked.where(F.col("message").isNotNull()).withColumn("error_type", F.lit("SearchError"))
+    return checked.where(F.col("message").isNull()).drop("message"), rejected
+
+
 def answer(
     requests: DataFrame,
     index: SearchIndex,

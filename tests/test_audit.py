@@ -108,6 +108,15 @@ def test_answer_checks_the_strategy(spark, small):
     with pytest.raises(ValueError):
         search.answer(bad, index, pairs, pairs, passed)
     good = spark.createDataFrame([(1, "a", None, 2, "x", "faceted")], schema)
+    more = spark.createDataFrame(
+        [(2, "b", "t", 2, None, "text"), (3, "a", None, 2, None, "faceted"), (4, "a", None, 2, None, "text"),
+         (5, "a", "t", -1, None, "rf")], schema)
+    valid, rejected = search.split_requests(good.unionByName(bad.withColumn("req_id", F.lit(9))).unionByName(more),
+                                            small.collections)
+    assert rows(valid, "req_id") == [(1,)]
+    assert rows(rejected, "req_id", "message") == [
+        (2, "Unknown collection"), (3, "Faceted search without filters"), (4, "Text search without text"),
+        (5, "Bad number of results"), (9, "Unknown search strategy")]
     got = search.timed(search.answer(good, index, pairs, pairs, passed, started=F.lit(9)), 2)
     assert rows(got, "req_id", "rank", "media_id", "strategy", "request_timestamp", "completion_time") == [
         (1, 1, 10, "faceted", 9, 2), (1, 2, 13, "faceted", 9, 2)]
