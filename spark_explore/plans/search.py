@@ -46,6 +46,8 @@ def vector_search(
     """
     if "filter_id" not in requests.columns:
         requests = requests.withColumn("filter_id", F.lit(None).cast("string"))
+    # Written once: an encoder or a trainer behind the query vectors must not run per use.
+    requests = cut_lineage(requests.select("req_id", "collection", "query_vec", "n", "filter_id"))
     skips = skip_items(index.index_map, index.medias, seen, excluded)
     if passed is not None:
         passed = to_index_ids(passed, index.index_map)
@@ -68,8 +70,7 @@ def vector_search(
 def text_search(requests: DataFrame, index: SearchIndex, encoder=None, **limits) -> DataFrame:
     """Search by text: ``requests`` is ``(req_id, collection, text, n[, filter_id])``."""
     asked = embed_text(requests, "text", encoder=encoder).where(F.col("query_vec").isNotNull())
-    # Written once: a neural encoder must not run again for the final join.
-    return vector_search(cut_lineage(asked), index, **limits)
+    return vector_search(asked, index, **limits)
 
 
 def multi_text_search(requests: DataFrame, index: SearchIndex, encoder=None,
@@ -87,7 +88,7 @@ def multi_text_search(requests: DataFrame, index: SearchIndex, encoder=None,
         extra = requests.select(*base).join(separators, "req_id")
         parts = parts.unionByName(extra.select(*base, F.lit(-1).alias("part"), "query_vec"))
     # One search per part: its number is kept in the low half of the id.
-    parts = cut_lineage(parts.where(F.col("query_vec").isNotNull())).select(
+    parts = parts.where(F.col("query_vec").isNotNull()).select(
         (F.shiftleft(F.col("req_id"), 20) + F.col("part") + 1).alias("req_id"), "collection", "n", "query_vec"
     )
     found = vector_search(parts, index)
