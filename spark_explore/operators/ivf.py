@@ -7,6 +7,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spark_explore.operators import topk
 from spark_explore.operators.topk import DECIMALS, Skips, top_items
 from spark_explore.sizing import cut_lineage, is_small, local_table
 
@@ -104,10 +105,14 @@ def ivf_topk(
     """
     short = cut_lineage(requests.select("req_id", "collection", "query_vec", "n", "filter_id"))
     cells = centroids.count()
+    # A request counts once per probed cell here, and a task meets few cells, so more
+    # probes may be shared than in an exact search, as far as their vectors allow.
+    dim = short.where(F.col("query_vec").isNotNull()).select(F.size("query_vec")).first()
+    room = min(8 * topk.SHARED_PROBES, topk.SHARED_BYTES // (8 * max(1, dim[0] if dim else 1)))
     answers = []
     while True:
         probes = short.join(probe_cells(short, centroids, nprobe).drop("rank"), "req_id")
-        found = top_items(assigned, probes, ["collection", "cell"], skips, passed)
+        found = top_items(assigned, probes, ["collection", "cell"], skips, passed, room)
         if not adaptive:
             return found
         found = cut_lineage(found)

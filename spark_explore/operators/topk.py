@@ -197,6 +197,7 @@ def top_items(
     part: list[str],
     skips: Skips | None = None,
     passed: DataFrame | None = None,
+    room: int | None = None,
 ) -> DataFrame:
     """``(req_id, index_id, score, rank)`` with the best ``n`` items of each request.
 
@@ -204,14 +205,16 @@ def top_items(
     probes  part columns, ``req_id, query_vec, n, filter_id``; a request sees the
             items of its parts (its collection, or the index cells it probes)
     passed  ``(collection, index_id, filter_ids)``: items passing each filter
+    room    probes that may be shared with all tasks, if not ``SHARED_PROBES``
     """
+    room = SHARED_PROBES if room is None else room
     probes = probes.where(F.col("query_vec").isNotNull()).select(
         *part, F.col("req_id").cast("long"), F.col("query_vec").cast("array<double>"),
         F.col("n").cast("int"), F.col("filter_id").cast("string"),
     )
     # One job fetches a batch that fits, or shows that it does not.
-    fetched = probes.limit(SHARED_PROBES + 1).toArrow()
-    shared = fetched.num_rows <= SHARED_PROBES and _fits(fetched)
+    fetched = probes.limit(room + 1).toArrow()
+    shared = fetched.num_rows <= room and _fits(fetched)
     if shared:
         rows, filtered = fetched.num_rows, fetched.num_rows - fetched["filter_id"].null_count
         deepest = pc.max(fetched["n"]).as_py() or 0

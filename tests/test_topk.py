@@ -144,7 +144,7 @@ def test_ivf_over_all_cells_is_exact(world, cells, tmp_path):
 def test_ivf_in_cells(world, cells, monkeypatch):
     (items, reqs, skips, passed), expected = world
     centroids, assigned = cells
-    monkeypatch.setattr(topk, "SHARED_PROBES", 30)
+    monkeypatch.setattr(topk, "SHARED_PROBES", 20)
     monkeypatch.setattr(topk, "CELL_PROBES", 7)
     monkeypatch.setattr(topk, "CELL_BYTES", 8 * 6 * 20)
     got = ivf_topk(reqs, centroids, assigned, 6, topk.Skips(skips), passed)
