@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from spark_explore.llm import byte_bpe, token_counts
+from spark_explore.llm import byte_bpe, packing, token_counts
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -18,9 +18,14 @@ def op6_token_counts(spark, sf_dir):
     return token_counts.summary(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_packing(spark, sf_dir):
+    return packing.pack_documents(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES = {
     "op5_byte_bpe": op5_byte_bpe,
     "op6_token_counts": op6_token_counts,
+    "op7_packing": op7_packing,
 }
 
 # DuckDB twins of the queries that SQL can express.
