@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from spark_explore.llm import byte_bpe, packing, token_counts
+from spark_explore.llm import byte_bpe, minhash, packing, token_counts
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -22,11 +22,44 @@ def op7_packing(spark, sf_dir):
     return packing.pack_documents(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_minhash(spark, sf_dir):
+    return minhash.near_duplicates(_read(spark, sf_dir, "documents"), percent=85)
+
+
 QUERIES = {
     "op5_byte_bpe": op5_byte_bpe,
     "op6_token_counts": op6_token_counts,
     "op7_packing": op7_packing,
+    "op9_minhash": op9_minhash,
 }
 
 # DuckDB twins of the queries that SQL can express.
-ORACLE = {}
+ORACLE = {
+    "op9_minhash": """
+        WITH RECURSIVE words AS (
+            SELECT doc_id, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\\x20\\x09-\\x0D]+') AS w
+            FROM documents
+        ), shingles AS (
+            SELECT DISTINCT doc_id, CASE WHEN len(w) < 5 THEN w ELSE w[i:i + 4] END AS s
+            FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM words WHERE len(w) > 0)
+        ), sizes AS (
+            SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+        ), links AS (
+            SELECT a.doc_id AS a, b.doc_id AS b
+            FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id
+            JOIN sizes x ON x.doc_id = a.doc_id JOIN sizes y ON y.doc_id = b.doc_id
+            GROUP BY a.doc_id, b.doc_id, x.n, y.n
+            HAVING 100 * count(*) >= 85 * (x.n + y.n - count(*))
+        ), reached AS (
+            SELECT doc_id AS a, doc_id AS b FROM documents
+            UNION
+            SELECT r.a, l.b FROM reached r JOIN links l ON l.a = r.b
+        ), component AS (
+            SELECT a AS doc_id, min(b) AS component_id FROM reached GROUP BY a
+        )
+        SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+        FROM documents JOIN component USING (doc_id) LEFT JOIN sizes USING (doc_id)
+    """,
+}
