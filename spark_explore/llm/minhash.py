@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from spark_explore.llm.chunks import text_chunks
 from spark_explore.llm.components import components
+from spark_explore.llm.set_checks import bitmap, confirmed_sets, in_bitmap, set_bytes, spot
 from spark_explore.llm.shingles import M1, mix, shingle_sets
 from spark_explore.sizing import cut_lineage
 
@@ -31,7 +32,6 @@ HASHES, BANDS, BITS = 128, 32, 4
 ROWS = HASHES // BANDS
 SLACK = 0.2  # six deviations of the estimate
 BLOCK = 512  # classes of a bucket that meet in one task
-FILTER_BITS = 1 << 24  # of the bitmap that keeps texts without candidates out
 
 
 def minima(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -98,63 +98,24 @@ def features(docs: DataFrame, width: int = 5) -> DataFrame:
         run, "doc_id long, n long, k1 long, k2 long, signature binary, bands array<long>")
 
 
-def _bitmap(ids: DataFrame) -> np.ndarray:
-    """Marks the hashes of ids; of fixed size, so many ids fill it and it lets more through."""
-    spot = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)) + 1  # the SQL functions count from 1
-    parts = ids.select(spot.alias("spot")).groupBy(F.bitmap_bucket_number("spot").alias("part")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("spot")).alias("bits")).collect()
-    bits = np.zeros(FILTER_BITS // 8, np.uint8)
-    for part, own in parts:
-        bits[(part - 1) * 4096:part * 4096] = np.frombuffer(own, np.uint8)
-    return bits
-
-
-def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs ``a``, ``b`` whose full sets have 100 * intersection >= percent * union.
-
-    A set travels once per pair as ``b`` and once per block of pairs as ``a``.
-    """
+def candidate_sets(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """``id`` and its sorted shingles, for the documents that occur in ``pairs``; texts are not shuffled."""
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))
-    bits = docs.sparkSession.sparkContext.broadcast(_bitmap(ids).tobytes())
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap(ids).tobytes())
 
     def sets(batches):
-        held = np.frombuffer(bits.value, np.uint8)
         for batch in batches:
-            spot = batch.column("spot").to_numpy()
-            some = (held[spot // 8] >> (spot % 8).astype(np.uint8)) & 1
-            for part in text_chunks([batch.filter(pa.array(some.astype(bool)))], "text"):
+            for part in text_chunks([batch.filter(in_bitmap(bits.value, batch.column("spot").to_numpy()))], "text"):
                 found, bounds = shingle_sets(part.column("text"), width)
-                found = np.ascontiguousarray(found)
-                own = pa.Array.from_buffers(pa.large_binary(), len(part), [
-                    None, pa.py_buffer(bounds.astype(np.int64) * 8), pa.py_buffer(found)])
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), own.cast(pa.binary())], ["id", "shingles"])
-
-    found = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("spot")).mapInArrow(
-        sets, "id long, shingles binary")
-    found = cut_lineage(found.join(ids.distinct(), "id", "left_semi").groupBy("id").agg(F.min("shingles").alias("shingles")))
-    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(64)))
-    members = salted.join(found, F.col("b") == F.col("id")).select("a", "salt", "b", "shingles")
-    firsts = salted.select("a", "salt").distinct().join(found, F.col("a") == F.col("id")).select(
-        "a", "salt", F.lit(None).cast("long").alias("b"), "shingles")
-
-    def compare(batches):
-        own, one = None, None
-        for batch in batches:
-            left, right = [], []
-            column = batch.column("shingles")
-            for i, (a, salt, b) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("a", "salt", "b")))):
-                values = np.frombuffer(column[i].as_buffer(), np.uint64)
-                if b is None:
-                    own, one = (a, salt), values
-                elif own == (a, salt):
-                    at = np.minimum(np.searchsorted(one, values), len(one) - 1)
-                    both = int((one[at] == values).sum())
-                    if 100 * both >= percent * (len(one) + len(values) - both):
-                        left.append(a), right.append(b)
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
-
-    runs = members.unionByName(firsts).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-    return runs.mapInArrow(compare, "a long, b long")
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), set_bytes(found, bounds)], ["id", "shingles"])
+
+    found = docs.select("doc_id", "text", spot("doc_id").alias("spot")).mapInArrow(sets, "id long, shingles binary")
+    return cut_lineage(found.join(ids.distinct(), "id", "left_semi").groupBy("id").agg(F.min("shingles").alias("shingles")))
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs ``a``, ``b`` whose full sets of shingles have 100 * intersection >= percent * union."""
+    return confirmed_sets(pairs, candidate_sets(pairs, docs, width), percent)
 
 
 def _first_pairs(buckets: DataFrame, classes: DataFrame, lowest: float, percent: int) -> DataFrame:

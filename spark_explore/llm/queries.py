@@ -3,13 +3,17 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from spark_explore.llm import byte_bpe, minhash, packing, token_counts
+from spark_explore.llm import byte_bpe, line_dedup, minhash, packing, token_counts
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op2_line_dedup(spark, sf_dir):
+    return line_dedup.summary(_read(spark, sf_dir, "documents"))
+
+
 def op5_byte_bpe(spark, sf_dir):
     return byte_bpe.digests(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
@@ -27,6 +31,7 @@ def op9_minhash(spark, sf_dir):
 
 
 QUERIES = {
+    "op2_line_dedup": op2_line_dedup,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_token_counts": op6_token_counts,
     "op7_packing": op7_packing,
@@ -35,6 +40,33 @@ QUERIES = {
 
 # DuckDB twins of the queries that SQL can express.
 ORACLE = {
+    "op2_line_dedup": """
+        WITH lines AS (
+            SELECT doc_id, i - 1 AS line, l[i] AS line_text
+            FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i
+                  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents))
+        ), tokens AS (
+            SELECT DISTINCT doc_id, line, unnest(regexp_extract_all(line_text, '[^\\x20\\x09-\\x0D]+')) AS w FROM lines
+        ), sizes AS (
+            SELECT doc_id, line, count(*) AS n, list_sort(list(w)) AS ws FROM tokens GROUP BY doc_id, line
+        ), sets AS (
+            SELECT ws, n, min((doc_id, line)) AS first FROM sizes GROUP BY ws, n
+        ), postings AS (
+            SELECT first, n, unnest(ws) AS w FROM sets
+        ), near AS (
+            SELECT DISTINCT y.first
+            FROM postings x JOIN postings y ON x.w = y.w AND x.first < y.first AND 100 * x.n >= 80 * y.n AND 100 * y.n >= 80 * x.n
+            GROUP BY x.first, y.first, x.n, y.n
+            HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))
+        ), gone AS (
+            SELECT z.doc_id, z.line,
+                   (z.doc_id, z.line) <> s.first OR s.first IN (SELECT first FROM near) AS removed
+            FROM sizes z JOIN sets s ON z.ws = s.ws
+        )
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (coalesce(removed, false)) AS n_removed,
+               coalesce(string_agg(line::VARCHAR, ',' ORDER BY line) FILTER (removed), '') AS removed
+        FROM lines LEFT JOIN gone USING (doc_id, line) GROUP BY doc_id
+    """,
     "op9_minhash": """
         WITH RECURSIVE words AS (
             SELECT doc_id, regexp_extract_all(
