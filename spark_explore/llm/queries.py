@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from spark_explore.llm import byte_bpe, line_dedup, minhash, packing, token_counts
+from spark_explore.llm import byte_bpe, line_dedup, minhash, packing, permutation_index, token_counts, voronoi_join
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -14,6 +14,16 @@ def op2_line_dedup(spark, sf_dir):
     return line_dedup.summary(_read(spark, sf_dir, "documents"))
 
 
+def op3_permutation_index(spark, sf_dir):
+    vectors = _read(spark, sf_dir, "embeddings")
+    return permutation_index.search(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+
+
+def op4_voronoi_join(spark, sf_dir):
+    vectors = _read(spark, sf_dir, "embeddings")
+    return voronoi_join.join(vectors, vectors.where("vec_id % 50 = 0"), k=5, scale=256)
+
+
 def op5_byte_bpe(spark, sf_dir):
     return byte_bpe.digests(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
@@ -32,6 +42,8 @@ def op9_minhash(spark, sf_dir):
 
 QUERIES = {
     "op2_line_dedup": op2_line_dedup,
+    "op3_permutation_index": op3_permutation_index,
+    "op4_voronoi_join": op4_voronoi_join,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_token_counts": op6_token_counts,
     "op7_packing": op7_packing,
@@ -67,6 +79,18 @@ ORACLE = {
                coalesce(string_agg(line::VARCHAR, ',' ORDER BY line) FILTER (removed), '') AS removed
         FROM lines LEFT JOIN gone USING (doc_id, line) GROUP BY doc_id
     """,
+    "op4_voronoi_join": """
+        WITH vectors AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), scored AS (
+            SELECT q.vec_id AS query_id, x.vec_id, list_inner_product(q.v, x.v)::BIGINT AS score
+            FROM vectors q JOIN vectors x ON q.vec_id % 50 = 0 AND x.vec_id <> q.vec_id
+        )
+        SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (
+            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+        WHERE rank <= 5
+    """,
     "op9_minhash": """
         WITH RECURSIVE words AS (
             SELECT doc_id, regexp_extract_all(
