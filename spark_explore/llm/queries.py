@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from spark_explore.llm import byte_bpe, line_dedup, minhash, packing, permutation_index, token_counts, voronoi_join
+from spark_explore.llm import byte_bpe, byte_gru, line_dedup, minhash, packing, permutation_index, token_counts, voronoi_join
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -36,6 +36,10 @@ def op7_packing(spark, sf_dir):
     return packing.pack_documents(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_byte_gru(spark, sf_dir):
+    return byte_gru.predict_all(_read(spark, sf_dir, "documents"))
+
+
 def op9_minhash(spark, sf_dir):
     return minhash.near_duplicates(_read(spark, sf_dir, "documents"), percent=85)
 
@@ -47,6 +51,7 @@ QUERIES = {
     "op5_byte_bpe": op5_byte_bpe,
     "op6_token_counts": op6_token_counts,
     "op7_packing": op7_packing,
+    "op8_byte_gru": op8_byte_gru,
     "op9_minhash": op9_minhash,
 }
 
