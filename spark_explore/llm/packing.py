@@ -18,6 +18,7 @@ table gives no rows; extra columns are ignored.
 import os
 import zlib
 from bisect import bisect_left, insort
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spark_explore.llm.chunks import PieceCache, spread, text_chunks
+from spark_explore.llm.chunks import PieceCache, binary_slices, spread, text_bytes, text_chunks
 from spark_explore.sizing import cut_lineage
 
 ROWS_PER_TASK = 500_000
@@ -36,8 +37,9 @@ CLASSES = (1 / 2, 1 / 4, 1 / 8, 0)
 class WordEncoder:
     """Ids of the distinct words, each encoded once.
 
-    The vocabulary drops white space, and no token reaches across it, so a text's ids are those of its words. New
-    words are encoded in bulk, kept apart by a special token, which the library takes out first.
+    The vocabulary drops white space and case, and no token reaches across white space, so a text's ids are those of
+    its words in lower case; nor does one join a letter and a full stop or comma, so those are split off at the end of
+    words. New words are encoded in bulk, kept apart by a special token, which the library takes out first.
     """
 
     def __init__(self, path: str):
@@ -48,33 +50,72 @@ class WordEncoder:
         specials = {i: t.content for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.mark, self.mark_text = next(iter(specials.items()))
         self.specials = list(specials.values())
+        self.bases = PieceCache(self._encode_bases)
         self.cache = PieceCache(self._encode_words)
+        self.is_end = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.is_end[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+        self.ending = np.zeros(256, np.int64)
+        for mark in ".,":
+            self.ending[ord(mark)] = self._ids("a" + mark)[-1]
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def _encode_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset:words.offset + len(words) + 1]
+        data = np.frombuffer(words.buffers()[2] or b"", np.uint8)
+        size = np.diff(offsets)
+        some = np.nonzero(size > 1)[0]
+        before, last = data[offsets[some + 1] - 2], data[offsets[some + 1] - 1]
+        suffix = np.zeros(len(words), np.int64)
+        suffix[some] = np.where((before >= ord("a")) & (before <= ord("z")), self.ending[last], 0)
+        cut = size - (suffix > 0)
+        ends = np.concatenate([[0], np.cumsum(cut)])
+        starts, lengths, flat = self.bases.look_up(binary_slices(data[spread(offsets[:-1], cut)].tobytes(), ends))
+        whole = lengths + (suffix > 0)
+        begin = np.cumsum(whole) - whole
+        out = np.empty(int(whole.sum()), np.int64)
+        out[spread(begin, lengths)] = flat[spread(starts, lengths)]
+        out[(begin + lengths)[suffix > 0]] = suffix[suffix > 0]
+        return out, whole
+
+    def _encode_bases(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         texts = [w.decode("utf-8") for w in words.to_pylist()]
-        plain = [w if not any(s in w for s in self.specials) else "" for w in texts]
-        ids, counts = [], []
-        for start in range(0, len(plain), 20_000):
-            got = np.array(self._ids(self.mark_text + self.mark_text.join(plain[start:start + 20_000])), np.int64)
-            marks = np.nonzero(got == self.mark)[0]
-            counts.append(np.diff(np.append(marks, len(got))) - 1)
-            ids.append(got[got != self.mark])
-        flat = np.concatenate(ids) if ids else np.empty(0, np.int64)
-        lengths = np.concatenate(counts) if counts else np.empty(0, np.int64)
-        odd = [i for i, (a, b) in enumerate(zip(texts, plain)) if a != b]
-        if odd:
-            parts = np.split(flat, np.cumsum(lengths)[:-1])
-            for i in odd:
-                parts[i] = np.array(self._ids(texts[i]), np.int64)
-            flat, lengths = np.concatenate(parts), np.array([len(p) for p in parts])
+        # A word of letters only, also after normalisation, is one unit of the vocabulary and ends with its only end token.
+        plain = np.array([w.isalpha() and (w.isascii() or w.lower().isalpha() and is_normalized("NFC", w)) for w in texts], bool)
+        odd = np.array([any(s in w for s in self.specials) for w in texts], bool)
+        groups = []
+        for some, mark in ((plain, " "), (~plain & ~odd, self.mark_text)):
+            at = np.nonzero(some)[0]
+            for start in range(0, len(at), 20_000):
+                own = at[start:start + 20_000]
+                ids = np.array(self._ids(mark.join([texts[i] for i in own])), np.int64)
+                if mark == " ":
+                    ends = np.nonzero(self.is_end[ids])[0] + 1
+                    groups.append((own, ids, np.diff(ends, prepend=0)))
+                else:
+                    marks = np.nonzero(ids == self.mark)[0]
+                    counts = np.diff(np.concatenate([[-1], marks, [len(ids)]])) - 1
+                    groups.append((own, ids[ids != self.mark], counts))
+        for i in np.nonzero(odd)[0]:
+            ids = np.array(self._ids(texts[i]), np.int64)
+            groups.append((np.array([i]), ids, np.array([len(ids)])))
+        lengths = np.zeros(len(texts), np.int64)
+        for own, _, counts in groups:
+            lengths[own] = counts
+        begin = np.cumsum(lengths) - lengths
+        flat = np.empty(int(lengths.sum()), np.int64)
+        for own, ids, counts in groups:
+            flat[spread(begin[own], counts)] = ids
         return flat, lengths
 
     def encode(self, column) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts (null: empty), and where each text's begin, with the end."""
-        words = pc.ascii_split_whitespace(pc.fill_null(column.cast(pa.large_string()), ""))
+        data, offsets = text_bytes(column)
+        if b"<|" not in data:  # special tokens are known by their case
+            data = data.lower()
+        words = pc.ascii_split_whitespace(pa.Array.from_buffers(
+            pa.large_string(), len(offsets) - 1, [None, pa.py_buffer(offsets.copy()), pa.py_buffer(data)]))
         bounds = words.offsets.to_numpy() - words.offsets[0].as_py()
         starts, lengths, flat = self.cache.look_up(words.flatten().cast(pa.large_binary()))
         ends = np.concatenate([[0], np.cumsum(lengths)])
