@@ -3,13 +3,19 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from spark_explore.llm import byte_bpe, byte_gru, line_dedup, minhash, packing, permutation_index, token_counts, voronoi_join
+import corpus_pipeline
+
+from spark_explore.llm import byte_bpe, byte_gru, html_lstm, line_dedup, minhash, packing, permutation_index, pii_crf, token_counts, voronoi_join
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_pii_crf(spark, sf_dir):
+    return pii_crf.find_all(_read(spark, sf_dir, "documents"))
+
+
 def op2_line_dedup(spark, sf_dir):
     return line_dedup.summary(_read(spark, sf_dir, "documents"))
 
@@ -44,7 +50,13 @@ def op9_minhash(spark, sf_dir):
     return minhash.near_duplicates(_read(spark, sf_dir, "documents"), percent=85)
 
 
+def op10_html_lstm(spark, sf_dir):
+    return html_lstm.extract_all(_read(spark, sf_dir, "pages"))
+
+
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
+    "op1_pii_crf": op1_pii_crf,
     "op2_line_dedup": op2_line_dedup,
     "op3_permutation_index": op3_permutation_index,
     "op4_voronoi_join": op4_voronoi_join,
@@ -53,6 +65,7 @@ QUERIES = {
     "op7_packing": op7_packing,
     "op8_byte_gru": op8_byte_gru,
     "op9_minhash": op9_minhash,
+    "op10_html_lstm": op10_html_lstm,
 }
 
 # DuckDB twins of the queries that SQL can express.
