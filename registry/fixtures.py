@@ -119,7 +119,7 @@ def media_tables(spark: SparkSession, sf_dir: str) -> Tables:
     docs = docs.join(ids, F.col("doc_id") == F.col("vec_id"), "left_semi")
     rated = read(spark, sf_dir, "labels").join(ids, F.col("doc_id") == F.col("vec_id"), "left_semi")
     events = read(spark, sf_dir, "events")
-    active = events.where("value >= 150").join(ids, F.col("user_id") == F.col("vec_id"), "left_semi")
+    active = events.join(ids, F.col("user_id") == F.col("vec_id"), "left_semi")
     first = events.join(ids, F.col("event_id") == F.col("vec_id"), "left_semi")
     labels = emb.select("label").distinct()
     solo = spark.range(11, 13)

@@ -24,7 +24,7 @@ tagged AS (
   UNION ALL SELECT 1000 + doc_id, 6 * {B}::BIGINT + toxic, 6, toxic::VARCHAR, NULL, NULL, NULL FROM rated
   UNION ALL SELECT DISTINCT 1000 + user_id,
       7 * {B}::BIGINT + list_position(['click','error','purchase','signup','view'], event_type), 7, event_type,
-      NULL, NULL::DOUBLE, NULL::TIMESTAMP FROM events JOIN items ON vec_id = user_id WHERE value >= 150
+      NULL, NULL::DOUBLE, NULL::TIMESTAMP FROM events JOIN items ON vec_id = user_id
   UNION ALL SELECT 1000 + event_id, 8 * {B}::BIGINT + event_id, 8, NULL, NULL, NULL, ts
       FROM events JOIN items ON vec_id = event_id
   UNION ALL SELECT 1000 + vec_id, 9 * {B}::BIGINT + vec_id, 9, NULL, NULL, round(v[1], 3) + 0.0, NULL FROM items
@@ -166,7 +166,7 @@ IS_PASSED = """EXISTS (SELECT 1 FROM named m JOIN passed p ON p.filter_id = m.fi
 
 def _topk(*extra: str, where: str = "true", requests: str = "topics") -> str:
     return _with(MEDIA, TOPICS, *extra, f"""
-scored AS (SELECT t.req_id, t.n, e.vec_id, round(list_inner_product(t.q, e.v), 6) + 0.0 AS score
+scored AS (SELECT t.req_id, t.n, e.vec_id, round(list_inner_product(t.q, e.v), 12) + 0.0 AS score
            FROM {requests} t CROSS JOIN items e WHERE {where}),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY req_id ORDER BY score DESC, vec_id) AS rank FROM scored)
 """) + "SELECT req_id, rank, 1000 + vec_id AS media_id, score FROM ranked WHERE rank <= n"
@@ -217,14 +217,14 @@ centroids AS (SELECT label::BIGINT AS cell, list(m ORDER BY pos) AS c FROM
               (SELECT label, pos, avg(x) AS m FROM label_cells GROUP BY ALL) GROUP BY label),
 assigned AS (SELECT vec_id, v, cell FROM (
   SELECT e.vec_id, e.v, c.cell, row_number() OVER (PARTITION BY e.vec_id
-         ORDER BY round(list_inner_product(e.v, c.c), 6) DESC, c.cell) AS r
+         ORDER BY round(list_inner_product(e.v, c.c), 12) DESC, c.cell) AS r
   FROM items e CROSS JOIN centroids c) WHERE r = 1),
 probes AS (SELECT t.req_id, t.q, t.n, c.cell, row_number() OVER (PARTITION BY t.req_id
-           ORDER BY round(list_inner_product(t.q, c.c), 6) DESC, c.cell) AS probe
+           ORDER BY round(list_inner_product(t.q, c.c), 12) DESC, c.cell) AS probe
            FROM topics t CROSS JOIN centroids c)"""
 
 TEXT_SCORED = """
-scored AS (SELECT q.item_id AS req_id, d.doc_id, round(list_inner_product(q.v, d.v), 6) + 0.0 AS score
+scored AS (SELECT q.item_id AS req_id, d.doc_id, round(list_inner_product(q.v, d.v), 12) + 0.0 AS score
            FROM bench_vec q CROSS JOIN doc_vec d)"""
 
 _RANKED = "row_number() OVER (PARTITION BY req_id ORDER BY score DESC, doc_id) AS rank"
@@ -242,6 +242,10 @@ metadata AS (SELECT media_id, tagset_id, facet, string_agg(value, '|' ORDER BY t
   FROM item_values GROUP BY ALL)"""
 
 
+SCORED = ["topk_single", "topk_batch", "topk_skip_seen", "topk_excluded_groups", "topk_filtered", "topk_all_limits",
+          "text_search", "multi_text_search", "rf_search", "rf_pseudo", "ivf_topk", "ivf_adaptive", "answer_mixed"]
+
+
 def oracle() -> dict[str, str]:
     text_base = [DOCUMENTS, QUERIES_TEXT, TEXT_SCORED]
     sql = {
@@ -327,7 +331,7 @@ UNION ALL SELECT req_id, idx, -1.0 FROM ({_random('users', '-', 'embeddings')})"
                          + "SELECT req_id, (j - 1)::INTEGER AS dim, round(w[j], 6) + 0.0 AS weight "
                            "FROM w CROSS JOIN range(1, 66) r(j)",
         "rf_search": _with(MEDIA, SAMPLES, _trained("samples", "items", "vec_id"), """
-scored AS (SELECT req_id, e.vec_id, round(list_inner_product(w.w[1:64], e.v), 6) + 0.0 AS score
+scored AS (SELECT req_id, e.vec_id, round(list_inner_product(w.w[1:64], e.v), 12) + 0.0 AS score
            FROM w CROSS JOIN items e),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY req_id ORDER BY score DESC, vec_id) AS rank FROM scored)
 """, recursive=True) + "SELECT req_id, rank, 1000 + vec_id AS media_id, score FROM ranked WHERE rank <= 10",
@@ -337,18 +341,18 @@ samples AS (
   SELECT req_id, doc_id AS index_id, 1.0::DOUBLE AS label FROM (SELECT *, {_RANKED} FROM scored) WHERE rank <= 10
   UNION ALL SELECT req_id, idx, -1.0 FROM ({_random('asked', '-', 'documents')}))""",
             _trained("samples", "doc_vec", "doc_id"), """
-found AS (SELECT req_id, d.doc_id, round(list_inner_product(w.w[1:64], d.v), 6) + 0.0 AS score
+found AS (SELECT req_id, d.doc_id, round(list_inner_product(w.w[1:64], d.v), 12) + 0.0 AS score
           FROM w CROSS JOIN doc_vec d)""", recursive=True)
             + f"SELECT req_id, rank, 1000 + doc_id AS media_id, score FROM (SELECT *, {_RANKED} FROM found) "
               "WHERE rank <= 10",
         "ivf_cells": _with(MEDIA, TOPICS, CELLS) + "SELECT vec_id AS index_id, cell FROM assigned",
         "ivf_topk": _with(MEDIA, TOPICS, CELLS, """
-scored AS (SELECT p.req_id, p.n, a.vec_id, round(list_inner_product(p.q, a.v), 6) + 0.0 AS score
+scored AS (SELECT p.req_id, p.n, a.vec_id, round(list_inner_product(p.q, a.v), 12) + 0.0 AS score
            FROM probes p JOIN assigned a USING (cell) WHERE probe <= 3),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY req_id ORDER BY score DESC, vec_id) AS rank FROM scored)
 """) + "SELECT req_id, rank, 1000 + vec_id AS media_id, score FROM ranked WHERE rank <= n",
         "ivf_adaptive": _with(MEDIA, TOPICS, CELLS, EXCLUDED, """
-open AS (SELECT p.req_id, p.n, p.probe, a.vec_id, round(list_inner_product(p.q, a.v), 6) + 0.0 AS score
+open AS (SELECT p.req_id, p.n, p.probe, a.vec_id, round(list_inner_product(p.q, a.v), 12) + 0.0 AS score
          FROM probes p JOIN assigned a USING (cell)
          WHERE NOT EXISTS (SELECT 1 FROM excluded s WHERE s.req_id = p.req_id AND s.vec_id = a.vec_id)),
 levels AS (SELECT t.req_id, r.l, r.l >= (SELECT count(*) FROM centroids)
@@ -413,7 +417,7 @@ samples AS (
 texts AS (SELECT req_id, rank, 1000 + doc_id AS media_id, score, 'text' AS strategy FROM
           (SELECT *, {_RANKED} FROM scored) WHERE rank <= 10),
 rf AS (SELECT req_id, rank, 1000 + doc_id AS media_id, score, 'rf' AS strategy FROM (SELECT *, {_RANKED} FROM (
-  SELECT req_id, d.doc_id, round(list_inner_product(w.w[1:64], d.v), 6) + 0.0 AS score
+  SELECT req_id, d.doc_id, round(list_inner_product(w.w[1:64], d.v), 12) + 0.0 AS score
   FROM w CROSS JOIN doc_vec d JOIN documents o ON o.doc_id = d.doc_id WHERE o.lang = 'es')) WHERE rank <= 10),
 german AS (SELECT 1000 + doc_id AS media_id, row_number() OVER (ORDER BY doc_id) AS rank
            FROM documents WHERE lang = 'de' AND n_chars >= 2000),
@@ -421,4 +425,7 @@ faceted AS (SELECT s.req_id + {B} AS req_id, g.rank, g.media_id, NULL::DOUBLE AS
             FROM sessions s CROSS JOIN german g WHERE g.rank <= 50)
 """, recursive=True) + """SELECT *, 1700000000::BIGINT AS request_timestamp, 0::BIGINT AS completion_time
 FROM (SELECT * FROM texts UNION ALL SELECT * FROM rf UNION ALL SELECT * FROM faceted)"""
+    # Ranks come from unrounded scores; what is compared is rounded.
+    for name in SCORED:
+        sql[name] = f"SELECT * REPLACE (round(score, 6) + 0.0 AS score) FROM ({sql[name]})"
     return sql

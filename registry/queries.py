@@ -15,7 +15,8 @@ from spark_explore.sizing import checkpoint_dir
 from spark_explore.sources import collections as sources
 from spark_explore.streaming.audit_stream import stream_audit as start_audit_stream
 
-RESULT = ["req_id", "rank", "media_id", "score"]
+SCORE = "round(score, 6) + 0.0D AS score"
+RESULT = ["req_id", "rank", "media_id", SCORE]
 
 
 # Sources and mapping ---------------------------------------------------------
@@ -173,12 +174,12 @@ def topk_single(spark, sf_dir):
         fx.mean_vector("embedding", fx.DIM).alias("query_vec")
     )
     one = mean.withColumn("req_id", F.lit(0)).withColumn("n", F.lit(20))
-    return search.vector_search(one, index).select(*RESULT)
+    return search.vector_search(one, index).selectExpr(*RESULT)
 
 
 def topk_batch(spark, sf_dir):
     index = fx.search_index(fx.media_tables(spark, sf_dir))
-    return search.vector_search(fx.topics(spark, sf_dir), index).select(*RESULT)
+    return search.vector_search(fx.topics(spark, sf_dir), index).selectExpr(*RESULT)
 
 
 def _rated_items(spark, sf_dir):
@@ -190,7 +191,7 @@ def topk_skip_seen(spark, sf_dir):
     """The items of a topic that were rated count as seen."""
     index = fx.search_index(fx.media_tables(spark, sf_dir))
     seen = _rated_items(spark, sf_dir)
-    return search.vector_search(fx.topics(spark, sf_dir), index, seen=seen).select(*RESULT)
+    return search.vector_search(fx.topics(spark, sf_dir), index, seen=seen).selectExpr(*RESULT)
 
 
 def _first_of_topic(spark, sf_dir):
@@ -203,7 +204,7 @@ def topk_excluded_groups(spark, sf_dir):
     """The first item of each topic is excluded, and its group with it."""
     index = fx.search_index(fx.media_tables(spark, sf_dir))
     excluded = _first_of_topic(spark, sf_dir)
-    return search.vector_search(fx.topics(spark, sf_dir), index, excluded=excluded).select(*RESULT)
+    return search.vector_search(fx.topics(spark, sf_dir), index, excluded=excluded).selectExpr(*RESULT)
 
 
 def expand_excluded(spark, sf_dir):
@@ -221,7 +222,7 @@ def topk_filtered(spark, sf_dir):
     t = fx.media_tables(spark, sf_dir)
     passed = filters.passing(t, fx.TREES)
     asked = _with_filters(fx.topics(spark, sf_dir))
-    return search.vector_search(asked, fx.search_index(t), passed=passed).select(*RESULT)
+    return search.vector_search(asked, fx.search_index(t), passed=passed).selectExpr(*RESULT)
 
 
 def topk_all_limits(spark, sf_dir):
@@ -230,7 +231,7 @@ def topk_all_limits(spark, sf_dir):
     return search.vector_search(
         asked, fx.search_index(t), seen=_rated_items(spark, sf_dir),
         excluded=_first_of_topic(spark, sf_dir), passed=filters.passing(t, fx.TREES),
-    ).select(*RESULT)
+    ).selectExpr(*RESULT)
 
 
 # Text ------------------------------------------------------------------------------
@@ -249,7 +250,7 @@ def _text_requests(spark, sf_dir):
 
 def text_search(spark, sf_dir):
     index = fx.search_index(fx.documents_tables(spark, sf_dir))
-    return search.text_search(_text_requests(spark, sf_dir), index).select(*RESULT)
+    return search.text_search(_text_requests(spark, sf_dir), index).selectExpr(*RESULT)
 
 
 def multi_text_search(spark, sf_dir):
@@ -257,7 +258,7 @@ def multi_text_search(spark, sf_dir):
     index = fx.search_index(fx.documents_tables(spark, sf_dir))
     asked = _text_requests(spark, sf_dir).withColumn("req_id", F.floor(F.col("req_id") / 3))
     several = asked.groupBy("req_id", "collection", "n").agg(F.collect_list("text").alias("texts"))
-    return search.multi_text_search(several, index).select(*RESULT)
+    return search.multi_text_search(several, index).selectExpr(*RESULT)
 
 
 # Relevance feedback ------------------------------------------------------------------
@@ -310,7 +311,7 @@ def rf_hyperplane(spark, sf_dir):
 def rf_search(spark, sf_dir):
     index = fx.search_index(fx.media_tables(spark, sf_dir))
     requests, pos, neg = _sessions(spark, sf_dir)
-    return search.rf_search(requests, index, pos, neg).select(*RESULT)
+    return search.rf_search(requests, index, pos, neg).selectExpr(*RESULT)
 
 
 def rf_pseudo(spark, sf_dir):
@@ -318,7 +319,7 @@ def rf_pseudo(spark, sf_dir):
     index = fx.search_index(fx.documents_tables(spark, sf_dir))
     asked = _text_requests(spark, sf_dir)
     none = asked.where("false").select("req_id", "collection", F.col("req_id").alias("media_id"))
-    return search.rf_search(asked, index, none, none).select(*RESULT)
+    return search.rf_search(asked, index, none, none).selectExpr(*RESULT)
 
 
 # Approximate index ---------------------------------------------------------------------
@@ -337,7 +338,7 @@ def ivf_topk(spark, sf_dir):
     t, centroids, assigned = _ivf(spark, sf_dir)
     asked = fx.topics(spark, sf_dir).withColumn("filter_id", F.lit(None).cast("string"))
     found = ivf.ivf_topk(asked, centroids, assigned, nprobe=3)
-    return found.select("req_id", "rank", (F.col("index_id") + 1000).alias("media_id"), "score")
+    return found.selectExpr("req_id", "rank", "index_id + 1000 AS media_id", SCORE)
 
 
 def ivf_adaptive(spark, sf_dir):
@@ -346,14 +347,14 @@ def ivf_adaptive(spark, sf_dir):
     asked = fx.topics(spark, sf_dir).withColumn("filter_id", F.lit(None).cast("string"))
     skips = skip.skip_items(mapping.build_index_map(t), t.medias, excluded=_first_of_topic(spark, sf_dir))
     found = ivf.ivf_topk(asked, centroids, assigned, nprobe=1, skips=skips, adaptive=True)
-    return found.select("req_id", "rank", (F.col("index_id") + 1000).alias("media_id"), "score")
+    return found.selectExpr("req_id", "rank", "index_id + 1000 AS media_id", SCORE)
 
 
 def ivf_kmeans(spark, sf_dir):
     t = fx.media_tables(spark, sf_dir)
     centroids, assigned = ivf.build_ivf(t.embeddings, cells=16)
     index = fx.search_index(sources.replace(t, embeddings=assigned), centroids=centroids, nprobe=4)
-    return search.vector_search(fx.topics(spark, sf_dir), index).select(*RESULT)
+    return search.vector_search(fx.topics(spark, sf_dir), index).selectExpr(*RESULT)
 
 
 # Items -----------------------------------------------------------------------------------
@@ -446,11 +447,11 @@ def audit_search(spark, sf_dir):
     return audit.audit_search(logged, found, "text", F.lit(1_700_000_000), F.lit(0))
 
 
-def _events(spark, sf_dir, stream=False):
+def _events(spark, sf_dir, stream=None):
+    """The events table, or the deliveries that arrive in the folder ``stream``."""
     raw = fx.read(spark, sf_dir, "events")
     if stream:
-        # The stream follows the folder; only the files of the events table are taken.
-        raw = spark.readStream.schema(fx.SCHEMAS["events"]).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+        raw = spark.readStream.schema(fx.SCHEMAS["events"]).parquet(stream)
     return raw.select(
         "event_id", F.col("ts").cast("timestamp").alias("ts"),
         F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("session"),
@@ -476,11 +477,15 @@ def audit_items(spark, sf_dir):
 def stream_audit(spark, sf_dir):
     import uuid
 
-    fx.read(spark, sf_dir, "events")
+    # Deliveries out of time order, and all events once more: each event is in the log once.
     folder = f"{checkpoint_dir(spark)}/audit-{uuid.uuid4().hex}"
-    query = start_audit_stream(_events(spark, sf_dir, stream=True), f"{folder}/out", f"{folder}/state")
-    query.awaitTermination()
-    return spark.read.parquet(f"{folder}/out").drop("day")
+    stored = fx.read(spark, sf_dir, "events")
+    part = F.pmod(F.xxhash64("event_id"), F.lit(3))
+    for delivery in (part == 0, part != 2, F.lit(True)):
+        stored.where(delivery).write.mode("append").parquet(f"{folder}/in")
+        events = _events(spark, sf_dir, stream=f"{folder}/in")
+        start_audit_stream(events, f"{folder}/out", f"{folder}/state").awaitTermination()
+    return spark.read.parquet(f"{folder}/out").drop("day", "event_key")
 
 
 def item_set_state(spark, sf_dir):
@@ -520,8 +525,8 @@ def answer_mixed(spark, sf_dir):
         requests, fx.search_index(t), rated.where("quality = 1"), rated.where("quality = 0"),
         filters.passing(t, fx.DOCUMENT_TREES), started=F.lit(1_700_000_000),
     )
-    return search.timed(result, 0).select(
-        "req_id", "rank", "media_id", "score", "strategy", "request_timestamp", "completion_time"
+    return search.timed(result, 0).selectExpr(
+        "req_id", "rank", "media_id", SCORE, "strategy", "request_timestamp", "completion_time"
     )
 
 

@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spark_explore.sizing import small_side
+
 ENTRY = "timestamp long, session string, action string, data string, completion_time long"
 
 # Action names of the entries (fixed values).
@@ -30,10 +32,12 @@ def audit_entries(
     data: list,
     timestamp: Column | None = None,
     completion_time: Column | None = None,
+    more: list | None = None,
 ) -> DataFrame:
     """Audit rows of ``df``: ``data`` columns as JSON, time now unless given.
 
-    A completion time of zero is left out, like a missing one.
+    A completion time of zero is left out, like a missing one. ``more`` columns
+    follow those of the log.
     """
     action = F.lit(ACTIONS.get(action, action)) if isinstance(action, str) else action
     zero = F.lit(0).cast("long")
@@ -44,6 +48,7 @@ def audit_entries(
         action.alias("action"),
         F.to_json(F.struct(*data)).alias("data"),
         F.nullif(spent, zero).alias("completion_time"),
+        *(more or []),
     )
 
 
@@ -52,7 +57,7 @@ def audit_session(sessions: DataFrame, timestamp: Column | None = None) -> DataF
 
 
 def audit_total_items(requests: DataFrame, totals: DataFrame, timestamp: Column | None = None) -> DataFrame:
-    counted = requests.join(F.broadcast(totals), "collection")
+    counted = requests.join(small_side(totals), "collection")
     return audit_entries(counted, "total", ["collection", "total_items"], timestamp)
 
 
@@ -105,15 +110,17 @@ def audit_search(
     return audit_entries(joined, kind, data, timestamp, completion_time)
 
 
-def client_events(events: DataFrame) -> DataFrame:
+def client_events(events: DataFrame, key: str | None = None) -> DataFrame:
     """One entry per client event.
 
     ``events``: ``(session, ts timestamp, action, element_id, data, route)``. The
-    event's own time is kept: it is what a watermark needs.
+    event's own time is kept. With ``key``, entries carry that column of the
+    events as the string ``event_key``.
     """
     body = [F.col("element_id"), F.col("route"), F.col("data").alias("body")]
     action = F.concat(F.lit("Client Event: "), F.col("action"))
-    return audit_entries(events, action, body, F.unix_timestamp(F.col("ts")))
+    more = [] if key is None else [F.col(key).cast("string").alias("event_key")]
+    return audit_entries(events, action, body, F.unix_timestamp(F.col("ts")), more=more)
 
 
 def write_audit(entries: DataFrame, folder: str) -> None:

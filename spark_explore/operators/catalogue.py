@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spark_explore.sizing import small_side
 from spark_explore.sources.collections import VALUE_COLUMNS, Tables
 
 
@@ -22,7 +23,7 @@ def tag_types(tables: Tables) -> DataFrame:
 
 def facets(tables: Tables) -> DataFrame:
     """Facet definitions with the name of their tag type."""
-    types = F.broadcast(tag_types(tables))
+    types = small_side(tag_types(tables))
     return tables.tagsets.join(types, ["collection", "tagtype_id"]).select(
         "collection", "tagset_id", "name", "tagtype_id", "tagtype"
     )
@@ -40,7 +41,7 @@ def facet_values(tables: Tables, tagset_id: int | None = None, tagtype: str | No
         values = values.where(F.col("tagset_id") == tagset_id)
     if tagtype is not None:
         values = values.where(F.col("tagtype") == tagtype)
-    known = F.broadcast(facets(tables).select("collection", "tagset_id", "tagtype"))
+    known = small_side(facets(tables).select("collection", "tagset_id", "tagtype"))
     return values.join(known, ["collection", "tagset_id", "tagtype"]).select(
         "collection", "tagset_id", "tag_id", value_text().alias("value")
     )

@@ -22,7 +22,7 @@ def item_base_info(tables: Tables, ids: DataFrame) -> DataFrame:
     def url(base, uri):
         return F.concat(F.col(base), F.lit("/"), F.coalesce(F.col(uri), F.lit("None")))
 
-    return items(tables, ids).join(F.broadcast(bases), "collection").select(
+    return items(tables, ids).join(small_side(bases), "collection").select(
         "collection",
         F.col("media_id").alias("id"),
         F.col("media_id").alias("name"),
@@ -50,7 +50,7 @@ def item_values(tables: Tables, ids: DataFrame, tagset_ids: list[int] | None = N
     )
     return (
         tags.join(small_side(texts), ["collection", "tag_id"])
-        .join(F.broadcast(names), ["collection", "tagset_id"])
+        .join(small_side(names), ["collection", "tagset_id"])
         .select("collection", "media_id", "tagset_id", "facet", "tag_id", "value")
     )
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from spark_explore.operators import topk
 from spark_explore.operators.topk import DECIMALS, Skips, top_items
-from spark_explore.sizing import cut_lineage, is_small, local_table
+from spark_explore.sizing import cut_lineage, local_table
 
 PROBES = 64
 MAX_CENTROIDS = 200_000
@@ -25,7 +25,7 @@ def train_centroids(embeddings: DataFrame, cells: int, seed: int = 42) -> DataFr
 
 def assign_cells(embeddings: DataFrame, centroids: DataFrame) -> DataFrame:
     """Add ``cell``: the centroid with the best dot product, ties to the lower cell."""
-    if not is_small(centroids, MAX_CENTROIDS):
+    if centroids.count() > MAX_CENTROIDS:
         raise ValueError(f"more than {MAX_CENTROIDS} cells")
     table = centroids.toArrow().combine_chunks().sort_by("cell")
     cells = table["cell"].to_numpy()
@@ -54,21 +54,23 @@ def build_ivf(embeddings: DataFrame, cells: int, seed: int = 42) -> tuple[DataFr
 
 
 def write_ivf(centroids: DataFrame, assigned: DataFrame, folder: str) -> None:
-    """Write the index; vectors are clustered by cell, so probes skip row groups.
+    """Write the index; vectors lie in folders of neighbouring cells, clustered by cell.
 
-    The second range key splits a cell that holds a large share of the vectors.
+    Probes name the folders they need, however many cells a batch asks for. The
+    second range key splits a cell that holds a large share of the vectors.
     """
     centroids.write.parquet(f"{folder}/centroids")
     (
         assigned.withColumn("embedding", F.col("embedding").cast("array<float>"))
+        .withColumn("cell_bucket", F.floor(F.col("cell") / topk.CELLS_PER_BUCKET))
         .repartitionByRange("collection", "cell", "index_id")
         .sortWithinPartitions("collection", "cell", "index_id")
-        .write.partitionBy("collection").parquet(f"{folder}/vectors")
+        .write.partitionBy("collection", "cell_bucket").parquet(f"{folder}/vectors")
     )
 
 
 def read_ivf(spark, folder: str) -> tuple[DataFrame, DataFrame]:
-    schema = "collection string, index_id long, embedding array<float>, cell long"
+    schema = "collection string, cell_bucket long, index_id long, embedding array<float>, cell long"
     return (
         spark.read.schema("cell long, centroid array<double>").parquet(f"{folder}/centroids"),
         spark.read.schema(schema).parquet(f"{folder}/vectors"),
@@ -124,7 +126,7 @@ def ivf_topk(
             break
         missing = cut_lineage(counted.where(lacking).drop("got"))
         answers.append(found.join(missing.select("req_id"), "req_id", "left_anti"))
-        if is_small(missing, 0):
+        if missing.isEmpty():
             break
         short, nprobe = missing, nprobe * 2
     result = answers[0]

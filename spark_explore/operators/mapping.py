@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spark_explore.sizing import small_side
 from spark_explore.sources.collections import INDEX_FACET, Tables
 
 
@@ -11,7 +12,7 @@ def build_index_map(tables: Tables) -> DataFrame:
     facet = tables.tagsets.where(F.col("name") == INDEX_FACET).select("collection", "tagset_id")
     positions = (
         tables.tag_values.where(F.col("tagtype") == "numerical_int")
-        .join(F.broadcast(facet), ["collection", "tagset_id"], "left_semi")
+        .join(small_side(facet), ["collection", "tagset_id"], "left_semi")
         .select("collection", "tag_id", F.col("value_long").alias("index_id"))
     )
     return (

@@ -20,15 +20,20 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spark_explore.sizing import cut_lineage, local_table, measured, small_side
+from spark_explore.sizing import cut_lineage, local_table, small_side
 
-DECIMALS = 6
+# Scores keep this many decimals: noise of the summation order goes, real differences stay.
+DECIMALS = 12
 
 # A request batch within these bounds is shared with every task.
 SHARED_PROBES = 8192
 SHARED_BYTES = 64 << 20
 SHARED_RESULTS = 4_000_000
 
+# Index cells that lie in one folder, and pieces of the final ranking of one request.
+CELLS_PER_BUCKET = 64
+RANK_PIECES = 64
+
 # Cells of the larger batches.
 CELL_BYTES = 32 << 20
 CELL_PROBES = 1024
@@ -188,7 +193,7 @@ class Skips:
                 .groupBy("collection", "index_id")
                 .agg(F.array_distinct(F.flatten(F.collect_list("reqs"))).alias("reqs"))
             )
-        return measured(lists.withColumnRenamed("reqs", "skip_reqs"))
+        return small_side(lists.withColumnRenamed("reqs", "skip_reqs"))
 
 
 def top_items(
@@ -206,9 +211,11 @@ def top_items(
             items of its parts (its collection, or the index cells it probes)
     passed  ``(collection, index_id, filter_ids)``: items passing each filter
     room    probes that may be shared with all tasks, if not ``SHARED_PROBES``
+
+    A request whose ``n`` is null or below 1 gets nothing.
     """
     room = SHARED_PROBES if room is None else room
-    probes = probes.where(F.col("query_vec").isNotNull()).select(
+    probes = probes.where(F.col("query_vec").isNotNull() & (F.col("n") > 0)).select(
         *part, F.col("req_id").cast("long"), F.col("query_vec").cast("array<double>"),
         F.col("n").cast("int"), F.col("filter_id").cast("string"),
     )
@@ -223,15 +230,16 @@ def top_items(
         rows, filtered, deepest = probes.agg(
             F.count("*"), F.count("filter_id"), F.max("n")
         ).first()
+    bucket = ["cell_bucket"] if "cell_bucket" in items.columns else []
     items = items.where(F.col("embedding").isNotNull()).select(
-        *dict.fromkeys([*part, "collection"]), "index_id", "embedding"
+        *dict.fromkeys([*part, "collection"]), "index_id", "embedding", *bucket
     )
     if filtered:
         if passed is None:
             raise ValueError("requests name filters but no passing items were given")
         # With a filter on every request, other items need not be scored at all.
         how = "inner" if filtered == rows else "left"
-        items = items.join(measured(passed), ["collection", "index_id"], how)
+        items = items.join(small_side(passed), ["collection", "index_id"], how)
     if shared:
         found = _shared_scan(items, fetched, probes.select(*part).schema, part, skips)
     else:
@@ -242,12 +250,13 @@ def top_items(
             DataFrame.unionByName,
             [_cell_scan(items, probes.where(slice_no == s), part, skips, dim) for s in range(slices)],
         )
-    order = Window.partitionBy("req_id").orderBy(F.desc("score"), "index_id")
-    return (
-        found.withColumn("rank", F.row_number().over(order))
-        .where((F.col("rank") <= deepest) & (F.col("rank") <= F.col("n")))
-        .select("req_id", "index_id", "score", "rank")
-    )
+    # Ranked in pieces first, so the results of all tasks for one request do not meet in one task.
+    found = found.withColumn("piece", F.pmod(F.xxhash64("index_id"), F.lit(RANK_PIECES)))
+    for keys in (["req_id", "piece"], ["req_id"]):
+        order = Window.partitionBy(*keys).orderBy(F.desc("score"), "index_id")
+        found = found.withColumn("rank", F.row_number().over(order)).where(
+            (F.col("rank") <= deepest) & (F.col("rank") <= F.col("n")))
+    return found.select("req_id", "index_id", "score", "rank")
 
 
 def _fits(probes: pa.Table) -> bool:
@@ -269,8 +278,9 @@ def _shared_scan(items, table, key_schema, part, skips) -> DataFrame:
     for column in part:
         # Literal values reach the scan and prune partitions and row groups.
         values = {key[column] for key in keys}
-        if len(values) <= 1000:
-            items = items.where(F.col(column).isin(*values) if values else F.lit(False))
+        items = items.where(F.col(column).isin(*values) if values else F.lit(False))
+        if column == "cell" and "cell_bucket" in items.columns:
+            items = items.where(F.col("cell_bucket").isin(*{v // CELLS_PER_BUCKET for v in values}))
     if len(keys) <= 1:
         items = items.withColumn("part_no", F.lit(0))
     else:

@@ -14,7 +14,7 @@ from spark_explore.operators.ivf import PROBES, ivf_topk
 from spark_explore.operators.mapping import to_index_ids, to_media_ids
 from spark_explore.operators.skip import skip_items
 from spark_explore.operators.topk import top_items
-from spark_explore.sizing import BROADCAST_ROWS, cut_lineage
+from spark_explore.sizing import BROADCAST_ROWS, cut_lineage, small_side
 
 PSEUDO_RELEVANT = 10
 STRATEGIES = ("text", "rf", "faceted")
@@ -59,7 +59,7 @@ def vector_search(
     owners = requests.select("req_id", "collection")
     # The answer has at most the sum of all n rows: below the bound the mapping stays unshuffled.
     if (requests.agg(F.sum("n")).first()[0] or 0) <= BROADCAST_ROWS:
-        found = F.broadcast(found.join(F.broadcast(owners), "req_id"))
+        found = F.broadcast(found.join(small_side(owners), "req_id"))
     else:
         found = found.join(owners, "req_id")
     return to_media_ids(found, index.index_map).select(
@@ -73,28 +73,51 @@ def text_search(requests: DataFrame, index: SearchIndex, encoder=None, **limits)
     return vector_search(asked, index, **limits)
 
 
-def multi_text_search(requests: DataFrame, index: SearchIndex, encoder=None,
-                      separators: DataFrame | None = None) -> DataFrame:
+def multi_text_search(
+    requests: DataFrame,
+    index: SearchIndex,
+    encoder=None,
+    separators: DataFrame | None = None,
+    positives: DataFrame | None = None,
+    negatives: DataFrame | None = None,
+    seed: str = "42",
+    **limits,
+) -> DataFrame:
     """Search by several texts at once (``texts`` array); an item counts its best score.
 
     The best ``n`` of the fused list are among the best ``n`` of each text, so
     each text is searched on its own and only the winners meet. ``separators``
-    (``req_id, query_vec``) joins in as one more query vector per request.
+    (``req_id, query_vec``) joins in as one more query vector per request, and
+    so does the separator of a request's feedback examples (``positives``,
+    ``negatives``). ``limits`` are those of ``vector_search``; with ``passed``,
+    requests carry ``filter_id``.
     """
-    base = ["req_id", "collection", "n"]
-    texts = requests.select(*base, F.posexplode("texts").alias("part", "text"))
-    parts = embed_text(texts, "text", encoder=encoder).select(*base, "part", "query_vec")
+    base = ["req_id", "collection", "n"] + (["filter_id"] if "filter_id" in requests.columns else [])
+    texts = requests.select(*base, F.explode("texts").alias("text"))
+    parts = embed_text(texts, "text", encoder=encoder).select(*base, "query_vec")
+    if positives is not None and negatives is not None:
+        asked = requests.select(*base, F.lit(None).cast("string").alias("text"))
+        asked = asked.join(positives.select("req_id").union(negatives.select("req_id")), "req_id", "left_semi")
+        models = train_hyperplanes(
+            feedback_samples(asked, index.index_map, positives, negatives, None, seed), index.embeddings)
+        parts = parts.unionByName(hyperplane_requests(asked, models).select(*base, "query_vec"))
     if separators is not None:
-        extra = requests.select(*base).join(separators, "req_id")
-        parts = parts.unionByName(extra.select(*base, F.lit(-1).alias("part"), "query_vec"))
-    # One search per part: its number is kept in the low half of the id.
-    parts = parts.where(F.col("query_vec").isNotNull()).select(
-        (F.shiftleft(F.col("req_id"), 20) + F.col("part") + 1).alias("req_id"), "collection", "n", "query_vec"
-    )
-    found = vector_search(parts, index)
-    fused = found.groupBy(
-        F.shiftright(F.col("req_id"), 20).alias("req_id"), "collection", "media_id"
-    ).agg(F.max("score").alias("score"))
+        parts = parts.unionByName(requests.select(*base).join(separators, "req_id").select(*base, "query_vec"))
+    # One search per part, under a number of its own; whose part it is stays in a table beside.
+    parts = cut_lineage(parts.where(F.col("query_vec").isNotNull())).withColumn(
+        "part_id", F.monotonically_increasing_id())
+    owners = small_side(parts.select("part_id", "req_id"))
+
+    def of_parts(pairs):
+        return pairs.join(owners, "req_id").select(
+            F.col("part_id").alias("req_id"), "collection", "media_id")
+
+    for name in ("seen", "excluded"):
+        if limits.get(name) is not None:
+            limits[name] = of_parts(limits[name])
+    found = vector_search(parts.drop("req_id").withColumnRenamed("part_id", "req_id"), index, **limits)
+    fused = found.withColumnRenamed("req_id", "part_id").join(owners, "part_id").groupBy(
+        "req_id", "collection", "media_id").agg(F.max("score").alias("score"))
     fused = to_index_ids(fused.withColumn("id", F.col("media_id")), index.index_map)
     order = Window.partitionBy("req_id").orderBy(F.desc("score"), "index_id")
     return (
@@ -143,7 +166,7 @@ def split_requests(requests: DataFrame, collections: DataFrame) -> tuple[DataFra
         .when((kind == "faceted") & F.col("filter_id").isNull(), F.lit("Faceted search without filters"))
         .when(F.col("n").isNull() | (F.col("n") < 0), F.lit("Bad number of results"))
     )
-    checked = requests.join(F.broadcast(enabled), "collection", "left").withColumn("message", fault).drop("known")
+    checked = requests.join(small_side(enabled), "collection", "left").withColumn("message", fault).drop("known")
     rejected = checked.where(F.col("message").isNotNull()).withColumn("error_type", F.lit("SearchError"))
     return checked.where(F.col("message").isNull()).drop("message"), rejected
 

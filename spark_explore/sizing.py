@@ -5,29 +5,20 @@ import tempfile
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, StringType
 
-# Rows of narrow tables (a few ids, short strings or short id lists).
+# Bounds of a broadcast side: rows, and bytes of its values.
 BROADCAST_ROWS = 500_000
-
-
-def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows; counts no further than that."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if its counted size allows one, else as it is.
-
-    Without the hint the join shuffles and AQE splits its skewed partitions.
-    """
-    return F.broadcast(df) if is_small(df, max_rows) else df
+BROADCAST_BYTES = 64 << 20
 
 
 def checkpoint_dir(spark) -> str:
-    """The shared folder of the session; a temporary one only where none is set."""
+    """The shared folder of the session; a temporary one only in local mode, where none is set."""
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if folder is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="spark-explore-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(folder)
@@ -37,12 +28,36 @@ def checkpoint_dir(spark) -> str:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the checkpoint folder and go on from there."""
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    cut = df.checkpoint(eager=True)
+    cut._is_cut = True
+    return cut
 
 
-def measured(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Write a costly side once, so that counting it for a broadcast does not compute it again."""
-    return small_side(cut_lineage(df), max_rows)
+def _value_bytes(field):
+    column = F.col(f"`{field.name}`")
+    if isinstance(field.dataType, StringType | BinaryType):
+        return F.coalesce(F.octet_length(column), F.lit(0)) + 16
+    if isinstance(field.dataType, ArrayType):
+        each = 32 if isinstance(field.dataType.elementType, StringType) else 8
+        return F.greatest(F.coalesce(F.size(column), F.lit(0)), F.lit(0)) * each + 16
+    return F.lit(16)
+
+
+def size_of(df: DataFrame) -> tuple[int, int]:
+    """Rows and about the bytes of a materialised side, summed per task first."""
+    width = sum((_value_bytes(f) for f in df.schema.fields), F.lit(0)).cast("long")
+    return df.select(width.alias("bytes")).agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+
+
+def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``df``, written once, with a broadcast hint if its rows and bytes allow one.
+
+    Without the hint the join shuffles and AQE splits its skewed partitions.
+    """
+    if not getattr(df, "_is_cut", False):
+        df = cut_lineage(df)
+    rows, size = size_of(df)
+    return F.broadcast(df) if rows <= max_rows and size <= max_bytes else df
 
 
 def local_table(spark, rows: list[dict], schema: str) -> DataFrame:

@@ -6,6 +6,7 @@ Every table carries ``collection``, so many collections are answered together.
 from dataclasses import dataclass, replace
 from pathlib import PurePosixPath
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -63,8 +64,8 @@ def read_collection(spark: SparkSession, folder: str) -> Tables:
         reader = spark.read.schema(schema)
         try:
             tables[name] = reader.parquet(path)
-        except Exception:
-            if name != "embeddings":
+        except AnalysisException as error:
+            if name != "embeddings" or "PATH_NOT_FOUND" not in str(error):
                 raise
             tables[name] = None
     return Tables(**tables)

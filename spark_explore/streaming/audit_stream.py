@@ -1,5 +1,6 @@
 """Client events as a stream into the audit table."""
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -7,24 +8,39 @@ from pyspark.sql.streaming import StreamingQuery
 from spark_explore.operators.audit import client_events
 
 
-def audit_stream(events: DataFrame, key: str = "event_id", lateness: str = "1 hour") -> DataFrame:
-    """Streaming audit entries; an event delivered again within ``lateness`` is dropped.
+def append_new(batch: DataFrame, folder: str, key: str) -> None:
+    """Append the entries of a micro-batch that the audit table does not hold yet.
 
-    ``ts`` must be a ``timestamp``: a watermark does not accept ``timestamp_ntz``.
+    An event is known by its key within its day, however late it arrives: only
+    the days of the batch are read again. A batch that runs twice, after a
+    failure, adds nothing the second time.
     """
-    once = events.withWatermark("ts", lateness).dropDuplicatesWithinWatermark([key])
-    return client_events(once)
+    spark = batch.sparkSession
+    entries = client_events(batch, key).withColumn(
+        "day", F.to_date(F.timestamp_seconds("timestamp"))
+    ).dropDuplicates(["day", "event_key"])
+    days = [r.day for r in entries.select("day").distinct().collect()]
+    try:
+        known = spark.read.parquet(folder).where(F.col("day").isin(*days)).select("day", "event_key")
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
+            raise
+        known = None  # nothing is written yet
+    if known is not None:
+        entries = entries.join(known, ["day", "event_key"], "left_anti")
+    entries.write.mode("append").partitionBy("day").parquet(folder)
 
 
 def stream_audit(
-    events: DataFrame, folder: str, checkpoint: str, key: str = "event_id",
-    lateness: str = "1 hour", **trigger,
+    events: DataFrame, folder: str, checkpoint: str, key: str = "event_id", **trigger,
 ) -> StreamingQuery:
-    """Start the append to ``folder``; ``checkpoint`` makes it restart where it stopped."""
-    day = F.to_date(F.timestamp_seconds("timestamp"))
+    """Start the append to ``folder``; ``checkpoint`` makes it restart where it stopped.
+
+    An event that is delivered again is written once; a new event is written
+    whenever it comes, also long after later ones.
+    """
     return (
-        audit_stream(events, key, lateness).withColumn("day", day)
-        .writeStream.format("parquet").outputMode("append").partitionBy("day")
-        .option("path", folder).option("checkpointLocation", checkpoint)
+        events.writeStream.foreachBatch(lambda batch, _: append_new(batch, folder, key))
+        .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True})).start()
     )

@@ -79,6 +79,41 @@ def test_stream_equals_batch_and_replay_adds_nothing(spark, tmp_path):
     assert run() == batch
 
 
+def test_late_new_events_stay_and_replays_add_nothing(spark, tmp_path):
+    source, out, state = (str(tmp_path / d) for d in ("in", "out", "state"))
+
+    def deliver(*days):
+        rows_ = [(d * 100 + i, datetime(2024, 1, d, 1, i), "u", "click", None, "1", "/x") for d in days for i in range(10)]
+        spark.createDataFrame(rows_, EVENTS).coalesce(1).write.mode("append").parquet(source)
+        stream_audit(spark.readStream.schema(EVENTS).parquet(source), out, state).awaitTermination()
+        return spark.read.parquet(out).count()
+
+    assert deliver(10) == 10
+    assert deliver(1) == 20  # nine days late, but new
+    assert deliver(10, 1, 5) == 30
+
+
+def test_multi_text_takes_any_id_and_all_limits(spark, small):
+    index = search.SearchIndex(small.embeddings, build_index_map(small), small.medias)
+    encoder = lambda t: F.array(F.when(t == "up", 1.0).otherwise(-1.0), F.lit(0.0))
+    pairs = "req_id long, collection string, media_id long"
+    big = 2**62 + 5
+    asked = spark.createDataFrame([(i, "a", 2, ["up", "down"], "k") for i in (7, big, 7 + 2**44)],
+                                  "req_id long, collection string, n int, texts array<string>, filter_id string")
+    seen = spark.createDataFrame([(7, "a", 17)], pairs)
+    excluded = spark.createDataFrame([(big, "a", 16)], pairs)  # with its group: 10, 12, 14, 16
+    got = rows(search.multi_text_search(asked.drop("filter_id"), index, encoder, seen=seen, excluded=excluded), "req_id", "media_id")
+    assert got == sorted([(7, 16), (7, 15), (big, 17), (big, 15), (7 + 2**44, 17), (7 + 2**44, 16)])
+    passed = passing(small, {"k": AnyOf((201,))})
+    got = rows(search.multi_text_search(asked, index, encoder, passed=passed), "req_id", "media_id")
+    some = sorted({m for _, m in got})
+    assert len(got) == 6 and set(some) <= {m for m, in rows(passed.where("collection = 'a'"), "media_id")}
+    pos = spark.createDataFrame([(7, "a", 17)], pairs)
+    neg = spark.createDataFrame([(7, "a", 10)], pairs)
+    got = search.multi_text_search(asked.drop("filter_id").where("req_id = 7"), index, encoder, positives=pos, negatives=neg)
+    assert got.count() == 2 and got.agg(F.max("score")).first()[0] > 7
+
+
 def test_item_sets_start_over_after_a_clear(spark):
     t = [datetime(2024, 1, 1, h) for h in range(6)]
     events = spark.createDataFrame(

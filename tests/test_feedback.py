@@ -62,3 +62,19 @@ def test_search_keeps_positives_and_drops_requests_without_any(spark, small):
     seen = spark.createDataFrame([(1, "a", 17)], PAIR)
     got = rf_search(requests, index, pos, neg, seen=seen)
     assert rows(got, "req_id", "rank", "media_id") == [(1, 1, 16), (1, 2, 15)]
+
+
+def test_random_samples_over_gaps_and_small_collections(spark):
+    mapped = [("gaps", 1000 + i, 10 * i) for i in range(100)] + [("five", i, 7 * i) for i in range(5)] + [("two", i, 3 + i) for i in range(2)]
+    mapped = spark.createDataFrame(mapped, "collection string, media_id long, index_id long").repartition(3)
+    asked = spark.createDataFrame([(r, c) for c in ("gaps", "five", "two", "none") for r in range(20)], "req_id long, collection string")
+    got = {}
+    for req, c, index_id in rows(feedback.random_samples(asked, mapped, "s", 1.0), "req_id", "collection", "index_id"):
+        got.setdefault((c, req), set()).add(index_id)
+    known = {c: {r[1] for r in rows(mapped, "collection", "index_id") if r[0] == c} for c in ("gaps", "five", "two")}
+    for c, many in (("gaps", 5), ("five", 5), ("two", 2)):
+        assert all(len(got[c, r]) == many and got[c, r] <= known[c] for r in range(20))
+    assert len({frozenset(got["gaps", r]) for r in range(20)}) > 10
+    assert not any(c == "none" for c, _ in got)
+    numbers = rows(feedback.numbered_items(mapped).where("collection = 'gaps'"), "number", "index_id")
+    assert numbers == [(i, 10 * i) for i in range(100)]

@@ -5,10 +5,13 @@ from spark_explore import sizing
 
 def test_only_counted_small_sides_are_broadcast(spark):
     df = spark.range(100)
-    assert sizing.is_small(df, 100) and not sizing.is_small(df, 99)
     big = spark.range(10).join(sizing.small_side(df, 50), "id")
     small = spark.range(10).join(sizing.small_side(df, 200), "id")
     hint = "strategy=broadcast"
+    heavy = df.select("id", F.expr("repeat('x', 1000)").alias("text"), F.sequence(F.lit(1), F.lit(50)).alias("list"))
+    rows, size = sizing.size_of(heavy)
+    assert rows == 100 and 100 * (1000 + 400) <= size <= 100 * 1600
+    assert hint not in sizing.small_side(heavy, 200, 100_000)._jdf.queryExecution().analyzed().toString()
     assert hint in small._jdf.queryExecution().analyzed().toString()
     assert hint not in big._jdf.queryExecution().analyzed().toString()
 

@@ -32,7 +32,7 @@ def world(spark):
     expected = []
     for r, c, q, n, f in reqs:
         scored = [
-            (-(round(float(np.dot(q, v)), 6) + 0.0), i) for cc, i, v in items
+            (-(round(float(np.dot(q, v)), 12) + 0.0), i) for cc, i, v in items
             if cc == c and (r, c, i) not in hidden and (f is None or f in allowed.get((c, i), []))
         ]
         expected += [(r, i, k + 1) for k, (_, i) in enumerate(sorted(scored)[:n])]
@@ -173,3 +173,10 @@ def test_cells_tie_to_the_lower_number(spark):
     assert rows(assign_cells(items, centroids), "cell") == [(2,)]
     reqs = spark.createDataFrame([(7, "c", [1.0, 0.0], 1, None)], ASKED)
     assert rows(probe_cells(reqs, centroids, 2), "cell", "rank") == [(2, 1), (4, 2)]
+
+
+def test_close_scores_are_told_apart(spark):
+    items = spark.createDataFrame([("c", i, [1.0 + 1e-8 * i, 0.0]) for i in range(50)], "collection string, index_id long, embedding array<double>")
+    asked = spark.createDataFrame([(1, "c", [1.0, 0.0], 3, None), (2, "c", [1.0, 0.0], 0, None), (3, "c", [1.0, 0.0], None, None)],
+                                  "req_id long, collection string, query_vec array<double>, n int, filter_id string")
+    assert rows(topk.top_items(items, asked, ["collection"]), "req_id", "rank", "index_id") == [(1, 1, 49), (1, 2, 48), (1, 3, 47)]
