@@ -17,6 +17,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _mix_one(x: int) -> int:
+    """``mix`` of one number."""
+    x = (x + int(M3)) % 2**64
+    x = (x ^ (x >> 30)) * int(M1) % 2**64
+    x = (x ^ (x >> 27)) * int(M2) % 2**64
+    return x ^ (x >> 31)
+
+
 def byte_hashes(strings: pa.Array) -> np.ndarray:
     """A 64-bit hash of every string of a large_binary array."""
     offsets = np.frombuffer(strings.buffers()[1], np.int64)[strings.offset:strings.offset + len(strings) + 1]
@@ -32,7 +40,7 @@ def byte_hashes(strings: pa.Array) -> np.ndarray:
             for i in todo:
                 h = int(out[i])
                 for byte in data[offsets[i] + at:offsets[i + 1]].tolist():
-                    h = (h * 0x9E3779B97F4A7C15 + byte + 1) % 2**64
+                    h = _mix_one(h ^ (byte + 1))
                 out[i] = h
             break
     return mix(out ^ size.astype(np.uint64))
