@@ -390,6 +390,38 @@ ranked AS (SELECT o.*, row_number() OVER (PARTITION BY o.req_id ORDER BY score D
   || media_id || '","media_type":' || source_type || '}' AS data, NULL::BIGINT AS completion_time FROM medias""",
         "client_events_audit": CLIENT_EVENTS,
         "stream_audit": CLIENT_EVENTS,
+        "audit_table": CLIENT_EVENTS,
+        "collection_round_trip": _with(MEDIA) + """SELECT 'medias' AS part, count(*) AS n, sum(media_id)::BIGINT AS key_sum FROM medias
+  UNION ALL SELECT 'taggings', count(*), sum(media_id + tag_id)::BIGINT FROM tagged
+  UNION ALL SELECT 'tag_values', count(*), sum(tag_id)::BIGINT FROM value_texts
+  UNION ALL SELECT 'embeddings', count(*), sum(vec_id)::BIGINT FROM embeddings""",
+        "read_embeddings": """SELECT 'media' AS collection, vec_id AS index_id, len(embedding)::INTEGER AS dim,
+  round(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]), 6) + 0.0 AS square FROM embeddings""",
+        "enabled_collections": """SELECT source AS collection, CASE WHEN n >= 20 THEN 'ivf' ELSE 'exact' END AS index_type,
+  n >= 20 AS needs_index FROM (SELECT source, count(*) AS n, count(*) FILTER (WHERE doc_id IN (
+    SELECT doc_id FROM labels WHERE toxic = 1)) AS toxic FROM documents GROUP BY source) WHERE toxic < 5""",
+        "audit_sessions": """WITH users AS (SELECT DISTINCT 'u' || user_id AS session FROM events)
+SELECT 1700000000::BIGINT AS timestamp, session, 'Initialize Session' AS action, '{"session":"' || session || '"}' AS data,
+  NULL::BIGINT AS completion_time FROM users
+UNION ALL SELECT 1700000000, session, 'Get Total Items', '{"collection":"media","total_items":'
+  || (SELECT count(*) FROM embeddings) || '}', NULL FROM users""",
+        "audit_catalogue": """WITH users AS (SELECT DISTINCT user_id, 'u' || user_id AS session FROM events)
+SELECT 1700000000::BIGINT AS timestamp, session, 'Get filter definitions for collection' AS action,
+  '{"model_id":0,"collection":"media"}' AS data, NULL::BIGINT AS completion_time FROM users
+UNION ALL SELECT 1700000000, session, 'Get filter values for collection',
+  '{"model_id":0,"collection":"media","tagset_id":' || user_id % 10 + 1 || '}', NULL FROM users""",
+        "audit_models": """WITH users AS (SELECT DISTINCT user_id, 'u' || user_id AS session FROM events),
+kinds AS (SELECT 'Log Add Model' AS action, 1 AS every UNION ALL SELECT 'Log Remove Model', 2)
+SELECT 1700000000::BIGINT AS timestamp, session, action, '{"model_id":' || user_id || ',"collection":"media","body":"m'
+  || user_id || '"}' AS data, NULL::BIGINT AS completion_time FROM users JOIN kinds ON user_id % every = 0""",
+        "audit_rejected": """WITH checked AS (SELECT 'c' || o_custkey AS session, o_orderstatus, CASE
+    WHEN o_orderkey % 5 = 3 THEN 'Unknown search strategy'
+    WHEN o_orderkey % 5 = 4 THEN 'Text search without text'
+    WHEN o_orderkey % 5 = 2 THEN 'Faceted search without filters'
+    WHEN o_orderkey % 7 = 0 THEN 'Bad number of results' END AS message FROM orders)
+SELECT 1700000000::BIGINT AS timestamp, session, 'Error' AS action, '{"error_type":"SearchError","message":"' || message
+  || '","details":"' || o_orderstatus || '","context":"search"}' AS data, NULL::BIGINT AS completion_time
+FROM checked WHERE message IS NOT NULL""",
         "item_set_state": """SELECT 'u' || e.user_id AS session, e.event_id AS item_id FROM events e
   LEFT JOIN (SELECT user_id, max(ts) AS cleared FROM events WHERE event_type = 'signup' GROUP BY user_id) c
   USING (user_id) WHERE e.event_type <> 'signup' AND (cleared IS NULL OR e.ts > cleared)""",

@@ -488,6 +488,112 @@ def stream_audit(spark, sf_dir):
     return spark.read.parquet(f"{folder}/out").drop("day", "event_key")
 
 
+def _written(spark, sf_dir):
+    """The media collection, written and opened again."""
+    import uuid
+
+    folder = f"{checkpoint_dir(spark)}/collections-{uuid.uuid4().hex}"
+    sources.write_collection(fx.media_tables(spark, sf_dir), folder)
+    return sources.read_collection(spark, folder)
+
+
+def collection_round_trip(spark, sf_dir):
+    """Rows and checksums of a collection that was written and read again."""
+    t = _written(spark, sf_dir)
+    parts = [
+        t.medias.select(F.lit("medias").alias("part"), F.col("media_id").alias("key")),
+        t.taggings.select(F.lit("taggings").alias("part"), (F.col("media_id") + F.col("tag_id")).alias("key")),
+        t.tag_values.select(F.lit("tag_values").alias("part"), F.col("tag_id").alias("key")),
+        t.embeddings.select(F.lit("embeddings").alias("part"), F.col("index_id").alias("key")),
+    ]
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part)
+    return rows.groupBy("part").agg(F.count("*").alias("n"), F.sum("key").alias("key_sum"))
+
+
+def read_embeddings(spark, sf_dir):
+    vectors = sources.read_embeddings(spark, f"{sf_dir}/embeddings.parquet", "media", "vec_id", "embedding")
+    vec = F.col("embedding").cast("array<double>")
+    return vectors.select("collection", "index_id", F.size("embedding").alias("dim"),
+                          (F.round(dot(vec, vec), 6) + 0.0).alias("square"))
+
+
+def enabled_collections(spark, sf_dir):
+    """Sources as collections: IVF where there are many documents, off where a text is toxic."""
+    docs = fx.read(spark, sf_dir, "documents").select("doc_id", "source")
+    toxic = fx.read(spark, sf_dir, "labels").where("toxic = 1")
+    state = docs.join(toxic, "doc_id", "left").groupBy("source").agg(
+        F.count("toxic").alias("toxic"), F.count("*").alias("n"))
+    registry = state.select(
+        F.col("source").alias("collection"), (F.col("toxic") < 5).alias("enabled"),
+        F.when(F.col("n") >= 20, "ivf").otherwise("exact").alias("index_type"),
+        F.lit("t").alias("thumbnail_media_url"), F.lit("m").alias("original_media_url"),
+    )
+    t = sources.replace(fx.media_tables(spark, sf_dir), collections=registry)
+    return sources.enabled_collections(t).select("collection", "index_type", "needs_index")
+
+
+def audit_table(spark, sf_dir):
+    """Entries appended to the audit table in two writes and read back."""
+    import uuid
+
+    folder = f"{checkpoint_dir(spark)}/audit-table-{uuid.uuid4().hex}"
+    events = _events(spark, sf_dir)
+    for part in (0, 1):
+        audit.write_audit(audit.client_events(events.where(F.col("event_id") % 2 == part)), folder)
+    return spark.read.parquet(folder).drop("day")
+
+
+def _users(spark, sf_dir):
+    return fx.read(spark, sf_dir, "events").select(
+        F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("session"), "user_id").distinct()
+
+
+def audit_sessions(spark, sf_dir):
+    """Session starts, and the total that each session was told."""
+    at = F.lit(1_700_000_000)
+    users = _users(spark, sf_dir).withColumn("collection", F.lit("media"))
+    totals = mapping.total_items(mapping.build_index_map(fx.media_tables(spark, sf_dir)))
+    return audit.audit_session(users, at).unionByName(audit.audit_total_items(users, totals, at))
+
+
+def audit_catalogue(spark, sf_dir):
+    """Each user reads the facets, and the values of one facet."""
+    at = F.lit(1_700_000_000)
+    users = _users(spark, sf_dir).withColumn("collection", F.lit("media")).withColumn(
+        "tagset_id", (F.col("user_id") % 10 + 1).cast("int"))
+    return audit.audit_catalogue(users, "facets", at).unionByName(audit.audit_catalogue(users, "facet_values", at))
+
+
+def audit_models(spark, sf_dir):
+    """Each user adds a model; every second one removes it."""
+    at = F.lit(1_700_000_000)
+    users = _users(spark, sf_dir).select(
+        "session", "user_id", F.col("user_id").alias("model_id"), F.lit("media").alias("collection"),
+        F.concat(F.lit("m"), F.col("user_id").cast("string")).alias("body"))
+    removed = users.where("user_id % 2 = 0")
+    return audit.audit_models(users, "model_add", at).unionByName(audit.audit_models(removed, "model_remove", at))
+
+
+def audit_rejected(spark, sf_dir):
+    """Orders as search requests; what is wrong with them is logged."""
+    kinds = F.array(*[F.lit(k) for k in ("text", "rf", "faceted", "graph", "text")])
+    orders = fx.read(spark, sf_dir, "orders")
+    asked = orders.select(
+        F.col("o_orderkey").alias("req_id"), F.lit("media").alias("collection"),
+        F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("session"),
+        F.element_at(kinds, (F.col("o_orderkey") % 5 + 1).cast("int")).alias("kind"),
+        F.when(F.col("o_orderkey") % 5 == 0, F.col("o_orderpriority")).alias("text"),
+        F.lit(None).cast("string").alias("filter_id"),
+        F.when(F.col("o_orderkey") % 7 == 0, -1).otherwise(10).alias("n"),
+        F.col("o_orderstatus").alias("details"), F.lit("search").alias("context"),
+    )
+    known = fx.media_tables(spark, sf_dir).collections
+    _, rejected = search.split_requests(asked, known)
+    return audit.audit_errors(rejected, F.lit(1_700_000_000))
+
+
 def item_set_state(spark, sf_dir):
     """Events add to a user's seen set; a signup clears it."""
     events = fx.read(spark, sf_dir, "events").select(
@@ -585,6 +691,14 @@ QUERIES = {
     "audit_items": audit_items,
     "client_events_audit": client_events_audit,
     "stream_audit": stream_audit,
+    "collection_round_trip": collection_round_trip,
+    "read_embeddings": read_embeddings,
+    "enabled_collections": enabled_collections,
+    "audit_table": audit_table,
+    "audit_sessions": audit_sessions,
+    "audit_catalogue": audit_catalogue,
+    "audit_models": audit_models,
+    "audit_rejected": audit_rejected,
     "item_set_state": item_set_state,
     "answer_mixed": answer_mixed,
 }

@@ -10,7 +10,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spark_explore.operators.mapping import group_medias
 from spark_explore.sizing import cut_lineage, small_side
 from spark_explore.sources.collections import VALUE_COLUMNS, Tables
 
@@ -231,12 +230,11 @@ def passing(tables: Tables, trees: dict[str, Tree]) -> DataFrame:
     a group here is any media without a ``group_id``.
     """
     # Written once: the aggregation of all taggings is used, and counted, more than once below.
-    own = cut_lineage(passing_own(tables, trees))
-    groups = group_medias(tables.medias).select("collection", "media_id")
-    items = own.join(groups, ["collection", "media_id"], "left_anti")
-    passed_groups = own.join(groups, ["collection", "media_id"], "left_semi").withColumnRenamed(
-        "media_id", "group_id"
-    )
+    known = tables.medias.select("collection", "media_id", F.col("group_id").isNull().alias("is_group"))
+    own = cut_lineage(passing_own(tables, trees).join(known, ["collection", "media_id"], "left"))
+    is_group = F.coalesce("is_group", F.lit(False))
+    items = own.where(~is_group).drop("is_group")
+    passed_groups = own.where(is_group).drop("is_group").withColumnRenamed("media_id", "group_id")
     children = (
         tables.medias.where(F.col("group_id").isNotNull())
         .select("collection", "media_id", "group_id")

@@ -36,6 +36,11 @@ def item_base_info(tables: Tables, ids: DataFrame) -> DataFrame:
 
 def item_values(tables: Tables, ids: DataFrame, tagset_ids: list[int] | None = None) -> DataFrame:
     """Long form: one row per item and distinct tag, of the chosen facets or all."""
+    return _tag_rows(tables, ids, tagset_ids).distinct()
+
+
+def _tag_rows(tables: Tables, ids: DataFrame, tagset_ids: list[int] | None) -> DataFrame:
+    """The taggings of the items with their values; only those of the chosen facets leave the joins."""
     facets, values = tables.tagsets, tables.tag_values
     if tagset_ids is not None:
         facets = facets.where(F.col("tagset_id").isin(*tagset_ids))
@@ -43,10 +48,8 @@ def item_values(tables: Tables, ids: DataFrame, tagset_ids: list[int] | None = N
     names = facets.select("collection", "tagset_id", F.col("name").alias("facet"))
     texts = values.select("collection", "tag_id", "tagset_id", value_text().alias("value"))
     wanted = small_side(ids.select("collection", "media_id").distinct())
-    tags = (
-        tables.taggings.select("collection", "media_id", "tag_id")
-        .join(wanted, ["collection", "media_id"], "left_semi")
-        .distinct()
+    tags = tables.taggings.select("collection", "media_id", "tag_id").join(
+        wanted, ["collection", "media_id"], "left_semi"
     )
     return (
         tags.join(small_side(texts), ["collection", "tag_id"])
@@ -56,8 +59,8 @@ def item_values(tables: Tables, ids: DataFrame, tagset_ids: list[int] | None = N
 
 
 def _value_lists(values: DataFrame, by: list[str]) -> DataFrame:
-    """Values per facet in tag order. One item's tags bound each list."""
-    ordered = F.array_sort(F.collect_list(F.struct("tag_id", "value")))
+    """Values per facet in tag order, repeated taggings once. One item's tags bound each list."""
+    ordered = F.array_sort(F.collect_set(F.struct("tag_id", "value")))
     return values.groupBy("collection", "media_id", *by).agg(
         F.transform(ordered, lambda v: v["value"]).alias("values")
     )
@@ -65,7 +68,7 @@ def _value_lists(values: DataFrame, by: list[str]) -> DataFrame:
 
 def item_metadata(tables: Tables, ids: DataFrame, tagset_ids: list[int] | None = None) -> DataFrame:
     """``(collection, media_id, tagset_id, facet, values)``, grouped by facet id."""
-    return _value_lists(item_values(tables, ids, tagset_ids), ["tagset_id", "facet"])
+    return _value_lists(_tag_rows(tables, ids, tagset_ids), ["tagset_id", "facet"])
 
 
 def item_details(tables: Tables, ids: DataFrame, tagset_ids: list[int]) -> DataFrame:
@@ -116,7 +119,7 @@ def related_metadata(tables: Tables, ids: DataFrame, tagset_ids: list[int]) -> D
     if not tagset_ids:
         return related
     children = related.select("collection", F.col("related_id").alias("media_id"))
-    values = _value_lists(item_values(tables, children, tagset_ids), ["facet"])
+    values = _value_lists(_tag_rows(tables, children, tagset_ids), ["facet"])
     return related.join(
         values.withColumnRenamed("media_id", "related_id"), ["collection", "related_id"]
     ).select("collection", "media_id", "related_id", "facet", "values")
