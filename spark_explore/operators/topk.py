@@ -30,6 +30,10 @@ SHARED_PROBES = 8192
 SHARED_BYTES = 64 << 20
 SHARED_RESULTS = 4_000_000
 
+# Bitmaps of passing items that may be shared with all tasks; one holds 32768 positions.
+MASK_BYTES = 64 << 20
+MASK_BITS = 32_768
+
 # Index cells that lie in one folder, and pieces of the final ranking of one request.
 CELLS_PER_BUCKET = 64
 RANK_PIECES = 64
@@ -50,7 +54,8 @@ FOUND = "req_id long, index_id long, score double, n int"
 class Probes:
     """Requests that look at the same part of the items, as arrays sorted by id."""
 
-    def __init__(self, table: pa.Table):
+    def __init__(self, table: pa.Table, masks: dict | None = None):
+        self.masks = masks
         table = table.combine_chunks().sort_by("req_id")
         self.ids = table["req_id"].to_numpy()
         self.n = table["n"].to_numpy()
@@ -62,6 +67,16 @@ class Probes:
         }
 
 
+def _passes(mask: tuple | None, items: np.ndarray) -> np.ndarray:
+    """Which positions a bitmap holds; ``mask``: sorted block numbers and the blocks' bits."""
+    if mask is None:
+        return np.zeros(len(items), bool)
+    blocks, bits = mask
+    at = np.minimum(np.searchsorted(blocks, items // MASK_BITS), len(blocks) - 1)
+    spot = items % MASK_BITS
+    return (blocks[at] == items // MASK_BITS) & ((bits[at, spot >> 3] >> (spot & 7).astype(np.uint8)) & 1).astype(bool)
+
+
 def _list_pairs(column) -> tuple[np.ndarray, pa.Array]:
     """Row number and value of every list entry."""
     lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
@@ -79,6 +94,12 @@ class Best:
         self.score = np.empty(0)
 
     def add(self, batch: pa.RecordBatch) -> None:
+        probes = self.probes
+        if probes.masks is not None and sum(map(len, probes.by_filter.values())) == len(probes.ids):
+            # With a filter on every request, other items need not be scored at all.
+            items = batch.column("index_id").to_numpy()
+            wanted = np.any([_passes(probes.masks.get(f), items) for f in probes.by_filter], axis=0)
+            batch = batch.filter(pa.array(wanted))
         step = max(1, SCORES_AT_ONCE // len(self.probes.ids))
         for start in range(0, batch.num_rows, step):
             self._add(batch.slice(start, step))
@@ -95,7 +116,11 @@ class Best:
             at = np.minimum(np.searchsorted(probes.ids, reqs), len(probes.ids) - 1)
             known = probes.ids[at] == reqs
             scores[rows[known], at[known]] = -np.inf
-        if probes.by_filter:
+        if probes.by_filter and probes.masks is not None:
+            items = batch.column("index_id").to_numpy()
+            for name, columns in probes.by_filter.items():
+                scores[np.ix_(~_passes(probes.masks.get(name), items), columns)] = -np.inf
+        elif probes.by_filter:
             rows, names = _list_pairs(batch.column("filter_ids"))
             for name, columns in probes.by_filter.items():
                 rejected = np.ones(batch.num_rows, bool)
@@ -132,7 +157,7 @@ class Best:
         )
 
 
-def _scan(batches, parts: dict[int, pa.Table]):
+def _scan(batches, parts: dict[int, tuple]):
     best: dict[int, Best] = {}
     for batch in batches:
         if batch.num_rows == 0:
@@ -141,7 +166,7 @@ def _scan(batches, parts: dict[int, pa.Table]):
         for no in np.unique(part_no):
             rows = batch if (part_no == no).all() else batch.filter(pa.array(part_no == no))
             if no not in best:
-                best[no] = Best(Probes(parts[no]))
+                best[no] = Best(Probes(*parts[no]))
             best[no].add(rows)
     for part in best.values():
         yield part.found()
@@ -234,14 +259,17 @@ def top_items(
     items = items.where(F.col("embedding").isNotNull()).select(
         *dict.fromkeys([*part, "collection"]), "index_id", "embedding", *bucket
     )
-    if filtered:
-        if passed is None:
-            raise ValueError("requests name filters but no passing items were given")
+    masks = None
+    if filtered and passed is None:
+        raise ValueError("requests name filters but no passing items were given")
+    if filtered and shared:
+        masks = _masks(passed, fetched["filter_id"].unique().drop_null().to_pylist())
+    if filtered and masks is None:
         # With a filter on every request, other items need not be scored at all.
         how = "inner" if filtered == rows else "left"
         items = items.join(small_side(passed), ["collection", "index_id"], how)
     if shared:
-        found = _shared_scan(items, fetched, probes.select(*part).schema, part, skips)
+        found = _shared_scan(items, fetched, probes.select(*part).schema, part, skips, masks)
     else:
         dim = probes.select(F.size("query_vec")).first()[0]
         slices = -(-rows // SLICE_PROBES)
@@ -259,6 +287,28 @@ def top_items(
     return found.select("req_id", "index_id", "score", "rank")
 
 
+def _masks(passed: DataFrame, names: list[str]) -> dict | None:
+    """Passing items as bitmaps by collection and filter; None if they are too large to be shared.
+
+    Built by map-side combined aggregation. Vectors then meet no join: a task tests the bits of its own items.
+    """
+    place = F.col("index_id") + 1  # the SQL functions count from 1
+    bits = cut_lineage(
+        passed.select("collection", "index_id", F.explode("filter_ids").alias("filter_id"))
+        .where(F.col("filter_id").isin(*names))
+        .groupBy("collection", "filter_id", F.bitmap_bucket_number(place).alias("block"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+    )
+    if bits.count() * (MASK_BITS // 8) > MASK_BYTES:
+        return None
+    found: dict = {}
+    for row in bits.toArrow().sort_by("block").to_pylist():
+        blocks, rows = found.setdefault((row["collection"], row["filter_id"]), ([], []))
+        blocks.append(row["block"] - 1)
+        rows.append(np.frombuffer(row["bits"], np.uint8))
+    return {key: (np.array(blocks), np.stack(rows)) for key, (blocks, rows) in found.items()}
+
+
 def _fits(probes: pa.Table) -> bool:
     """Whether a fetched batch is small enough in bytes and in results to be shared."""
     return (
@@ -266,14 +316,15 @@ def _fits(probes: pa.Table) -> bool:
     )
 
 
-def _shared_scan(items, table, key_schema, part, skips) -> DataFrame:
+def _shared_scan(items, table, key_schema, part, skips, masks) -> DataFrame:
     """Bounded batch: every task holds all requests and scans its own items."""
     spark = items.sparkSession
     keys = table.select(part).group_by(part).aggregate([]).to_pylist()
     parts = {}
     for no, key in enumerate(keys):
         mask = reduce(pc.and_, [pc.equal(table[c], key[c]) for c in part])
-        parts[no] = table.filter(mask)
+        own = None if masks is None else {f: m for (c, f), m in masks.items() if c == key["collection"]}
+        parts[no] = (table.filter(mask), own)
         key["part_no"] = no
     for column in part:
         # Literal values reach the scan and prune partitions and row groups.

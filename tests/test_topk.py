@@ -98,7 +98,8 @@ def test_plan_scores_without_shuffling_or_pairing_items(world):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
     assert "WindowGroupLimit" in plan
-    assert plan.count("BroadcastHashJoin") >= 2 and "SortMergeJoin" not in plan
+    # Filters are bitmaps in the tasks: the one join left numbers the collections.
+    assert plan.count("BroadcastHashJoin") == 1 and "SortMergeJoin" not in plan
 
 
 def test_seen_and_excluded_groups(spark, small):
@@ -180,3 +181,25 @@ def test_close_scores_are_told_apart(spark):
     asked = spark.createDataFrame([(1, "c", [1.0, 0.0], 3, None), (2, "c", [1.0, 0.0], 0, None), (3, "c", [1.0, 0.0], None, None)],
                                   "req_id long, collection string, query_vec array<double>, n int, filter_id string")
     assert rows(topk.top_items(items, asked, ["collection"]), "req_id", "rank", "index_id") == [(1, 1, 49), (1, 2, 48), (1, 3, 47)]
+
+
+@pytest.mark.parametrize("mask_bytes", [0, 64 << 20])
+def test_filters_as_bitmaps_or_joins(spark, monkeypatch, mask_bytes):
+    monkeypatch.setattr(topk, "MASK_BYTES", mask_bytes)
+    ids = [0, 1, 5, 32_767, 32_768, 32_769, 70_000, 10**9]
+    items = spark.createDataFrame([(c, i, [float(k), 1.0]) for c in "cd" for k, i in enumerate(ids)],
+                                  "collection string, index_id long, embedding array<double>")
+    passed = spark.createDataFrame(
+        [("c", i, ["odd"] if k % 2 else ["even", "all"]) for k, i in enumerate(ids)] + [("d", 5, ["odd"])],
+        "collection string, index_id long, filter_ids array<string>")
+    asked = [(1, "c", "odd"), (2, "c", "even"), (3, "d", "odd"), (4, "d", "even"), (5, "c", None), (6, "c", "none")]
+    for some in (asked, asked[:4]):
+        requests = spark.createDataFrame([(r, c, [1.0, 0.0], 3, f) for r, c, f in some],
+                                         "req_id long, collection string, query_vec array<double>, n int, filter_id string")
+        found = topk.top_items(items, requests, ["collection"], passed=passed)
+        got = rows(found, "req_id", "rank", "index_id")
+        want = {1: [10**9, 32_769, 32_767], 2: [70_000, 32_768, 5], 3: [5], 5: [10**9, 70_000, 32_769]}
+        assert got == sorted((r, k + 1, i) for r, c, f in some for k, i in enumerate(want.get(r, [])))
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        below = plan[plan.index("MapInArrow"):]
+        assert mask_bytes == 0 or "Join" not in below.replace("BroadcastHashJoin", "")
