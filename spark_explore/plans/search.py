@@ -1,11 +1,13 @@
 """Searches end to end: requests in, ranked media ids out."""
 
+import time
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spark_explore.functions.encode import embed_text
+from spark_explore.operators.audit import audit_errors
 from spark_explore.operators.feedback import (
     feedback_samples, hyperplane_requests, train_hyperplanes,
 )
@@ -211,3 +213,25 @@ def answer(
 def timed(results: DataFrame, seconds: int) -> DataFrame:
     """Results with the batch's ``completion_time`` in whole seconds."""
     return results.withColumn("completion_time", F.lit(int(seconds)).cast("long"))
+
+
+def write_timed(results: DataFrame, folder: str) -> DataFrame:
+    """Write a batch's results to ``folder`` and return them with the time that the work took."""
+    started = time.monotonic()
+    results.write.parquet(folder)
+    return timed(results.sparkSession.read.parquet(folder), time.monotonic() - started)
+
+
+def answer_checked(
+    requests: DataFrame, collections: DataFrame, index: SearchIndex, positives: DataFrame, negatives: DataFrame,
+    passed: DataFrame, at: Column | None = None, **options,
+) -> tuple[DataFrame, DataFrame]:
+    """Answers of the valid requests, and audit entries of the rejected ones.
+
+    ``requests`` also carries ``session``. One bad request does not stop the batch.
+    """
+    valid, rejected = split_requests(requests, collections)
+    rejected = rejected.withColumns({
+        "details": F.concat(F.lit("request "), F.col("req_id").cast("string")), "context": F.lit("search")})
+    answers = answer(cut_lineage(valid), index, positives, negatives, passed, **options)
+    return answers, audit_errors(rejected, at)

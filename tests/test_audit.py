@@ -155,3 +155,19 @@ def test_answer_checks_the_strategy(spark, small):
     got = search.timed(search.answer(good, index, pairs, pairs, passed, started=F.lit(9)), 2)
     assert rows(got, "req_id", "rank", "media_id", "strategy", "request_timestamp", "completion_time") == [
         (1, 1, 10, "faceted", 9, 2), (1, 2, 13, "faceted", 9, 2)]
+
+
+def test_rejected_requests_are_logged_and_the_rest_is_answered(spark, small, tmp_path):
+    index = search.SearchIndex(small.embeddings, build_index_map(small), small.medias)
+    schema = "req_id long, collection string, text string, n int, filter_id string, kind string, session string"
+    pairs = spark.createDataFrame([], "req_id long, collection string, media_id long")
+    passed = passing(small, {"x": AnyOf((200,))})
+    asked = spark.createDataFrame([(1, "a", None, 2, "x", "faceted", "s1"), (2, "b", "t", 2, None, "text", "s2"),
+                                   (3, "a", None, 2, None, "magic", "s3")], schema)
+    answers, log = search.answer_checked(asked, small.collections, index, pairs, pairs, passed, F.lit(5), started=F.lit(9))
+    done = search.write_timed(answers, str(tmp_path / "out"))
+    assert rows(done, "req_id", "rank", "media_id") == [(1, 1, 10), (1, 2, 13)]
+    assert all(0 <= t < 300 for t, in rows(done, "completion_time"))
+    entries = [(r[0], json.loads(r[1])) for r in rows(log, "session", "data")]
+    assert [(s, d["message"], d["details"]) for s, d in entries] == [
+        ("s2", "Unknown collection", "request 2"), ("s3", "Unknown search strategy", "request 3")]
