@@ -11,7 +11,8 @@
    again: the classes outside the component of the first class with all others, block against block, so no
    link between components is lost and a hot bucket is many tasks.
 
-At the threshold a pair shares no band with a probability of at most (1 - s^4)^32: 5e-11 at 0.85, 5e-8 at 0.8.
+At the threshold a pair shares no band with a probability of at most (1 - s^4)^32: 5e-11 at 0.85, 5e-8 at 0.8;
+its estimate falls below the bound of step 3 with a probability of 3e-7.
 
 Edge cases: texts without words have no shingles and no links; a null text is empty; rows that repeat an id
 are one vertex; rows without an id take no part and are kept; an empty table gives no rows; extra columns are ignored.
@@ -28,18 +29,18 @@ from spark_explore.llm.set_checks import bitmap, confirmed_sets, in_bitmap, set_
 from spark_explore.llm.shingles import M1, mix, shingle_sets
 from spark_explore.sizing import cut_lineage
 
-HASHES, BANDS, BITS = 128, 32, 4
-ROWS = HASHES // BANDS
-SLACK = 0.2  # six deviations of the estimate
+HASHES, BANDS, ROWS, BITS = 256, 32, 4, 4
+SLACK = 0.12  # five deviations of the estimate at the threshold
+WIDE, WIDE_SLACK = 1024, 0.06  # minima of the second estimate, and five of its deviations
 BLOCK = 512  # classes of a bucket that meet in one task
 
 
-def minima(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+def minima(sets: np.ndarray, bounds: np.ndarray, count: int = HASHES) -> np.ndarray:
     """The smallest value of every hash function over each (not empty) set."""
-    factors = mix(np.arange(1, HASHES + 1, dtype=np.uint64)) | np.uint64(1)
-    shifts = mix(np.arange(HASHES + 1, 2 * HASHES + 1, dtype=np.uint64))
-    out = np.empty((len(bounds) - 1, HASHES), np.uint32)
-    for k in range(HASHES):
+    factors = mix(np.arange(1, count + 1, dtype=np.uint64)) | np.uint64(1)
+    shifts = mix(np.arange(count + 1, 2 * count + 1, dtype=np.uint64))
+    out = np.empty((len(bounds) - 1, count), np.uint32)
+    for k in range(count):
         values = ((sets * factors[k] + shifts[k]) >> np.uint64(32)).astype(np.uint32)
         out[:, k] = np.minimum.reduceat(values, bounds[:-1])
     return out
@@ -57,7 +58,7 @@ def similarity(one: np.ndarray, other: np.ndarray) -> np.ndarray:
     for shift in range(1, BITS):
         differ = differ | ((one ^ other) >> np.uint64(shift))
     unit = np.uint64(sum(1 << i for i in range(0, 64, BITS)))
-    same = 1 - np.bitwise_count(differ & unit).sum(axis=-1, dtype=np.int64) / HASHES
+    same = 1 - np.bitwise_count(differ & unit).sum(axis=-1, dtype=np.int64) / (differ.shape[-1] * 64 // BITS)
     chance = 2.0 ** -BITS
     return (same - chance) / (1 - chance)
 
@@ -80,7 +81,7 @@ def features(docs: DataFrame, width: int = 5) -> DataFrame:
                 signature = pack_bits(low)
                 keys = np.zeros((len(some), BANDS), np.uint64)
                 for r in range(ROWS):
-                    keys = mix(keys ^ low[:, r::ROWS]) * M1
+                    keys = mix(keys ^ low[:, r:BANDS * ROWS:ROWS]) * M1
                 keys = mix(keys ^ np.arange(BANDS, dtype=np.uint64))
             back = np.full(len(n), -1)
             back[some] = np.arange(len(some))
@@ -113,6 +114,24 @@ def candidate_sets(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     return cut_lineage(found.join(ids.distinct(), "id", "left_semi").groupBy("id").agg(F.min("shingles").alias("shingles")))
 
 
+def wide_signatures(ids: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """``rep`` and a signature of ``WIDE`` minima, for the documents in ``ids``; texts are not shuffled."""
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap(ids).tobytes())
+
+    def run(batches):
+        for batch in batches:
+            for part in text_chunks([batch.filter(in_bitmap(bits.value, batch.column("spot").to_numpy()))], "text", 1 << 20):
+                sets, bounds = shingle_sets(part.column("text"), width)
+                some = np.nonzero(np.diff(bounds))[0]
+                if len(some):
+                    packed = pack_bits(minima(sets, np.append(bounds[:-1][some], len(sets)), WIDE))
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column("doc_id").take(pa.array(some)), pa.array([w.tobytes() for w in packed], pa.binary())], ["rep", "wide"])
+
+    found = docs.select("doc_id", "text", spot("doc_id").alias("spot")).mapInArrow(run, "rep long, wide binary")
+    return cut_lineage(found.join(ids.withColumnRenamed("id", "rep"), "rep", "left_semi").groupBy("rep").agg(F.min("wide").alias("wide")))
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs ``a``, ``b`` whose full sets of shingles have 100 * intersection >= percent * union."""
     return confirmed_sets(pairs, candidate_sets(pairs, docs, width), percent)
@@ -135,7 +154,7 @@ def _first_pairs(buckets: DataFrame, classes: DataFrame, lowest: float, percent:
     return pairs.select("a", "b", "s_a", "s_b").mapInArrow(look, "a long, b long")
 
 
-def _cross_pairs(buckets: DataFrame, classes: DataFrame, labels: DataFrame, lowest: float, percent: int) -> DataFrame:
+def _cross_pairs(buckets: DataFrame, classes: DataFrame, labels: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Pairs within buckets that lie in different components and look similar enough."""
     named = buckets.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(
         "band", "rep", "first", F.coalesce("component", "rep").alias("own"))
@@ -143,10 +162,13 @@ def _cross_pairs(buckets: DataFrame, classes: DataFrame, labels: DataFrame, lowe
     named = named.join(cut_lineage(home), "band")
     mixed = named.groupBy("band").agg(
         F.count("*").alias("all"), F.count(F.when(F.col("own") != F.col("home"), 1)).alias("strays")).where("strays > 0")
-    light = classes.select("rep", "n", "signature")
-    named = named.join(cut_lineage(mixed), "band").join(light, "rep").withColumns({
+    lowest = percent / 100 - SLACK
+    named = cut_lineage(named.join(cut_lineage(mixed), "band"))
+    wide = wide_signatures(named.select(F.col("rep").alias("id")).distinct(), docs, width)
+    light = classes.join(wide, "rep").select("rep", "n", "signature", "wide", F.transform("bands", lambda b: b.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("bands"))
+    named = named.join(cut_lineage(light), "rep").withColumns({
         "blocks_i": F.ceil(F.col("strays") / BLOCK), "blocks_j": F.ceil(F.col("all") / BLOCK), "h": F.xxhash64("rep")})
-    rows = ["band", "i", "j", "side", "rep", "own", "n", "signature"]
+    rows = ["band", "i", "j", "side", "rep", "own", "n", "signature", "wide", "bands"]
     strays = named.where("own <> home").withColumn("i", F.pmod("h", "blocks_i")).withColumn(
         "j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks_j") - 1))).withColumn("side", F.lit(0))
     members = named.withColumn("j", F.pmod("h", "blocks_j")).withColumn(
@@ -155,7 +177,8 @@ def _cross_pairs(buckets: DataFrame, classes: DataFrame, labels: DataFrame, lowe
     def block(batch):
         side = batch.column("side").to_numpy()
         rep, own, n = (batch.column(c).to_numpy() for c in ("rep", "own", "n"))
-        signature = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint64).reshape(len(rep), -1)
+        signature, wide = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(len(rep), -1)
+                           for c in ("signature", "wide"))
         s, m = np.nonzero(side == 0)[0], np.nonzero(side == 1)[0]
         if not len(s) or not len(m):
             return [], []
@@ -163,7 +186,18 @@ def _cross_pairs(buckets: DataFrame, classes: DataFrame, labels: DataFrame, lowe
             100 * np.minimum(n[s][:, None], n[m]) >= percent * np.maximum(n[s][:, None], n[m]))
         x, y = np.nonzero(good)
         near = similarity(signature[s[x]], signature[m[y]]) >= lowest
-        a, b = rep[s[x[near]]], rep[m[y[near]]]
+        x, y = s[x[near]], m[y[near]]
+        closer = [similarity(wide[x[k:k + 8192]], wide[y[k:k + 8192]]) for k in range(0, len(x), 8192)]
+        closer = np.concatenate(closer) >= percent / 100 - WIDE_SLACK if closer else np.zeros(0, bool)
+        x, y = x[closer], y[closer]
+        # A pair that shares several buckets is looked at in the first.
+        keys = batch.column("bands").flatten().to_numpy().reshape(len(rep), -1)
+        here = batch.column("band")[0].as_py() & 0x7FFFFFFF
+        if len(x):
+            same = keys[x] == keys[y]
+            first = np.take_along_axis(keys[x], same.argmax(1)[:, None], 1)[:, 0] == here
+            x, y = x[first], y[first]
+        a, b = rep[x], rep[y]
         return np.minimum(a, b), np.maximum(a, b)
 
     def look(batches):
@@ -201,7 +235,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, doc_id:
     buckets = cut_lineage(posted.join(shared, "band").select("band", "rep", "first"))
     links = cut_lineage(confirmed(cut_lineage(_first_pairs(buckets, classes, lowest, percent)), docs, width, percent))
     labels = components(links)
-    more = cut_lineage(_cross_pairs(buckets, classes, labels, lowest, percent))
+    more = cut_lineage(_cross_pairs(buckets, classes, labels, docs, width, percent))
     if not more.isEmpty():
         links = links.unionByName(cut_lineage(confirmed(more, docs, width, percent)))
         labels = components(links)
