@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spark_explore.llm.chunks import text_chunks
+from spark_explore.llm.sampling import hash_sample
 
 SAMPLE = 600
 HIDDEN = 16
@@ -417,11 +418,11 @@ def train(pages: list[str], steps: int = STEPS, seed: int = 11) -> Model | None:
     return model
 
 
-def fit(pages: DataFrame, sample: int = SAMPLE, html: str = "html") -> Model | None:
+def fit(pages: DataFrame, sample: int = SAMPLE, page_id: str = "page_id", html: str = "html") -> Model | None:
     """Trains on the ``sample`` pages of smallest hash."""
-    rows = pages.select(F.col(f"`{html}`").cast("string").alias("html")).where("html IS NOT NULL AND html <> ''")
-    drawn = rows.orderBy(F.xxhash64("html"), "html").limit(sample).collect()
-    return train([r[0] for r in drawn])
+    rows = pages.select(F.col(f"`{page_id}`").cast("long").alias("page_id"), F.col(f"`{html}`").cast("string").alias("html"))
+    rows = rows.where("html IS NOT NULL AND html <> ''")
+    return train([r[0] for r in hash_sample(rows, sample, "page_id", "html").select("html").collect()])
 
 
 def main_texts(model: Model | None, pages: list[str | None]) -> list[str]:

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spark_explore.llm.chunks import text_chunks
+from spark_explore.llm.sampling import hash_sample
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = 1 + len(KINDS)  # 0: none
@@ -265,9 +266,10 @@ def with_repetitions(text: str, base: list) -> tuple[str, list]:
     return text, sorted(more)
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE, text: str = "text") -> Field:
-    rows = docs.select(F.col(f"`{text}`").cast("string").alias("text")).where(F.col("text").rlike("[0-9@]"))
-    texts = [r[0] for r in rows.orderBy(F.xxhash64("text"), "text").limit(sample).collect()]
+def fit(docs: DataFrame, sample: int = SAMPLE, doc_id: str = "doc_id", text: str = "text") -> Field:
+    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
+    rows = rows.where(F.col("text").rlike("[0-9@]"))
+    texts = [r[0] for r in hash_sample(rows, sample, "doc_id", "text").select("text").collect()]
     return train_on(texts)
 
 

@@ -5,6 +5,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from spark_explore.llm.sampling import hash_sample
+
 LEVEL = 64  # partial rankings of one query
 
 
@@ -20,10 +22,10 @@ def valid_vectors(df: DataFrame, vec_id: str, vector: str, zero: bool) -> DataFr
 
 def pivots(vectors: DataFrame, count: int) -> np.ndarray:
     """Up to ``count`` distinct vectors of a sample of ``4 * count`` rows (those of the smallest hashes of ids)."""
-    rows = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(4 * count).select("v").collect()
+    rows = hash_sample(vectors, 4 * count, "vec_id").select("v").collect()
     seen = dict.fromkeys(tuple(r[0]) for r in rows)
     own = [v for v in seen if len(v) == len(next(iter(seen)))][:count]
-    return np.array(own, np.float64).reshape(len(own), -1)
+    return np.array(own, np.float64) if own else np.empty((0, 0))
 
 
 def matrix(column) -> np.ndarray:
