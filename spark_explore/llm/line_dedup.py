@@ -6,8 +6,9 @@ line. Whether the earlier line itself goes makes no difference. Lines without wo
 
 Words are ordered by rarity over all lines (counted in ``COUNTERS`` hashed counters, which every task adds up for
 itself first). A line of n words posts its n - ceil(t n) + 1 rarest; two similar lines share one of those. Postings
-meet by word under the length filter and the positional filter, which bounds the overlap by what follows the shared
-word. The rest are verified on the full sets. Equal sets are one class beforehand, and where a word has many postings
+meet by word under the length filter, the positional filter, which bounds the overlap by what follows the shared
+word, and a bitmap filter (words that differ are at least as many as the bits that differ of 128 hashed ones). The rest are verified on
+the full sets. Equal sets are one class beforehand, and where a word has many postings
 its first class is tried first, so variants of one frequent line are resolved without meeting each other.
 
 Edge cases: a null or empty text has one empty line; rows without an id take no part and keep their lines; rows that
@@ -22,13 +23,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spark_explore.llm.chunks import spread, text_chunks
-from spark_explore.llm.set_checks import bitmap, confirmed_sets, in_bitmap, key_spots, set_bytes
+from spark_explore.llm.set_checks import bitmap, confirmed_sets, in_bitmap, key_spots, set_bytes, spot
 from spark_explore.llm.shingles import M1, distinct, mix, words
 from spark_explore.sizing import cut_lineage
 
 COUNTERS = 1 << 18
 SEGMENT = 4096
 LONG_LIST = 64  # postings of a word from which its first class is tried first
+ROWS_PER_TASK = 500_000
+COUNTED = "part int, counts binary"
 
 
 def _lines(column) -> tuple[pa.Array, np.ndarray]:
@@ -36,18 +39,8 @@ def _lines(column) -> tuple[pa.Array, np.ndarray]:
     return lines.flatten(), lines.offsets.to_numpy() - lines.offsets[0].as_py()
 
 
-def rarity(docs: DataFrame) -> np.ndarray:
-    """How often words occur, by hashed counter."""
-    def count(batches):
-        total = np.zeros(COUNTERS, np.int64)
-        for batch in text_chunks(batches, "text"):
-            hashes, _ = words(batch.column("text"), lower=False)
-            total += np.bincount((hashes >> np.uint64(46)).astype(np.int64), minlength=COUNTERS)
-        parts = total.reshape(-1, SEGMENT)
-        some = np.nonzero(parts.any(1))[0]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(some.astype(np.int32)), pa.array([parts[i].tobytes() for i in some], pa.binary())], ["part", "counts"])
-
+def _added_up(counted: DataFrame) -> np.ndarray:
+    """The sum of the counters of all tasks; each gives rows of (part, counts)."""
     def add(batches):
         totals: dict[int, np.ndarray] = {}
         for batch in batches:
@@ -56,13 +49,70 @@ def rarity(docs: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays(
             [pa.array(list(totals), pa.int32()), pa.array([t.tobytes() for t in totals.values()], pa.binary())], ["part", "counts"])
 
-    kind = "part int, counts binary"
     out = np.zeros((COUNTERS // SEGMENT, SEGMENT), np.int64)
-    for part, counts in docs.mapInArrow(count, kind).repartition("part").mapInArrow(add, kind).collect():
+    for part, counts in counted.repartition("part").mapInArrow(add, COUNTED).collect():
         out[part] = np.frombuffer(counts, np.int64)
     return out.ravel()
 
 
+def _parts(total: np.ndarray) -> pa.RecordBatch:
+    parts = total.reshape(-1, SEGMENT)
+    some = np.nonzero(parts.any(1))[0]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(some.astype(np.int32)), pa.array([parts[i].tobytes() for i in some], pa.binary())], ["part", "counts"])
+
+
+def rarity(docs: DataFrame) -> np.ndarray:
+    """How often words occur, by hashed counter."""
+    def count(batches):
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in text_chunks(batches, "text"):
+            hashes, _ = words(batch.column("text"), lower=False)
+            total += np.bincount((hashes >> np.uint64(46)).astype(np.int64), minlength=COUNTERS)
+        yield _parts(total)
+
+    return _added_up(docs.mapInArrow(count, COUNTED))
+
+
+def _post_counter(posts: np.ndarray) -> np.ndarray:
+    """The counter of posted (32-bit) words."""
+    return posts.view(np.uint32).astype(np.int64) & (COUNTERS - 1)
+
+
+def list_lengths(classes: DataFrame) -> np.ndarray:
+    """How many postings words have, by hashed counter: never less than the word's own."""
+    def count(batches):
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            posts = batch.column("rare").flatten().to_numpy(zero_copy_only=False)
+            total += np.bincount(_post_counter(posts), minlength=COUNTERS)
+        yield _parts(total)
+
+    return _added_up(classes.select("rare").mapInArrow(count, COUNTED))
+
+
+def postings(classes: DataFrame, lengths: np.ndarray, least: int) -> DataFrame:
+    """word, cls, n and at of the postings whose word may have ``least`` or more."""
+    wanted = classes.sparkSession.sparkContext.broadcast(np.packbits(lengths >= least))
+
+    def run(batches):
+        keep = np.unpackbits(wanted.value).astype(bool)
+        for batch in batches:
+            rare = batch.column("rare")
+            size = pc.list_value_length(rare).to_numpy(zero_copy_only=False)
+            posts = rare.flatten().to_numpy(zero_copy_only=False)
+            owner = np.repeat(np.arange(len(size)), size)
+            at = np.arange(len(posts)) - np.repeat(np.cumsum(size) - size, size)
+            some = keep[_post_counter(posts)]
+            row = pa.array(owner[some])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(posts[some]), *(batch.column(c).take(row) for c in ("cls", "n", "b1", "b2")), pa.array(at[some].astype(np.int32))],
+                ["word", "cls", "n", "b1", "b2", "at"])
+
+    return classes.select("rare", "cls", "n", "b1", "b2").mapInArrow(
+        run, "word int, cls long, n int, b1 long, b2 long, at int")
+
+
 def _keys(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """128-bit keys of sets, as two rows."""
     n = np.diff(bounds)
@@ -74,6 +124,20 @@ def _keys(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def _bits(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """128 bits of every set, as two rows: which of 128 hash values its words have."""
+    n = np.diff(bounds)
+    out = np.zeros((2, len(n)), np.uint64)
+    some = np.nonzero(n)[0]
+    if len(some):
+        at = (sets >> np.uint64(38)) & np.uint64(127)
+        bit = np.uint64(1) << (at & np.uint64(63))
+        for half in (0, 1):
+            own = np.where((at >> np.uint64(6)) == half, bit, np.uint64(0))
+            out[half, some] = np.bitwise_or.reduceat(own, bounds[:-1][some])
+    return out.view(np.int64)
+
+
 def line_table(docs: DataFrame, frequent: np.ndarray, percent: int) -> DataFrame:
     """doc_id, line, the key of its set, n (words of the set) and its rarest words, rarest first, as 32-bit hashes."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
@@ -95,12 +159,12 @@ def line_table(docs: DataFrame, frequent: np.ndarray, percent: int) -> DataFrame
             doc = pa.array(np.repeat(np.arange(len(per_doc)), per_doc))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").take(doc), pa.array(number.astype(np.int32)), pa.array(key[0]), pa.array(key[1]),
-                 pa.array(n.astype(np.int32)),
+                 pa.array(n.astype(np.int32)), *(pa.array(b) for b in _bits(sets, bounds)),
                  pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(take)]), pa.int32()),
                                           pa.array((rare & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)))],
-                ["doc_id", "line", "k1", "k2", "n", "rare"])
+                ["doc_id", "line", "k1", "k2", "n", "b1", "b2", "rare"])
 
-    return docs.mapInArrow(run, "doc_id long, line int, k1 long, k2 long, n int, rare array<int>")
+    return docs.mapInArrow(run, "doc_id long, line int, k1 long, k2 long, n int, b1 long, b2 long, rare array<int>")
 
 
 def removed_lines(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -108,32 +172,40 @@ def removed_lines(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id", te
     docs = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")
                        ).where("doc_id IS NOT NULL")
     lines = cut_lineage(line_table(docs, rarity(docs), percent))
-    classes = cut_lineage(lines.where("n > 0").groupBy("k1", "k2").agg(
-        F.min(F.struct("doc_id", "line")).alias("first"), F.first("n").alias("n"), F.first("rare").alias("rare"))
-    ).withColumn("cls", F.monotonically_increasing_id())
-    posted = classes.select("cls", "first", "n", F.posexplode("rare").alias("at", "word"))
-    lists = cut_lineage(posted.groupBy("word").agg(
-        F.min(F.struct("first", "cls", "n", "at")).alias("head"), F.count("*").alias("size")).where(F.col("size") > LONG_LIST))
+    first = lines.where("n > 0").groupBy("k1", "k2").agg(
+        F.min(F.struct("doc_id", "line")).alias("first"), *(F.first(c).alias(c) for c in ("n", "b1", "b2", "rare")))
+    # Numbers of classes follow the order of their first lines.
+    parts = max(1, -(-lines.count() // ROWS_PER_TASK))
+    classes = cut_lineage(first.repartitionByRange(parts, "first").sortWithinPartitions("first")).withColumn(
+        "cls", F.monotonically_increasing_id())
+    lengths = list_lengths(classes)
 
     def similar(a, b):
-        """Length and positional filter; the overlap that is needed is rounded up."""
+        """Length, positional and bitmap filter: what every similar pair passes."""
         x, y, i, j = (F.col(c) for c in (f"{a}n", f"{b}n", f"{a}at", f"{b}at"))
-        room = 1 + F.least(x - i, y - j) - 1
-        return (100 * F.least(x, y) >= percent * F.greatest(x, y)) & ((100 + percent) * room >= percent * (x + y))
+        apart = sum(F.bit_count(F.col(f"{a}{c}").bitwiseXOR(F.col(f"{b}{c}"))) for c in ("b1", "b2"))
+        return ((100 * F.least(x, y) >= percent * F.greatest(x, y))
+                & ((100 + percent) * F.least(x - i, y - j) >= percent * (x + y))
+                & ((100 + percent) * apart <= (100 - percent) * (x + y)))
+
+    def named(df, prefix):
+        return df.select("word", *(F.col(c).alias(f"{prefix}_{c}") for c in df.columns if c != "word"))
 
-    heads = lists.select("word", F.col("head.cls").alias("h_cls"), F.col("head.n").alias("h_n"), F.col("head.at").alias("h_at"))
-    own = posted.select("word", F.col("cls").alias("o_cls"), F.col("n").alias("o_n"), F.col("at").alias("o_at"))
-    tried = cut_lineage(own.join(heads, "word").where((F.col("o_cls") != F.col("h_cls")) & similar("o_", "h_")).select(
+    frequent = postings(classes, lengths, LONG_LIST)
+    heads = cut_lineage(frequent.groupBy("word").agg(F.min(F.struct("cls", "n", "b1", "b2", "at")).alias("head"))).select("word", "head.*")
+    tried = cut_lineage(named(frequent, "o").join(named(heads, "h"), "word").where(
+        (F.col("o_cls") != F.col("h_cls")) & similar("o_", "h_")).select(
         F.col("h_cls").alias("a"), F.col("o_cls").alias("b")).distinct())
     done = cut_lineage(_confirm(tried, docs, classes, percent).select(F.col("b").alias("cls")).distinct())
-    open_posted = classes.join(done.withColumn("done", F.lit(True)), "cls", "left").select(
-        "cls", "first.*", "n", F.col("done").isNull().alias("open"), F.posexplode("rare").alias("at", "word"))
-    one, two = (open_posted.select("word", *(F.col(c).alias(f"{p}_{c}") for c in ("cls", "doc_id", "line", "n", "at", "open")))
-                for p in "xy")
-    later = (F.col("y_doc_id") > F.col("x_doc_id")) | (
-        (F.col("y_doc_id") == F.col("x_doc_id")) & (F.col("y_line") > F.col("x_line")))
-    pairs = cut_lineage(one.join(two, "word").where(F.col("y_open") & later & similar("x_", "y_")).select(
-        F.col("x_cls").alias("a"), F.col("y_cls").alias("b")).distinct())
+    # Both sides of the join read one exchange, so they have the same columns: a class that is decided has the number
+    # -1 - cls, which is smaller than any other and so is never the later of two.
+    number = F.when(F.col("done").isNull(), F.col("cls")).otherwise(-1 - F.col("cls"))
+    opened = classes.join(done.withColumn("done", F.lit(True)), "cls", "left").withColumn("cls", number)
+    posted = postings(opened, lengths, 2)
+    earlier = F.greatest(F.col("x_cls"), -1 - F.col("x_cls"))
+    pairs = cut_lineage(named(posted, "x").join(named(posted, "y"), "word").where(
+        (earlier < F.col("y_cls")) & similar("x_", "y_")).select(
+        earlier.alias("a"), F.col("y_cls").alias("b")).distinct())
     gone = done.union(_confirm(pairs, docs, classes, percent).select(F.col("b").alias("cls"))).distinct()
     decided = cut_lineage(classes.join(gone.withColumn("gone", F.lit(True)), "cls", "left").select("k1", "k2", "first", "gone"))
     return lines.select("doc_id", "line", "k1", "k2").join(decided, ["k1", "k2"], "left").select(
@@ -142,21 +214,25 @@ def removed_lines(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id", te
 
 
 def _confirm(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose full sets are similar; only the documents with the first lines of their classes are read again."""
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    needed = cut_lineage(ids.join(classes.select(F.col("cls").alias("id"), "k1", "k2"), "id"))
-    bits = docs.sparkSession.sparkContext.broadcast(bitmap(needed.select(F.col("k1").alias("id")), direct=True).tobytes())
+    needed = cut_lineage(ids.join(classes.select(F.col("cls").alias("id"), "k1", "k2", "first"), "id"))
+    sc = docs.sparkSession.sparkContext
+    in_docs = sc.broadcast(bitmap(needed.select(F.col("first.doc_id").alias("id"))).tobytes())
+    in_keys = sc.broadcast(bitmap(needed.select(F.col("k1").alias("id")), direct=True).tobytes())
 
     def keyed(batches):
-        for batch in text_chunks(batches, "text"):
-            sets, bounds = distinct(*words(_lines(batch.column("text"))[0], lower=False))
-            key = _keys(sets, bounds)
-            wanted = in_bitmap(bits.value, key_spots(key[0]))
-            found = pa.RecordBatch.from_arrays(
-                [pa.array(key[0]), pa.array(key[1]), set_bytes(sets, bounds)], ["k1", "k2", "shingles"])
-            yield found.filter(pc.and_(wanted, pa.array(np.diff(bounds) > 0)))
+        for batch in batches:
+            for part in text_chunks([batch.filter(in_bitmap(in_docs.value, batch.column("spot").to_numpy()))], "text"):
+                sets, bounds = distinct(*words(_lines(part.column("text"))[0], lower=False))
+                key = _keys(sets, bounds)
+                wanted = in_bitmap(in_keys.value, key_spots(key[0]))
+                found = pa.RecordBatch.from_arrays(
+                    [pa.array(key[0]), pa.array(key[1]), set_bytes(sets, bounds)], ["k1", "k2", "shingles"])
+                yield found.filter(pc.and_(wanted, pa.array(np.diff(bounds) > 0)))
 
-    found = docs.mapInArrow(keyed, "k1 long, k2 long, shingles binary").join(needed, ["k1", "k2"])
-    sets = cut_lineage(found.groupBy("id").agg(F.first("shingles").alias("shingles")))
+    found = docs.select("text", spot("doc_id").alias("spot")).mapInArrow(keyed, "k1 long, k2 long, shingles binary")
+    sets = cut_lineage(found.join(needed.select("id", "k1", "k2"), ["k1", "k2"]).groupBy("id").agg(F.first("shingles").alias("shingles")))
     return confirmed_sets(pairs, sets, percent)
 
 
