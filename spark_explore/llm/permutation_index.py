@@ -3,7 +3,11 @@
 A vector is represented by its ``PREFIX`` nearest pivots in order. A block of rows keeps an inverted file for each
 pivot: the rows that have it among their nearest, and how near. A query reads the files of its own pivots and adds up
 what the shared pivots save of Spearman's footrule distance (a pivot beyond the prefix counts as at place
-``PREFIX``). The rows nearest by footrule, a fixed part of the block, are ranked by the exact inner product.
+``PREFIX``). The vectors nearest by footrule, a fixed part of the block, are ranked by the exact inner product.
+
+Rows of a block that have the same vector are one entry of its files, with the list of their ids. The part that is
+ranked exactly is counted in distinct vectors, and ids are filled in after it, so copies take no place from others. Copies
+are dealt over the blocks by their ids like all rows.
 
 For inner products of vectors of unequal length the representation has one more component that makes all vectors
 equally long (the query's is 0), so nearest by angle is largest by product.
@@ -25,8 +29,8 @@ from spark_explore.sizing import cut_lineage
 
 PIVOTS, PREFIX = 256, 64
 DATA_BLOCK, QUERY_BLOCK = 16_384, 4096
-CANDIDATES = 0.25  # part of a block that is ranked exactly
-LEAST_CANDIDATES = 1000
+CANDIDATES = 0.25  # part of a block's distinct vectors that is ranked exactly
+LEAST_CANDIDATES = 1000  # a block of up to so many distinct vectors is ranked as a whole
 
 
 def permutations(vectors: np.ndarray, points: np.ndarray) -> np.ndarray:
@@ -36,7 +40,7 @@ def permutations(vectors: np.ndarray, points: np.ndarray) -> np.ndarray:
 
 
 class InvertedFiles:
-    """The posts of a block: per pivot the rows that have it, and their weight ``PREFIX - place``."""
+    """The posts of a block: per pivot the vectors that have it, and their weight ``PREFIX - place``."""
 
     def __init__(self, order: np.ndarray, count: int):
         flat = order.ravel()
@@ -56,6 +60,35 @@ class InvertedFiles:
         return out
 
 
+class Copies:
+    """The distinct vectors of a block (rows in order of id), numbered by their first rows, and the rows that have each."""
+
+    def __init__(self, v: np.ndarray):
+        whole = np.ascontiguousarray(v + 0.0)  # -0.0 is 0.0
+        _, first, group = np.unique(whole.view(np.dtype((np.void, whole.shape[1] * 8))).ravel(), return_index=True, return_inverse=True)
+        place = np.argsort(np.argsort(first, kind="stable"), kind="stable")
+        self.first = np.sort(first)
+        self.rows = np.argsort(place[group], kind="stable")
+        self.begin = np.concatenate([[0], np.cumsum(np.bincount(place[group]))])
+
+    def best(self, vectors: np.ndarray, score: np.ndarray, ids: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Rows with the k highest scores (ties: the smaller id) among those of ``vectors`` whose id is not ``own``, and the scores."""
+        rows, scores, many, last = [], [], 0, None
+        for at in np.argsort(-score, kind="stable"):
+            if many >= k and score[at] < last:
+                break
+            held = self.rows[self.begin[vectors[at]]:self.begin[vectors[at] + 1]]
+            held = held[ids[held] != own][:k]
+            if len(held):
+                rows.append(held), scores.append(np.full(len(held), score[at]))
+                many, last = many + len(held), score[at]
+        if not rows:
+            return np.empty(0, np.int64), np.empty(0)
+        found, value = np.concatenate(rows), np.concatenate(scores)
+        order = np.lexsort((ids[found], -value))[:k]
+        return found[order], value[order]
+
+
 def _search(points: np.ndarray, longest: float, k: int, part: float, least: int):
     def lengthened(v, fill):
         extra = np.sqrt(np.maximum(longest**2 - (v * v).sum(1), 0)) if fill else np.zeros(len(v))
@@ -69,17 +102,16 @@ def _search(points: np.ndarray, longest: float, k: int, part: float, least: int)
         out = ([], [], [])
         if len(asked) and len(held):
             pivot = lengthened(points, True)
-            rows, own = v[held], ids[held]
+            own, copies = ids[held], Copies(v[held])
+            rows = v[held][copies.first]
             files = InvertedFiles(permutations(lengthened(rows, True), pivot), len(points))
-            many = min(len(held), max(least, int(part * len(held))))
+            many = min(len(rows), max(least, int(part * len(rows))))
             for q, order in zip(asked, permutations(lengthened(v[asked], False), pivot)):
-                # Equal distances: the smaller ids, which come first in the block.
-                key = files.saved(order).astype(np.int64) * len(held) - np.arange(len(held))
-                near = np.argpartition(-key, many - 1)[:many] if many < len(held) else np.arange(len(held))
-                near = near[own[near] != ids[q]]
-                score = (rows[near] * v[q]).sum(1)
-                best = np.lexsort((own[near], -score))[:k]
-                out[0].append(np.full(len(best), ids[q])), out[1].append(own[near][best]), out[2].append(score[best])
+                # Equal distances: the vectors of smaller ids, which come first.
+                key = files.saved(order).astype(np.int64) * len(rows) - np.arange(len(rows))
+                near = np.argpartition(-key, many - 1)[:many] if many < len(rows) else np.arange(len(rows))
+                best, score = copies.best(near, (rows[near] * v[q]).sum(1), own, ids[q], k)
+                out[0].append(np.full(len(best), ids[q])), out[1].append(own[best]), out[2].append(score)
         join = [np.concatenate(x) if x else np.empty(0, t) for x, t in zip(out, (np.int64, np.int64, np.float64))]
         return pa.table({"query_id": join[0], "vec_id": join[1], "score": join[2]})
 

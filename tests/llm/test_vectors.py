@@ -78,6 +78,22 @@ def test_permutation_index_all_candidates_is_exact(spark):
     assert permutation_index.search(empty, empty).count() == 0
 
 
+def test_permutation_index_copies_take_no_place(spark):
+    # A third of the rows share one vector; those asked for are the nearest to it, with the production part and floor.
+    rng = np.random.default_rng(5)
+    vectors = rng.normal(size=(8000, 48))
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    vectors[rng.permutation(np.arange(1, 8000))[:2700]] = vectors[0]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>").repartition(4)
+    distinct = [0, *np.nonzero((vectors != vectors[0]).any(1))[0]]
+    asked = [int(distinct[i]) for i in np.argsort(-(vectors[distinct] @ vectors[0]))[1:41]]
+    score = vectors[asked] @ vectors.T
+    score[np.arange(40), asked] = -np.inf
+    want = {(q, int(i)) for q, s in zip(asked, score) for i in np.lexsort((np.arange(8000), -np.round(s, 12)))[:20]}
+    got = permutation_index.search(df, df.where(f"vec_id IN ({','.join(map(str, asked))})")).collect()
+    assert len(got) == len(want) and len(want & {(r["query_id"], r["vec_id"]) for r in got}) >= 0.95 * len(want)
+
+
 def test_footrule_from_inverted_files():
     rng = np.random.default_rng(0)
     vectors, points = rng.normal(size=(30, 5)), rng.normal(size=(100, 5))
