@@ -4,10 +4,11 @@ Base spans follow fixed patterns (``base_spans``) and always stay. The field lab
 hold a digit or an at-sign, or that repeat part of a base span; all other tokens count as observed to be nothing. Its
 potentials are linear in features of a token's shape; neighbours within a text share chain potentials, and distant
 tokens that repeat each other (the same word, the same last digits, the local part of an address) share skip
-potentials. Each occurrence is linked to the one before, so a token that occurs often makes no pairs. Messages are passed
-around the graph of a document with damping; tokens of base spans are held at their label, so a label spreads to
-repetitions that no pattern matches. A token is added if its label is at least ``SURE`` likely and links lead from it to
-a base span of that kind.
+potentials. Each occurrence is linked to the one before, and one outside the base spans also to the last occurrence inside one (or the
+first, if none came before): two links at most for each key of a token, and none of them depends on how often a token occurs. Messages are passed
+around the graph of a document with damping until they stop changing; tokens of base spans are held at their label, so a label spreads to
+repetitions that no pattern matches, however far. A token can only have a kind of the base spans that it repeats (through any number of
+repetitions), or, without those, a kind to which any links lead; it is added if that is at least ``SURE`` likely.
 
 Weights are fitted by pseudo-likelihood on a bounded sample of ``SAMPLE`` documents (those of smallest hash that
 hold a digit or an at-sign), labelled by the base spans; features are hidden from a part of the tokens, and bare
@@ -19,6 +20,7 @@ kept; an empty table gives no rows; extra columns are ignored by ``find`` and ke
 
 import hashlib
 import re
+from bisect import bisect_left
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,8 +35,9 @@ KINDS = ("email", "ip", "card", "phone")
 LABELS = 1 + len(KINDS)  # 0: none
 SAMPLE = 600
 SURE = 0.5
-ROUNDS, DAMPING = 12, 0.5
-HELD = 12.0  # log potential that holds tokens of base spans
+DAMPING, STILL = 0.5, 1e-4  # messages pass until none in the document changes by more
+SPARE = 60  # rounds beyond two for each token of a document, after which messages that still swing are taken as they are
+HELD = 1e9  # log potential that holds tokens of base spans, however many links lead to them
 
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -122,7 +125,8 @@ def graph(texts: list[str], bases: list[list[tuple[int, int, int]]]) -> Graph:
         names = {k for s, kind, e in base if kind == 0 for k in [text[s:e].split("@")[0]] if len(k) >= 5}
         for name in names:  # local parts of addresses that stand alone
             found.update(m.span() for m in re.finditer(r"(?<!\S)" + re.escape(name) + r"(?!\S)", text))
-        before, seen, at = None, {}, 0
+        before, seen, at, begin = None, {}, 0, len(spans)
+        inside, waiting = {}, {}  # per key the last occurrence in a base span, and those that came before any
         for a, b in sorted(found):
             token = text[a:b]
             core = token.strip(EDGES) or token
@@ -140,16 +144,28 @@ def graph(texts: list[str], bases: list[list[tuple[int, int, int]]]) -> Graph:
             if before is not None and a - spans[before][2] <= 3:
                 chain.append((before, i))
             before = i
-            for key in _keys(core):
+            keys = _keys(core)
+            linked = {seen[key] for key in keys if key in seen}
+            for key in keys:
                 if key in seen and seen[key] != i:
                     skip.append((seen[key], i))
+                if kind:
+                    skip.extend((j, i) for j in waiting.pop(key, ()) if j != seen[key])
+                    inside[key] = i
+                elif key not in inside:
+                    waiting.setdefault(key, []).append(i)
+                elif inside[key] not in linked:
+                    skip.append((inside[key], i))
+                    linked.add(inside[key])
                 seen[key] = i
+        starts = [x[1] for x in spans[begin:]]
         for s, k, e in base:  # a number written over several tokens is known by its last digits
             digits = "".join(c for c in text[s:e] if c in "0123456789")
-            if k in (2, 3) and len(digits) >= 7 and (j := seen.get("#" + digits[-7:])) is not None:
-                own = next((i for i in range(len(spans) - 1, -1, -1) if spans[i][0] == d and s <= spans[i][1] < e), None)
-                if own is not None and own != j:
+            if k in (2, 3) and len(digits) >= 7 and (j := seen.get(key := "#" + digits[-7:])) is not None:
+                own = begin + bisect_left(starts, e) - 1  # its last token
+                if own >= begin and s <= spans[own][1] and own != j:
                     skip.append((own, j))
+                    skip.extend((own, i) for i in waiting.pop(key, ()) if i not in (own, j))
     pairs = [np.array(x, np.int64).reshape(-1, 2) for x in (chain, skip)]
     return Graph(spans, np.array(features, np.float32).reshape(-1, FEATURES), np.array(label, np.int64), *pairs)
 
@@ -189,45 +205,58 @@ def train(g: Graph, steps: int = 300, hidden: float = 0.7, seed: int = 5) -> Fie
     return field
 
 
-def marginals(field: Field, g: Graph) -> np.ndarray:
-    """Label probabilities of every token by loopy message passing."""
-    n = len(g.label)
+def marginals(field: Field, g: Graph, allowed: np.ndarray | None = None) -> np.ndarray:
+    """Label probabilities of every token by loopy message passing; ``allowed``: the labels it can have (all, if None)."""
     local = g.features @ field.unary
+    if allowed is not None:
+        local[~allowed] = -HELD
     held = g.label > 0
     local[held] = 0
     local[held, g.label[held]] = HELD
-    ends = np.concatenate([g.chain, g.skip])
+    skip, times = np.unique(g.skip, axis=0, return_counts=True)  # parallel links are one link of their joint potential
+    ends = np.concatenate([g.chain, skip])
     if not len(ends):
         p = np.exp(local - local.max(1, keepdims=True))
         return p / p.sum(1, keepdims=True)
-    many = len(g.chain)
+    kind = np.concatenate([np.zeros(len(g.chain), int), times])
     source = np.concatenate([ends[:, 0], ends[:, 1]])
     target = np.concatenate([ends[:, 1], ends[:, 0]])
-    bond = np.concatenate([np.repeat(field.chain[None], many, 0), np.repeat(field.skip[None], len(g.skip), 0)])
-    bond = np.concatenate([bond, bond.transpose(0, 2, 1)])
-    bond -= bond.max((1, 2), keepdims=True)
-    bond = np.exp(bond)
-    back = np.concatenate([np.arange(len(ends)) + len(ends), np.arange(len(ends))])
+    bonds = np.stack([field.chain, *(field.skip * n for n in range(1, times.max(initial=0) + 1))])
+    bonds = np.concatenate([bonds, bonds.transpose(0, 2, 1)])
+    bonds = np.exp(bonds - bonds.max((1, 2), keepdims=True))
+    kind = np.concatenate([kind, kind + len(bonds) // 2])
+    # Documents whose messages have settled leave the rounds.
+    document = np.array([s[0] for s in g.spans])
+    most = SPARE + 2 * np.bincount(document)
     message = np.zeros((len(source), LABELS))
-    for _ in range(ROUNDS):
+    moving, rounds = np.arange(len(source)), 0
+    while len(moving):
+        rounds += 1
+        half = len(moving) // 2  # links of a document leave in both directions
+        back = np.concatenate([moving[half:], moving[:half]])
         total = local.copy()
-        np.add.at(total, target, message)
-        out = total[source] - message[back]
+        np.add.at(total, target[moving], message[moving])
+        out = total[source[moving]] - message[back]
         out = np.exp(out - out.max(1, keepdims=True))
-        new = np.log(np.einsum("ei,eij->ej", out, bond) + 1e-300)
+        new = np.empty_like(out)
+        for k, bond in enumerate(bonds):
+            new[kind[moving] == k] = out[kind[moving] == k] @ bond
+        new = np.log(new + 1e-300)
         new -= new.max(1, keepdims=True)
-        message = DAMPING * message + (1 - DAMPING) * new
+        change = np.zeros(len(most))
+        np.maximum.at(change, document[source[moving]], np.abs(new - message[moving]).max(1))
+        message[moving] = DAMPING * message[moving] + (1 - DAMPING) * new
+        moving = moving[((change > STILL) & (rounds < most))[document[source[moving]]]]
     total = local.copy()
     np.add.at(total, target, message)
     p = np.exp(total - total.max(1, keepdims=True))
     return p / p.sum(1, keepdims=True)
 
 
-def _linked(g: Graph) -> np.ndarray:
-    """Kinds of the base spans to which links lead, per token: (tokens, labels)."""
+def _linked(g: Graph, ends: np.ndarray) -> np.ndarray:
+    """Kinds of the base spans to which the links ``ends`` lead, per token: (tokens, labels)."""
     reach = np.zeros((len(g.label), LABELS), bool)
     reach[np.arange(len(g.label)), g.label] = g.label > 0
-    ends = np.concatenate([g.chain, g.skip])
     while len(ends):
         new = reach.copy()
         np.logical_or.at(new, ends[:, 0], reach[ends[:, 1]])
@@ -238,16 +267,24 @@ def _linked(g: Graph) -> np.ndarray:
     return reach
 
 
+def _allowed(g: Graph) -> np.ndarray:
+    """The labels that every token can have: (tokens, labels)."""
+    repeated = _linked(g, g.skip)
+    out = np.where(repeated.any(1, keepdims=True), repeated, _linked(g, np.concatenate([g.chain, g.skip])))
+    out[:, 0] = True
+    return out
+
+
 def all_spans(field: Field, texts: list[str]) -> tuple[list, list]:
     """Base spans and all spans of every text."""
     bases = [base_spans(t) for t in texts]
     g = graph(texts, bases)
     spans = [list(b) for b in bases]
     if len(g.label) and (g.label > 0).any():
-        p = marginals(field, g)
+        p = marginals(field, g, _allowed(g))
         best = p.argmax(1)
         at = np.arange(len(best))
-        new = (g.label == 0) & (best > 0) & (p[at, best] >= SURE) & _linked(g)[at, best]
+        new = (g.label == 0) & (best > 0) & (p[at, best] >= SURE)
         for i in np.nonzero(new)[0]:
             d, a, b = g.spans[i]
             spans[d].append((a, int(best[i]) - 1, b))

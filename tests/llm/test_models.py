@@ -158,6 +158,30 @@ def test_repetitions_get_the_label_and_clean_texts_none():
     assert pii_crf.masked("x a@b.c y", [(2, 0, 7)]) == "x <EMAIL> y"
 
 
+def test_messages_reach_the_end_of_a_long_chain():
+    g = pii_crf.Graph([(0, i, i + 1) for i in range(26)], np.zeros((26, pii_crf.FEATURES), np.float32), np.array([4] + [0] * 25),
+                      np.empty((0, 2), int), np.array([[i, i + 1] for i in range(25)]))
+    field = pii_crf.Field(np.zeros((pii_crf.FEATURES, 5)), np.zeros((5, 5)), 6.0 * np.eye(5))
+    p = pii_crf.marginals(field, g)
+    assert (p[:, 4] >= pii_crf.SURE).all()
+    # Along a chain the share of the own label falls to 1/5 by a constant factor.
+    factor = (np.exp(6) - 1) / (np.exp(6) + 4)
+    assert np.allclose(p[:, 4], 0.2 + 0.8 * factor ** np.arange(26), atol=2e-3)
+
+
+@pytest.mark.parametrize("many", [50, 1000])
+@pytest.mark.parametrize("number,bare,kind", [("+1 (017) 555-7713", "5557713", "phone"), ("+1 017 555 7713", "5557713", "phone"),
+                                              ("loogm.24@m.example.com", "loogm.24", "email")])
+def test_far_repetitions_get_the_label(spark, number, bare, kind, many):
+    texts = [r[0] for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("text rlike '[0-9@]'").orderBy("doc_id").select("text").take(600)]
+    field = pii_crf.train_on(texts)
+    repeated = " ".join(f"again {bare} word in 2024" for _ in range(many))
+    for text in (f"Call {number} now, {repeated}", f"{repeated} call {number} now", f"a.b@c.de, 10.0.0.1, {number} now, {repeated}"):
+        (base,), (spans,) = pii_crf.all_spans(field, [text])
+        added = [(text[a:b], pii_crf.KINDS[k]) for a, k, b in spans if (a, k, b) not in base]
+        assert len(base) in (1, 3) and added == [(bare, kind)] * many
+
+
 def test_find_and_mask_edge_cases(spark):
     rows = [(1, None), (2, ""), (3, "a@b.cd"), (3, "a@b.cd"), (None, "10.0.0.1")]
     docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, spans string")
