@@ -14,7 +14,7 @@ equally long (the query's is 0), so nearest by angle is largest by product.
 
 The pivots are up to ``PIVOTS`` distinct vectors of a sample of 4 * ``PIVOTS`` rows; every row is indexed.
 
-Edge cases: vectors null, zero, with null or non-finite components or of another length than the pivots', and rows
+Edge cases: vectors null, zero, with null or non-finite components or of another length than most, and rows
 without an id, take no part; repeated ids count as separate rows, and none answers a query of its own id; equal scores go
 to the smaller id; an empty table gives no rows.
 """

@@ -21,11 +21,15 @@ def valid_vectors(df: DataFrame, vec_id: str, vector: str, zero: bool) -> DataFr
 
 
 def pivots(vectors: DataFrame, count: int) -> np.ndarray:
-    """Up to ``count`` distinct vectors of a sample of ``4 * count`` rows (those of the smallest hashes of ids)."""
-    rows = hash_sample(vectors, 4 * count, "vec_id").select("v").collect()
-    seen = dict.fromkeys(tuple(r[0]) for r in rows)
-    own = [v for v in seen if len(v) == len(next(iter(seen)))][:count]
-    return np.array(own, np.float64) if own else np.empty((0, 0))
+    """Up to ``count`` distinct vectors of a sample of ``4 * count`` rows (those of the smallest hashes of id and vector).
+
+    They have the length that most of all rows have (of equally frequent ones the smallest).
+    """
+    length = vectors.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
+    if length is None:
+        return np.empty((0, 0))
+    rows = hash_sample(vectors.where(F.size("v") == length["n"]), 4 * count, "vec_id", "v").select("v").collect()
+    return np.array(list(dict.fromkeys(tuple(r[0]) for r in rows))[:count], np.float64)
 
 
 def matrix(column) -> np.ndarray:

@@ -13,7 +13,7 @@ dealt over blocks, each solved by itself, and the blocks' best are ranked.
 
 Sums are exact: products of integers below 2^53 are added as doubles.
 
-Edge cases: vectors null, with null or non-finite components or of another length than the pivots', and rows
+Edge cases: vectors null, with null or non-finite components or of another length than most, and rows
 without an id, take no part; repeated ids count as separate rows, and none answers a query of its own id; equal scores go
 to the smaller id; an empty table gives no rows.
 """

@@ -2,8 +2,11 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from spark_explore.llm import permutation_index, voronoi_join
+from spark_explore.llm.sampling import hash_sample
+from spark_explore.llm.vector_rows import pivots
 
 SCHEMA = "vec_id long, embedding array<float>, score string, rank string"
 
@@ -94,6 +97,31 @@ def test_permutation_index_copies_take_no_place(spark):
     assert len(got) == len(want) and len(want & {(r["query_id"], r["vec_id"]) for r in got}) >= 0.95 * len(want)
 
 
+def late_ids(spark, many):
+    """Ids whose hashes are the largest of the first 200 ids'."""
+    return [r[0] for r in spark.range(200).orderBy(F.desc(F.pmod(F.xxhash64("id"), F.lit(1 << 40)))).limit(many).collect()]
+
+
+def test_few_distinct_ids_are_searched(spark):
+    rng = np.random.default_rng(2)
+    ids = late_ids(spark, 2)
+    rows = [(ids[i % 2], rng.normal(size=4).tolist()) for i in range(4000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert hash_sample(df, 300, "vec_id").count() == 300
+    assert pivots(df.withColumnRenamed("embedding", "v"), 256).shape == (256, 4)
+    asked = df.limit(1)
+    assert permutation_index.search(df, asked, k=5).count() == voronoi_join.join(df, asked, k=5).count() == 5
+
+
+def test_a_malformed_vector_does_not_set_the_length(spark):
+    rng = np.random.default_rng(3)
+    early = spark.range(100).orderBy(F.pmod(F.xxhash64("id"), F.lit(1 << 40))).first()[0]
+    rows = [(i, [1.0] if i == early else rng.normal(size=4).tolist()) for i in range(100)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = df.where(F.col("vec_id") == (early + 1) % 100)
+    assert permutation_index.search(df, asked, k=5).count() == voronoi_join.join(df, asked, k=5).count() == 5
+
+
 def test_footrule_from_inverted_files():
     rng = np.random.default_rng(0)
     vectors, points = rng.normal(size=(30, 5)), rng.normal(size=(100, 5))
