@@ -122,6 +122,21 @@ def test_a_malformed_vector_does_not_set_the_length(spark):
     assert permutation_index.search(df, asked, k=5).count() == voronoi_join.join(df, asked, k=5).count() == 5
 
 
+def test_permutation_index_recall_of_a_full_block(spark):
+    # A quarter of the block is far above the floor, so this is the index and not brute force.
+    rng = np.random.default_rng(6)
+    n = permutation_index.DATA_BLOCK
+    assert permutation_index.CANDIDATES * n > 4 * permutation_index.LEAST_CANDIDATES
+    vectors = rng.normal(size=(n, 64)) + 2 * rng.normal(size=(40, 64))[rng.integers(40, size=n)]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>").repartition(4)
+    got = permutation_index.search(df, df.where("vec_id % 160 = 0")).collect()
+    asked = np.arange(0, n, 160)
+    score = vectors[asked] @ vectors.T
+    score[np.arange(len(asked)), asked] = -np.inf
+    want = {(int(q), int(i)) for q, s in zip(asked, score) for i in np.argsort(-s)[:20]}
+    assert len(got) == len(want) and len(want & {(r["query_id"], r["vec_id"]) for r in got}) >= 0.97 * len(want)
+
+
 def test_footrule_from_inverted_files():
     rng = np.random.default_rng(0)
     vectors, points = rng.normal(size=(30, 5)), rng.normal(size=(100, 5))
