@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from spark_explore.llm.chunks import sums, text_bytes, text_chunks
 
 WINDOW = 128
-HIDDEN = 8
+HIDDEN = 12
 PER_LANGUAGE = 400
 WINDOWS_PER_DOCUMENT = 4
 MAX_LANGUAGES = 512

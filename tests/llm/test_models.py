@@ -40,6 +40,10 @@ def test_gru_gradients():
     check_gradients(model, lambda: byte_gru.gradients(model, codes, labels, weight))
 
 
+def test_gru_size():
+    assert byte_gru.new_model(["a", "b"]).memory.shape == (2, 12, 12)
+
+
 def test_language_of_held_out_documents(spark, monkeypatch):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     model = byte_gru.fit(docs.where(~byte_gru.held_out()), per_language=80)
