@@ -6,7 +6,8 @@ over all its bytes that belong to letters. Training runs in numpy: cross-entropy
 
 The network is fitted on a bounded sample of labelled documents: ``PER_LANGUAGE`` documents of each language on
 average (all, if there are fewer), and up to ``WINDOWS_PER_DOCUMENT`` windows of each. The languages are counted over all
-labelled documents.
+labelled documents; the ``MAX_LANGUAGES`` most frequent are learned (ties: the first by name). Documents of rarer ones
+are not trained on, so those languages are never predicted.
 
 Edge cases: a null text, or one without a letter, is ``und`` with score 0; without labelled documents every text is; null
 ids are kept (and count as not held out); repeated rows give repeated results; an empty table gives no rows; extra columns are ignored.
