@@ -231,23 +231,30 @@ def _sampled(batches, languages):
             [pa.array(out[0], pa.binary()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.int32())], ["windows", "letters", "label"])
 
 
-def scores(model: Model | None, data: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Number of the likeliest language of every text (-1: none) and its pooled probability."""
+def scores(model: Model | None, data: bytes, offsets: np.ndarray, by_window: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Number of the likeliest language of every text (-1: none) and its pooled probability.
+
+    With ``by_window`` the second is how sure single windows are: the mean, by letters, of the probability of each window's likeliest
+    language. It is never lower, and a text in several languages has a high one too.
+    """
     n = len(offsets) - 1
     letters = letter_bytes(data)
     many = sums(letters, offsets)
     if model is None or not many.any():
         return np.full(n, -1), np.zeros(n)
     pooled = np.zeros((n, len(model.languages)))
+    sure = np.zeros(n)
     windows, weight, owner = cut(data, offsets, letters)
     for at in range(0, len(windows), BLOCK):
         part = slice(at, at + BLOCK)
         p = probabilities(model, windows[part].T)
         p *= weight[part].T[..., None]
-        np.add.at(pooled, owner[part], p.sum(0, dtype=np.float64))
+        own = p.sum(0, dtype=np.float64)
+        np.add.at(pooled, owner[part], own)
+        np.add.at(sure, owner[part], own.max(1))
     pooled /= np.maximum(many, 1)[:, None]
     best = pooled.argmax(1)
-    score = np.clip(pooled[np.arange(n), best], 0, 1)
+    score = np.clip(sure / np.maximum(many, 1) if by_window else pooled[np.arange(n), best], 0, 1)
     return np.where(many > 0, best, -1), np.where(many > 0, score, 0.0)
 
 
@@ -278,7 +285,9 @@ def predict_all(docs: DataFrame) -> DataFrame:
 
 
 def reject_unknown(docs: DataFrame, least: float = 0.4) -> DataFrame:
-    """The documents whose language is recognised with a score of at least ``least``; all columns stay.
+    """The documents whose windows are recognised with a probability of at least ``least`` on average; all columns stay.
+
+    A document in several languages stays, as each of its windows is recognised.
 
     Rows are scored as they pass, so rows that repeat an id are judged one by one.
     """
@@ -287,7 +296,7 @@ def reject_unknown(docs: DataFrame, least: float = 0.4) -> DataFrame:
     def run(batches):
         own = shared.value
         for batch in text_chunks(batches, "text"):
-            best, score = scores(own, *text_bytes(batch.column("text")))
+            best, score = scores(own, *text_bytes(batch.column("text")), by_window=True)
             yield batch.filter(pa.array((best >= 0) & (score >= least)))
 
     return docs.mapInArrow(run, docs.schema)

@@ -62,6 +62,21 @@ def test_language_of_held_out_documents(spark, monkeypatch):
     assert byte_gru.predict_all(unlabelled.limit(0)).count() == 0
 
 
+def test_documents_in_several_languages_are_sure_by_window():
+    # A model that reads the language off each letter: a, b or c.
+    model = byte_gru.new_model(["a", "b", "c"])
+    for field in model.FIELDS:
+        setattr(model, field, np.zeros_like(getattr(model, field)))
+    for k in range(3):
+        model.inputs[:, ord("abc"[k]), 2 * 12 + k] = 20
+        model.inputs[:, ord("abc"[k]), :12] = -20
+        model.out[k, k] = model.out[12 + k, k] = 10
+    data = b"".join(x * byte_gru.WINDOW for x in (b"a", b"b", b"c")) + b"x" * byte_gru.WINDOW
+    offsets = np.array([0, 3 * byte_gru.WINDOW, len(data)])
+    assert np.allclose(byte_gru.scores(model, data, offsets)[1], 1 / 3, atol=0.01)
+    assert np.allclose(byte_gru.scores(model, data, offsets, by_window=True)[1], [1, 1 / 3], atol=0.01)
+
+
 def test_windows_cover_whole_texts():
     data = "aé1" * 100
     raw = data.encode()
