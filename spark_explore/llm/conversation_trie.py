@@ -201,19 +201,26 @@ def encode(rows: dict, shard: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate([own[c], more.get(c, blank)])) for c in SHARD_OUT], SHARD_OUT)
 
 
-def _shards(batches):
-    number, held, many = TaskContext.get().partitionId() << 32, [], 0
-    for batch in batches:
-        while batch.num_rows:
-            piece = batch.slice(0, SHARD - many)
-            batch = batch.slice(piece.num_rows)
-            held.append(piece)
-            many += piece.num_rows
-            if many == SHARD:
-                yield encode({c: np.concatenate([b.column(c).to_numpy() for b in held]) for c in NODE}, number)
-                number, held, many = number + 1, [], 0
-    if many:
-        yield encode({c: np.concatenate([b.column(c).to_numpy() for b in held]) for c in NODE}, number)
+def _shards(size: int):
+    def run(batches):
+        number, held, many = TaskContext.get().partitionId() << 32, [], 0
+
+        def whole():
+            return encode({c: np.concatenate([b.column(c).to_numpy() for b in held]) for c in NODE}, number)
+
+        for batch in batches:
+            while batch.num_rows:
+                piece = batch.slice(0, size - many)
+                batch = batch.slice(piece.num_rows)
+                held.append(piece)
+                many += piece.num_rows
+                if many == size:
+                    yield whole()
+                    number, held, many = number + 1, [], 0
+        if many:
+            yield whole()
+
+    return run
 
 
 def _close_spines(found: DataFrame) -> DataFrame:
@@ -292,7 +299,7 @@ def _digests(rows):
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["depth", "k1", "k2", "ends_sha256"])
 
 
-def nodes(turns: DataFrame, lengths: DataFrame) -> DataFrame:
+def nodes(turns: DataFrame, lengths: DataFrame, shard: int = SHARD) -> DataFrame:
     """One row per distinct prefix of the conversations in ``lengths`` (conv_id, length), from the root: conv_id (smallest member), depth,
     parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256. ``turns`` are as of ``turns_of``."""
     spark = turns.sparkSession
@@ -336,7 +343,7 @@ def nodes(turns: DataFrame, lengths: DataFrame) -> DataFrame:
         "owner", "depth", F.coalesce("parent", F.lit(-1).cast("long")).alias("parent"), "n_convs",
         (F.col("next") + F.coalesce("branches", nothing)).alias("n_children"), "saving", "k1", "k2", flat.alias("place"))
     found = cut_lineage(rows.repartitionByRange("place").sortWithinPartitions("place").select(*NODE).mapInArrow(
-        _shards, ", ".join(f"{c} long" for c in SHARD_OUT)))
+        _shards(shard), ", ".join(f"{c} long" for c in SHARD_OUT)))
     whole = found.where("kind = 0").select(*NODE, "leaves", "saved").unionByName(_close_spines(found))
     return whole.join(_ends(keyed, lengths), prefix, "left").select(
         F.col("owner").alias("conv_id"), "depth", F.when(F.col("depth") > 0, F.col("parent")).alias("parent_conv_id"), "n_convs", "n_children",
