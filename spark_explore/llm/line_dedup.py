@@ -5,10 +5,10 @@ of document id and line number, has a set with 100 * intersection >= percent * u
 line. Whether the earlier line itself goes makes no difference. Lines without words stay.
 
 Words are ordered by rarity over all lines (counted in ``COUNTERS`` hashed counters, which every task adds up for
-itself first). A line of n words posts its n - ceil(t n) + 1 rarest; two similar lines share one of those. Postings
+itself first; any order gives the same result). A line of n words posts its n - ceil(t n) + 1 rarest; two similar lines share one of those. Postings
 meet by word under the length filter, the positional filter, which bounds the overlap by what follows the shared
 word, and a bitmap filter (words that differ are at least as many as the bits that differ of 128 hashed ones). The rest are verified on
-the full sets. Equal sets are one class beforehand, and where a word has many postings
+the full sets. Equal sets are one class beforehand, and where a word has ``LONG_LIST`` postings (counted exactly)
 its first class is tried first, so variants of one frequent line are resolved without meeting each other.
 
 Edge cases: a null or empty text has one empty line; rows without an id take no part and keep their lines; rows that
@@ -25,12 +25,14 @@ from pyspark.sql import functions as F
 from spark_explore.llm.chunks import spread, text_chunks
 from spark_explore.llm.set_checks import bitmap, confirmed_sets, in_bitmap, key_spots, set_bytes, spot
 from spark_explore.llm.shingles import M1, distinct, mix, words
-from spark_explore.sizing import cut_lineage
+from spark_explore.llm.tables import written
+from spark_explore.sizing import cut_lineage, small_side
 
 COUNTERS = 1 << 18
 SEGMENT = 4096
 LONG_LIST = 64  # postings of a word from which its first class is tried first
-ROWS_PER_TASK = 500_000
+HOT_LIST = 8192  # postings of a word that meet in one task
+PAIRS = 1 << 20  # pairs looked at side by side
 COUNTED = "part int, counts binary"
 
 
@@ -74,45 +76,6 @@ def rarity(docs: DataFrame) -> np.ndarray:
     return _added_up(docs.mapInArrow(count, COUNTED))
 
 
-def _post_counter(posts: np.ndarray) -> np.ndarray:
-    """The counter of posted (32-bit) words."""
-    return posts.view(np.uint32).astype(np.int64) & (COUNTERS - 1)
-
-
-def list_lengths(classes: DataFrame) -> np.ndarray:
-    """How many postings words have, by hashed counter: never less than the word's own."""
-    def count(batches):
-        total = np.zeros(COUNTERS, np.int64)
-        for batch in batches:
-            posts = batch.column("rare").flatten().to_numpy(zero_copy_only=False)
-            total += np.bincount(_post_counter(posts), minlength=COUNTERS)
-        yield _parts(total)
-
-    return _added_up(classes.select("rare").mapInArrow(count, COUNTED))
-
-
-def postings(classes: DataFrame, lengths: np.ndarray, least: int) -> DataFrame:
-    """word, cls, n and at of the postings whose word may have ``least`` or more."""
-    wanted = classes.sparkSession.sparkContext.broadcast(np.packbits(lengths >= least))
-
-    def run(batches):
-        keep = np.unpackbits(wanted.value).astype(bool)
-        for batch in batches:
-            rare = batch.column("rare")
-            size = pc.list_value_length(rare).to_numpy(zero_copy_only=False)
-            posts = rare.flatten().to_numpy(zero_copy_only=False)
-            owner = np.repeat(np.arange(len(size)), size)
-            at = np.arange(len(posts)) - np.repeat(np.cumsum(size) - size, size)
-            some = keep[_post_counter(posts)]
-            row = pa.array(owner[some])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(posts[some]), *(batch.column(c).take(row) for c in ("cls", "n", "b1", "b2")), pa.array(at[some].astype(np.int32))],
-                ["word", "cls", "n", "b1", "b2", "at"])
-
-    return classes.select("rare", "cls", "n", "b1", "b2").mapInArrow(
-        run, "word int, cls long, n int, b1 long, b2 long, at int")
-
-
 def _keys(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """128-bit keys of sets, as two rows."""
     n = np.diff(bounds)
@@ -171,41 +134,23 @@ def removed_lines(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id", te
     """doc_id, line (from 0) and removed, for every line of every document with an id."""
     docs = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")
                        ).where("doc_id IS NOT NULL")
-    lines = cut_lineage(line_table(docs, rarity(docs), percent))
+    lines = written(line_table(docs, rarity(docs), percent))
     first = lines.where("n > 0").groupBy("k1", "k2").agg(
         F.min(F.struct("doc_id", "line")).alias("first"), *(F.first(c).alias(c) for c in ("n", "b1", "b2", "rare")))
     # Numbers of classes follow the order of their first lines.
-    parts = max(1, -(-lines.count() // ROWS_PER_TASK))
-    classes = cut_lineage(first.repartitionByRange(parts, "first").sortWithinPartitions("first")).withColumn(
-        "cls", F.monotonically_increasing_id())
-    lengths = list_lengths(classes)
-
-    def similar(a, b):
-        """Length, positional and bitmap filter: what every similar pair passes."""
-        x, y, i, j = (F.col(c) for c in (f"{a}n", f"{b}n", f"{a}at", f"{b}at"))
-        apart = sum(F.bit_count(F.col(f"{a}{c}").bitwiseXOR(F.col(f"{b}{c}"))) for c in ("b1", "b2"))
-        return ((100 * F.least(x, y) >= percent * F.greatest(x, y))
-                & ((100 + percent) * F.least(x - i, y - j) >= percent * (x + y))
-                & ((100 + percent) * apart <= (100 - percent) * (x + y)))
-
-    def named(df, prefix):
-        return df.select("word", *(F.col(c).alias(f"{prefix}_{c}") for c in df.columns if c != "word"))
-
-    frequent = postings(classes, lengths, LONG_LIST)
+    classes = written(first.repartitionByRange("first").sortWithinPartitions("first").withColumn("cls", F.monotonically_increasing_id()))
+    lengths = classes.select(F.explode("rare").alias("word")).groupBy("word").count().where(F.col("count") >= LONG_LIST)
+    lengths = small_side(lengths)
+
+    frequent = _posted(classes).join(lengths, "word", "left_semi")
     heads = cut_lineage(frequent.groupBy("word").agg(F.min(F.struct("cls", "n", "b1", "b2", "at")).alias("head"))).select("word", "head.*")
-    tried = cut_lineage(named(frequent, "o").join(named(heads, "h"), "word").where(
-        (F.col("o_cls") != F.col("h_cls")) & similar("o_", "h_")).select(
+    tried = cut_lineage(_named(frequent, "o").join(small_side(_named(heads, "h")), "word").where(
+        (F.col("o_cls") != F.col("h_cls")) & _similar("o_", "h_", percent)).select(
         F.col("h_cls").alias("a"), F.col("o_cls").alias("b")).distinct())
     done = cut_lineage(_confirm(tried, docs, classes, percent).select(F.col("b").alias("cls")).distinct())
-    # Both sides of the join read one exchange, so they have the same columns: a class that is decided has the number
-    # -1 - cls, which is smaller than any other and so is never the later of two.
-    number = F.when(F.col("done").isNull(), F.col("cls")).otherwise(-1 - F.col("cls"))
-    opened = classes.join(done.withColumn("done", F.lit(True)), "cls", "left").withColumn("cls", number)
-    posted = postings(opened, lengths, 2)
-    earlier = F.greatest(F.col("x_cls"), -1 - F.col("x_cls"))
-    pairs = cut_lineage(named(posted, "x").join(named(posted, "y"), "word").where(
-        (earlier < F.col("y_cls")) & similar("x_", "y_")).select(
-        earlier.alias("a"), F.col("y_cls").alias("b")).distinct())
+    # Classes that are decided only serve as the earlier of two.
+    opened = classes.join(small_side(done).withColumn("done", F.lit(True)), "cls", "left").withColumn("done", F.col("done").isNotNull())
+    pairs = cut_lineage(_meet(_posted(opened, "done"), lengths, percent).distinct())
     gone = done.union(_confirm(pairs, docs, classes, percent).select(F.col("b").alias("cls"))).distinct()
     decided = cut_lineage(classes.join(gone.withColumn("gone", F.lit(True)), "cls", "left").select("k1", "k2", "first", "gone"))
     return lines.select("doc_id", "line", "k1", "k2").join(decided, ["k1", "k2"], "left").select(
@@ -213,6 +158,83 @@ def removed_lines(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id", te
             F.col("gone") | (F.struct("doc_id", "line") != F.col("first")), F.lit(False)).alias("removed"))
 
 
+def _posted(classes: DataFrame, *more: str) -> DataFrame:
+    """A row per class and posted word: word, cls, n, b1, b2 and at (the word's place)."""
+    return classes.select("cls", "n", "b1", "b2", *more, F.posexplode("rare").alias("at", "word"))
+
+
+def _named(df: DataFrame, prefix: str) -> DataFrame:
+    return df.select("word", *(F.col(c).alias(f"{prefix}_{c}") for c in df.columns if c != "word"))
+
+
+def _similar(a: str, b: str, percent: int):
+    """Length, positional and bitmap filter: what every similar pair passes."""
+    x, y, i, j = (F.col(c) for c in (f"{a}n", f"{b}n", f"{a}at", f"{b}at"))
+    apart = sum(F.bit_count(F.col(f"{a}{c}").bitwiseXOR(F.col(f"{b}{c}"))) for c in ("b1", "b2"))
+    return ((100 * F.least(x, y) >= percent * F.greatest(x, y))
+            & ((100 + percent) * F.least(x - i, y - j) >= percent * (x + y))
+            & ((100 + percent) * apart <= (100 - percent) * (x + y)))
+
+
+def _meet(posted: DataFrame, lengths: DataFrame, percent: int) -> DataFrame:
+    """Pairs a < b of classes that share a posted word and pass the filters, b undecided; a pair may come more than once.
+
+    Postings are dealt out by word once and sorted by size, so a task looks only at partners of the right length. A word of
+    many postings is dealt in blocks, and every two of its blocks meet in a task of their own.
+    """
+    blocks = F.ceil(F.col("count") / HOT_LIST)
+    hot = lengths.where(F.col("count") > HOT_LIST).select("word", blocks.alias("blocks"))
+    whole = posted.join(small_side(hot), "word", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
+    whole = whole.withColumn("own", F.pmod(F.xxhash64("cls"), "blocks")).withColumn(
+        "other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    key = ["word", "i", "j"]
+    columns = [*key, "n", "own", "cls", "done", "b1", "b2", "at"]
+    runs = whole.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).select(*columns).repartition(
+        *key).sortWithinPartitions(*key, "n")
+
+    def pairs(batch):
+        word, i, j, n, own, cls, b1, b2, at = (batch.column(c).to_numpy() for c in columns if c != "done")
+        done = batch.column("done").to_numpy(zero_copy_only=False)
+        start = np.ones(len(n), bool)
+        start[1:] = (word[1:] != word[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+        group = np.cumsum(start).astype(np.int64)
+        wide = np.int64(int(n.max()) * 100 // percent + 2)
+        end = np.searchsorted(group * wide + n, group * wide + 100 * n.astype(np.int64) // percent, side="right")
+        many = end - np.arange(len(n)) - 1
+        ahead = np.concatenate([[0], np.cumsum(many)])
+        at_row = 0
+        while at_row < len(n):
+            stop = max(at_row + 1, int(np.searchsorted(ahead, ahead[at_row] + PAIRS, side="right")) - 1)
+            rows = np.arange(at_row, stop)
+            x = np.repeat(rows, many[rows])
+            y = spread(rows + 1, many[rows])
+            at_row = stop
+            both = n[x].astype(np.int64) + n[y]
+            good = (i[x] == j[x]) | (own[x] != own[y])
+            good &= (100 + percent) * np.minimum(n[x] - at[x], n[y] - at[y]) >= percent * both
+            x, y, both = x[good], y[good], both[good]
+            apart = np.bitwise_count(b1[x] ^ b1[y]).astype(np.int64) + np.bitwise_count(b2[x] ^ b2[y])
+            a, b = np.minimum(cls[x], cls[y]), np.maximum(cls[x], cls[y])
+            good = ((100 + percent) * apart <= (100 - percent) * both) & (a != b) & ~done[np.where(cls[x] > cls[y], x, y)]
+            yield pa.RecordBatch.from_arrays([pa.array(a[good]), pa.array(b[good])], ["a", "b"])
+
+    def look(batches):
+        held = None
+        for batch in batches:
+            held = batch if held is None else pa.concat_batches([held, batch])
+            if not held.num_rows:
+                continue
+            own = [held.column(c).to_numpy() for c in key]
+            change = np.nonzero(np.any([g[1:] != g[:-1] for g in own], axis=0))[0]
+            if len(change):
+                yield from pairs(held.slice(0, change[-1] + 1))
+                held = held.slice(change[-1] + 1)
+        if held is not None and held.num_rows:
+            yield from pairs(held)
+
+    return runs.mapInArrow(look, "a long, b long")
+
+
 def _confirm(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs whose full sets are similar; only the documents with the first lines of their classes are read again."""
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
@@ -238,15 +260,15 @@ def _confirm(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int
 
 def dedup_lines(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents without their removed lines; all columns stay, a text of which nothing is left is empty."""
-    gone = removed_lines(docs, percent, doc_id, text).where("removed").groupBy(F.col("doc_id").alias("__doc")).agg(
-        F.collect_set("line").alias("__gone"))
-    kept = F.array_join(F.filter(
-        F.transform(F.split(F.col(f"`{text}`"), "\n", -1), lambda x, i: F.struct(x.alias("x"), i.alias("i"))),
-        lambda s: ~F.array_contains("__gone", s["i"])).getField("x"), "\n")
-    joined = docs.join(gone, docs[f"`{doc_id}`"].cast("long") == F.col("__doc"), "left")
+    places = removed_lines(docs, percent, doc_id, text).groupBy("doc_id", "line").agg(F.max("removed").alias("removed"))
+    gone = places.groupBy("doc_id").agg(
+        F.sort_array(F.collect_list(F.struct("line", "removed"))).getField("removed").alias("gone"), F.max("removed").alias("some")).where("some")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(f"`{doc_id}`").cast("long").alias("doc_id"))
+    joined = rows.join(gone, "doc_id", "left")
+    old = F.col(f"row.`{text}`")
+    kept = F.array_join(F.filter(F.split(old, "\n", -1), lambda x, i: ~F.get("gone", i)), "\n")
     return joined.select(*(
-        F.when(F.col("__gone").isNull(), F.col(f"`{text}`")).otherwise(kept).alias(c) if c == text else F.col(f"`{c}`")
-        for c in docs.columns))
+        F.when(F.col("gone").isNull(), old).otherwise(kept).alias(c) if c == text else F.col(f"row.`{c}`") for c in docs.columns))
 
 
 def summary(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
