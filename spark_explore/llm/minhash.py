@@ -14,8 +14,8 @@
 At the threshold a pair shares no band with a probability of at most (1 - s^4)^32: 5e-11 at 0.85, 5e-8 at 0.8;
 its estimate falls below the bound of step 3 with a probability of 3e-7.
 
-Edge cases: texts without words have no shingles and no links; a null text is empty; rows that repeat an id
-are one vertex; rows without an id take no part and are kept; an empty table gives no rows; extra columns are ignored.
+Edge cases: texts without words have no shingles and no links; a null text is empty; very long texts are read alone and whole; rows that
+repeat an id are one vertex, with the links of all their texts; rows without an id take no part and are kept; an empty table gives no rows; extra columns are ignored.
 """
 
 import numpy as np
@@ -63,6 +63,11 @@ def similarity(one: np.ndarray, other: np.ndarray) -> np.ndarray:
     return (same - chance) / (1 - chance)
 
 
+def set_keys(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """128-bit keys of (not empty) sets, as two rows."""
+    return np.stack([np.add.reduceat(values, bounds[:-1]) for values in (mix(sets), mix(sets ^ M1))])
+
+
 def features(docs: DataFrame, width: int = 5) -> DataFrame:
     """doc_id, n (shingles), the 128-bit key of the set, signature and band keys (null for an empty set)."""
     def run(batches):
@@ -75,8 +80,7 @@ def features(docs: DataFrame, width: int = 5) -> DataFrame:
             keys = np.empty((0, BANDS), np.uint64)
             if len(some):
                 inner = np.append(bounds[:-1][some], len(sets))
-                for i, values in enumerate((mix(sets), mix(sets ^ M1))):
-                    key[i, some] = np.add.reduceat(values, inner[:-1])
+                key[:, some] = set_keys(sets, inner)
                 low = minima(sets, inner)
                 signature = pack_bits(low)
                 keys = np.zeros((len(some), BANDS), np.uint64)
@@ -99,48 +103,52 @@ def features(docs: DataFrame, width: int = 5) -> DataFrame:
         run, "doc_id long, n long, k1 long, k2 long, signature binary, bands array<long>")
 
 
-def candidate_sets(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """``id`` and its sorted shingles, for the documents that occur in ``pairs``; texts are not shuffled."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))
-    bits = docs.sparkSession.sparkContext.broadcast(bitmap(ids).tobytes())
-
-    def sets(batches):
-        for batch in batches:
-            for part in text_chunks([batch.filter(in_bitmap(bits.value, batch.column("spot").to_numpy()))], "text"):
-                found, bounds = shingle_sets(part.column("text"), width)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), set_bytes(found, bounds)], ["id", "shingles"])
-
-    found = docs.select("doc_id", "text", spot("doc_id").alias("spot")).mapInArrow(sets, "id long, shingles binary")
-    return cut_lineage(found.join(ids.distinct(), "id", "left_semi").groupBy("id").agg(F.min("shingles").alias("shingles")))
-
+def _keyed(ids: DataFrame, docs: DataFrame, classes: DataFrame, width: int, schema: str, make) -> DataFrame:
+    """``id`` and what ``make`` gives for the shingle sets of the classes in ``ids``; texts are not shuffled.
 
-def wide_signatures(ids: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """``rep`` and a signature of ``WIDE`` minima, for the documents in ``ids``; texts are not shuffled."""
-    bits = docs.sparkSession.sparkContext.broadcast(bitmap(ids).tobytes())
+    Sets are known by their keys, since a document id may come with several texts.
+    """
+    needed = cut_lineage(ids.distinct().join(classes.select(F.col("cls").alias("id"), "rep", "k1", "k2"), "id"))
+    sc = docs.sparkSession.sparkContext
+    in_docs = sc.broadcast(bitmap(needed.select(F.col("rep").alias("id"))).tobytes())
 
     def run(batches):
         for batch in batches:
-            for part in text_chunks([batch.filter(in_bitmap(bits.value, batch.column("spot").to_numpy()))], "text", 1 << 20):
+            for part in text_chunks([batch.filter(in_bitmap(in_docs.value, batch.column("spot").to_numpy()))], "text", 1 << 20):
                 sets, bounds = shingle_sets(part.column("text"), width)
                 some = np.nonzero(np.diff(bounds))[0]
                 if len(some):
-                    packed = pack_bits(minima(sets, np.append(bounds[:-1][some], len(sets)), WIDE))
-                    yield pa.RecordBatch.from_arrays(
-                        [part.column("doc_id").take(pa.array(some)), pa.array([w.tobytes() for w in packed], pa.binary())], ["rep", "wide"])
+                    bounds = np.append(bounds[:-1][some], len(sets))
+                    key = set_keys(sets, bounds)
+                    yield pa.RecordBatch.from_arrays([*(pa.array(k.view(np.int64)) for k in key), make(sets, bounds)], ["k1", "k2", "made"])
 
-    found = docs.select("doc_id", "text", spot("doc_id").alias("spot")).mapInArrow(run, "rep long, wide binary")
-    return cut_lineage(found.join(ids.withColumnRenamed("id", "rep"), "rep", "left_semi").groupBy("rep").agg(F.min("wide").alias("wide")))
+    found = docs.select("text", spot("doc_id").alias("spot")).mapInArrow(run, f"k1 long, k2 long, made {schema}")
+    return cut_lineage(found.join(needed.select("id", "k1", "k2"), ["k1", "k2"]).groupBy("id").agg(F.first("made").alias("made")))
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+def candidate_sets(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
+    """``id`` and its sorted shingles, for the classes that occur in ``pairs``."""
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))
+    return _keyed(ids, docs, classes, width, "binary", set_bytes).withColumnRenamed("made", "shingles")
+
+
+def wide_signatures(ids: DataFrame, docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
+    """``cls`` and a signature of ``WIDE`` minima, for the classes in ``ids``."""
+    def make(sets, bounds):
+        return pa.array([w.tobytes() for w in pack_bits(minima(sets, bounds, WIDE))], pa.binary())
+
+    return _keyed(ids, docs, classes, width, "binary", make).toDF("cls", "wide")
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs ``a``, ``b`` whose full sets of shingles have 100 * intersection >= percent * union."""
-    return confirmed_sets(pairs, candidate_sets(pairs, docs, width), percent)
+    return confirmed_sets(pairs, candidate_sets(pairs, docs, classes, width), percent)
 
 
 def _first_pairs(buckets: DataFrame, classes: DataFrame, lowest: float, percent: int) -> DataFrame:
     """Pairs of each class with the first class of its buckets that look similar enough."""
-    pairs = buckets.where("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct()
-    light = classes.select("rep", "n", "signature")
+    pairs = buckets.where("cls <> first").select(F.col("first").alias("a"), F.col("cls").alias("b")).distinct()
+    light = classes.select("cls", "n", "signature")
     pairs = pairs.join(light.toDF("a", "n_a", "s_a"), "a").join(light.toDF("b", "n_b", "s_b"), "b").where(
         100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
 
@@ -156,19 +164,19 @@ def _first_pairs(buckets: DataFrame, classes: DataFrame, lowest: float, percent:
 
 def _cross_pairs(buckets: DataFrame, classes: DataFrame, labels: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Pairs within buckets that lie in different components and look similar enough."""
-    named = buckets.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(
-        "band", "rep", "first", F.coalesce("component", "rep").alias("own"))
-    home = named.where("rep = first").select("band", F.col("own").alias("home"))
+    named = buckets.join(labels.withColumnRenamed("id", "cls"), "cls", "left").select(
+        "band", "cls", "first", F.coalesce("component", "cls").alias("own"))
+    home = named.where("cls = first").select("band", F.col("own").alias("home"))
     named = named.join(cut_lineage(home), "band")
     mixed = named.groupBy("band").agg(
         F.count("*").alias("all"), F.count(F.when(F.col("own") != F.col("home"), 1)).alias("strays")).where("strays > 0")
     lowest = percent / 100 - SLACK
     named = cut_lineage(named.join(cut_lineage(mixed), "band"))
-    wide = wide_signatures(named.select(F.col("rep").alias("id")).distinct(), docs, width)
-    light = classes.join(wide, "rep").select("rep", "n", "signature", "wide", F.transform("bands", lambda b: b.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("bands"))
-    named = named.join(cut_lineage(light), "rep").withColumns({
-        "blocks_i": F.ceil(F.col("strays") / BLOCK), "blocks_j": F.ceil(F.col("all") / BLOCK), "h": F.xxhash64("rep")})
-    rows = ["band", "i", "j", "side", "rep", "own", "n", "signature", "wide", "bands"]
+    wide = wide_signatures(named.select(F.col("cls").alias("id")), docs, classes, width)
+    light = classes.join(wide, "cls").select("cls", "n", "signature", "wide", F.transform("bands", lambda b: b.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("bands"))
+    named = named.join(cut_lineage(light), "cls").withColumns({
+        "blocks_i": F.ceil(F.col("strays") / BLOCK), "blocks_j": F.ceil(F.col("all") / BLOCK), "h": F.xxhash64("cls")})
+    rows = ["band", "i", "j", "side", "cls", "own", "n", "signature", "wide", "bands"]
     strays = named.where("own <> home").withColumn("i", F.pmod("h", "blocks_i")).withColumn(
         "j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks_j") - 1))).withColumn("side", F.lit(0))
     members = named.withColumn("j", F.pmod("h", "blocks_j")).withColumn(
@@ -176,7 +184,7 @@ def _cross_pairs(buckets: DataFrame, classes: DataFrame, labels: DataFrame, docs
 
     def block(batch):
         side = batch.column("side").to_numpy()
-        rep, own, n = (batch.column(c).to_numpy() for c in ("rep", "own", "n"))
+        rep, own, n = (batch.column(c).to_numpy() for c in ("cls", "own", "n"))
         signature, wide = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(len(rep), -1)
                            for c in ("signature", "wide"))
         s, m = np.nonzero(side == 0)[0], np.nonzero(side == 1)[0]
@@ -216,7 +224,7 @@ def _cross_pairs(buckets: DataFrame, classes: DataFrame, labels: DataFrame, docs
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in block(held)], ["a", "b"])
 
     runs = strays.select(*rows).unionByName(members.select(*rows)).repartition("band", "i", "j").sortWithinPartitions(
-        "band", "i", "j", "side", "rep")
+        "band", "i", "j", "side", "cls")
     return runs.mapInArrow(look, "a long, b long").distinct()
 
 
@@ -226,23 +234,38 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, doc_id:
     lowest = percent / 100 - SLACK
     found = cut_lineage(features(docs, width))
     some = found.where("n > 0 AND doc_id IS NOT NULL")
+    # A document that comes with several texts is in several classes.
     classes = cut_lineage(some.groupBy("k1", "k2").agg(
         F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("signature").alias("signature"),
-        F.first("bands").alias("bands")))
-    posted = classes.select("rep", F.explode("bands").alias("band"))
-    shared = cut_lineage(posted.groupBy("band").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).where(
+        F.first("bands").alias("bands")).withColumn("cls", F.monotonically_increasing_id()))
+    posted = classes.select("cls", F.explode("bands").alias("band"))
+    shared = cut_lineage(posted.groupBy("band").agg(F.min("cls").alias("first"), F.max("cls").alias("last")).where(
         "first < last").select("band", "first"))
-    buckets = cut_lineage(posted.join(shared, "band").select("band", "rep", "first"))
-    links = cut_lineage(confirmed(cut_lineage(_first_pairs(buckets, classes, lowest, percent)), docs, width, percent))
+    buckets = cut_lineage(posted.join(shared, "band").select("band", "cls", "first"))
+    links = cut_lineage(confirmed(cut_lineage(_first_pairs(buckets, classes, lowest, percent)), docs, classes, width, percent))
+    links = _with_shared_ids(links, some, classes)
     labels = components(links)
     more = cut_lineage(_cross_pairs(buckets, classes, labels, docs, width, percent))
     if not more.isEmpty():
-        links = links.unionByName(cut_lineage(confirmed(more, docs, width, percent)))
+        links = links.unionByName(cut_lineage(confirmed(more, docs, classes, width, percent)))
         labels = components(links)
-    named = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(
-        "k1", "k2", F.coalesce("component", "rep").alias("component"))
+    named = classes.join(labels.withColumnRenamed("id", "cls"), "cls", "left").select(
+        "k1", "k2", "rep", F.coalesce("component", "cls").alias("component"))
+    smallest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
+    named = cut_lineage(named.join(smallest, "component").select("k1", "k2", "component_id"))
     alone = F.col("n") == 0
-    return found.select("doc_id", "n", "k1", "k2").join(cut_lineage(named), ["k1", "k2"], "left").select(
+    return found.select("doc_id", "n", "k1", "k2").join(named, ["k1", "k2"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
-        F.when(alone, F.col("doc_id")).otherwise(F.when(F.col("doc_id").isNotNull(), F.col("component"))).alias("component_id"),
+        F.when(alone, F.col("doc_id")).otherwise(F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).alias("component_id"),
     ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def _with_shared_ids(links: DataFrame, some: DataFrame, classes: DataFrame) -> DataFrame:
+    """``links`` and those between the classes of documents whose id comes with several texts."""
+    several = cut_lineage(some.groupBy("doc_id").agg(
+        F.min(F.struct("k1", "k2")).alias("low"), F.max(F.struct("k1", "k2")).alias("high")).where("low <> high").select("doc_id"))
+    if several.isEmpty():
+        return links
+    held = some.join(several, "doc_id").select("doc_id", "k1", "k2").distinct().join(classes.select("k1", "k2", "cls"), ["k1", "k2"])
+    first = held.groupBy("doc_id").agg(F.min("cls").alias("a"))
+    return links.unionByName(cut_lineage(held.join(first, "doc_id").where("a < cls").select("a", F.col("cls").alias("b"))))

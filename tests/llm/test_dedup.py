@@ -56,6 +56,20 @@ def test_near_duplicates_equal_brute_force(spark, seed, block, percent, monkeypa
     assert got[None] == (len(sets[0]), None, True)
 
 
+def test_an_id_with_several_texts_keeps_the_links_of_all(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(5, a), (5, b), (6, a + " more"), (7, b + " more"), (3, a), (9, c), (9, c), (8, c + " more"), (4, None), (4, "")]
+    docs = spark.createDataFrame([(i, t, "x", "y", 1) for i, t in rows], SCHEMA).repartition(4)
+    got = sorted(tuple(r)[:1] + tuple(r)[2:] for r in minhash.near_duplicates(docs, 85).collect())
+    assert got == sorted([(i, 3, i == 3) for i in (3, 5, 5, 6, 7)] + [(i, 8, i == 8) for i in (8, 9, 9)] + [(4, 4, True)] * 2)
+
+
+def test_long_texts(spark):
+    text = " ".join(f"w{i % 5000}x{i // 7}" for i in range(200_000))
+    docs = spark.createDataFrame([(1, text, "x", "y", 1), (2, text + " end", "x", "y", 1), (3, "w1 w2", "x", "y", 1)], SCHEMA)
+    assert [r["component_id"] for r in minhash.near_duplicates(docs).orderBy("doc_id").collect()] == [1, 1, 3]
+
+
 def test_no_documents(spark):
     docs = spark.createDataFrame([], SCHEMA)
     assert minhash.near_duplicates(docs).count() == 0
@@ -97,9 +111,10 @@ def removed_by_brute_force(rows, percent):
     return out
 
 
-@pytest.mark.parametrize("seed,long_list", [(0, 64), (1, 2), (2, 3)])
-def test_lines_equal_brute_force(spark, seed, long_list, monkeypatch):
+@pytest.mark.parametrize("seed,long_list,hot_list", [(0, 64, 8192), (1, 2, 3), (2, 3, 5), (3, 10**6, 8192)])
+def test_lines_equal_brute_force(spark, seed, long_list, hot_list, monkeypatch):
     monkeypatch.setattr(line_dedup, "LONG_LIST", long_list)
+    monkeypatch.setattr(line_dedup, "HOT_LIST", hot_list)
     rng = random.Random(seed)
     pool = [[f"w{rng.randint(0, 60)}" for _ in range(rng.randint(1, 25))] for _ in range(12)]
     rows = []
