@@ -28,7 +28,7 @@ PER_LANGUAGE = 400
 WINDOWS_PER_DOCUMENT = 4
 MAX_LANGUAGES = 512
 STEPS, BATCH, RATE = 300, 128, 0.02
-BLOCK = 2048  # windows that are read side by side
+BLOCK = 4096  # windows that are read side by side
 
 
 def sigmoid(x):
@@ -86,16 +86,50 @@ def _read(model: Model, codes: np.ndarray, direction: int, tape: list | None = N
     return out
 
 
+def _states(model: Model, codes: np.ndarray, direction: int) -> np.ndarray:
+    """``_read`` without a tape, for many windows: every gate has its own whole arrays, and both squashing functions come from exp."""
+    h = model.memory.shape[1]
+    inputs, gates, memory = model.inputs[direction], model.gates[direction], model.memory[direction]
+    update, reset, fresh = (np.ascontiguousarray(v) for v in (-inputs[:, :h], -inputs[:, h:2 * h], 2 * inputs[:, 2 * h:]))
+    to_update, to_reset, to_fresh = np.ascontiguousarray(-gates[:, :h]), np.ascontiguousarray(-gates[:, h:]), 2 * memory
+    out = np.empty((*codes.shape, h), np.float32)
+    state = np.zeros((codes.shape[1], h), np.float32)
+    z, r, c, x = (np.empty_like(state) for _ in range(4))
+    steps = range(len(codes)) if direction == 0 else range(len(codes) - 1, -1, -1)
+    with np.errstate(over="ignore"):  # exp may be infinite: one over it is 0
+        for t in steps:
+            own = codes[t]
+            # z and r hold one over their gates.
+            for gate, table, weights in ((z, update, to_update), (r, reset, to_reset)):
+                np.matmul(state, weights, out=gate)
+                gate += table.take(own, axis=0, out=x, mode="clip")
+                np.exp(gate, out=gate)
+                gate += 1
+            np.divide(state, r, out=r)
+            np.matmul(r, to_fresh, out=c)
+            c += fresh.take(own, axis=0, out=x, mode="clip")
+            np.exp(c, out=c)
+            c += 1
+            np.divide(-2, c, out=c)
+            c += 1
+            state -= c
+            state /= z
+            state += c
+            out[t] = state
+    return out
+
+
 def probabilities(model: Model, codes: np.ndarray) -> np.ndarray:
-    """Distribution over languages at every byte: (length, windows, languages)."""
+    """Distribution over languages at every byte: (languages, length, windows)."""
     h = model.memory.shape[1]
-    score = _read(model, codes, 0) @ model.out[:h]
-    score += _read(model, codes, 1) @ model.out[h:]
-    score += model.bias
-    score -= score.max(-1, keepdims=True)
+    codes = codes.astype(np.intp)
+    score = model.out[:h].T @ _states(model, codes, 0).reshape(-1, h).T
+    score += model.out[h:].T @ _states(model, codes, 1).reshape(-1, h).T
+    score += model.bias[:, None]
+    score -= score.max(0)
     np.exp(score, out=score)
-    score /= score.sum(-1, keepdims=True)
-    return score
+    score /= score.sum(0)
+    return score.reshape(-1, *codes.shape)
 
 
 def gradients(model: Model, codes: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> tuple[float, dict]:
@@ -245,11 +279,13 @@ def scores(model: Model | None, data: bytes, offsets: np.ndarray, by_window: boo
     pooled = np.zeros((n, len(model.languages)))
     sure = np.zeros(n)
     windows, weight, owner = cut(data, offsets, letters)
+    some = weight.any(1)
+    windows, weight, owner = windows[some], weight[some], owner[some]
     for at in range(0, len(windows), BLOCK):
         part = slice(at, at + BLOCK)
         p = probabilities(model, windows[part].T)
-        p *= weight[part].T[..., None]
-        own = p.sum(0, dtype=np.float64)
+        p *= weight[part].T
+        own = p.sum(1, dtype=np.float64).T
         np.add.at(pooled, owner[part], own)
         np.add.at(sure, owner[part], own.max(1))
     pooled /= np.maximum(many, 1)[:, None]
