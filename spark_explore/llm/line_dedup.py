@@ -194,6 +194,7 @@ def _meet(posted: DataFrame, lengths: DataFrame, percent: int) -> DataFrame:
 
     def pairs(batch):
         word, i, j, n, own, cls, b1, b2, at = (batch.column(c).to_numpy() for c in columns if c != "done")
+        b1, b2 = b1.view(np.uint64), b2.view(np.uint64)
         done = batch.column("done").to_numpy(zero_copy_only=False)
         start = np.ones(len(n), bool)
         start[1:] = (word[1:] != word[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
