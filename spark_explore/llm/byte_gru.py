@@ -224,17 +224,21 @@ def _columns(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
 
 
-def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, text: str = "text", lang: str = "lang") -> Model | None:
-    """The model for labelled documents; None without any. A sampled document is drawn by the hash of its text."""
-    rows = labelled.select(F.col(f"`{text}`").cast("string").alias("text"), F.col(f"`{lang}`").cast("string").alias("lang")
+def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, doc_id: str = "doc_id", text: str = "text", lang: str = "lang",
+        reject: bool = False) -> Model | None:
+    """The model for labelled documents; None without any. A sampled document is drawn by the hash of its text and id.
+
+    With ``reject`` there is one more class, named None: what no language looks like (``strange_windows``).
+    """
+    rows = labelled.select(*(F.col(f"`{c}`").cast("string").alias(name) for c, name in ((doc_id, "doc_id"), (text, "text"), (lang, "lang")))
                            ).where("text IS NOT NULL AND lang IS NOT NULL")
     counts = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
     if not counts:
         return None
     languages = sorted(counts)
-    # Each language's share of hashes; copies of a text share their hash, so they are told apart by a row number of their task.
+    # Each language's share of hashes, which depend on the rows alone, not on their places in files.
     share = F.create_map(*[x for k in languages for x in (F.lit(k), F.lit(min(1.0, per_language / counts[k])))])
-    drawn = F.pmod(F.xxhash64("text", F.monotonically_increasing_id()), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30)
+    drawn = F.pmod(F.xxhash64("text", "doc_id"), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30)
     sample = rows.where(drawn).select("text", "lang").mapInArrow(
         lambda batches: _sampled(batches, languages), "windows binary, letters binary, label int")
     parts, letters, labels = [], [], []
@@ -244,7 +248,39 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, text: str = "text
         labels.append(np.full(len(parts[-1]), label))
     if not parts:
         return None
-    return train(np.concatenate(parts), np.concatenate(letters), np.concatenate(labels), languages)
+    windows, letters, labels = np.concatenate(parts), np.concatenate(letters), np.concatenate(labels)
+    if reject:
+        strange, own = strange_windows(windows, letters, -(-len(windows) // len(languages)))
+        windows, letters = np.concatenate([windows, strange]), np.concatenate([letters, own])
+        labels = np.append(labels, np.full(len(strange), len(languages)))
+        languages = [*languages, None]
+    return train(windows, letters, labels, languages)
+
+
+# First and last letters of the blocks that strange windows are drawn from: Greek, Cyrillic, Hebrew, Arabic, Devanagari, Thai, kana, Han, Hangul.
+SCRIPTS = ((0x3B1, 0x3C9), (0x430, 0x44F), (0x5D0, 0x5EA), (0x627, 0x64A), (0x905, 0x939), (0xE01, 0xE2E), (0x3041, 0x3096),
+           (0x4E00, 0x9FFF), (0xAC00, 0xD7A3))
+
+
+def strange_windows(windows: np.ndarray, letters: np.ndarray, count: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
+    """``count`` windows that are no language, and which of their bytes are letters: sampled windows with their ASCII letters in random order or
+    replaced by random ones, and words of random letters of some script."""
+    rng = np.random.default_rng(seed)
+    out, own = windows[rng.integers(0, len(windows), count)].copy(), np.zeros((count, windows.shape[1]), bool)
+    for i in range(count):
+        ascii_letters = np.nonzero(((out[i] | 32) >= 97) & ((out[i] | 32) <= 122))[0]
+        kind = rng.integers(3)
+        if kind == 0:
+            out[i, ascii_letters] = rng.permutation(out[i, ascii_letters])
+        elif kind == 1:
+            out[i, ascii_letters] = rng.integers(97, 123, len(ascii_letters))
+        else:
+            low, high = SCRIPTS[rng.integers(len(SCRIPTS))]
+            text = "".join(chr(c) if rng.random() > 0.15 else " " for c in rng.integers(low, high + 1, windows.shape[1]))
+            out[i] = np.frombuffer(text.encode()[:windows.shape[1]], np.uint8)
+            ascii_letters = np.nonzero(out[i] >= 0x80)[0]
+        own[i, ascii_letters] = True
+    return out, own
 
 
 def _sampled(batches, languages):
@@ -265,33 +301,30 @@ def _sampled(batches, languages):
             [pa.array(out[0], pa.binary()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.int32())], ["windows", "letters", "label"])
 
 
-def scores(model: Model | None, data: bytes, offsets: np.ndarray, by_window: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Number of the likeliest language of every text (-1: none) and its pooled probability.
-
-    With ``by_window`` the second is how sure single windows are: the mean, by letters, of the probability of each window's likeliest
-    language. It is never lower, and a text in several languages has a high one too.
-    """
-    n = len(offsets) - 1
+def pooled(model: Model | None, data: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Letters of every text, and the mean over its letters of the probability of each language."""
     letters = letter_bytes(data)
     many = sums(letters, offsets)
-    if model is None or not many.any():
-        return np.full(n, -1), np.zeros(n)
-    pooled = np.zeros((n, len(model.languages)))
-    sure = np.zeros(n)
-    windows, weight, owner = cut(data, offsets, letters)
-    some = weight.any(1)
-    windows, weight, owner = windows[some], weight[some], owner[some]
-    for at in range(0, len(windows), BLOCK):
-        part = slice(at, at + BLOCK)
-        p = probabilities(model, windows[part].T)
-        p *= weight[part].T
-        own = p.sum(1, dtype=np.float64).T
-        np.add.at(pooled, owner[part], own)
-        np.add.at(sure, owner[part], own.max(1))
-    pooled /= np.maximum(many, 1)[:, None]
-    best = pooled.argmax(1)
-    score = np.clip(sure / np.maximum(many, 1) if by_window else pooled[np.arange(n), best], 0, 1)
-    return np.where(many > 0, best, -1), np.where(many > 0, score, 0.0)
+    total = np.zeros((len(many), len(model.languages) if model else 1))
+    if model is not None and many.any():
+        windows, weight, owner = cut(data, offsets, letters)
+        some = weight.any(1)
+        windows, weight, owner = windows[some], weight[some], owner[some]
+        for at in range(0, len(windows), BLOCK):
+            part = slice(at, at + BLOCK)
+            p = probabilities(model, windows[part].T)
+            p *= weight[part].T
+            np.add.at(total, owner[part], p.sum(1, dtype=np.float64).T)
+        total /= np.maximum(many, 1)[:, None]
+    return many, total
+
+
+def scores(model: Model | None, data: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number of the likeliest language of every text (-1: none) and its pooled probability."""
+    many, total = pooled(model, data, offsets)
+    some = (many > 0) & (model is not None)
+    best = total.argmax(1)
+    return np.where(some, best, -1), np.where(some, np.clip(total[np.arange(len(best)), best], 0, 1), 0.0)
 
 
 def identify(docs: DataFrame, model: Model | None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -320,19 +353,18 @@ def predict_all(docs: DataFrame) -> DataFrame:
     return identify(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-def reject_unknown(docs: DataFrame, least: float = 0.4) -> DataFrame:
-    """The documents whose windows are recognised with a probability of at least ``least`` on average; all columns stay.
-
-    A document in several languages stays, as each of its windows is recognised.
+def reject_unknown(docs: DataFrame, most: float = 0.5) -> DataFrame:
+    """The documents that look like no language by less than ``most``; all columns stay. Documents without a letter go.
 
-    Rows are scored as they pass, so rows that repeat an id are judged one by one.
+    The model has a class for what is no language, and its probability is pooled over the letters; so a document in several languages stays. Rows
+    are scored as they pass, so rows that repeat an id are judged one by one. Without labelled documents nothing is recognised.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs.where(~held_out())))
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs.where(~held_out()), reject=True))
 
     def run(batches):
         own = shared.value
         for batch in text_chunks(batches, "text"):
-            best, score = scores(own, *text_bytes(batch.column("text")), by_window=True)
-            yield batch.filter(pa.array((best >= 0) & (score >= least)))
+            many, total = pooled(own, *text_bytes(batch.column("text")))
+            yield batch.filter(pa.array((many > 0) & (own is not None) & (total[:, -1] < most)))
 
     return docs.mapInArrow(run, docs.schema)

@@ -5,6 +5,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from spark_explore.llm import byte_gru, html_lstm, pii_crf
 
@@ -62,19 +63,18 @@ def test_language_of_held_out_documents(spark, monkeypatch):
     assert byte_gru.predict_all(unlabelled.limit(0)).count() == 0
 
 
-def test_documents_in_several_languages_are_sure_by_window():
-    # A model that reads the language off each letter: a, b or c.
-    model = byte_gru.new_model(["a", "b", "c"])
-    for field in model.FIELDS:
-        setattr(model, field, np.zeros_like(getattr(model, field)))
-    for k in range(3):
-        model.inputs[:, ord("abc"[k]), 2 * 12 + k] = 20
-        model.inputs[:, ord("abc"[k]), :12] = -20
-        model.out[k, k] = model.out[12 + k, k] = 10
-    data = b"".join(x * byte_gru.WINDOW for x in (b"a", b"b", b"c")) + b"x" * byte_gru.WINDOW
-    offsets = np.array([0, 3 * byte_gru.WINDOW, len(data)])
-    assert np.allclose(byte_gru.scores(model, data, offsets)[1], 1 / 3, atol=0.01)
-    assert np.allclose(byte_gru.scores(model, data, offsets, by_window=True)[1], [1, 1 / 3], atol=0.01)
+def test_rejects_what_is_no_language_and_keeps_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rng = random.Random(1)
+    odd = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz     ") for _ in range(600)) for _ in range(20)]
+    odd += ["これは日本語の文章です。私たちは毎日学校に行きます。" * 8, "Это русский текст, который никто не учил. " * 6, "", None, "12 34"]
+    mixed = "\n".join(r["text"] for r in docs.where("length(text) > 500").groupBy("lang").agg(F.min("text").alias("text")).collect())
+    more = [(10_000 + i, t, None, "s", 0) for i, t in enumerate([*odd, mixed])]
+    kept = byte_gru.reject_unknown(docs.unionByName(spark.createDataFrame(more, docs.schema)))
+    assert kept.columns == docs.columns
+    ids = {r["doc_id"] for r in kept.select("doc_id").collect()}
+    assert {i for i in ids if i >= 10_000} == {10_000 + len(odd)}  # a text in several languages stays
+    assert len(ids) - 1 >= 0.995 * docs.where(F.col("text").rlike("[a-z]")).count()
 
 
 def test_windows_cover_whole_texts():
