@@ -25,15 +25,15 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes lines that nearly repeat an earlier line."""
-    return _recounted(line_dedup.dedup_lines(docs))
+    """Removes lines that nearly repeat an earlier line, and the documents of which no words are left."""
+    return _recounted(line_dedup.dedup_lines(docs)).where(F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates; documents of which no words are left stay."""
-    columns = docs.columns
-    gone = minhash.near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti").select(*(f"`{c}`" for c in columns))
+    """Keeps one document of each group of near-duplicates; documents without an id stay."""
+    gone = minhash.near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("id")).distinct()
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").alias("id"))
+    return rows.join(gone, "id", "left_anti").select("row.*")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
