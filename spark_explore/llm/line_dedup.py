@@ -30,7 +30,7 @@ from spark_explore.sizing import cut_lineage, small_side
 
 COUNTERS = 1 << 18
 SEGMENT = 4096
-LONG_LIST = 64  # postings of a word from which its first class is tried first
+LONG_LIST = 1024  # postings of a word from which its first class is tried first
 HOT_LIST = 8192  # postings of a word that meet in one task
 PAIRS = 1 << 20  # pairs looked at side by side
 COUNTED = "part int, counts binary"
