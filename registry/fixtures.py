@@ -143,7 +143,8 @@ def media_tables(spark: SparkSession, sf_dir: str) -> Tables:
         _tag(emb, "1000 + vec_id", 9, "vec_id", "numerical_double", "round(cast(embedding[0] as double), 3)"),
         _tag(labels, "1 + label", 10, "label % 2", "categorical", "if(label % 2 = 0, 'even', 'odd')"),
     ]
-    vectors = emb.select(F.lit("media").alias("collection"), F.col("vec_id").alias("index_id"), "embedding")
+    vectors = emb.select(F.lit("media").alias("collection"), F.col("vec_id").alias("index_id"), "embedding",
+                         F.expr("cast(1 + label as long)").alias("group_id"))
     return _tables(spark, "media", medias, tagged, MEDIA_FACETS, vectors)
 
 
@@ -206,7 +207,7 @@ def documents_tables(spark: SparkSession, sf_dir: str) -> Tables:
         _tag(docs, item, 4, "n_chars", "numerical_int", "n_chars"),
     ]
     vectors = embed_text(docs, "text", "embedding").select(
-        F.lit("documents").alias("collection"), F.col("doc_id").alias("index_id"), "embedding"
+        F.lit("documents").alias("collection"), F.col("doc_id").alias("index_id"), "embedding", F.lit(None).cast("long").alias("group_id")
     )
     return _tables(spark, "documents", medias, tagged, DOCUMENT_FACETS, vectors)
 

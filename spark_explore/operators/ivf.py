@@ -71,6 +71,8 @@ def write_ivf(centroids: DataFrame, assigned: DataFrame, folder: str) -> None:
 
 def read_ivf(spark, folder: str) -> tuple[DataFrame, DataFrame]:
     schema = "collection string, cell_bucket long, index_id long, embedding array<float>, cell long"
+    if "group_id" in spark.read.parquet(f"{folder}/vectors").columns:
+        schema += ", group_id long"
     return (
         spark.read.schema("cell long, centroid array<double>").parquet(f"{folder}/centroids"),
         spark.read.schema(schema).parquet(f"{folder}/vectors"),

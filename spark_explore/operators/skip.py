@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from spark_explore.operators.mapping import to_index_ids
 from spark_explore.operators.topk import Skips
-from spark_explore.sizing import small_side
+from spark_explore.sizing import cut_lineage, small_side
 
 
 def id_pairs(requests: DataFrame, ids: str) -> DataFrame:
@@ -49,12 +49,15 @@ def skip_items(
     if not single:
         return None
     pairs = single[0] if len(single) == 1 else single[0].unionByName(single[1])
-    items = to_index_ids(small_side(pairs), index_map)
-    if excluded is None:
-        return Skips(items)
-    members = medias.where(F.col("group_id").isNotNull()).join(index_map, ["collection", "media_id"])
-    return Skips(
-        items,
-        _excluded_groups(excluded, medias),
-        members.select("collection", "index_id", "group_id"),
-    )
+    items = cut_lineage(to_index_ids(small_side(pairs), index_map).select("req_id", "collection", "index_id"))
+    return Skips(items, None if excluded is None else cut_lineage(_excluded_groups(excluded, medias)))
+
+
+def with_groups(embeddings: DataFrame, index_map: DataFrame, medias: DataFrame) -> DataFrame:
+    """Vectors with the ``group_id`` of their item beside them; where a collection is written, it is stored like this.
+
+    A position that several items share (``validate_collection`` reports it) gets the lowest of their groups.
+    """
+    groups = medias.where(F.col("group_id").isNotNull()).join(index_map, ["collection", "media_id"]).groupBy(
+        "collection", "index_id").agg(F.min("group_id").alias("group_id"))
+    return embeddings.drop("group_id").join(groups, ["collection", "index_id"], "left")

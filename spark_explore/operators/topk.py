@@ -2,15 +2,18 @@
 
 Items are scored block-wise with NumPy inside Spark tasks. A task keeps only
 the running best ``n`` per request, so the pairs of requests and items are
-never rows. A request batch of checked size is shared with all tasks, and the
-vectors are read where they lie, without a shuffle. A larger batch meets the
-items in cells of bounded size. Skipped and filtered items are masked before
-the selection, so ``n`` results come back whenever enough candidates exist.
+never rows, and the vectors are read where they lie, without a shuffle.
+A batch that is too large to be shared with all tasks is cut into slices of
+requests, and bitmaps or skip lists that are too large into ranges of item
+positions; each slice and range is a scan of its own. Skipped and filtered
+items are masked before the selection, so ``n`` results come back whenever
+enough candidates exist.
 
 Scores are rounded and equal scores fall to the lower id, which makes the
 answer independent of partitioning and summation order.
 """
 
+import uuid
 from dataclasses import dataclass
 from functools import reduce
 
@@ -20,42 +23,97 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spark_explore.sizing import cut_lineage, local_table, small_side
+from spark_explore.sizing import checkpoint_dir, cut_lineage, local_table
 
 # Scores keep this many decimals: noise of the summation order goes, real differences stay.
 DECIMALS = 12
 
-# A request batch within these bounds is shared with every task.
+# What one scan shares with every task: probes, bytes of their vectors, and results they ask for.
 SHARED_PROBES = 8192
 SHARED_BYTES = 64 << 20
 SHARED_RESULTS = 4_000_000
 
-# Bitmaps of passing items that may be shared with all tasks; one holds 32768 positions.
+# Bitmaps of passing items in one scan; one holds 32768 positions.
 MASK_BYTES = 64 << 20
 MASK_BITS = 32_768
 
+# Hidden positions (and excluded groups) of requests in one scan.
+SHARED_SKIPS = 2_000_000
+
+# Neighbouring hidden positions that become a run.
+RUN = 16
+
+# Scans in one plan; more of them write their results first.
+SCANS = 16
+
 # Index cells that lie in one folder, and pieces of the final ranking of one request.
 CELLS_PER_BUCKET = 64
 RANK_PIECES = 64
 
-# Cells of the larger batches.
-CELL_BYTES = 32 << 20
-CELL_PROBES = 1024
-
-# Requests answered by one plan of cells; bounds the skip list of an item.
-SLICE_PROBES = 262_144
-
 # Scores held at once by one task.
 SCORES_AT_ONCE = 4_000_000
 
 FOUND = "req_id long, index_id long, score double, n int"
 
 
+class Hidden:
+    """What the requests of one collection must not see; requests are numbered in the order of ``ids``.
+
+    Single positions and groups are sorted arrays with their requests beside; longer runs of positions are kept by their ends.
+    """
+
+    def __init__(self, ids: np.ndarray, items: pa.Table, groups: pa.Table | None):
+        position, who = self._sorted(ids, items, "index_id")
+        start = np.ones(len(position), bool)
+        start[1:] = (position[1:] != position[:-1] + 1) | (who[1:] != who[:-1])
+        first = np.nonzero(start)[0]
+        length = np.diff(np.append(first, len(position)))
+        long = length >= RUN
+        self.runs = position[first[long]], position[first[long]] + length[long], who[first[long]]
+        single = ~np.repeat(long, length)
+        order = np.argsort(position[single], kind="stable")
+        self.points = position[single][order], who[single][order]
+        self.groups = None
+        if groups is not None:
+            group, who = self._sorted(ids, groups, "group_id")
+            order = np.argsort(group, kind="stable")
+            self.groups = group[order], who[order]
+
+    @staticmethod
+    def _sorted(ids, table, column):
+        who = np.searchsorted(ids, table["req_id"].to_numpy())
+        values = table[column].to_numpy()
+        order = np.lexsort((values, who))
+        values, who = values[order], who[order]
+        again = np.zeros(len(values), bool)
+        again[1:] = (values[1:] == values[:-1]) & (who[1:] == who[:-1])
+        return values[~again], who[~again]
+
+    @staticmethod
+    def _equal(sides, values):
+        low, high = (np.searchsorted(sides[0], values, side=side) for side in ("left", "right"))
+        many = high - low
+        rows = np.repeat(np.arange(len(values)), many)
+        return rows, sides[1][np.arange(len(rows)) + np.repeat(low - (np.cumsum(many) - many), many)]
+
+    def pairs(self, items: np.ndarray, groups: np.ndarray | None):
+        """Rows of a batch and numbers of the requests they are hidden from."""
+        yield self._equal(self.points, items)
+        if len(self.runs[0]):
+            order = np.argsort(items, kind="stable")
+            low, high = (np.searchsorted(items[order], end) for end in self.runs[:2])
+            many = high - low
+            at = np.arange(int(many.sum())) + np.repeat(low - (np.cumsum(many) - many), many)
+            yield order[at], np.repeat(self.runs[2], many)
+        if self.groups is not None and groups is not None:
+            yield self._equal(self.groups, groups)
+
+
 class Probes:
     """Requests that look at the same part of the items, as arrays sorted by id."""
 
-    def __init__(self, table: pa.Table, masks: dict | None = None):
-        self.masks = masks
+    def __init__(self, table: pa.Table, masks: dict | None = None, ids: np.ndarray | None = None, hidden: Hidden | None = None):
+        self.masks, self.hidden = masks, hidden
         table = table.combine_chunks().sort_by("req_id")
         self.ids = table["req_id"].to_numpy()
         self.n = table["n"].to_numpy()
@@ -65,11 +123,15 @@ class Probes:
         self.by_filter = {
             f: np.array([i for i, g in enumerate(wanted) if g == f]) for f in set(wanted) - {None}
         }
+        if hidden is not None:
+            # Columns of this part's requests among all of the scan; -1: not in this part.
+            self.column = np.full(len(ids), -1)
+            self.column[np.searchsorted(ids, self.ids)] = np.arange(len(self.ids))
 
 
 def _passes(mask: tuple | None, items: np.ndarray) -> np.ndarray:
     """Which positions a bitmap holds; ``mask``: sorted block numbers and the blocks' bits."""
-    if mask is None:
+    if mask is None or not len(mask[0]):
         return np.zeros(len(items), bool)
     blocks, bits = mask
     at = np.minimum(np.searchsorted(blocks, items // MASK_BITS), len(blocks) - 1)
@@ -77,12 +139,6 @@ def _passes(mask: tuple | None, items: np.ndarray) -> np.ndarray:
     return (blocks[at] == items // MASK_BITS) & ((bits[at, spot >> 3] >> (spot & 7).astype(np.uint8)) & 1).astype(bool)
 
 
-def _list_pairs(column) -> tuple[np.ndarray, pa.Array]:
-    """Row number and value of every list entry."""
-    lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
-    return np.repeat(np.arange(len(column)), lengths), column.flatten()
-
-
 class Best:
     """Running best ``n`` items of each of the probes."""
 
@@ -110,22 +166,17 @@ class Best:
         vectors = vectors.reshape(batch.num_rows, -1).astype(np.float64)
         scores = np.round(vectors @ probes.vectors.T, DECIMALS) + 0.0
         scores[np.isnan(scores)] = -np.inf
-        if "skip_reqs" in batch.schema.names:
-            rows, reqs = _list_pairs(batch.column("skip_reqs"))
-            reqs = reqs.to_numpy(zero_copy_only=False)
-            at = np.minimum(np.searchsorted(probes.ids, reqs), len(probes.ids) - 1)
-            known = probes.ids[at] == reqs
-            scores[rows[known], at[known]] = -np.inf
-        if probes.by_filter and probes.masks is not None:
-            items = batch.column("index_id").to_numpy()
-            for name, columns in probes.by_filter.items():
-                scores[np.ix_(~_passes(probes.masks.get(name), items), columns)] = -np.inf
-        elif probes.by_filter:
-            rows, names = _list_pairs(batch.column("filter_ids"))
-            for name, columns in probes.by_filter.items():
-                rejected = np.ones(batch.num_rows, bool)
-                rejected[rows[pc.equal(names, name).to_numpy(zero_copy_only=False)]] = False
-                scores[np.ix_(rejected, columns)] = -np.inf
+        items = batch.column("index_id").to_numpy()
+        if probes.hidden is not None:
+            groups = None
+            if "group_id" in batch.schema.names:
+                # An item without a group is in none.
+                groups = pc.fill_null(batch.column("group_id"), np.iinfo(np.int64).min).to_numpy()
+            for rows, who in probes.hidden.pairs(items, groups):
+                at = probes.column[who]
+                scores[rows[at >= 0], at[at >= 0]] = -np.inf
+        for name, columns in probes.by_filter.items():
+            scores[np.ix_(~_passes((probes.masks or {}).get(name), items), columns)] = -np.inf
         return scores
 
     def _add(self, batch: pa.RecordBatch) -> None:
@@ -157,7 +208,7 @@ class Best:
         )
 
 
-def _scan(batches, parts: dict[int, tuple]):
+def _scan(batches, parts: dict[int, tuple], hidden: dict):
     best: dict[int, Best] = {}
     for batch in batches:
         if batch.num_rows == 0:
@@ -166,59 +217,24 @@ def _scan(batches, parts: dict[int, tuple]):
         for no in np.unique(part_no):
             rows = batch if (part_no == no).all() else batch.filter(pa.array(part_no == no))
             if no not in best:
-                best[no] = Best(Probes(*parts[no]))
+                table, masks, ids, collection = parts[no]
+                best[no] = Best(Probes(table, masks, ids, hidden.get(collection)))
             best[no].add(rows)
     for part in best.values():
         yield part.found()
 
 
-def _cell(items: pa.Table, probes: pa.Table) -> pa.Table:
-    if items.num_rows == 0 or probes.num_rows == 0:
-        empty = pa.array([], pa.int64())
-        return pa.table({"req_id": empty, "index_id": empty, "score": empty.cast(pa.float64()),
-                         "n": empty.cast(pa.int32())})
-    best = Best(Probes(probes))
-    for batch in items.combine_chunks().to_batches():
-        best.add(batch)
-    return pa.Table.from_batches([best.found()])
-
-
 @dataclass(frozen=True)
 class Skips:
     """Items hidden from requests.
 
     items    ``(req_id, collection, index_id)`` pairs
-    groups   ``(req_id, collection, group_id)``: whole groups, kept unexpanded
-    members  ``(collection, index_id, group_id)`` of all items
+    groups   ``(req_id, collection, group_id)``: whole groups, never expanded; the
+             searched items then carry ``group_id`` beside their vector
     """
 
     items: DataFrame
     groups: DataFrame | None = None
-    members: DataFrame | None = None
-
-    def lists(self, requests: DataFrame) -> DataFrame:
-        """``(collection, index_id, skip_reqs)`` for a bounded set of requests.
-
-        The set bounds every list, however many items a group or a request hides.
-        """
-        requests = F.broadcast(requests.select("req_id").distinct())
-        lists = (
-            self.items.join(requests, "req_id", "left_semi")
-            .groupBy("collection", "index_id").agg(F.collect_set("req_id").alias("reqs"))
-        )
-        if self.groups is not None:
-            hidden = (
-                self.groups.join(requests, "req_id", "left_semi")
-                .groupBy("collection", "group_id").agg(F.collect_set("req_id").alias("reqs"))
-            )
-            expanded = self.members.join(small_side(hidden), ["collection", "group_id"])
-            # At most two rows per item: its own list and its group's.
-            lists = (
-                lists.unionByName(expanded.select("collection", "index_id", "reqs"))
-                .groupBy("collection", "index_id")
-                .agg(F.array_distinct(F.flatten(F.collect_list("reqs"))).alias("reqs"))
-            )
-        return small_side(lists.withColumnRenamed("reqs", "skip_reqs"))
 
 
 def top_items(
@@ -231,7 +247,7 @@ def top_items(
 ) -> DataFrame:
     """``(req_id, index_id, score, rank)`` with the best ``n`` items of each request.
 
-    items   part columns, ``collection, index_id, embedding``
+    items   part columns, ``collection, index_id, embedding`` (and ``group_id``, where groups are skipped)
     probes  part columns, ``req_id, query_vec, n, filter_id``; a request sees the
             items of its parts (its collection, or the index cells it probes)
     passed  ``(collection, index_id, filter_ids)``: items passing each filter
@@ -239,76 +255,130 @@ def top_items(
 
     A request whose ``n`` is null or below 1 gets nothing.
     """
-    room = SHARED_PROBES if room is None else room
+    room = max(1, SHARED_PROBES if room is None else room)
     probes = probes.where(F.col("query_vec").isNotNull() & (F.col("n") > 0)).select(
         *part, F.col("req_id").cast("long"), F.col("query_vec").cast("array<double>"),
         F.col("n").cast("int"), F.col("filter_id").cast("string"),
     )
+    grouped = skips is not None and skips.groups is not None
+    if grouped and "group_id" not in items.columns:
+        raise ValueError("groups are skipped but the items carry no group_id")
+    extra = [c for c in ("cell_bucket",) if c in items.columns] + ["group_id"] * grouped
+    items = items.where(F.col("embedding").isNotNull()).select(
+        *dict.fromkeys([*part, "collection"]), "index_id", "embedding", *extra
+    )
     # One job fetches a batch that fits, or shows that it does not.
     fetched = probes.limit(room + 1).toArrow()
-    shared = fetched.num_rows <= room and _fits(fetched)
-    if shared:
-        rows, filtered = fetched.num_rows, fetched.num_rows - fetched["filter_id"].null_count
+    schema = probes.select(*part).schema
+    if fetched.num_rows <= room and _fits(fetched):
         deepest = pc.max(fetched["n"]).as_py() or 0
+        scans = _scans(items, fetched, schema, part, skips, passed)
+        if len(scans) <= SCANS:
+            return _best(reduce(DataFrame.unionByName, scans), deepest).drop("n")
+        slices = [scans]
     else:
-        probes = cut_lineage(probes)
-        rows, filtered, deepest = probes.agg(
-            F.count("*"), F.count("filter_id"), F.max("n")
-        ).first()
-    bucket = ["cell_bucket"] if "cell_bucket" in items.columns else []
-    items = items.where(F.col("embedding").isNotNull()).select(
-        *dict.fromkeys([*part, "collection"]), "index_id", "embedding", *bucket
-    )
-    masks = None
-    if filtered and passed is None:
-        raise ValueError("requests name filters but no passing items were given")
-    if filtered and shared:
-        masks = _masks(passed, fetched["filter_id"].unique().drop_null().to_pylist())
-    if filtered and masks is None:
-        # With a filter on every request, other items need not be scored at all.
-        how = "inner" if filtered == rows else "left"
-        items = items.join(small_side(passed), ["collection", "index_id"], how)
-    if shared:
-        found = _shared_scan(items, fetched, probes.select(*part).schema, part, skips, masks)
-    else:
-        dim = probes.select(F.size("query_vec")).first()[0]
-        slices = -(-rows // SLICE_PROBES)
-        slice_no = F.pmod(F.xxhash64("req_id", F.lit("slice")), F.lit(slices))
-        found = reduce(
-            DataFrame.unionByName,
-            [_cell_scan(items, probes.where(slice_no == s), part, skips, dim) for s in range(slices)],
-        )
-    # Ranked in pieces first, so the results of all tasks for one request do not meet in one task.
+        deepest, slices = _slices(items, probes, schema, part, skips, passed, room)
+    folder = f"{checkpoint_dir(items.sparkSession)}/found-{uuid.uuid4().hex}"
+    for scans in slices:
+        for at in range(0, len(scans), SCANS):
+            found = reduce(DataFrame.unionByName, scans[at:at + SCANS])
+            _best(found, deepest).drop("rank").write.mode("append").parquet(folder)
+    return _best(items.sparkSession.read.schema(FOUND).parquet(folder), deepest).drop("n")
+
+
+def _slices(items, probes, schema, part, skips, passed, room):
+    """The scans of a large batch, slice by slice; neighbouring parts share a slice, so a slice reads few index cells."""
+    probes = cut_lineage(probes)
+    rows, size, wanted, deepest = probes.agg(
+        F.count("*"), F.sum(F.size("query_vec") * 8 + 64), F.sum(F.col("n").cast("long")), F.max("n")).first()
+    count = max(-(-rows // room), -(-size // max(1, SHARED_BYTES)), -(-wanted // max(1, SHARED_RESULTS)))
+    count = min(rows, count + -(-count // 4))  # ranges are of about equal sizes only
+    placed = cut_lineage(probes.repartitionByRange(count, *part, "req_id").withColumn("slice", F.spark_partition_id()))
+    numbers = sorted(r[0] for r in placed.select("slice").distinct().collect())
+    return deepest, (
+        _scans(items, placed.where(F.col("slice") == no).drop("slice").toArrow(), schema, part, skips, passed) for no in numbers)
+
+
+def _best(found: DataFrame, deepest: int) -> DataFrame:
+    """The best ``n`` of each request and their ``rank``. Ranked in pieces first, so the results of all tasks for one request do not meet in one task."""
     found = found.withColumn("piece", F.pmod(F.xxhash64("index_id"), F.lit(RANK_PIECES)))
     for keys in (["req_id", "piece"], ["req_id"]):
         order = Window.partitionBy(*keys).orderBy(F.desc("score"), "index_id")
         found = found.withColumn("rank", F.row_number().over(order)).where(
             (F.col("rank") <= deepest) & (F.col("rank") <= F.col("n")))
-    return found.select("req_id", "index_id", "score", "rank")
+    return found.select("req_id", "index_id", "score", "rank", "n")
 
 
-def _masks(passed: DataFrame, names: list[str]) -> dict | None:
-    """Passing items as bitmaps by collection and filter; None if they are too large to be shared.
-
-    Built by map-side combined aggregation. Vectors then meet no join: a task tests the bits of its own items.
-    """
+def _bits(passed: DataFrame, names: list[str]) -> DataFrame:
+    """Passing items as bitmaps by collection, filter and block of positions, by map-side combined aggregation."""
     place = F.col("index_id") + 1  # the SQL functions count from 1
-    bits = cut_lineage(
+    return cut_lineage(
         passed.select("collection", "index_id", F.explode("filter_ids").alias("filter_id"))
         .where(F.col("filter_id").isin(*names))
-        .groupBy("collection", "filter_id", F.bitmap_bucket_number(place).alias("block"))
+        .groupBy("collection", "filter_id", (F.bitmap_bucket_number(place) - 1).alias("block"))
         .agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
     )
-    if bits.count() * (MASK_BITS // 8) > MASK_BYTES:
-        return None
+
+
+def _masks(bits: DataFrame) -> dict:
     found: dict = {}
     for row in bits.toArrow().sort_by("block").to_pylist():
         blocks, rows = found.setdefault((row["collection"], row["filter_id"]), ([], []))
-        blocks.append(row["block"] - 1)
+        blocks.append(row["block"])
         rows.append(np.frombuffer(row["bits"], np.uint8))
     return {key: (np.array(blocks), np.stack(rows)) for key, (blocks, rows) in found.items()}
 
 
+def _cuts(df: DataFrame, column: str, pieces: int) -> list[int]:
+    """Values of ``column`` that cut ``df`` into about ``pieces`` parts of equal size."""
+    if pieces <= 1:
+        return []
+    shares = [k / pieces for k in range(1, pieces)]
+    return df.agg(F.percentile_approx(column, shares, 10_000).alias("cuts")).first()["cuts"] or []
+
+
+def _scans(items, table, key_schema, part, skips, passed) -> list[DataFrame]:
+    """The scans that answer a bounded batch: one, or one for each range of positions that its masks and skip lists are cut into."""
+    spark = items.sparkSession
+    names = table["filter_id"].unique().drop_null().to_pylist()
+    bits, hidden, groups, edges = None, None, None, set()
+    if names:
+        if passed is None:
+            raise ValueError("requests name filters but no passing items were given")
+        bits = _bits(passed, names)
+        pieces = -(-bits.count() * (MASK_BITS // 8) // max(MASK_BYTES, MASK_BITS // 8))
+        edges |= {c * MASK_BITS for c in _cuts(bits, "block", pieces)}
+    if skips is not None and table.num_rows:
+        asked = F.broadcast(local_table(spark, [{"req_id": r} for r in table["req_id"].unique().to_pylist()], "req_id long"))
+        hidden = skips.items.select("req_id", "collection", "index_id")
+        if skips.groups is not None:
+            groups = skips.groups.select("req_id", "collection", "group_id").join(asked, "req_id", "left_semi").limit(SHARED_SKIPS + 1).toArrow()
+            if groups.num_rows > SHARED_SKIPS:
+                # Too many groups to be shared: their members are hidden one by one; no vectors are read for that.
+                members = items.where(F.col("group_id").isNotNull()).select("collection", "index_id", "group_id")
+                hidden = hidden.unionByName(members.join(skips.groups, ["collection", "group_id"]).select("req_id", "collection", "index_id"))
+                groups = None
+        hidden = hidden.join(asked, "req_id", "left_semi")
+        few = hidden.limit(SHARED_SKIPS + 1).toArrow()
+        if few.num_rows > SHARED_SKIPS:
+            hidden = cut_lineage(hidden)
+            edges |= set(_cuts(hidden, "index_id", -(-hidden.count() // max(1, SHARED_SKIPS))))
+    edges = sorted(edges)
+    scans = []
+    for low, high in zip([None, *edges], [*edges, None]):
+        def within(df, column="index_id", step=1, low=low, high=high):
+            for test in ([F.col(column) >= low // step] if low is not None else []) + ([F.col(column) < -(-high // step)] if high is not None else []):
+                df = df.where(test)
+            return df
+
+        masks = _masks(within(bits, "block", MASK_BITS)) if bits is not None else None
+        skipped = None
+        if hidden is not None:
+            skipped = (few if not edges else within(hidden).toArrow(), groups)
+        scans.append(_shared_scan(within(items), table, key_schema, part, skipped, masks))
+    return scans
+
+
 def _fits(probes: pa.Table) -> bool:
     """Whether a fetched batch is small enough in bytes and in results to be shared."""
     return (
@@ -316,15 +386,21 @@ def _fits(probes: pa.Table) -> bool:
     )
 
 
-def _shared_scan(items, table, key_schema, part, skips, masks) -> DataFrame:
+def _shared_scan(items, table, key_schema, part, skipped, masks) -> DataFrame:
     """Bounded batch: every task holds all requests and scans its own items."""
     spark = items.sparkSession
     keys = table.select(part).group_by(part).aggregate([]).to_pylist()
+    ids = np.unique(table["req_id"].to_numpy())
+    hidden = {}
+    if skipped is not None:
+        for collection in {key["collection"] for key in keys}:
+            hidden[collection] = Hidden(ids, *(
+                t if t is None else t.filter(pc.equal(t["collection"], collection)) for t in skipped))
     parts = {}
     for no, key in enumerate(keys):
         mask = reduce(pc.and_, [pc.equal(table[c], key[c]) for c in part])
         own = None if masks is None else {f: m for (c, f), m in masks.items() if c == key["collection"]}
-        parts[no] = (table.filter(mask), own)
+        parts[no] = (table.filter(mask), own, ids, key["collection"])
         key["part_no"] = no
     for column in part:
         # Literal values reach the scan and prune partitions and row groups.
@@ -337,71 +413,6 @@ def _shared_scan(items, table, key_schema, part, skips, masks) -> DataFrame:
     else:
         fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in key_schema)
         items = items.join(F.broadcast(local_table(spark, keys, f"{fields}, part_no int")), part)
-    extra = ["filter_ids"] if "filter_ids" in items.columns else []
-    if skips is not None:
-        asked = [{"req_id": r} for r in table["req_id"].unique().to_pylist()]
-        hidden = skips.lists(local_table(spark, asked, "req_id long"))
-        items = items.join(hidden, ["collection", "index_id"], "left")
-        extra.append("skip_reqs")
-    # Plain Arrow tables: a broadcast must not need this package on the executors.
-    everywhere = spark.sparkContext.broadcast(parts)
-    return items.select("part_no", "index_id", "embedding", *extra).mapInArrow(
-        lambda batches: _scan(batches, everywhere.value), FOUND
-    )
-
-
-def _cell_scan(items, probes, part, skips, dim) -> DataFrame:
-    """Larger batch: items and requests are cut into cells that meet by key.
-
-    Both sides of a part are split by hash into as many pieces as its counted
-    size needs, so neither a hot collection nor a hot index cell fills a task.
-    Items are copied once per thousand requests, requests once per item cell.
-    """
-    per_cell = max(1, CELL_BYTES // (8 * dim))
-    item_count = items.groupBy(*part).agg(F.count("*").alias("item_rows"))
-    probe_count = probes.groupBy(*part).agg(F.count("*").alias("probe_rows"))
-    pieces = small_side(
-        cut_lineage(
-            item_count.join(probe_count, part).select(
-                *part,
-                F.ceil(F.col("item_rows") / per_cell).alias("item_pieces"),
-                F.ceil(F.col("probe_rows") / CELL_PROBES).alias("probe_pieces"),
-            )
-        )
-    )
-
-    def piece(column, count):
-        return F.pmod(F.xxhash64(column), F.col(count))
-
-    def copies(count):
-        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1))
-
-    extra = ["filter_ids"] if "filter_ids" in items.columns else []
-    if skips is not None:
-        items = items.join(skips.lists(probes), ["collection", "index_id"], "left")
-        extra.append("skip_reqs")
-    items = (
-        items.join(pieces, part)
-        .withColumn("item_piece", piece("index_id", "item_pieces"))
-        .withColumn("probe_piece", copies("probe_pieces"))
-    )
-    if skips is not None:
-        here = F.col("probe_piece")
-        total = F.col("probe_pieces")
-        items = items.withColumn(
-            "skip_reqs", F.filter("skip_reqs", lambda r: F.pmod(F.xxhash64(r), total) == here)
-        )
-    probes = (
-        probes.join(pieces, part)
-        .withColumn("probe_piece", piece("req_id", "probe_pieces"))
-        .withColumn("item_piece", copies("item_pieces"))
-    )
-    keys = [*part, "item_piece", "probe_piece"]
-    left = items.select(*[F.col(k).alias(f"item_{k}") for k in keys], "index_id", "embedding", *extra)
-    right = probes.select(*[F.col(k).alias(f"asked_{k}") for k in keys], "req_id", "query_vec", "n",
-                          "filter_id")
-    return (
-        left.groupBy(*[f"item_{k}" for k in keys])
-        .cogroup(right.groupBy(*[f"asked_{k}" for k in keys]))
-        .applyInArrow(_cell, FOUND)
-    )
+    everywhere = spark.sparkContext.broadcast((parts, hidden))
+    columns = ["part_no", "index_id", "embedding"] + ["group_id"] * ("group_id" in items.columns)
+    return items.select(*columns).mapInArrow(lambda batches: _scan(batches, *everywhere.value), FOUND)

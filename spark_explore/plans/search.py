@@ -14,7 +14,7 @@ from spark_explore.operators.feedback import (
 from spark_explore.operators.filters import faceted_search
 from spark_explore.operators.ivf import PROBES, ivf_topk
 from spark_explore.operators.mapping import to_index_ids, to_media_ids
-from spark_explore.operators.skip import skip_items
+from spark_explore.operators.skip import skip_items, with_groups
 from spark_explore.operators.topk import top_items
 from spark_explore.sizing import BROADCAST_ROWS, cut_lineage, small_side
 
@@ -24,7 +24,10 @@ STRATEGIES = ("text", "rf", "faceted")
 
 @dataclass(frozen=True)
 class SearchIndex:
-    """What searches run on. With ``centroids``, vectors carry ``cell`` and IVF is used."""
+    """What searches run on. With ``centroids``, vectors carry ``cell`` and IVF is used.
+
+    Vectors that carry ``group_id`` (as written collections do) need no join where groups are excluded.
+    """
 
     embeddings: DataFrame
     index_map: DataFrame
@@ -53,10 +56,13 @@ def vector_search(
     skips = skip_items(index.index_map, index.medias, seen, excluded)
     if passed is not None:
         passed = to_index_ids(passed, index.index_map)
+    vectors = index.embeddings
+    if excluded is not None and "group_id" not in vectors.columns:
+        vectors = with_groups(vectors, index.index_map, index.medias)
     if index.centroids is None:
-        found = top_items(index.embeddings, requests, ["collection"], skips, passed)
+        found = top_items(vectors, requests, ["collection"], skips, passed)
     else:
-        found = ivf_topk(requests, index.centroids, index.embeddings, index.nprobe, skips, passed,
+        found = ivf_topk(requests, index.centroids, vectors, index.nprobe, skips, passed,
                          adaptive=True)
     owners = requests.select("req_id", "collection")
     # The answer has at most the sum of all n rows: below the bound the mapping stays unshuffled.

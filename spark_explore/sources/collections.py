@@ -21,7 +21,7 @@ SCHEMAS = {
     "tag_values": "collection string, tag_id long, tagset_id int, tagtype string, "
     "value_str string, value_long long, value_double double, value_ts timestamp",
     "taggings": "collection string, media_id long, tag_id long",
-    "embeddings": "collection string, index_id long, embedding array<float>",
+    "embeddings": "collection string, index_id long, embedding array<float>, group_id long",
 }
 
 # Typed value column of each tag type (fixed values).
@@ -76,13 +76,20 @@ def write_collection(tables: Tables, folder: str, mode: str = "errorifexists") -
 
     Large tables are clustered by their join key: rows of one item or tag lie
     in few row groups, and a hot collection still spreads over many files.
+    Vectors get the ``group_id`` of their item, so excluded groups are known where they are scored.
     """
+    # The operators import the layout of this module.
+    from spark_explore.operators.mapping import build_index_map
+    from spark_explore.operators.skip import with_groups
+
     cluster = {"medias": "media_id", "tag_values": "tag_id", "taggings": "media_id",
                "embeddings": "index_id"}
     for name in SCHEMAS:
         df = getattr(tables, name)
         if df is None:
             continue
+        if name == "embeddings" and "group_id" not in df.columns:
+            df = with_groups(df, build_index_map(tables), tables.medias)
         fields = StructType.fromDDL(SCHEMAS[name])
         df = df.select(*[F.col(f.name).cast(f.dataType) for f in fields])
         if name in cluster:

@@ -70,7 +70,8 @@ def small(spark):
         table("tagsets", [(c, i, n, t) for c in "ab" for i, n, t in facets]),
         table("tag_values", rows),
         table("taggings", taggings),
-        table("embeddings", [(c, i, [float(i), 1.0 if c == "a" else -1.0]) for c in "ab" for i in range(8)]),
+        spark.createDataFrame([(c, i, [float(i), 1.0 if c == "a" else -1.0]) for c in "ab" for i in range(8)],
+                              "collection string, index_id long, embedding array<float>"),
     )
 
 

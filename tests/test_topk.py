@@ -1,4 +1,7 @@
+import re
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -45,12 +48,16 @@ def test_shared_scan_equals_brute_force(world):
     assert rows(got, "req_id", "index_id", "rank") == expected
 
 
-def test_cells_equal_brute_force(world, monkeypatch):
-    monkeypatch.setattr(topk, "SHARED_PROBES", 4)
-    monkeypatch.setattr(topk, "SLICE_PROBES", 12)
-    monkeypatch.setattr(topk, "CELL_PROBES", 3)
-    monkeypatch.setattr(topk, "CELL_BYTES", 8 * 6 * 50)
+@pytest.mark.parametrize("probes,skips_at_once,mask_bytes,scans", [(4, 2_000_000, 64 << 20, 16), (8192, 60, 0, 16), (0, 0, 0, 2)])
+def test_slices_and_ranges_equal_brute_force(world, monkeypatch, probes, skips_at_once, mask_bytes, scans):
+    monkeypatch.setattr(topk, "SHARED_PROBES", probes)
+    monkeypatch.setattr(topk, "SHARED_SKIPS", skips_at_once)
+    monkeypatch.setattr(topk, "MASK_BYTES", mask_bytes)
+    monkeypatch.setattr(topk, "SCANS", scans)
     (items, reqs, skips, passed), expected = world
+    if not skips_at_once:
+        reqs, expected = reqs.where("req_id < 3"), [e for e in expected if e[0] < 3]
+        monkeypatch.setattr(topk, "SHARED_SKIPS", 100)
     got = topk.top_items(items, reqs, ["collection"], topk.Skips(skips), passed)
     assert rows(got, "req_id", "index_id", "rank") == expected
 
@@ -58,16 +65,73 @@ def test_cells_equal_brute_force(world, monkeypatch):
 def test_small_score_blocks_change_nothing(world, monkeypatch):
     monkeypatch.setattr(topk, "SCORES_AT_ONCE", 40)
     (items, reqs, skips, passed), expected = world
-    best = topk.Best(topk.Probes(reqs.where("collection = 'c'").toArrow()))
-    joined = items.where("collection = 'c'").join(passed, ["collection", "index_id"], "left").join(
-        topk.Skips(skips).lists(reqs), ["collection", "index_id"], "left")
-    for batch in joined.select("index_id", "embedding", "skip_reqs", "filter_ids").toArrow().to_batches():
+    own = reqs.where("collection = 'c'").toArrow()
+    masks = topk._masks(topk._bits(passed.where("collection = 'c'"), ["f0", "f1"]))
+    ids = np.unique(own["req_id"].to_numpy())
+    hidden = topk.Hidden(ids, skips.where("collection = 'c'").toArrow(), None)
+    best = topk.Best(topk.Probes(own, {f: m for (_, f), m in masks.items()}, ids, hidden))
+    for batch in items.where("collection = 'c'").select("index_id", "embedding").toArrow().to_batches():
         best.add(batch)
     found = best.found().to_pydict()
     got = sorted(zip(found["req_id"], found["index_id"]))
     assert got == [(r, i) for r, i, _ in expected if r % 2]
 
 
+def test_runs_points_and_groups_hide_the_same(spark):
+    rng = np.random.default_rng(2)
+    ids = np.array([3, 5, 9])
+    pairs = [(r, i) for r in (3, 9) for a in rng.integers(0, 900, 6) for i in range(a, a + int(rng.choice([1, 3, 40])))]
+    pairs += pairs[:5]
+    groups = [(5, 7), (9, 7), (9, 2), (9, 2)]
+    hidden = topk.Hidden(
+        ids, pa.table({"req_id": [p[0] for p in pairs], "index_id": [p[1] for p in pairs]}),
+        pa.table({"req_id": [g[0] for g in groups], "group_id": [g[1] for g in groups]}))
+    assert len(hidden.runs[0]) and len(hidden.points[0])
+    items = rng.permutation(1000)
+    own = rng.integers(0, 10, 1000)
+    got = {(int(items[i]), int(ids[w])) for rows_, who in hidden.pairs(items, own) for i, w in zip(rows_, who)}
+    assert got == {(i, r) for r, i in pairs if i < 1000} | {(int(i), r) for i, g in zip(items, own) for r, h in groups if g == h}
+
+
+@pytest.mark.parametrize("bound", [0, 100])
+def test_limits_do_not_shuffle_vectors(spark, world, tmp_path, monkeypatch, bound):
+    (items, reqs, skips, passed), _ = world
+    items.withColumn("group_id", F.col("index_id") % 5).write.parquet(str(tmp_path / "v"))
+    stored = spark.read.parquet(str(tmp_path / "v"))
+    if not bound:
+        monkeypatch.setattr(topk, "MASK_BYTES", 0)
+        monkeypatch.setattr(topk, "SHARED_SKIPS", 200)
+    groups = spark.createDataFrame([(r, c, r % 5) for r in range(30) for c in "cd"], "req_id long, collection string, group_id long")
+    got = topk.top_items(stored, reqs, ["collection"], topk.Skips(skips, groups), passed)
+    plan = got._jdf.queryExecution().executedPlan().toString().splitlines()
+    for at, line in enumerate(plan):
+        if "Scan parquet" in line and "embedding" in line:
+            depth = re.search(r"[A-Za-z*]", line).start()
+            for above in reversed(plan[:at]):
+                own = re.search(r"[A-Za-z*]", above).start()
+                if own < depth:
+                    depth = own
+                    if "MapInArrow" in above:
+                        break
+                    assert "Exchange" not in above and "SortMergeJoin" not in above, above
+            else:
+                raise AssertionError("no scoring above a scan of vectors")
+    allowed = {(r["req_id"], r["index_id"]) for r in got.collect()}
+    assert allowed and not any(i % 5 == r % 5 for r, i in allowed)
+    with pytest.raises(ValueError):
+        topk.top_items(items, reqs, ["collection"], topk.Skips(skips, groups), passed)
+
+
+def test_more_groups_than_are_shared(spark, world, monkeypatch):
+    (items, reqs, skips, passed), _ = world
+    grouped = items.withColumn("group_id", F.col("index_id") % 5)
+    groups = spark.createDataFrame([(r, c, r % 5) for r in range(30) for c in "cd"], "req_id long, collection string, group_id long")
+    want = rows(topk.top_items(grouped, reqs, ["collection"], topk.Skips(skips, groups), passed))
+    monkeypatch.setattr(topk, "SHARED_SKIPS", 50)  # members of hidden groups, one by one, in ranges
+    monkeypatch.setattr(topk, "SCANS", 400)
+    assert rows(topk.top_items(grouped, reqs, ["collection"], topk.Skips(skips, groups), passed)) == want
+
+
 def test_order_of_ties_and_short_candidates(spark):
     items = spark.createDataFrame([("c", i, [1.0]) for i in (5, 3, 9)], "collection string, index_id long, embedding array<float>")
     reqs = spark.createDataFrame([(1, "c", [2.0], 10, None), (2, "none", [1.0], 3, None), (3, "c", None, 3, None)], ASKED)
@@ -142,12 +206,11 @@ def test_ivf_over_all_cells_is_exact(world, cells, tmp_path):
     assert rows(ivf_topk(reqs, centroids, assigned, 6, skips, passed), "req_id", "index_id", "rank") == expected
 
 
-def test_ivf_in_cells(world, cells, monkeypatch):
+def test_ivf_in_slices(world, cells, monkeypatch):
     (items, reqs, skips, passed), expected = world
     centroids, assigned = cells
-    monkeypatch.setattr(topk, "SHARED_PROBES", 20)
-    monkeypatch.setattr(topk, "CELL_PROBES", 7)
-    monkeypatch.setattr(topk, "CELL_BYTES", 8 * 6 * 20)
+    monkeypatch.setattr(topk, "SHARED_PROBES", 6)
+    monkeypatch.setattr(topk, "SCANS", 3)
     got = ivf_topk(reqs, centroids, assigned, 6, topk.Skips(skips), passed)
     assert rows(got, "req_id", "index_id", "rank") == expected
 
@@ -202,4 +265,4 @@ def test_filters_as_bitmaps_or_joins(spark, monkeypatch, mask_bytes):
         assert got == sorted((r, k + 1, i) for r, c, f in some for k, i in enumerate(want.get(r, [])))
         plan = found._jdf.queryExecution().executedPlan().toString()
         below = plan[plan.index("MapInArrow"):]
-        assert mask_bytes == 0 or "Join" not in below.replace("BroadcastHashJoin", "")
+        assert "Join" not in below.replace("BroadcastHashJoin", "")
