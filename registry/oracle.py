@@ -426,6 +426,7 @@ FROM checked WHERE message IS NOT NULL""",
   LEFT JOIN (SELECT user_id, max(ts) AS cleared FROM events WHERE event_type = 'signup' GROUP BY user_id) c
   USING (user_id) WHERE e.event_type <> 'signup' AND (cleared IS NULL OR e.ts > cleared)""",
     }
+    sql["item_set_stream"] = sql["item_set_state"]
     batch = sql["topk_batch"]
     sql["audit_search"] = f"""WITH found AS ({batch}), lists AS (
   SELECT req_id, string_agg(media_id, ',' ORDER BY rank) AS ids FROM found GROUP BY req_id),

@@ -14,6 +14,7 @@ from spark_explore.plans import search
 from spark_explore.sizing import checkpoint_dir
 from spark_explore.sources import collections as sources
 from spark_explore.streaming.audit_stream import stream_audit as start_audit_stream
+from spark_explore.streaming.item_set_stream import read_item_sets, stream_item_sets
 
 SCORE = "round(score, 6) + 0.0D AS score"
 RESULT = ["req_id", "rank", "media_id", SCORE]
@@ -477,13 +478,14 @@ def audit_items(spark, sf_dir):
 def stream_audit(spark, sf_dir):
     import uuid
 
-    # Deliveries out of time order, and all events once more: each event is in the log once.
+    # Deliveries out of time order, and all events once more: each event is in the log once, also those whose id is missing.
     folder = f"{checkpoint_dir(spark)}/audit-{uuid.uuid4().hex}"
     stored = fx.read(spark, sf_dir, "events")
     part = F.pmod(F.xxhash64("event_id"), F.lit(3))
     for delivery in (part == 0, part != 2, F.lit(True)):
         stored.where(delivery).write.mode("append").parquet(f"{folder}/in")
-        events = _events(spark, sf_dir, stream=f"{folder}/in")
+        events = _events(spark, sf_dir, stream=f"{folder}/in").withColumn(
+            "event_id", F.when(F.col("event_id") % 7 != 0, F.col("event_id")))
         start_audit_stream(events, f"{folder}/out", f"{folder}/state").awaitTermination()
     return spark.read.parquet(f"{folder}/out").drop("day", "event_key")
 
@@ -594,14 +596,31 @@ def audit_rejected(spark, sf_dir):
     return audit.audit_errors(rejected, F.lit(1_700_000_000))
 
 
-def item_set_state(spark, sf_dir):
-    """Events add to a user's seen set; a signup clears it."""
-    events = fx.read(spark, sf_dir, "events").select(
+def _set_events(events):
+    return events.select(
         F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("session"), F.lit(1).alias("model_id"),
         F.lit("seen").alias("name"), "ts", (F.col("event_type") == "signup").alias("is_clear"),
         F.col("event_id").alias("item_id"),
     )
-    return fold_item_sets(events).select("session", "item_id")
+
+
+def item_set_state(spark, sf_dir):
+    """Events add to a user's seen set; a signup clears it."""
+    return fold_item_sets(_set_events(fx.read(spark, sf_dir, "events"))).select("session", "item_id")
+
+
+def item_set_stream(spark, sf_dir):
+    """The same sets from a stream: deliveries out of time order, and all events once more."""
+    import uuid
+
+    folder = f"{checkpoint_dir(spark)}/sets-{uuid.uuid4().hex}"
+    stored = fx.read(spark, sf_dir, "events")
+    part = F.pmod(F.xxhash64("event_id"), F.lit(3))
+    for delivery in (part == 0, part == 2, part == 1, F.lit(True)):
+        stored.where(delivery).write.mode("append").parquet(f"{folder}/in")
+        events = _set_events(spark.readStream.schema(fx.SCHEMAS["events"]).parquet(f"{folder}/in"))
+        stream_item_sets(events, f"{folder}/out", f"{folder}/state", every=2).awaitTermination()
+    return read_item_sets(spark, f"{folder}/out").select("session", "item_id")
 
 
 # Envelope --------------------------------------------------------------------------------------
@@ -700,5 +719,6 @@ QUERIES = {
     "audit_models": audit_models,
     "audit_rejected": audit_rejected,
     "item_set_state": item_set_state,
+    "item_set_stream": item_set_stream,
     "answer_mixed": answer_mixed,
 }

@@ -1,4 +1,5 @@
 import json
+import random
 import shutil
 from datetime import datetime
 
@@ -10,7 +11,8 @@ from spark_explore.operators.item_sets import item_set_state
 from spark_explore.operators.mapping import build_index_map
 from spark_explore.operators.filters import AnyOf, passing
 from spark_explore.plans import search
-from spark_explore.streaming.audit_stream import stream_audit
+from spark_explore.streaming.audit_stream import append_new, stream_audit
+from spark_explore.streaming.item_set_stream import fold_batch, read_item_sets
 from conftest import rows
 
 EVENTS = "event_id long, ts timestamp, session string, action string, element_id string, data string, route string"
@@ -171,3 +173,44 @@ def test_rejected_requests_are_logged_and_the_rest_is_answered(spark, small, tmp
     entries = [(r[0], json.loads(r[1])) for r in rows(log, "session", "data")]
     assert [(s, d["message"], d["details"]) for s, d in entries] == [
         ("s2", "Unknown collection", "request 2"), ("s3", "Unknown search strategy", "request 3")]
+
+
+def test_events_without_id_or_time_are_neither_lost_nor_doubled(spark, tmp_path):
+    rows_ = [(1, datetime(2024, 1, 1), "u", "click", None, "1", "/x"), (None, datetime(2024, 1, 1), "u", "click", None, "1", "/x"),
+             (None, datetime(2024, 1, 1), "u", "click", None, "1", "/x"), (None, None, "u", "view", None, None, None),
+             (2, None, "u", "view", "e", None, None), (2, None, "u", "view", "e", None, None)]
+    batch = spark.createDataFrame(rows_, EVENTS)
+    out = str(tmp_path / "out")
+    for _ in range(3):
+        append_new(batch, out, "event_id")
+        assert spark.read.parquet(out).count() == 5
+    append_new(batch.where("event_id = 1 or action = 'view'").unionByName(spark.createDataFrame(
+        [(None, None, "u", "new", None, None, None)], EVENTS)), out, "event_id")
+    assert spark.read.parquet(out).count() == 6
+
+
+SETS = "session string, model_id int, name string, ts timestamp, is_clear boolean, item_id long"
+
+
+def test_item_sets_of_a_stream_equal_the_batch_in_any_order(spark, tmp_path):
+    rng = random.Random(4)
+    events = [(rng.choice(["s", "t", None]), 1, rng.choice(["seen", "excluded"]), datetime(2024, 1, 1, 0, rng.randrange(40)),
+               rng.random() < 0.1, rng.randrange(6)) for _ in range(300)]
+    events += [("s", 1, "seen", None, False, 3), ("s", 1, "seen", datetime(2024, 1, 2), None, 3), ("t", 1, "seen", datetime(2024, 1, 2), False, None)]
+    want = {}
+    for s, m, n, ts, clear, item in events:
+        if ts and clear is False and item is not None:
+            gone = [e[3] for e in events if e[:3] == (s, m, n) and e[4] and e[3]]
+            if not gone or ts > max(gone):
+                want[s, m, n, item] = True
+    frame = spark.createDataFrame(events, SETS)
+    for every, parts in ((2, 5), (16, 3)):
+        folder = str(tmp_path / f"sets{every}")
+        for number in rng.sample(range(parts), parts):
+            fold_batch(frame.where(F.pmod(F.xxhash64("ts", "item_id"), F.lit(parts)) == number), number, folder, every)
+        for number in range(parts):  # once more, in order, as after a failure
+            fold_batch(frame.where(F.pmod(F.xxhash64("ts", "item_id"), F.lit(parts)) == number), number, folder, every)
+        got = {tuple(r) for r in read_item_sets(spark, folder).collect()}
+        assert got == set(want)
+    with pytest.raises(FileNotFoundError):
+        read_item_sets(spark, str(tmp_path / "none"))
