@@ -150,8 +150,13 @@ def removed_lines(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id", te
     done = cut_lineage(_confirm(tried, docs, classes, percent).select(F.col("b").alias("cls")).distinct())
     # Classes that are decided only serve as the earlier of two.
     opened = classes.join(small_side(done).withColumn("done", F.lit(True)), "cls", "left").withColumn("done", F.col("done").isNotNull())
-    pairs = cut_lineage(_meet(_posted(opened, "done"), lengths, percent).distinct())
-    gone = done.union(_confirm(pairs, docs, classes, percent).select(F.col("b").alias("cls"))).distinct()
+    pairs = cut_lineage(_meet(_posted(opened, "done"), lengths, percent).groupBy("a", "b").agg(F.min("apart").alias("apart")))
+    # One similar earlier line is enough: the likeliest is tried first, the others only where it fails.
+    likely = pairs.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
+    found = cut_lineage(_confirm(cut_lineage(likely), docs, classes, percent).select("b"))
+    rest = cut_lineage(pairs.select("a", "b").join(found, "b", "left_anti").join(likely, ["a", "b"], "left_anti"))
+    more = _confirm(rest, docs, classes, percent).select("b")
+    gone = done.union(found).union(more).distinct()
     decided = cut_lineage(classes.join(gone.withColumn("gone", F.lit(True)), "cls", "left").select("k1", "k2", "first", "gone"))
     return lines.select("doc_id", "line", "k1", "k2").join(decided, ["k1", "k2"], "left").select(
         "doc_id", "line", F.coalesce(
@@ -177,7 +182,7 @@ def _similar(a: str, b: str, percent: int):
 
 
 def _meet(posted: DataFrame, lengths: DataFrame, percent: int) -> DataFrame:
-    """Pairs a < b of classes that share a posted word and pass the filters, b undecided; a pair may come more than once.
+    """Pairs a < b of classes that share a posted word and pass the filters, b undecided, and the bits that differ; a pair may come more than once.
 
     Postings are dealt out by word once and sorted by size, so a task looks only at partners of the right length. A word of
     many postings is dealt in blocks, and every two of its blocks meet in a task of their own.
@@ -217,7 +222,8 @@ def _meet(posted: DataFrame, lengths: DataFrame, percent: int) -> DataFrame:
             apart = np.bitwise_count(b1[x] ^ b1[y]).astype(np.int64) + np.bitwise_count(b2[x] ^ b2[y])
             a, b = np.minimum(cls[x], cls[y]), np.maximum(cls[x], cls[y])
             good = ((100 + percent) * apart <= (100 - percent) * both) & (a != b) & ~done[np.where(cls[x] > cls[y], x, y)]
-            yield pa.RecordBatch.from_arrays([pa.array(a[good]), pa.array(b[good])], ["a", "b"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(a[good]), pa.array(b[good]), pa.array(apart[good].astype(np.int32))], ["a", "b", "apart"])
 
     def look(batches):
         held = None
@@ -233,7 +239,7 @@ def _meet(posted: DataFrame, lengths: DataFrame, percent: int) -> DataFrame:
         if held is not None and held.num_rows:
             yield from pairs(held)
 
-    return runs.mapInArrow(look, "a long, b long")
+    return runs.mapInArrow(look, "a long, b long, apart int")
 
 
 def _confirm(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
