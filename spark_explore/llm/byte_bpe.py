@@ -7,7 +7,8 @@ equal ones) in each row. Where each piece began is kept, so ids decode to the
 exact bytes of the text and to the offsets of the tokens.
 
 Edge cases: a null text counts as empty and has no ids; extra columns are
-ignored; repeated rows give repeated results; null ids stay null.
+ignored; repeated rows give repeated results; null ids stay null; a very long text
+is a chunk of its own and read whole; an empty table gives no rows.
 """
 
 import base64

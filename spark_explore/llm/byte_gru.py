@@ -10,7 +10,7 @@ labelled documents; the ``MAX_LANGUAGES`` most frequent are learned (ties: the f
 are not trained on, so those languages are never predicted.
 
 Edge cases: a null text, or one without a letter, is ``und`` with score 0; without labelled documents every text is; null
-ids are kept (and count as not held out); repeated rows give repeated results; an empty table gives no rows; extra columns are ignored.
+ids are kept (and count as not held out); repeated rows give repeated results; very long texts are read whole, window by window; an empty table gives no rows; extra columns are ignored.
 """
 
 from dataclasses import dataclass

@@ -13,7 +13,7 @@ its first class is tried first, so variants of one frequent line are resolved wi
 
 Edge cases: a null or empty text has one empty line; rows without an id take no part and keep their lines; rows that
 repeat an id are not told apart (lines at equal places are kept or removed together); ties cannot occur otherwise;
-an empty table gives no rows; extra columns are ignored by ``removed_lines`` and kept by ``dedup_lines``.
+an empty table gives no rows; very long texts and lines are read whole, a text as a chunk of its own; extra columns are ignored by ``removed_lines`` and kept by ``dedup_lines``.
 """
 
 import numpy as np

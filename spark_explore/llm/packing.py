@@ -12,7 +12,8 @@ next round begins.
 
 Edge cases: a null or empty text is one document that holds the end token
 only; repeated rows are packed each by itself; null ids are kept; an empty
-table gives no rows; extra columns are ignored.
+table gives no rows; a very long text is encoded whole and cut into pieces;
+extra columns are ignored.
 """
 
 import os

@@ -16,7 +16,8 @@ Special tokens inside a text count as one each, as the tokenizers library
 takes them by default.
 
 Edge cases: a null text counts as empty (0 tokens); extra columns are ignored;
-repeated rows give repeated results; null ids stay null.
+repeated rows give repeated results; null ids stay null; a very long text is a
+chunk of its own and counted whole; an empty table gives no rows.
 """
 
 import json
