@@ -46,6 +46,7 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile("[0-9]")
 TOKEN = re.compile(r"\S*[0-9@]\S*")
+WORD = re.compile(r"\S+")
 EDGES = "()[]{}<>.,;:!?\"'"
 
 
@@ -123,8 +124,8 @@ def graph(texts: list[str], bases: list[list[tuple[int, int, int]]]) -> Graph:
     for d, (text, base) in enumerate(zip(texts, bases)):
         found = {(m.start(), m.end()) for m in TOKEN.finditer(text)} if "@" in text or DIGIT.search(text) else set()
         names = {k for s, kind, e in base if kind == 0 for k in [text[s:e].split("@")[0]] if len(k) >= 5}
-        for name in names:  # local parts of addresses that stand alone
-            found.update(m.span() for m in re.finditer(r"(?<!\S)" + re.escape(name) + r"(?!\S)", text))
+        if names:  # local parts of addresses that stand alone
+            found.update(m.span() for m in WORD.finditer(text) if m[0] in names)
         before, seen, at, begin = None, {}, 0, len(spans)
         inside, waiting = {}, {}  # per key the last occurrence in a base span, and those that came before any
         for a, b in sorted(found):
@@ -253,18 +254,25 @@ def marginals(field: Field, g: Graph, allowed: np.ndarray | None = None) -> np.n
     return p / p.sum(1, keepdims=True)
 
 
+def _components(n: int, ends: np.ndarray) -> np.ndarray:
+    """The smallest token of the component of every token: roots hook to smaller neighbours, then pointers are jumped."""
+    root = np.arange(n)
+    while len(ends):
+        ends = root[ends]
+        ends = np.sort(ends[ends[:, 0] != ends[:, 1]], axis=1)
+        np.minimum.at(root, ends[:, 1], ends[:, 0])
+        while (root != (jumped := root[root])).any():
+            root = jumped
+    return root
+
+
 def _linked(g: Graph, ends: np.ndarray) -> np.ndarray:
     """Kinds of the base spans to which the links ``ends`` lead, per token: (tokens, labels)."""
+    root = _components(len(g.label), ends)
+    held = g.label > 0
     reach = np.zeros((len(g.label), LABELS), bool)
-    reach[np.arange(len(g.label)), g.label] = g.label > 0
-    while len(ends):
-        new = reach.copy()
-        np.logical_or.at(new, ends[:, 0], reach[ends[:, 1]])
-        np.logical_or.at(new, ends[:, 1], reach[ends[:, 0]])
-        if (new == reach).all():
-            break
-        reach = new
-    return reach
+    reach[root[held], g.label[held]] = True
+    return reach[root]
 
 
 def _allowed(g: Graph) -> np.ndarray:
