@@ -7,7 +7,7 @@ document, and the two states say whether it belongs to the article. Training run
 
 Labels come from the pages themselves: blocks inside ``article`` or ``main`` are text, and those inside elements for
 navigation, headers, footers, asides, forms, adverts, notices or comments are not. The network is fitted on a
-bounded sample of ``SAMPLE`` pages (drawn by hash). They are also shown with their containers renamed to other usual
+bounded sample of ``SAMPLE`` pages of up to ``SAMPLE_CHARS`` characters (drawn by hash). They are also shown with their containers renamed to other usual
 ones, with other leaf tags, and with some of their texts repeated in containers for other things, so the network doesn't lean on one
 way of writing pages; a page without such elements teaches nothing.
 
@@ -19,7 +19,9 @@ any labelled page every block is text but those in the elements named above.
 import html as entities
 import re
 import zlib
+from collections import Counter
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,18 +31,19 @@ from pyspark.sql import functions as F
 from spark_explore.llm.chunks import text_chunks
 from spark_explore.llm.sampling import hash_sample
 
-SAMPLE = 600
+SAMPLE, SAMPLE_CHARS = 600, 1 << 16
 HIDDEN = 16
 PATH_SLOTS, WORD_SLOTS = 1 << 10, 1 << 12
 EMBED = 12
 STEPS, BATCH, RATE = 600, 24, 0.01
-PAGES = 256  # pages read side by side
+PAGES, PLACES = 256, 1 << 16  # pages read side by side, and places for their blocks
 
 # HTML elements by their role (fixed values).
 BLOCK_TAGS = set("address article aside blockquote body br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6"
                  " head header hr html li main nav ol option p pre section select table tbody td tfoot th thead title tr ul".split())
 VOID_TAGS = set("area base br col embed hr img input link meta source track wbr".split())
 RAW_TAGS = set("script style noscript template textarea svg iframe".split())
+RAW_ENDS = {tag: re.compile(f"</{tag}\\s*>", re.I) for tag in RAW_TAGS}
 # Elements that a following start tag closes.
 CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "td": {"td", "th", "p"},
           "th": {"td", "th", "p"}, "tr": {"tr", "td", "th", "p"}, "option": {"option"}}
@@ -58,7 +61,8 @@ WRAPPERS = "container wrapper row page site inner layout grid col outer".split()
 TEXT_LEAVES = "p p p p li blockquote h2 h3 div td pre dd figcaption section".split()
 OTHER_LEAVES = "p p li a h2 h3 h4 div span label button td small strong".split()
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>", re.S)
+# A value in quotes after "=" may hold ">"; a quote that is never closed is an ordinary character.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>|<[!?][^>]*>", re.S)
 NAMES = re.compile(r"\b(?:id|class|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 WORDS = re.compile(r"\w+")
 SPACE = re.compile(r"\s+")
@@ -68,76 +72,98 @@ def slot(text: str, slots: int) -> int:
     return zlib.crc32(text.encode("utf-8", "replace")) % slots
 
 
+class Element:
+    """An open element, known by its parent, so a path costs the same at any depth."""
+
+    __slots__ = ("parent", "tag", "names", "label")
+
+    def __init__(self, parent: "Element | None", tag: str, names: str):
+        self.parent, self.tag, self.names = parent, tag, names
+        label = parent.label if parent else None
+        if label != 0:
+            other = tag in OTHER_HOMES or (names and OTHER_NAMES.search(names) and not TEXT_NAMES.search(names))
+            label = 0 if other else 1 if tag in TEXT_HOMES else label
+        self.label = label
+
+
 @dataclass
 class Block:
-    path: tuple  # of (tag, names) from the outermost element
+    home: Element | None  # the innermost element
     text: str
 
+    @property
+    def path(self) -> tuple:
+        """(tag, names) from the outermost element."""
+        out, at = [], self.home
+        while at is not None:
+            out.append((at.tag, at.names))
+            at = at.parent
+        return tuple(reversed(out))
+
+    @property
+    def label(self) -> int | None:
+        """1: in an article; 0: in an element for other things (also inside the article); None: neither is said."""
+        return self.home.label if self.home else None
+
 
 def blocks(page: str) -> list[Block]:
     """The blocks of a page in order, with white space folded; blocks without text are left out."""
     out: list[Block] = []
-    stack: list[tuple[str, str]] = []
+    stack: list[Element] = []
+    opened: Counter = Counter()  # tags of the stack
     parts: list[str] = []
-    at, n = 0, len(page)
+    at, n, last = 0, len(page), page.rfind(">") + 1  # no tag ends after ``last``
 
     def flush():
         if parts:
             text = SPACE.sub(" ", entities.unescape("".join(parts))).strip()
             if text:
-                out.append(Block(tuple(stack), text))
+                out.append(Block(stack[-1] if stack else None, text))
             parts.clear()
 
     while at < n:
-        m = TOKEN.search(page, at)
+        m = TOKEN.search(page, at, last)
         if m is None:
-            parts.append(page[at:])
+            hidden = page.find("<!--", at)
+            parts.append(page[at:] if hidden < 0 else page[at:hidden])
             break
         if m.start() > at:
             parts.append(page[at:m.start()])
         at = m.end()
         if m[2] is None:
+            if m[0].startswith("<!--") and (len(m[0]) < 7 or not m[0].endswith("-->")):
+                break  # a comment that is not closed hides the rest
             continue
         tag = m[2].lower()
         if tag in BLOCK_TAGS:
             flush()
         if m[1]:
-            if tag in (own := [t for t, _ in stack]):
-                flush_to = len(own) - 1 - own[::-1].index(tag)
-                if any(t in BLOCK_TAGS for t in own[flush_to:]):
+            if opened[tag]:
+                closed = 1
+                while stack[-closed].tag != tag:
+                    closed += 1
+                if any(e.tag in BLOCK_TAGS for e in stack[-closed:]):
                     flush()
-                del stack[flush_to:]
+                opened.subtract(e.tag for e in stack[-closed:])
+                del stack[-closed:]
             continue
         if tag in RAW_TAGS:
             flush()
-            end = re.compile(f"</{re.escape(tag)}\\s*>", re.I).search(page, at)
+            end = RAW_ENDS[tag].search(page, at)
             at = end.end() if end else n
             continue
         if tag in VOID_TAGS or m[3].endswith("/"):
             continue
-        while stack and (stack[-1][0] in CLOSES.get(tag, ()) or stack[-1][0] not in BLOCK_TAGS and any(t in CLOSES.get(tag, ()) for t, _ in stack)
-                         and tag in BLOCK_TAGS):
-            stack.pop()
-        if m[3]:
-            names = " ".join(x or y or z for x, y, z in NAMES.findall(m[3])).lower()
-        else:
-            names = ""
-        stack.append((tag, names))
+        closes = CLOSES.get(tag, ())
+        while stack and (stack[-1].tag in closes or stack[-1].tag not in BLOCK_TAGS and tag in BLOCK_TAGS and any(opened[t] for t in closes)):
+            opened[stack.pop().tag] -= 1
+        names = " ".join(x or y or z for x, y, z in NAMES.findall(m[3])).lower() if m[3] else ""
+        stack.append(Element(stack[-1] if stack else None, tag, names))
+        opened[tag] += 1
     flush()
     return out
 
 
-def home_label(path: tuple) -> int | None:
-    """1: in an article; 0: in an element for other things (also inside the article); None: neither is said."""
-    label = None
-    for tag, names in path:
-        if tag in OTHER_HOMES or (names and OTHER_NAMES.search(names) and not TEXT_NAMES.search(names)):
-            return 0
-        if tag in TEXT_HOMES:
-            label = 1
-    return label
-
-
 class Spelling:
     """Other ways to write a page: renamed containers, wrappers, other leaves."""
 
@@ -191,22 +217,32 @@ class Spelling:
         return [(tuple([*path, (self.pick(OTHER_LEAVES), "")]), t) for t in texts]
 
 
-_PATHS: dict = {}
+@lru_cache(50_000)
+def step_slots(tag: str, names: str) -> tuple:
+    return tuple(slot(x, PATH_SLOTS) for x in (tag, *(f".{w}" for w in WORDS.findall(names))))
 
 
 def path_slots(path: tuple) -> list[int]:
-    found = _PATHS.get(path)
-    if found is None:
-        steps = []
-        for depth, (tag, names) in enumerate(path):
-            steps.append(tag)
-            steps += [f".{w}" for w in WORDS.findall(names)]
-        steps.append("leaf:" + (path[-1][0] if path else ""))
-        found = [slot(s, PATH_SLOTS) for s in steps] or [0]
-        if len(_PATHS) > 50_000:
-            _PATHS.clear()
-        _PATHS[path] = found
-    return found
+    found = [i for step in path for i in step_slots(*step)]
+    return [*found, slot("leaf:" + (path[-1][0] if path else ""), PATH_SLOTS)]
+
+
+def path_means(table: np.ndarray, homes: list) -> np.ndarray:
+    """The mean embedding of every path; sums of an element go on from those of its parent."""
+    sums: dict = {None: (np.zeros(table.shape[1], table.dtype), 0)}
+    out = np.empty((len(homes), table.shape[1]), table.dtype)
+    for i, home in enumerate(homes):
+        new, at = [], home
+        while at not in sums:
+            new.append(at)
+            at = at.parent
+        total, many = sums[at]
+        for element in reversed(new):
+            slots = step_slots(element.tag, element.names)
+            total, many = total + table[list(slots)].sum(0), many + len(slots)
+            sums[element] = (total, many)
+        out[i] = (total + table[slot("leaf:" + (home.tag if home else ""), PATH_SLOTS)]) / (many + 1)
+    return out
 
 
 _WORDS: dict = {}
@@ -275,7 +311,7 @@ def _ragged(lists) -> tuple[np.ndarray, np.ndarray]:
 class Batch:
     """Blocks of several pages: features, and where each stands (place in its page, page)."""
 
-    paths: tuple
+    paths: tuple | list  # slots and bounds; to predict, the innermost elements
     words: tuple
     counts: np.ndarray
     place: np.ndarray
@@ -285,12 +321,14 @@ class Batch:
 
 
 def batch_of(pages: list[list[tuple]]) -> Batch:
-    """``pages``: per page its blocks as (path slots, word slots, counts)."""
+    """``pages``: per page its blocks as (path slots or innermost element, word slots, counts)."""
     flat = [b for p in pages for b in p]
+    homes = [b[0] for b in flat]
+    paths = _ragged(homes) if homes and isinstance(homes[0], list) else homes
     sizes = np.array([len(p) for p in pages])
     page = np.repeat(np.arange(len(pages)), sizes)
     place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    return Batch(_ragged([b[0] for b in flat]), _ragged([b[1] for b in flat]), np.array([b[2] for b in flat], np.float32).reshape(-1, COUNTS),
+    return Batch(paths, _ragged([b[1] for b in flat]), np.array([b[2] for b in flat], np.float32).reshape(-1, COUNTS),
                  place, page, len(pages), int(sizes.max(initial=0)))
 
 
@@ -301,7 +339,8 @@ def _sigmoid(x):
 def forward(model: Model, batch: Batch, tape: dict | None = None) -> np.ndarray:
     """The log odds that each block is article text."""
     h = model.state.shape[1]
-    x = np.concatenate([_mean(model.paths, *batch.paths), _mean(model.words, *batch.words), batch.counts], 1)
+    paths = _mean(model.paths, *batch.paths) if isinstance(batch.paths, tuple) else path_means(model.paths, batch.paths)
+    x = np.concatenate([paths, _mean(model.words, *batch.words), batch.counts], 1)
     size = x.shape[1]
     padded = np.zeros((batch.longest, batch.pages, size), np.float32)
     padded[batch.place, batch.page] = x
@@ -321,7 +360,8 @@ def forward(model: Model, batch: Batch, tape: dict | None = None) -> np.ndarray:
             m = inside[t]
             new = f * cell + i * c
             bent = np.tanh(new)
-            steps.append((t, state, cell, i, f, o, c, bent, m))
+            if tape is not None:
+                steps.append((t, state, cell, i, f, o, c, bent, m))
             cell = m * new + (1 - m) * cell
             state = m * (o * bent) + (1 - m) * state
             states[t] = state
@@ -373,7 +413,7 @@ def gradients(model: Model, batch: Batch, labels: np.ndarray, weight: np.ndarray
 
 
 def described(block: Block) -> tuple:
-    return path_slots(block.path), word_slots(block.text), counts_of(block.text)
+    return block.home, word_slots(block.text), counts_of(block.text)
 
 
 def train(pages: list[str], steps: int = STEPS, seed: int = 11) -> Model | None:
@@ -382,9 +422,9 @@ def train(pages: list[str], steps: int = STEPS, seed: int = 11) -> Model | None:
     found = []
     for page in pages:
         own = blocks(page)
-        labels = [home_label(b.path) for b in own]
+        labels = [b.label for b in own]
         if 1 in labels:
-            found.append((own, labels))
+            found.append(([(b.path, b.text) for b in own], labels))
     if not found:
         return None
     model = new_model(seed)
@@ -395,12 +435,12 @@ def train(pages: list[str], steps: int = STEPS, seed: int = 11) -> Model | None:
         for k in rng.integers(0, len(found), BATCH):
             own, said = found[k]
             if rng.random() < 0.4:
-                rows = [(b.path, b.text, label) for b, label in zip(own, said)]
+                rows = [(path, text, label) for (path, text), label in zip(own, said)]
             else:
                 spelling = Spelling(rng)
-                rows = [(spelling.spelled(b.path, label), b.text, label) for b, label in zip(own, said)]
+                rows = [(spelling.spelled(path, label), text, label) for (path, text), label in zip(own, said)]
                 for _ in range(rng.integers(0, 4)):  # more of other things: before, within and after the text
-                    texts = [own[i].text for i in rng.integers(0, len(own), rng.integers(1, 5))]
+                    texts = [own[i][1] for i in rng.integers(0, len(own), rng.integers(1, 5))]
                     at = int(rng.choice([0, len(rows), rng.integers(0, len(rows) + 1)]))
                     rows[at:at] = [(path, t, 0) for path, t in spelling.aside(texts)]
             chosen.append([(path_slots(path), word_slots(t), counts_of(t)) for path, t, _ in rows])
@@ -419,9 +459,9 @@ def train(pages: list[str], steps: int = STEPS, seed: int = 11) -> Model | None:
 
 
 def fit(pages: DataFrame, sample: int = SAMPLE, page_id: str = "page_id", html: str = "html") -> Model | None:
-    """Trains on the ``sample`` pages of smallest hash."""
+    """Trains on the ``sample`` pages of smallest hash among those of up to ``SAMPLE_CHARS`` characters."""
     rows = pages.select(F.col(f"`{page_id}`").cast("long").alias("page_id"), F.col(f"`{html}`").cast("string").alias("html"))
-    rows = rows.where("html IS NOT NULL AND html <> ''")
+    rows = rows.where(f"html <> '' AND length(html) <= {SAMPLE_CHARS}")
     return train([r[0] for r in hash_sample(rows, sample, "page_id", "html").select("html").collect()])
 
 
@@ -430,10 +470,15 @@ def main_texts(model: Model | None, pages: list[str | None]) -> list[str]:
     own = [blocks(p) if p else [] for p in pages]
     out = [""] * len(pages)
     some = sorted((i for i, b in enumerate(own) if b), key=lambda i: len(own[i]))
-    for at in range(0, len(some), PAGES):
-        part = some[at:at + PAGES]
+    at = 0
+    while at < len(some):
+        # Pages are in order of length, so padding stays within PLACES but for a page that is longer by itself.
+        stop = at + 1
+        while stop < min(len(some), at + PAGES) and (stop + 1 - at) * len(own[some[stop]]) <= PLACES:
+            stop += 1
+        part, at = some[at:stop], stop
         if model is None:
-            keep = [home_label(b.path) != 0 for i in part for b in own[i]]
+            keep = [b.label != 0 for i in part for b in own[i]]
         else:
             keep = (forward(model, batch_of([[described(b) for b in own[i]] for i in part])) > 0).tolist()
         k = 0

@@ -11,7 +11,7 @@ repetitions that no pattern matches, however far. A token can only have a kind o
 repetitions), or, without those, a kind to which any links lead; it is added if that is at least ``SURE`` likely.
 
 Weights are fitted by pseudo-likelihood on a bounded sample of ``SAMPLE`` documents (those of smallest hash that
-hold a digit or an at-sign), labelled by the base spans; features are hidden from a part of the tokens, and bare
+hold a digit or an at-sign and up to ``SAMPLE_CHARS`` characters), labelled by the base spans; features are hidden from a part of the tokens, and bare
 repetitions of the spans (a number without its marks, a local part alone) are appended with their label, so the links are learned.
 
 Edge cases: a null text is empty and has no spans; positions count code points; repeated rows give repeated results; null ids are
@@ -33,7 +33,7 @@ from spark_explore.llm.sampling import hash_sample
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = 1 + len(KINDS)  # 0: none
-SAMPLE = 600
+SAMPLE, SAMPLE_CHARS = 600, 1 << 16
 SURE = 0.5
 DAMPING, STILL = 0.5, 1e-4  # messages pass until none in the document changes by more
 SPARE = 60  # rounds beyond two for each token of a document, after which messages that still swing are taken as they are
@@ -313,7 +313,7 @@ def with_repetitions(text: str, base: list) -> tuple[str, list]:
 
 def fit(docs: DataFrame, sample: int = SAMPLE, doc_id: str = "doc_id", text: str = "text") -> Field:
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    rows = rows.where(F.col("text").rlike("[0-9@]"))
+    rows = rows.where((F.length("text") <= SAMPLE_CHARS) & F.col("text").rlike("[0-9@]"))
     texts = [r[0] for r in hash_sample(rows, sample, "doc_id", "text").select("text").collect()]
     return train_on(texts)
 

@@ -1,6 +1,8 @@
 import itertools
 import random
 import re
+import resource
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -89,8 +91,11 @@ def test_lstm_gradients():
     page = "<html><body><nav><a>x y</a></nav><article><h1>A b</h1><p>c d e.</p></article><footer>z</footer></body></html>"
     own = [html_lstm.blocks(page), html_lstm.blocks("<p>a<p>b")]
     model = doubled(html_lstm.new_model())
-    batch = html_lstm.batch_of([[html_lstm.described(b) for b in o] for o in own])
-    labels = np.array([html_lstm.home_label(b.path) == 1 for o in own for b in o], float)
+    rows = [[(html_lstm.path_slots(b.path), *html_lstm.described(b)[1:]) for b in o] for o in own]
+    batch = html_lstm.batch_of(rows)
+    labels = np.array([b.label == 1 for o in own for b in o], float)
+    shared = html_lstm.batch_of([[html_lstm.described(b) for b in o] for o in own])
+    assert np.allclose(html_lstm.forward(model, batch), html_lstm.forward(model, shared))
     check_gradients(model, lambda: html_lstm.gradients(model, batch, labels, np.ones(len(labels))))
 
 
@@ -123,6 +128,59 @@ def test_blocks():
     assert [b.path[-1][0] for b in html_lstm.blocks(page)][-1] == "li"
 
 
+@pytest.mark.parametrize("page,texts", [
+    ('<p title="x > y">Hi</p>', ["Hi"]), ('see <a href="/a?x>1" rel=z>this</a>', ["see this"]), ("<p a = 'b>\"c' class=k>d", ["d"]),
+    ("<p don't>a</p><p it's>b", ["a", "b"]), ('<p title="x>a<p>b', ['a', 'b']), ("a<!-- b > c", ["a"]), ("<p>a<!-- b", ["a"]), ("<p>a<!-->b", ["a"]),
+    ("a < b > c", ["a < b > c"]), ("a <b", ["a <b"]), ("<p>a</p><b", ["a", "<b"]), ('<img alt="a > b"/>c', ["c"]), ("<p a==>x", ["x"]),
+])
+def test_tags_end_outside_quotes(page, texts):
+    assert [b.text for b in html_lstm.blocks(page)] == texts
+
+
+def test_homes_of_blocks():
+    page = '<article><p>a<div class="comments"><main>b</main></div><div class="post share">c</div></article><nav>d</nav>e'
+    assert [b.label for b in html_lstm.blocks(page)] == [1, 0, 1, 0, None]
+
+
+def peak_of(work):
+    """The result, seconds, and by how much the process has grown beyond its largest size before."""
+    before, started = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss, time.time()
+    out = work()
+    return out, time.time() - started, (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) << 10
+
+
+@pytest.mark.parametrize("page,many", [
+    ("<p>w</p>" * 100_000, 100_000), ("<div>w" * 100_000, 100_000), ("<b>w" * 100_000, 1), ("<a " * 300_000, 1),
+    ('<p t="' * 100_000 + ">", 1), ("<i><p>w" * 30_000, 30_000),
+])
+def test_long_pages_take_bounded_time_and_memory(page, many):
+    model = html_lstm.new_model()
+    pages = [page, *["<article><p>a<p>b</article>"] * 255]
+    texts, spent, peak = peak_of(lambda: html_lstm.main_texts(model, pages))
+    assert len(html_lstm.blocks(page)) in (many, 0) and len(set(texts[1:])) == 1
+    assert spent < 60 and peak < 1 << 30, (spent, peak >> 20)
+
+
+def test_long_texts_of_numbers_and_addresses():
+    field = pii_crf.train_on(["word +1 (017) 555-7713 more 2024", "ask ab.cde@mail.example.com 3"] * 20)
+    numbers = "a.bcdef@g.hi " + " ".join(str(10_000_000 + 7919 * i) for i in range(100_000))
+    addresses = " ".join(f"local.part{i}@m.example.com" for i in range(40_000))
+    for text, many in ((numbers, 1), (addresses, 40_000)):
+        ((base,), _), spent, peak = peak_of(lambda: pii_crf.all_spans(field, [text]))
+        assert len(base) == many and spent < 60 and peak < 1 << 30, (spent, peak >> 20)
+
+
+def test_components_of_links():
+    rng = np.random.default_rng(4)
+    for n, m in ((1, 0), (40, 30), (200, 150), (300, 299)):
+        ends = rng.integers(0, n, (m, 2)) if m != 299 else np.array([[i, i + 1] for i in rng.permutation(299)])
+        want = list(range(n))
+        for _ in range(n):
+            for a, b in ends:
+                want[a] = want[b] = min(want[a], want[b])
+        assert pii_crf._components(n, ends.reshape(-1, 2)).tolist() == want
+
+
 PATTERNS = [re.compile(p) for p in (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
                                     r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")]
 
