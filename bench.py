@@ -51,7 +51,7 @@ def prepare(spark, folder):
         write_collection(make(spark, folder), f"{folder}/{name}", mode="ignore")
         tables = read_collection(spark, f"{folder}/{name}")
         if tables.embeddings is not None:
-            mapping.build_index_map(tables).write.parquet(f"{folder}/{name}/index_map")
+            mapping.with_numbers(mapping.build_index_map(tables)).write.parquet(f"{folder}/{name}/index_map")
             index = search.SearchIndex(
                 tables.embeddings, spark.read.parquet(f"{folder}/{name}/index_map"), tables.medias
             )

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from spark_explore.functions.encode import embed_text
 from spark_explore.functions.vectors import mean_vector
 from spark_explore.operators.filters import AllOf, AnyOf, Between, Group
-from spark_explore.operators.mapping import build_index_map
+from spark_explore.operators.mapping import build_index_map, with_numbers
 from spark_explore.plans.search import SearchIndex
 from spark_explore.sizing import cut_lineage, local_table
 from spark_explore.sources.collections import SCHEMAS as LAYOUT
@@ -220,7 +220,7 @@ DOCUMENT_TREES = {
 
 def search_index(tables: Tables, **ivf) -> SearchIndex:
     """What a search needs; the mapping is made once, as when a collection is loaded."""
-    return SearchIndex(tables.embeddings, cut_lineage(build_index_map(tables)), tables.medias, **ivf)
+    return SearchIndex(tables.embeddings, cut_lineage(with_numbers(build_index_map(tables))), tables.medias, **ivf)
 
 
 def topics(spark: SparkSession, sf_dir: str) -> DataFrame:

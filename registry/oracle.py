@@ -458,6 +458,7 @@ faceted AS (SELECT s.req_id + {B} AS req_id, g.rank, g.media_id, NULL::DOUBLE AS
             FROM sessions s CROSS JOIN german g WHERE g.rank <= 50)
 """, recursive=True) + """SELECT *, 1700000000::BIGINT AS request_timestamp, 0::BIGINT AS completion_time
 FROM (SELECT * FROM texts UNION ALL SELECT * FROM rf UNION ALL SELECT * FROM faceted)"""
+    sql["answer_timed"] = ("SELECT strategy, count(*) AS results, true AS measured FROM (" + sql["answer_mixed"] + ") GROUP BY strategy")
     # Ranks come from unrounded scores; what is compared is rounded.
     for name in SCORED:
         sql[name] = f"SELECT * REPLACE (round(score, 6) + 0.0 AS score) FROM ({sql[name]})"

@@ -2,11 +2,11 @@
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spark_explore.functions.vectors import dot
-from spark_explore.operators.mapping import to_index_ids, total_items
+from spark_explore.operators.mapping import to_index_ids, with_numbers
 from spark_explore.sizing import cut_lineage, small_side
 
 RANDOM_SAMPLES = 5
@@ -22,33 +22,22 @@ SAMPLES_PER_TASK = 20_000
 WEIGHTS = "req_id long, weights array<double>"
 
 
-def numbered_items(index_map: DataFrame) -> DataFrame:
-    """``(collection, number, index_id)``: the mapped items of a collection counted from 0 by position.
-
-    Positions are sorted over ranges of partitions; a partition counts its own
-    and adds what the ones before it hold, so gaps between positions don't matter.
-    """
-    keys = ["collection", "index_id"]
-    ordered = cut_lineage(
-        index_map.select(*keys).distinct().repartitionByRange(*keys).sortWithinPartitions(*keys)
-    ).withColumn("at", F.monotonically_increasing_id())
-    part = F.shiftright("at", 33)
-    held = ordered.groupBy("collection", part.alias("part")).agg(F.min("at").alias("first"), F.count("*").alias("many"))
-    before = Window.partitionBy("collection").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    held = held.withColumn("before", F.coalesce(F.sum("many").over(before), F.lit(0)))
-    return ordered.withColumn("part", part).join(
-        small_side(held.select("collection", "part", "first", "before")), ["collection", "part"]
-    ).select("collection", (F.col("before") + F.col("at") - F.col("first")).alias("number"), "index_id")
-
-
 def random_samples(requests: DataFrame, index_map: DataFrame, seed: str, label: float) -> DataFrame:
     """Five distinct random items for each request, reproducible from ``seed``; all, where a collection has fewer.
 
     Items are drawn by hashed number among the mapped items and only then looked
-    up: no request meets the whole collection. Up to ``DRAWS`` items, all are
+    up: no request meets the whole collection. A mapping that carries ``number``
+    (``mapping.with_numbers``) is neither sorted nor written for it, and nothing
+    is read where no request asks. Up to ``DRAWS`` items, all are
     put into hashed order instead, so five are always found.
     """
-    totals = small_side(total_items(index_map))
+    asked = cut_lineage(requests.select("req_id", "collection"))
+    if asked.isEmpty():
+        nothing = index_map.where("false").select("collection", "index_id")
+        return asked.join(nothing, "collection").select("req_id", "collection", "index_id").withColumn("label", F.lit(label))
+    if "number" not in index_map.columns:
+        index_map = with_numbers(index_map)
+    totals = small_side(index_map.groupBy("collection").agg((F.max("number") + 1).alias("total_items")))
 
     def hashed(i):
         digest = F.md5(F.concat_ws(":", F.lit(seed), F.col("req_id").cast("string"), i.cast("string")))
@@ -60,10 +49,10 @@ def random_samples(requests: DataFrame, index_map: DataFrame, seed: str, label:
         F.array_sort(F.transform(F.sequence(F.lit(0).cast("long"), F.col("total_items") - 1),
                                  lambda i: F.struct(hashed(i).alias("h"), i.alias("i")))), lambda s: s["i"])
     chosen = F.when(F.col("total_items") > DRAWS, drawn).otherwise(every)
-    picked = requests.select("req_id", "collection").join(totals.where("total_items > 0"), "collection").select(
+    picked = asked.join(totals, "collection").select(
         "req_id", "collection", F.explode(F.slice(chosen, 1, RANDOM_SAMPLES)).alias("number"))
-    return picked.join(numbered_items(index_map), ["collection", "number"]).select(
-        "req_id", "collection", "index_id").withColumn("label", F.lit(label))
+    return index_map.select("collection", "number", "index_id").join(small_side(picked), ["collection", "number"]).select(
+        "req_id", "collection", "index_id").distinct().withColumn("label", F.lit(label))
 
 
 def feedback_samples(

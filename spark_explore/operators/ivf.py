@@ -103,9 +103,11 @@ def ivf_topk(
 ) -> DataFrame:
     """Best items of each request among the cells it probes.
 
-    ``adaptive``: requests with fewer than ``n`` items look again in twice as
-    many cells, until satisfied or all cells are searched; each round holds
-    only the requests still short, and a request's last round is its answer.
+    ``adaptive``: requests with fewer than ``n`` items go on until they have
+    looked in twice as many cells, again and again, until satisfied or all cells
+    are searched. A round holds only the requests still short and reads only
+    cells that they have not visited; what they have found so far is kept.
+    Filter bitmaps are made once for all rounds.
     """
     short = cut_lineage(requests.select("req_id", "collection", "query_vec", "n", "filter_id"))
     cells = centroids.count()
@@ -113,24 +115,29 @@ def ivf_topk(
     # probes may be shared than in an exact search, as far as their vectors allow.
     dim = short.where(F.col("query_vec").isNotNull()).select(F.size("query_vec")).first()
     room = min(8 * topk.SHARED_PROBES, topk.SHARED_BYTES // (8 * max(1, dim[0] if dim else 1)))
-    answers = []
+    if not adaptive:
+        return top_items(assigned, short.join(probe_cells(short, centroids, nprobe).drop("rank"), "req_id"), ["collection", "cell"], skips, passed, room)
+    if passed is not None:
+        passed = topk.Masks.of(passed, short.select("filter_id"))
+    deepest = short.agg(F.max("n")).first()[0] or 0
+    answers, kept, visited = [], None, 0
     while True:
-        probes = short.join(probe_cells(short, centroids, nprobe).drop("rank"), "req_id")
-        found = top_items(assigned, probes, ["collection", "cell"], skips, passed, room)
-        if not adaptive:
-            return found
+        fresh = probe_cells(short, centroids, nprobe).where(F.col("rank") > visited).drop("rank")
+        found = top_items(assigned, short.join(fresh, "req_id"), ["collection", "cell"], skips, passed, room)
+        if kept is not None:
+            found = topk.best_of(kept.unionByName(found), short, deepest)
         found = cut_lineage(found)
         got = found.groupBy("req_id").agg(F.count("*").alias("got"))
-        counted = short.join(got, "req_id", "left")
         lacking = F.coalesce("got", F.lit(0)) < F.col("n")
         if nprobe >= cells:
             answers.append(found)
             break
-        missing = cut_lineage(counted.where(lacking).drop("got"))
+        missing = cut_lineage(short.join(got, "req_id", "left").where(lacking).drop("got"))
         answers.append(found.join(missing.select("req_id"), "req_id", "left_anti"))
         if missing.isEmpty():
             break
-        short, nprobe = missing, nprobe * 2
+        kept = found.join(missing.select("req_id"), "req_id", "left_semi")
+        short, visited, nprobe = missing, nprobe, nprobe * 2
     result = answers[0]
     for answer in answers[1:]:
         result = result.unionByName(answer)

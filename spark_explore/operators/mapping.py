@@ -1,9 +1,9 @@
 """Item id <-> vector position, and checks of a collection's integrity."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spark_explore.sizing import small_side
+from spark_explore.sizing import cut_lineage, small_side
 from spark_explore.sources.collections import INDEX_FACET, Tables
 
 
@@ -22,10 +22,34 @@ def build_index_map(tables: Tables) -> DataFrame:
     )
 
 
+def numbered_items(index_map: DataFrame) -> DataFrame:
+    """``(collection, number, index_id)``: the mapped items of a collection counted from 0 by position.
+
+    Positions are sorted over ranges of partitions; a partition counts its own
+    and adds what the ones before it hold, so gaps between positions don't matter.
+    """
+    keys = ["collection", "index_id"]
+    ordered = cut_lineage(
+        index_map.select(*keys).distinct().repartitionByRange(*keys).sortWithinPartitions(*keys)
+    ).withColumn("at", F.monotonically_increasing_id())
+    part = F.shiftright("at", 33)
+    held = ordered.groupBy("collection", part.alias("part")).agg(F.min("at").alias("first"), F.count("*").alias("many"))
+    before = Window.partitionBy("collection").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    held = held.withColumn("before", F.coalesce(F.sum("many").over(before), F.lit(0)))
+    return ordered.withColumn("part", part).join(
+        small_side(held.select("collection", "part", "first", "before")), ["collection", "part"]
+    ).select("collection", (F.col("before") + F.col("at") - F.col("first")).alias("number"), "index_id")
+
+
+def with_numbers(index_map: DataFrame) -> DataFrame:
+    """The mapping with ``number``, the rank of its position: made once, when a collection is loaded or written, for draws at random."""
+    return index_map.join(numbered_items(index_map), ["collection", "index_id"])
+
+
 def to_media_ids(found: DataFrame, index_map: DataFrame) -> DataFrame:
     """Replace ``index_id`` by ``media_id``; -1 (no hit) is dropped, ranks stay."""
     hits = found.where(F.col("index_id") != -1)
-    return hits.join(index_map, ["collection", "index_id"]).drop("index_id")
+    return hits.join(index_map.select("collection", "media_id", "index_id"), ["collection", "index_id"]).drop("index_id")
 
 
 def to_index_ids(pairs: DataFrame, index_map: DataFrame, strict: bool = False) -> DataFrame:
@@ -34,7 +58,7 @@ def to_index_ids(pairs: DataFrame, index_map: DataFrame, strict: bool = False) -
         unmapped = pairs.join(index_map, ["collection", "media_id"], "left_anti").limit(1).count()
         if unmapped:
             raise ValueError("media ids without a vector position")
-    mapped = pairs.join(index_map, ["collection", "media_id"]).where(F.col("index_id") != -1)
+    mapped = pairs.join(index_map.select("collection", "media_id", "index_id"), ["collection", "media_id"]).where(F.col("index_id") != -1)
     return mapped.drop("media_id")
 
 

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spark_explore.sizing import checkpoint_dir, cut_lineage, local_table
+from spark_explore.sizing import checkpoint_dir, cut_lineage, local_table, small_side
 
 # Scores keep this many decimals: noise of the summation order goes, real differences stay.
 DECIMALS = 12
@@ -237,12 +237,25 @@ class Skips:
     groups: DataFrame | None = None
 
 
+@dataclass(frozen=True)
+class Masks:
+    """Bitmaps of the items that pass each filter, made once for several searches."""
+
+    bits: DataFrame
+
+    @classmethod
+    def of(cls, passed: DataFrame, filter_ids: DataFrame) -> "Masks":
+        """Of the filters in ``filter_ids`` (one column), which may repeat."""
+        named = small_side(filter_ids.toDF("filter_id").where("filter_id IS NOT NULL").distinct())
+        return cls(_bitmaps(_exploded(passed).join(named, "filter_id", "left_semi")))
+
+
 def top_items(
     items: DataFrame,
     probes: DataFrame,
     part: list[str],
     skips: Skips | None = None,
-    passed: DataFrame | None = None,
+    passed: DataFrame | Masks | None = None,
     room: int | None = None,
 ) -> DataFrame:
     """``(req_id, index_id, score, rank)`` with the best ``n`` items of each request.
@@ -250,7 +263,7 @@ def top_items(
     items   part columns, ``collection, index_id, embedding`` (and ``group_id``, where groups are skipped)
     probes  part columns, ``req_id, query_vec, n, filter_id``; a request sees the
             items of its parts (its collection, or the index cells it probes)
-    passed  ``(collection, index_id, filter_ids)``: items passing each filter
+    passed  ``(collection, index_id, filter_ids)``: items passing each filter (or their ``Masks``)
     room    probes that may be shared with all tasks, if not ``SHARED_PROBES``
 
     A request whose ``n`` is null or below 1 gets nothing.
@@ -277,6 +290,8 @@ def top_items(
             return _best(reduce(DataFrame.unionByName, scans), deepest).drop("n")
         slices = [scans]
     else:
+        if isinstance(passed, DataFrame):
+            passed = Masks.of(passed, probes.select("filter_id"))  # all slices use them
         deepest, slices = _slices(items, probes, schema, part, skips, passed, room)
     folder = f"{checkpoint_dir(items.sparkSession)}/found-{uuid.uuid4().hex}"
     for scans in slices:
@@ -299,6 +314,12 @@ def _slices(items, probes, schema, part, skips, passed, room):
         _scans(items, placed.where(F.col("slice") == no).drop("slice").toArrow(), schema, part, skips, passed) for no in numbers)
 
 
+def best_of(found: DataFrame, requests: DataFrame, deepest: int) -> DataFrame:
+    """The best ``n`` of each request among results of several searches."""
+    wanted = requests.select(F.col("req_id").cast("long"), F.col("n").cast("int"))
+    return _best(found.select("req_id", "index_id", "score").join(wanted, "req_id"), deepest).drop("n")
+
+
 def _best(found: DataFrame, deepest: int) -> DataFrame:
     """The best ``n`` of each request and their ``rank``. Ranked in pieces first, so the results of all tasks for one request do not meet in one task."""
     found = found.withColumn("piece", F.pmod(F.xxhash64("index_id"), F.lit(RANK_PIECES)))
@@ -309,13 +330,19 @@ def _best(found: DataFrame, deepest: int) -> DataFrame:
     return found.select("req_id", "index_id", "score", "rank", "n")
 
 
+def _exploded(passed: DataFrame) -> DataFrame:
+    return passed.select("collection", "index_id", F.explode("filter_ids").alias("filter_id"))
+
+
 def _bits(passed: DataFrame, names: list[str]) -> DataFrame:
+    return _bitmaps(_exploded(passed).where(F.col("filter_id").isin(*names)))
+
+
+def _bitmaps(rows: DataFrame) -> DataFrame:
     """Passing items as bitmaps by collection, filter and block of positions, by map-side combined aggregation."""
     place = F.col("index_id") + 1  # the SQL functions count from 1
     return cut_lineage(
-        passed.select("collection", "index_id", F.explode("filter_ids").alias("filter_id"))
-        .where(F.col("filter_id").isin(*names))
-        .groupBy("collection", "filter_id", (F.bitmap_bucket_number(place) - 1).alias("block"))
+        rows.groupBy("collection", "filter_id", (F.bitmap_bucket_number(place) - 1).alias("block"))
         .agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
     )
 
@@ -345,7 +372,7 @@ def _scans(items, table, key_schema, part, skips, passed) -> list[DataFrame]:
     if names:
         if passed is None:
             raise ValueError("requests name filters but no passing items were given")
-        bits = _bits(passed, names)
+        bits = passed.bits.where(F.col("filter_id").isin(*names)) if isinstance(passed, Masks) else _bits(passed, names)
         pieces = -(-bits.count() * (MASK_BITS // 8) // max(MASK_BYTES, MASK_BITS // 8))
         edges |= {c * MASK_BITS for c in _cuts(bits, "block", pieces)}
     if skips is not None and table.num_rows:

@@ -1,5 +1,6 @@
 """Searches end to end: requests in, ranked media ids out."""
 
+import math
 import time
 from dataclasses import dataclass
 
@@ -216,16 +217,21 @@ def answer(
     return result.withColumn("request_timestamp", started.cast("long"))
 
 
-def timed(results: DataFrame, seconds: int) -> DataFrame:
+def timed(results: DataFrame, seconds: float) -> DataFrame:
     """Results with the batch's ``completion_time`` in whole seconds."""
     return results.withColumn("completion_time", F.lit(int(seconds)).cast("long"))
 
 
 def write_timed(results: DataFrame, folder: str) -> DataFrame:
-    """Write a batch's results to ``folder`` and return them with the time that the work took."""
+    """Write a batch's results to ``folder`` and return them with the time that the work took.
+
+    ``elapsed_ms`` has it in milliseconds (rounded up), ``completion_time`` in whole seconds.
+    """
     started = time.monotonic()
     results.write.parquet(folder)
-    return timed(results.sparkSession.read.parquet(folder), time.monotonic() - started)
+    spent = time.monotonic() - started
+    written = timed(results.sparkSession.read.schema(results.schema).parquet(folder), spent)
+    return written.withColumn("elapsed_ms", F.lit(math.ceil(1000 * spent)).cast("long"))
 
 
 def answer_checked(

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spark_explore.operators import feedback
-from spark_explore.operators.mapping import build_index_map
+from spark_explore.operators.mapping import build_index_map, numbered_items, with_numbers
 from spark_explore.plans.search import SearchIndex, rf_search
 from conftest import rows
 
@@ -76,5 +76,16 @@ def test_random_samples_over_gaps_and_small_collections(spark):
         assert all(len(got[c, r]) == many and got[c, r] <= known[c] for r in range(20))
     assert len({frozenset(got["gaps", r]) for r in range(20)}) > 10
     assert not any(c == "none" for c, _ in got)
-    numbers = rows(feedback.numbered_items(mapped).where("collection = 'gaps'"), "number", "index_id")
+    numbers = rows(numbered_items(mapped).where("collection = 'gaps'"), "number", "index_id")
     assert numbers == [(i, 10 * i) for i in range(100)]
+
+
+def test_draws_read_stored_numbers(spark, small, monkeypatch):
+    mapped = build_index_map(small)
+    users = spark.createDataFrame([(i, c) for i in range(20) for c in "ab"], "req_id long, collection string")
+    plain = rows(feedback.random_samples(users, mapped, "7", 1.0))
+    numbered = with_numbers(mapped).cache()
+    assert rows(numbered.drop("number"), "collection", "media_id", "index_id") == rows(mapped, "collection", "media_id", "index_id")
+    monkeypatch.setattr(feedback, "with_numbers", None)  # neither sorted nor written again
+    assert rows(feedback.random_samples(users, numbered, "7", 1.0)) == plain
+    assert rows(feedback.random_samples(users.where("false"), mapped, "7", 1.0)) == []

@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from spark_explore.operators import topk
+from spark_explore.operators import ivf, topk
 from spark_explore.operators.ivf import assign_cells, build_ivf, ivf_topk, probe_cells, read_ivf, write_ivf
 from spark_explore.operators.mapping import build_index_map
 from spark_explore.operators.skip import expand_excluded, id_pairs, skip_items
@@ -231,6 +231,28 @@ def test_adaptive_probing_fills_up_and_ends(spark, world, cells):
     assert ivf_topk(greedy, centroids, assigned, 1, adaptive=True).count() == 15 * 400
 
 
+def test_adaptive_rounds_visit_no_cell_twice(world, cells, monkeypatch):
+    """Every round reads only new cells, and all rounds together find what one search of the visited cells finds."""
+    (items, reqs, skips, passed), _ = world
+    centroids, assigned = cells
+    skips, asked, masks = topk.Skips(skips), [], []
+
+    def noted(table, probes, part, *rest):
+        if "cell" in part:
+            asked.append(rows(probes, "req_id", "cell"))
+            masks.append(rest[1])
+        return topk.top_items(table, probes, part, *rest)
+
+    monkeypatch.setattr(ivf, "top_items", noted)
+    got = rows(ivf_topk(reqs, centroids, assigned, 1, skips, passed, adaptive=True), "req_id", "index_id", "rank")
+    every = [pair for round_ in asked for pair in round_]
+    assert len(asked) > 1 and len(every) == len(set(every)) and len({id(m) for m in masks}) == 1
+    probed = {r: sum(1 for q, _ in every if q == r) for r, _ in every}
+    for nprobe in set(probed.values()):
+        once = rows(ivf_topk(reqs, centroids, assigned, nprobe, skips, passed), "req_id", "index_id", "rank")
+        assert [x for x in got if probed[x[0]] == nprobe] == [x for x in once if probed[x[0]] == nprobe]
+
+
 def test_cells_tie_to_the_lower_number(spark):
     items = spark.createDataFrame([("c", 1, [1.0, 0.0])], "collection string, index_id long, embedding array<float>")
     centroids = spark.createDataFrame([(4, [1.0, 0.0]), (2, [1.0, 5.0]), (3, [0.0, 1.0])], "cell long, centroid array<double>")
