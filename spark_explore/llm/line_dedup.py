@@ -157,7 +157,7 @@ def removed_lines(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id", te
     rest = cut_lineage(pairs.select("a", "b").join(found, "b", "left_anti").join(likely, ["a", "b"], "left_anti"))
     more = _confirm(rest, docs, classes, percent).select("b")
     gone = done.union(found).union(more).distinct()
-    decided = cut_lineage(classes.join(gone.withColumn("gone", F.lit(True)), "cls", "left").select("k1", "k2", "first", "gone"))
+    decided = classes.join(small_side(gone).withColumn("gone", F.lit(True)), "cls", "left").select("k1", "k2", "first", "gone")
     return lines.select("doc_id", "line", "k1", "k2").join(decided, ["k1", "k2"], "left").select(
         "doc_id", "line", F.coalesce(
             F.col("gone") | (F.struct("doc_id", "line") != F.col("first")), F.lit(False)).alias("removed"))
@@ -245,9 +245,10 @@ def _meet(posted: DataFrame, lengths: DataFrame, percent: int) -> DataFrame:
 def _confirm(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs whose full sets are similar; only the documents with the first lines of their classes are read again."""
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    needed = cut_lineage(ids.join(classes.select(F.col("cls").alias("id"), "k1", "k2", "first"), "id"))
+    # Both are shared where they are small: then neither the classes nor the sets are shuffled to meet them.
+    needed = cut_lineage(classes.select(F.col("cls").alias("id"), "k1", "k2", F.col("first.doc_id").alias("doc")).join(small_side(ids), "id"))
     sc = docs.sparkSession.sparkContext
-    in_docs = sc.broadcast(bitmap(needed.select(F.col("first.doc_id").alias("id"))).tobytes())
+    in_docs = sc.broadcast(bitmap(needed.select(F.col("doc").alias("id"))).tobytes())
     in_keys = sc.broadcast(bitmap(needed.select(F.col("k1").alias("id")), direct=True).tobytes())
 
     def keyed(batches):
@@ -261,8 +262,8 @@ def _confirm(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int
                 yield found.filter(pc.and_(wanted, pa.array(np.diff(bounds) > 0)))
 
     found = docs.select("text", spot("doc_id").alias("spot")).mapInArrow(keyed, "k1 long, k2 long, shingles binary")
-    sets = cut_lineage(found.join(needed.select("id", "k1", "k2"), ["k1", "k2"]).groupBy("id").agg(F.first("shingles").alias("shingles")))
-    return confirmed_sets(pairs, sets, percent)
+    sets = cut_lineage(found.join(small_side(needed), ["k1", "k2"]).groupBy("id").agg(F.first("shingles").alias("shingles")))
+    return confirmed_sets(small_side(pairs), sets, percent)
 
 
 def dedup_lines(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
