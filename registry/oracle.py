@@ -286,6 +286,14 @@ r AS (SELECT count(*) AS mapped, count(*) - count(DISTINCT index_id) AS duplicat
         "filter_empty_identities": _trees(IDENTITIES),
         "filter_group_expansion": _tree(TREES["even"]),
         "filter_batch": _trees(TREES),
+        "filter_programs": _with(MEDIA, f"""
+asked AS (SELECT DISTINCT lang, 2 * {B}::BIGINT + list_position(['de','en','es','fr'], lang) AS tag_id, n_chars // 8 AS band
+          FROM documents WHERE list_position(['de','en','es','fr'], lang) > 0 AND n_chars IS NOT NULL),
+chars AS (SELECT media_id, value_long FROM tagged WHERE tagset_id = 4),
+clicked AS (SELECT media_id FROM tagged WHERE tag_id = 7 * {B}::BIGINT + 1)
+""") + "SELECT DISTINCT a.lang || '/' || a.band AS filter_id, t.media_id FROM asked a JOIN tagged t USING (tag_id) JOIN chars c "
+       "ON c.media_id = t.media_id AND c.value_long BETWEEN 8 * a.band - 40 AND 8 * a.band + 47 "
+       "WHERE t.media_id NOT IN (SELECT media_id FROM clicked)",
         "applied_filters": _with(MEDIA, TOPICS, f"""
 asked AS (SELECT req_id, 'lang' AS name, 2 * {B}::BIGINT + list_position(['de','en','es','fr'], lang) AS tag_id
           FROM topics

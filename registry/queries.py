@@ -11,7 +11,7 @@ from registry import fixtures as fx
 from registry.fixtures import B
 from spark_explore.functions.encode import embed_text
 from spark_explore.functions.vectors import dot, l2_norm, l2_normalize
-from spark_explore.operators import audit, catalogue, feedback, filters, items, ivf, mapping, skip
+from spark_explore.operators import audit, catalogue, feedback, filters, items, ivf, mapping, programs, skip
 from spark_explore.operators.filters import AllOf, AnyOf, Between, Group
 from spark_explore.operators.item_sets import item_set_state as fold_item_sets
 from spark_explore.plans import search
@@ -125,6 +125,24 @@ def _trees(trees):
     return run
 
 
+def filter_programs(spark, sf_dir):
+    """A tree, as JSON, for each language and length of the documents: alike in both and without a click."""
+    t = fx.media_tables(spark, sf_dir)
+    docs = fx.read(spark, sf_dir, "documents").where("n_chars IS NOT NULL")
+    band = docs.select("lang", fx.number_in(fx.LANGS, "lang").alias("no"), F.floor(F.col("n_chars") / 8).alias("band")).where("no > 0").distinct()
+    leaf = '{"kind": "leaf", "not_": %s, "filter": {"id": %s, "tagtype_id": %s, "constraint": {%s}}}'
+    leaves = [
+        leaf % ("false", "null", "null", '"value_ids": [%1$d], "operator": "OR"'),
+        leaf % ("false", "4", "2", '"lower_bound": %2$d, "upper_bound": %3$d'),
+        leaf % ("true", "null", "null", f'"value_ids": [{7 * B + 1}], "operator": "OR"'),
+    ]
+    form = '{"root": {"kind": "group", "operator": "AND", "children": [' + ", ".join(leaves) + "]}}"
+    asked = band.select(
+        F.lit("media").alias("collection"), F.concat_ws("/", "lang", "band").alias("filter_id"),
+        F.format_string(form, F.lit(2 * B) + F.col("no"), F.col("band") * 8 - 40, F.col("band") * 8 + 47).alias("tree"))
+    return programs.passing_filters(t, asked).select("filter_id", "media_id")
+
+
 def applied_filters(spark, sf_dir):
     """Each topic asks for its language (named facet) and for either quality mark."""
     t = fx.media_tables(spark, sf_dir)
@@ -693,6 +711,7 @@ QUERIES = {
     "filter_empty_identities": _trees(IDENTITIES),
     "filter_group_expansion": _tree(fx.TREES["even"]),
     "filter_batch": _trees(fx.TREES),
+    "filter_programs": filter_programs,
     "applied_filters": applied_filters,
     "faceted_search": faceted_search,
     "dot_product": self_dot,

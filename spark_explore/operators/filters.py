@@ -229,9 +229,14 @@ def passing(tables: Tables, trees: dict[str, Tree]) -> DataFrame:
     A passing group stands for all its children and leaves the result itself;
     a group here is any media without a ``group_id``.
     """
+    return expand_groups(tables, passing_own(tables, trees), "filter_ids")
+
+
+def expand_groups(tables: Tables, own: DataFrame, ids: str) -> DataFrame:
+    """Passing groups replaced by their children; ``own`` is ``(collection, media_id)`` with a list ``ids``."""
     # Written once: the aggregation of all taggings is used, and counted, more than once below.
     known = tables.medias.select("collection", "media_id", F.col("group_id").isNull().alias("is_group"))
-    own = cut_lineage(passing_own(tables, trees).join(known, ["collection", "media_id"], "left"))
+    own = cut_lineage(own.join(known, ["collection", "media_id"], "left"))
     is_group = F.coalesce("is_group", F.lit(False))
     items = own.where(~is_group).drop("is_group")
     passed_groups = own.where(is_group).drop("is_group").withColumnRenamed("media_id", "group_id")
@@ -239,11 +244,11 @@ def passing(tables: Tables, trees: dict[str, Tree]) -> DataFrame:
         tables.medias.where(F.col("group_id").isNotNull())
         .select("collection", "media_id", "group_id")
         .join(small_side(passed_groups), ["collection", "group_id"])
-        .select("collection", "media_id", "filter_ids")
+        .select("collection", "media_id", ids)
     )
     # At most two rows meet per item: its own and its group's.
     return items.unionByName(children).groupBy("collection", "media_id").agg(
-        F.array_distinct(F.flatten(F.collect_list("filter_ids"))).alias("filter_ids")
+        F.array_distinct(F.flatten(F.collect_list(ids))).alias(ids)
     )
 
 
