@@ -7,9 +7,11 @@
 3. In each bucket every class is compared with the bucket's first class. The similarity is estimated from the
    bits that agree, corrected for chance agreement; pairs well below the threshold go. The rest are
    confirmed on the full sets.
-4. Links found so far join classes into components. Buckets that still hold several components are compared
-   again: the classes outside the component of the first class with all others, block against block, so no
-   link between components is lost and a hot bucket is many tasks.
+4. Links found so far join classes into components. In large buckets that still hold several components each class
+   tries its likeliest partner among some drawn ones, which joins most of a group of variants.
+5. Buckets that hold several components then are compared again: the classes outside the component of most classes
+   with all others, block against block and on full sets, so no link between components is lost and a hot bucket is
+   many tasks. A block gives only the links that join its components, not every similar pair.
 
 At the threshold a pair shares no band with a probability of at most (1 - s^4)^32: 5e-11 at 0.85, 5e-8 at 0.8;
 its estimate falls below the bound of step 3 with a probability of 3e-7.
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spark_explore.llm.chunks import text_chunks
+from spark_explore.llm.chunks import spread, text_chunks
 from spark_explore.llm.components import components
 from spark_explore.llm.set_checks import bitmap, confirmed_sets, in_bitmap, set_bytes, spot
 from spark_explore.llm.shingles import M1, mix, shingle_sets
@@ -31,8 +33,8 @@ from spark_explore.sizing import cut_lineage
 
 HASHES, BANDS, ROWS, BITS = 256, 32, 4, 4
 SLACK = 0.12  # five deviations of the estimate at the threshold
-WIDE, WIDE_SLACK = 1024, 0.06  # minima of the second estimate, and five of its deviations
 BLOCK = 512  # classes of a bucket that meet in one task
+BLOCK_SHINGLES = 1 << 20  # and their shingles
 
 
 def minima(sets: np.ndarray, bounds: np.ndarray, count: int = HASHES) -> np.ndarray:
@@ -132,14 +134,6 @@ def candidate_sets(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width:
     return _keyed(ids, docs, classes, width, "binary", set_bytes).withColumnRenamed("made", "shingles")
 
 
-def wide_signatures(ids: DataFrame, docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
-    """``cls`` and a signature of ``WIDE`` minima, for the classes in ``ids``."""
-    def make(sets, bounds):
-        return pa.array([w.tobytes() for w in pack_bits(minima(sets, bounds, WIDE))], pa.binary())
-
-    return _keyed(ids, docs, classes, width, "binary", make).toDF("cls", "wide")
-
-
 def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs ``a``, ``b`` whose full sets of shingles have 100 * intersection >= percent * union."""
     return confirmed_sets(pairs, candidate_sets(pairs, docs, classes, width), percent)
@@ -162,70 +156,151 @@ def _first_pairs(buckets: DataFrame, classes: DataFrame, lowest: float, percent:
     return pairs.select("a", "b", "s_a", "s_b").mapInArrow(look, "a long, b long")
 
 
-def _cross_pairs(buckets: DataFrame, classes: DataFrame, labels: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs within buckets that lie in different components and look similar enough."""
-    named = buckets.join(labels.withColumnRenamed("id", "cls"), "cls", "left").select(
-        "band", "cls", "first", F.coalesce("component", "cls").alias("own"))
-    home = named.where("cls = first").select("band", F.col("own").alias("home"))
-    named = named.join(cut_lineage(home), "band")
-    mixed = named.groupBy("band").agg(
-        F.count("*").alias("all"), F.count(F.when(F.col("own") != F.col("home"), 1)).alias("strays")).where("strays > 0")
+def _groups(batches, key: list[str]):
+    """The adjacent rows with equal ``key``, as one batch each."""
+    held = None
+    for batch in batches:
+        held = batch if held is None or not held.num_rows else pa.concat_batches([held, batch])
+        if not held.num_rows:
+            continue
+        own = [held.column(c).to_numpy() for c in key]
+        starts = np.concatenate([[0], np.nonzero(np.any([g[1:] != g[:-1] for g in own], axis=0))[0] + 1])
+        for a, b in zip(starts[:-1], starts[1:]):
+            yield held.slice(a, b - a)
+        held = held.slice(starts[-1])
+    if held is not None and held.num_rows:
+        yield held
+
+
+def _signatures(batch: pa.RecordBatch) -> np.ndarray:
+    return np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint64).reshape(batch.num_rows, -1)
+
+
+def _mixed(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """The classes of the buckets that hold several components: own component, that of most classes (home), and
+    how many classes and shingles all of them and those outside of home (strays) have."""
+    named = cut_lineage(buckets.join(labels.withColumnRenamed("id", "cls"), "cls", "left").select(
+        "band", "cls", "n", F.coalesce("component", "cls").alias("own")))
+    parts = named.groupBy("band", "own").agg(F.count("*").alias("many"), F.sum("n").alias("n"))
+    most = F.max(F.struct("many", "n", "own"))
+    mixed = parts.groupBy("band").agg(most.alias("most"), F.sum("many").alias("all"), F.sum("n").alias("all_n")).select(
+        "band", F.col("most.own").alias("home"), "all", "all_n",
+        (F.col("all") - F.col("most.many")).alias("strays"), (F.col("all_n") - F.col("most.n")).alias("strays_n"))
+    return cut_lineage(named.join(mixed.where("strays > 0"), "band"))
+
+
+def _near_pairs(mixed: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """For each class of a large mixed bucket the likeliest class of another component, among ``BLOCK`` drawn ones.
+
+    Every class is dealt to one block, so rows and pairs grow with the size of a bucket.
+    """
+    lowest = percent / 100 - SLACK
+    key = ["band", "part"]
+    parts = mixed.where(F.col("all") > BLOCK).withColumn(
+        "part", F.pmod(F.xxhash64("cls"), F.ceil(F.col("all") / BLOCK))).select(*key, "cls", "own", "n")
+
+    def look(batches):
+        for batch in _groups(batches, key):
+            cls, own, n = (batch.column(c).to_numpy() for c in ("cls", "own", "n"))
+            signature = _signatures(batch)
+            other = np.full(len(cls), -1)
+            for x in range(len(cls)):
+                near = np.nonzero((own != own[x]) & (100 * np.minimum(n, n[x]) >= percent * np.maximum(n, n[x])))[0]
+                if len(near):
+                    like = similarity(signature[near], signature[x])
+                    if like.max() >= lowest:
+                        other[x] = near[like.argmax()]
+            x = np.nonzero(other >= 0)[0]
+            a, b = cls[x], cls[other[x]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    rows = parts.join(classes.select("cls", "signature"), "cls").repartition(*key).sortWithinPartitions(*key, "cls")
+    return rows.select(*key, "cls", "own", "n", "signature").mapInArrow(look, "a long, b long").distinct()
+
+
+def _cross_links(mixed: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links within buckets between different components, as many as it takes to join these; exact.
+
+    The strays of a bucket meet all its classes, block against block. A first pass keeps the rows that look similar to
+    another one; these meet again with their full sets, and a block gives only links between what it has not joined yet.
+    """
     lowest = percent / 100 - SLACK
-    named = cut_lineage(named.join(cut_lineage(mixed), "band"))
-    wide = wide_signatures(named.select(F.col("cls").alias("id")), docs, classes, width)
-    light = classes.join(wide, "cls").select("cls", "n", "signature", "wide", F.transform("bands", lambda b: b.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("bands"))
-    named = named.join(cut_lineage(light), "cls").withColumns({
-        "blocks_i": F.ceil(F.col("strays") / BLOCK), "blocks_j": F.ceil(F.col("all") / BLOCK), "h": F.xxhash64("cls")})
-    rows = ["band", "i", "j", "side", "cls", "own", "n", "signature", "wide", "bands"]
-    strays = named.where("own <> home").withColumn("i", F.pmod("h", "blocks_i")).withColumn(
+    light = classes.select("cls", "signature", F.transform("bands", lambda b: b.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("bands"))
+
+    def blocks(of: str):
+        by_size = F.greatest(F.ceil(F.col(of) / BLOCK), F.ceil(F.col(f"{of}_n") / BLOCK_SHINGLES))
+        return F.least(by_size, F.col(of))
+
+    named = mixed.withColumns({
+        "home": F.col("own") == F.col("home"), "blocks_i": blocks("strays"), "blocks_j": blocks("all"), "h": F.xxhash64("cls")})
+    key = ["band", "i", "j"]
+    rows = [*key, "side", "cls", "own", "home", "n"]
+    strays = named.where("NOT home").withColumn("i", F.pmod("h", "blocks_i")).withColumn(
         "j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks_j") - 1))).withColumn("side", F.lit(0))
     members = named.withColumn("j", F.pmod("h", "blocks_j")).withColumn(
         "i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks_i") - 1))).withColumn("side", F.lit(1))
 
-    def block(batch):
-        side = batch.column("side").to_numpy()
-        rep, own, n = (batch.column(c).to_numpy() for c in ("cls", "own", "n"))
-        signature, wide = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(len(rep), -1)
-                           for c in ("signature", "wide"))
-        s, m = np.nonzero(side == 0)[0], np.nonzero(side == 1)[0]
-        if not len(s) or not len(m):
-            return [], []
-        good = (own[s][:, None] != own[m]) & (
-            100 * np.minimum(n[s][:, None], n[m]) >= percent * np.maximum(n[s][:, None], n[m]))
-        x, y = np.nonzero(good)
-        near = similarity(signature[s[x]], signature[m[y]]) >= lowest
-        x, y = s[x[near]], m[y[near]]
-        closer = [similarity(wide[x[k:k + 8192]], wide[y[k:k + 8192]]) for k in range(0, len(x), 8192)]
-        closer = np.concatenate(closer) >= percent / 100 - WIDE_SLACK if closer else np.zeros(0, bool)
-        x, y = x[closer], y[closer]
-        # A pair that shares several buckets is looked at in the first.
-        keys = batch.column("bands").flatten().to_numpy().reshape(len(rep), -1)
+    def candidates(batch):
+        """For each stray that looks similar to members of other components: its row, and theirs."""
+        side, cls, own, n = (batch.column(c).to_numpy() for c in ("side", "cls", "own", "n"))
+        home = batch.column("home").to_numpy(zero_copy_only=False)
+        signature = _signatures(batch)
+        keys = batch.column("bands").flatten().to_numpy().reshape(len(cls), -1)
         here = batch.column("band")[0].as_py() & 0x7FFFFFFF
-        if len(x):
-            same = keys[x] == keys[y]
-            first = np.take_along_axis(keys[x], same.argmax(1)[:, None], 1)[:, 0] == here
-            x, y = x[first], y[first]
-        a, b = rep[x], rep[y]
-        return np.minimum(a, b), np.maximum(a, b)
+        m = np.nonzero(side == 1)[0]
+        for x in np.nonzero(side == 0)[0]:
+            # Two strays are looked at once.
+            near = m[(own[m] != own[x]) & (home[m] | (cls[m] > cls[x]))
+                     & (100 * np.minimum(n[m], n[x]) >= percent * np.maximum(n[m], n[x]))]
+            if len(near):
+                near = near[similarity(signature[near], signature[x]) >= lowest]
+            if len(near):
+                # A pair that shares several buckets is looked at in the first.
+                near = near[keys[x][(keys[near] == keys[x]).argmax(1)] == here]
+            if len(near):
+                yield x, near
 
     def look(batches):
-        held = None
-        for batch in batches:
-            held = batch if held is None else pa.concat_batches([held, batch])
-            group = [held.column(c).to_numpy() for c in ("band", "i", "j")]
-            if not held.num_rows:
-                continue
-            change = np.nonzero(np.any([g[1:] != g[:-1] for g in group], axis=0))[0] + 1
-            starts = np.concatenate([[0], change])
-            for a, b in zip(starts[:-1], starts[1:]):
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in block(held.slice(a, b - a))], ["a", "b"])
-            held = held.slice(starts[-1])
-        if held is not None and held.num_rows:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in block(held)], ["a", "b"])
-
-    runs = strays.select(*rows).unionByName(members.select(*rows)).repartition("band", "i", "j").sortWithinPartitions(
-        "band", "i", "j", "side", "cls")
-    return runs.mapInArrow(look, "a long, b long").distinct()
+        for batch in _groups(batches, key):
+            wanted = np.zeros(batch.num_rows, bool)
+            for x, near in candidates(batch):
+                wanted[x] = True
+                wanted[near] = True
+            yield batch.filter(pa.array(wanted))
+
+    def join(batches):
+        for batch in _groups(batches, key):
+            cls = batch.column("cls").to_numpy()
+            label = batch.column("own").to_numpy().copy()
+            column = batch.column("shingles")
+            sets = [np.frombuffer(column[i].as_buffer(), np.uint64) for i in range(len(cls))]
+            size = np.array([len(one) for one in sets])
+            begin = np.cumsum(size) - size
+            values, codes = np.unique(np.concatenate(sets), return_inverse=True)
+            marked = np.zeros(len(values), bool)
+            left, right = [], []
+            for x, near in candidates(batch):
+                near = near[label[near] != label[x]]
+                if not len(near):
+                    continue
+                own = codes[begin[x]:begin[x] + size[x]]
+                marked[own] = True
+                ahead = np.cumsum(size[near]) - size[near]
+                both = np.add.reduceat(marked[codes[spread(begin[near], size[near])]], ahead, dtype=np.int64)
+                marked[own] = False
+                near = near[100 * both >= percent * (size[near] + size[x] - both)]
+                for y in near:
+                    if label[y] != label[x]:
+                        left.append(cls[x]), right.append(cls[y])
+                        label[label == label[y]] = label[x]
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
+
+    runs = strays.select(*rows).unionByName(members.select(*rows)).join(light, "cls").select(*rows, "signature", "bands")
+    runs = runs.repartition(*key).sortWithinPartitions(*key, "side", "cls")
+    similar = cut_lineage(runs.mapInArrow(look, runs.schema))
+    sets = _keyed(similar.select(F.col("cls").alias("id")), docs, classes, width, "binary", set_bytes).toDF("cls", "shingles")
+    whole = similar.join(sets, "cls").repartition(*key).sortWithinPartitions(*key, "side", "cls")
+    return whole.mapInArrow(join, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -238,16 +313,22 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, doc_id:
     classes = cut_lineage(some.groupBy("k1", "k2").agg(
         F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("signature").alias("signature"),
         F.first("bands").alias("bands")).withColumn("cls", F.monotonically_increasing_id()))
-    posted = classes.select("cls", F.explode("bands").alias("band"))
+    posted = classes.select("cls", "n", F.explode("bands").alias("band"))
     shared = cut_lineage(posted.groupBy("band").agg(F.min("cls").alias("first"), F.max("cls").alias("last")).where(
         "first < last").select("band", "first"))
-    buckets = cut_lineage(posted.join(shared, "band").select("band", "cls", "first"))
+    buckets = cut_lineage(posted.join(shared, "band").select("band", "cls", "first", "n"))
     links = cut_lineage(confirmed(cut_lineage(_first_pairs(buckets, classes, lowest, percent)), docs, classes, width, percent))
     links = _with_shared_ids(links, some, classes)
     labels = components(links)
-    more = cut_lineage(_cross_pairs(buckets, classes, labels, docs, width, percent))
+    mixed = _mixed(buckets, labels)
+    likely = cut_lineage(_near_pairs(mixed, classes, percent))
+    if not likely.isEmpty():
+        links = links.unionByName(cut_lineage(confirmed(likely, docs, classes, width, percent)))
+        labels = components(links)
+        mixed = _mixed(buckets, labels)
+    more = cut_lineage(_cross_links(mixed, classes, docs, width, percent))
     if not more.isEmpty():
-        links = links.unionByName(cut_lineage(confirmed(more, docs, classes, width, percent)))
+        links = links.unionByName(more)
         labels = components(links)
     named = classes.join(labels.withColumnRenamed("id", "cls"), "cls", "left").select(
         "k1", "k2", "rep", F.coalesce("component", "cls").alias("component"))

@@ -137,3 +137,41 @@ def test_lines_equal_brute_force(spark, seed, long_list, hot_list, monkeypatch):
         left = None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if (d, i) not in want)
         assert kept[d]["text"] == left and kept[d]["kept"] == "x"
     assert kept[None]["text"] == rows[0][1]
+
+
+def test_a_large_group_of_variants_gives_no_row_per_pair(spark, monkeypatch):
+    """Variants around the threshold: all partners look alike, so links are found in the blocks, not listed as pairs."""
+    monkeypatch.setattr(minhash, "BLOCK", 64)
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(120)]
+    own = []
+    for i in range(160):  # one word replaced; 0.84 similar, or more at the same place
+        words = list(base)
+        words[50 if i % 4 == 0 else rng.randrange(10, 110, 5)] = f"x{rng.randrange(10**6)}"
+        own.append(" ".join(words))
+    given = []
+    real = minhash.cut_lineage
+
+    def counted(df):
+        out = real(df)
+        if out.columns == ["a", "b"]:
+            given.append(out.count())
+        return out
+
+    monkeypatch.setattr(minhash, "cut_lineage", counted)
+    docs = spark.createDataFrame([(i, t, "x", "y", 1) for i, t in enumerate(own)], SCHEMA).repartition(5)
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs, 85).collect()}
+    want = linked([shingles(t) for t in own], 85)
+    assert [got[i] for i in range(len(own))] == want
+    assert len(set(want)) > 1 and max(map(want.count, want)) > 20
+    assert max(given) < len(own) ** 2 // 8
+
+
+def test_components_of_long_chains_keep_small_size_estimates(spark):
+    """Each round starts from a table, so the plan's size does not grow from round to round."""
+    rng = random.Random(3)
+    names = rng.sample(range(10**6), 40)
+    chain = spark.createDataFrame(list(zip(names[:-1], names[1:])), "a long, b long")
+    labels = components(chain)
+    assert {r[1] for r in labels.collect()} == {min(names)}
+    assert labels._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bitLength() < 64
