@@ -6,6 +6,9 @@
 ``documents``  one item per document, grouped by source; vectors from the text
 """
 
+import uuid
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +17,7 @@ from spark_explore.functions.vectors import mean_vector
 from spark_explore.operators.filters import AllOf, AnyOf, Between, Group
 from spark_explore.operators.mapping import build_index_map, with_numbers
 from spark_explore.plans.search import SearchIndex
-from spark_explore.sizing import cut_lineage, local_table
+from spark_explore.sizing import checkpoint_dir, cut_lineage, local_table
 from spark_explore.sources.collections import SCHEMAS as LAYOUT
 from spark_explore.sources.collections import VALUE_COLUMNS, Tables
 
@@ -223,6 +226,14 @@ def search_index(tables: Tables, **ivf) -> SearchIndex:
     return SearchIndex(tables.embeddings, cut_lineage(with_numbers(build_index_map(tables))), tables.medias, **ivf)
 
 
+def documents_index(spark: SparkSession, sf_dir: str, tables: Tables | None = None) -> SearchIndex:
+    """The index of the documents. Their vectors are written once, as when a collection is loaded: a search reads them several times, and none reads the texts."""
+    index = search_index(tables or documents_tables(spark, sf_dir))
+    folder = f"{checkpoint_dir(spark)}/vectors-{uuid.uuid4().hex}"
+    index.embeddings.write.parquet(folder)
+    return replace(index, embeddings=spark.read.schema(index.embeddings.schema).parquet(folder))
+
+
 def topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One search per group and language: the mean vector of its items.
 

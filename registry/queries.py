@@ -272,13 +272,13 @@ def _text_requests(spark, sf_dir):
 
 
 def text_search(spark, sf_dir):
-    index = fx.search_index(fx.documents_tables(spark, sf_dir))
+    index = fx.documents_index(spark, sf_dir)
     return search.text_search(_text_requests(spark, sf_dir), index).selectExpr(*RESULT)
 
 
 def multi_text_search(spark, sf_dir):
     """Benchmark texts three at a time."""
-    index = fx.search_index(fx.documents_tables(spark, sf_dir))
+    index = fx.documents_index(spark, sf_dir)
     asked = _text_requests(spark, sf_dir).withColumn("req_id", F.floor(F.col("req_id") / 3))
     several = asked.groupBy("req_id", "collection", "n").agg(F.collect_list("text").alias("texts"))
     return search.multi_text_search(several, index).selectExpr(*RESULT)
@@ -339,7 +339,7 @@ def rf_search(spark, sf_dir):
 
 def rf_pseudo(spark, sf_dir):
     """Benchmark texts as queries without examples: text results against random items."""
-    index = fx.search_index(fx.documents_tables(spark, sf_dir))
+    index = fx.documents_index(spark, sf_dir)
     asked = _text_requests(spark, sf_dir)
     none = asked.where("false").select("req_id", "collection", F.col("req_id").alias("media_id"))
     return search.rf_search(asked, index, none, none).selectExpr(*RESULT)
@@ -671,7 +671,7 @@ def _answers(spark, sf_dir):
     )
     requests = texts.unionByName(sessions).unionByName(faceted)
     return search.answer(
-        requests, fx.search_index(t), rated.where("quality = 1"), rated.where("quality = 0"),
+        requests, fx.documents_index(spark, sf_dir, t), rated.where("quality = 1"), rated.where("quality = 0"),
         filters.passing(t, fx.DOCUMENT_TREES), started=F.lit(1_700_000_000),
     )
 

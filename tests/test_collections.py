@@ -131,3 +131,40 @@ def test_vectors_and_encoder(spark):
     assert got[1] is None and got[2] is None
     other = embed_text(texts, "text", encoder=lambda t: F.array(F.length(t).cast("double"), F.lit(0.0)))
     assert [r["query_vec"] for r in other.collect()][:2] == [[1.0, 0.0], [1.0, 0.0]]
+
+
+def test_encoder_counts_as_the_definition(spark, monkeypatch):
+    """Token by token against md5, on odd texts, also where a text is longer than a slice."""
+    import hashlib
+    import re
+
+    import numpy as np
+    import pyarrow as pa
+
+    from spark_explore.functions import encode
+
+    texts = ["a b a", "Kelvin İstanbul", "", None, "x1-y2\nx1", "été", "end", "end of " * 40, "?!", "z"]
+    monkeypatch.setattr(encode, "CHUNK_BYTES", 8)
+    lower = [None if t is None else t.lower() for t in texts]
+    want = np.zeros((len(texts), encode.DIM), int)
+    for row, text in zip(want, lower):
+        for token in re.findall("[a-z0-9]+", text or ""):
+            row[int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % encode.DIM] += 1
+    for shift in (0, 3):  # slices of an array that begins elsewhere
+        column = pa.array(["zz"] * shift + lower).slice(shift)
+        got = np.concatenate([encode._counts(part) for part in encode._slices(column)])
+        assert (got == want).all()
+    table = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    vectors = [r["query_vec"] for r in embed_text(table, "text").orderBy("id").collect()]
+    for vector, row in zip(vectors, want):
+        size = np.sqrt((row * row).sum())
+        assert vector is None if size == 0 else vector == (row / size).tolist()
+
+
+def test_searches_of_documents_read_written_vectors(spark):
+    """The texts are encoded once, however often a search reads the vectors."""
+    from registry import fixtures as fx
+
+    index = fx.documents_index(spark, "/root/testdata/sf0.001")
+    assert index.embeddings.count() > 0
+    assert not [f for f in index.embeddings.inputFiles() if "documents.parquet" in f]
