@@ -1,6 +1,7 @@
 """Size checks before a broadcast, and lineage cuts that survive lost executors."""
 
 import tempfile
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,6 +34,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return cut
 
 
+@contextmanager
+def shuffles_removed(spark):
+    """Within it, a query's shuffle files go when the query ends, not when the driver's garbage collector finds them.
+
+    For steps that write what they go on with: the same DataFrame must not run twice.
+    """
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _value_bytes(field):
     column = F.col(f"`{field.name}`")
     if isinstance(field.dataType, StringType | BinaryType):

@@ -195,3 +195,22 @@ def test_variants_of_a_line_give_no_row_per_pair(spark, monkeypatch):
     gone = {r["doc_id"]: r["removed"] for r in line_dedup.removed_lines(docs).collect()}
     assert [gone[i] for i in range(120)] == [False] + [True] * 119
     assert max(given) <= 120
+
+
+def test_steps_of_line_dedup_leave_no_shuffle_files(spark):
+    """Files of steps that are done don't wait for the driver's garbage collector; the session's setting stays."""
+    import time
+    from pathlib import Path
+
+    folders = [str(d) for d in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    files = lambda: {p for f in folders for p in Path(f).rglob("shuffle_*.data")}
+    docs = spark.createDataFrame([(i, f"a{i} b c d e f g h i j\nx{i % 7} y z") for i in range(200)], "doc_id long, text string")
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    held, before = files(), spark.conf.get(setting)
+    found = line_dedup.removed_lines(docs)
+    until = time.time() + 20
+    while files() - held and time.time() < until:
+        time.sleep(0.2)
+    assert not files() - held
+    assert spark.conf.get(setting) == before
+    assert found.where("removed").count() == 199 + 193
