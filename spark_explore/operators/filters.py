@@ -15,6 +15,9 @@ from spark_explore.sources.collections import VALUE_COLUMNS, Tables
 
 MASK_BITS = 60
 
+# Taggings whose items are put together in one task; fewer are left to the shuffle's own partitions.
+TAGGINGS_PER_TASK = 250_000
+
 
 @dataclass(frozen=True)
 class AnyOf:
@@ -195,8 +198,10 @@ def _masks(base: tuple) -> list[tuple]:
 def passing_own(tables: Tables, trees: dict[str, Tree]) -> DataFrame:
     """``(collection, media_id, filter_ids)``: the trees each tagged media passes itself."""
     plan = _Compiled(trees)
-    rows = tables.taggings.select("collection", "media_id", "tag_id")
-    relevant = F.col("tag_id").isin(*plan.tag_ids) if plan.tag_ids else F.lit(False)
+    taggings = tables.taggings.select("collection", "media_id", "tag_id")
+    rows = taggings
+    if not any(_true_without_tags(tree) for tree in trees.values()):
+        rows = rows.where(F.col("tag_id").isin(*plan.tag_ids) if plan.tag_ids else F.lit(False))
     if plan.ranges:
         # Range conditions are decided per tag value, before the values meet the taggings.
         hits = {f"hit{plan.number[b]}": _in_range(b) for b in plan.ranges}
@@ -206,12 +211,14 @@ def passing_own(tables: Tables, trees: dict[str, Tree]) -> DataFrame:
         values = tables.tag_values.where(any_hit).select(
             "collection", "tag_id", *[hit.alias(name) for name, hit in hits.items()]
         )
-        # A tag may hold a third of the taggings: broadcast, or AQE's skew split of the left side.
-        rows = rows.join(small_side(values), ["collection", "tag_id"], "left")
-        for name in hits:
-            relevant = relevant | F.col(name).isNotNull()
-    if not any(_true_without_tags(tree) for tree in trees.values()):
-        rows = rows.where(relevant)
+        # Only hits come out of the join. A row that is among the others as well does no harm: the flags are ORs.
+        # A tag may hold a third of the taggings: broadcast, or AQE's skew split.
+        found = taggings.join(small_side(values), ["collection", "tag_id"])
+        rows = rows.withColumns({name: F.lit(None).cast("boolean") for name in hits}).unionByName(found)
+    pieces = -(-taggings.count() // TAGGINGS_PER_TASK)
+    if pieces > 1:
+        # The taggings of an item lie far apart, so flags per task would be about as many as the rows and fill its memory.
+        rows = rows.repartition(pieces, "collection", "media_id")
     aggregates = plan.aggregates() or [F.lit(True).alias("tagged")]
     flags = rows.groupBy("collection", "media_id").agg(*aggregates)
     passed = F.filter(

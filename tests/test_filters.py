@@ -162,3 +162,24 @@ def test_applied_filters_or_inside_and_across(spark, small):
     got = filters.applied_filters(asked, small.taggings)
     # In b the kinds 0 and 2 belong to all tagged items but 11 and 14; item 15 has no kind.
     assert rows(got, "req_id", "media_id") == [(1, 10), (2, 10), (2, 12), (2, 13), (2, 16)]
+
+
+def test_items_of_many_taggings_are_put_together_in_pieces(spark, small, monkeypatch):
+    """The number of tasks follows from the taggings, not from the shuffle's settings; only hits leave the join with the values."""
+    trees = {
+        "both": Group("OR", (AnyOf((201,)), Between(1, "numerical_int", 2, 4))),
+        "not": Group("AND", (AllOf((200, 203), negated=True), Between(3, "numerical_double", 1.0, None, negated=True))),
+        "range": Between(1, "numerical_int", 6, None),
+    }
+
+    def found():
+        return {(r["collection"], r["media_id"], f) for r in filters.passing_own(small, trees).collect() for f in r["filter_ids"]}
+
+    want = found()
+    assert {f for *_, f in want} == set(trees)
+    monkeypatch.setattr(filters, "TAGGINGS_PER_TASK", 3)
+    assert found() == want
+    pieces = -(-small.taggings.count() // 3)
+    own = filters.passing_own(small, trees)
+    plan = own._jdf.queryExecution().executedPlan().toString()
+    assert f"{pieces}), REPARTITION_BY_NUM" in plan and "LeftOuter" not in plan
