@@ -362,8 +362,16 @@ def ivf_cells(spark, sf_dir):
     return _ivf(spark, sf_dir)[2].select("index_id", "cell")
 
 
+def _written_index(spark, centroids, assigned):
+    """The index written and opened again: cells are assigned once, and a search reads those it probes."""
+    folder = f"{checkpoint_dir(spark)}/ivf-{uuid.uuid4().hex}"
+    ivf.write_ivf(centroids, assigned, folder)
+    return ivf.read_ivf(spark, folder)
+
+
 def ivf_topk(spark, sf_dir):
     t, centroids, assigned = _ivf(spark, sf_dir)
+    centroids, assigned = _written_index(spark, centroids, assigned)
     asked = fx.topics(spark, sf_dir).withColumn("filter_id", F.lit(None).cast("string"))
     return _with_media(t, asked, ivf.ivf_topk(asked, centroids, assigned, nprobe=3))
 
@@ -371,6 +379,7 @@ def ivf_topk(spark, sf_dir):
 def ivf_adaptive(spark, sf_dir):
     """The best cell is often excluded as a group, so one probe is rarely enough."""
     t, centroids, assigned = _ivf(spark, sf_dir)
+    centroids, assigned = _written_index(spark, centroids, assigned)
     asked = fx.topics(spark, sf_dir).withColumn("filter_id", F.lit(None).cast("string"))
     skips = skip.skip_items(mapping.build_index_map(t), t.medias, excluded=_first_of_topic(spark, sf_dir))
     return _with_media(t, asked, ivf.ivf_topk(asked, centroids, assigned, nprobe=1, skips=skips, adaptive=True))
@@ -378,7 +387,7 @@ def ivf_adaptive(spark, sf_dir):
 
 def ivf_kmeans(spark, sf_dir):
     t = fx.media_tables(spark, sf_dir)
-    centroids, assigned = ivf.build_ivf(t.embeddings, cells=16)
+    centroids, assigned = _written_index(spark, *ivf.build_ivf(t.embeddings, cells=16))
     index = fx.search_index(sources.replace(t, embeddings=assigned), centroids=centroids, nprobe=4)
     return search.vector_search(fx.topics(spark, sf_dir), index).selectExpr(*RESULT)
 

@@ -288,3 +288,12 @@ def test_filters_as_bitmaps_or_joins(spark, monkeypatch, mask_bytes):
         plan = found._jdf.queryExecution().executedPlan().toString()
         below = plan[plan.index("MapInArrow"):]
         assert "Join" not in below.replace("BroadcastHashJoin", "")
+
+
+def test_probing_does_not_assign_cells_again(spark):
+    """The registered index searches read cells that were written; each task has one Python worker, for the scores."""
+    from __spark_entry__ import queries
+
+    for name in ("ivf_topk", "ivf_kmeans"):
+        plan = queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "ArrowEvalPython" not in plan
