@@ -28,7 +28,8 @@ PER_LANGUAGE = 400
 WINDOWS_PER_DOCUMENT = 4
 MAX_LANGUAGES = 512
 STEPS, BATCH, RATE = 300, 128, 0.02
-BLOCK = 4096  # windows that are read side by side
+BLOCK = 2048  # windows that are read side by side
+CHUNK = 1 << 20  # bytes of text that are cut at once: some 40 bytes each are held for one
 
 
 def sigmoid(x):
@@ -286,7 +287,7 @@ def strange_windows(windows: np.ndarray, letters: np.ndarray, count: int, seed:
 def _sampled(batches, languages):
     """A few windows of each text, spread over it."""
     number = {k: i for i, k in enumerate(languages)}
-    for batch in text_chunks(batches, "text"):
+    for batch in text_chunks(batches, "text", CHUNK):
         data, offsets = text_bytes(batch.column("text"))
         windows, letters, owner = cut(data, offsets, letter_bytes(data))
         bounds = np.searchsorted(owner, np.arange(batch.num_rows + 1))
@@ -333,7 +334,7 @@ def identify(docs: DataFrame, model: Model | None, doc_id: str = "doc_id", text:
 
     def run(batches):
         own = shared.value
-        for batch in text_chunks(batches, "text"):
+        for batch in text_chunks(batches, "text", CHUNK):
             best, score = scores(own, *text_bytes(batch.column("text")))
             names = [own.languages[b] if b >= 0 else "und" for b in best]
             yield pa.RecordBatch.from_arrays(
@@ -363,7 +364,7 @@ def reject_unknown(docs: DataFrame, most: float = 0.5) -> DataFrame:
 
     def run(batches):
         own = shared.value
-        for batch in text_chunks(batches, "text"):
+        for batch in text_chunks(batches, "text", CHUNK):
             many, total = pooled(own, *text_bytes(batch.column("text")))
             yield batch.filter(pa.array((many > 0) & (own is not None) & (total[:, -1] < most)))
 

@@ -267,3 +267,19 @@ def test_find_and_mask_edge_cases(spark):
         ("1", 0, 0, ""), ("2", 0, 0, ""), ("3", 1, 0, "email:0:6"), ("3", 1, 0, "email:0:6"), ("None", 0, 1, "ip:0:8")]
     assert sorted(map(repr, (r["text"] for r in pii_crf.mask(docs).collect()))) == ["''", "'<EMAIL>'", "'<EMAIL>'", "'<IP>'", "None"]
     assert pii_crf.find_all(docs.limit(0)).count() == 0
+
+
+def test_language_is_read_in_bounded_memory():
+    """A worker's chunk of text, its windows and their states together."""
+    import tracemalloc
+
+    from spark_explore.llm.chunks import text_bytes, text_chunks
+
+    model = byte_gru.new_model(["de", "en", None])
+    batch = pa.RecordBatch.from_arrays([pa.array(["wörter " * 4000] * 220)], ["text"])
+    tracemalloc.start()
+    shares = [byte_gru.pooled(model, *text_bytes(c.column("text")))[1] for c in text_chunks([batch], "text", byte_gru.CHUNK)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(map(len, shares)) == 220 and np.allclose(np.concatenate(shares).sum(1), 1)
+    assert peak < 80 << 20
