@@ -16,6 +16,7 @@ table gives no rows; a very long text is encoded whole and cut into pieces;
 extra columns are ignored.
 """
 
+import json
 import os
 import zlib
 from bisect import bisect_left, insort
@@ -27,12 +28,34 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spark_explore.llm.chunks import PieceCache, binary_slices, spread, text_bytes, text_chunks
+from spark_explore.llm.byte_bpe import LONG, Merger
+from spark_explore.llm.chunks import IntMap, PieceCache, binary_slices, spread, text_bytes, text_chunks
 from spark_explore.sizing import cut_lineage
 
 ROWS_PER_TASK = 500_000
 # Lower ends of the size classes, as parts of the limit; one round each.
 CLASSES = (1 / 2, 1 / 4, 1 / 8, 0)
+TEXT_BYTES = 1 << 20  # of texts whose ids are put together side by side
+
+
+class UnitMerger(Merger):
+    """Merges the bytes of units of the vocabulary, which end with tokens of their own, by its list of merges."""
+
+    def __init__(self, vocab: dict[str, int], merges: list[list[str]], end: str):
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves
+        hidden = [b for b in range(256) if b not in shown]
+        letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+        self.byte_id = np.array([vocab[letters[b]] for b in range(256)], np.int32)
+        self.end_id = np.array([vocab[letters[b] + end] for b in range(256)], np.int32)
+        keys = np.array([vocab[a] << 32 | vocab[b] for a, b in merges], np.uint64)
+        merged = np.array([vocab[a + b] for a, b in merges], np.int32)
+        self.in_order = bool((np.diff(merged) > 0).all())  # an id is also the rank of its merge
+        self.pairs = IntMap(keys, merged)
+
+    def first_ids(self, data: np.ndarray, begin: np.ndarray, length: int) -> np.ndarray:
+        ids = self.byte_id[data[begin[:, None] + np.arange(length)]]
+        ids[:, -1] = self.end_id[data[begin + length - 1]]
+        return ids
 
 
 class WordEncoder:
@@ -40,7 +63,8 @@ class WordEncoder:
 
     The vocabulary drops white space and case, and no token reaches across white space, so a text's ids are those of
     its words in lower case; nor does one join a letter and a full stop or comma, so those are split off at the end of
-    words. New words are encoded in bulk, kept apart by a special token, which the library takes out first.
+    words. New words of lower-case letters are merged side by side; others are encoded in bulk, kept apart by a special
+    token, which the library takes out first.
     """
 
     def __init__(self, path: str):
@@ -51,6 +75,9 @@ class WordEncoder:
         specials = {i: t.content for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.mark, self.mark_text = next(iter(specials.items()))
         self.specials = list(specials.values())
+        with open(path, encoding="utf-8") as file:
+            model = json.load(file)["model"]
+        self.units = UnitMerger(model["vocab"], model["merges"], model["end_of_word_suffix"])
         self.bases = PieceCache(self._encode_bases)
         self.cache = PieceCache(self._encode_words)
         self.is_end = np.zeros(self.tokenizer.get_vocab_size(), bool)
@@ -80,14 +107,33 @@ class WordEncoder:
         out[(begin + lengths)[suffix > 0]] = suffix[suffix > 0]
         return out, whole
 
+    def _units(self, words: pa.Array, offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, dict[int, str]]:
+        """Which words are units of lower-case letters, and the texts of the others."""
+        running = np.concatenate([[0], np.cumsum((data < ord("a")) | (data > ord("z")))])
+        unit = running[offsets[1:]] == running[offsets[:-1]]
+        texts = {}
+        for i in np.nonzero(~unit)[0].tolist():
+            text = words[i].as_py().decode("utf-8")
+            # Letters only, also after normalisation, which changes nothing.
+            unit[i] = not text.isascii() and text.isalpha() and text == text.lower() and is_normalized("NFC", text)
+            texts[i] = text
+        size = np.diff(offsets)
+        long = np.nonzero(unit & ((size > LONG) | (not self.units.in_order)))[0]
+        unit[long] = False
+        texts |= {i: words[i].as_py().decode("utf-8") for i in long.tolist()}
+        return unit & (size > 0), {i: text for i, text in texts.items() if not unit[i]}
+
     def _encode_bases(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        texts = [w.decode("utf-8") for w in words.to_pylist()]
+        offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset:words.offset + len(words) + 1]
+        data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[:offsets[-1]]
+        unit, texts = self._units(words, offsets, data)
+        rest = np.array(list(texts), np.int64)
         # A word of letters only, also after normalisation, is one unit of the vocabulary and ends with its only end token.
-        plain = np.array([w.isalpha() and (w.isascii() or w.lower().isalpha() and is_normalized("NFC", w)) for w in texts], bool)
-        odd = np.array([any(s in w for s in self.specials) for w in texts], bool)
+        plain = np.array([w.isalpha() and (w.isascii() or w.lower().isalpha() and is_normalized("NFC", w)) for w in texts.values()], bool)
+        odd = np.array([any(s in w for s in self.specials) for w in texts.values()], bool)
         groups = []
         for some, mark in ((plain, " "), (~plain & ~odd, self.mark_text)):
-            at = np.nonzero(some)[0]
+            at = rest[some]
             for start in range(0, len(at), 20_000):
                 own = at[start:start + 20_000]
                 ids = np.array(self._ids(mark.join([texts[i] for i in own])), np.int64)
@@ -98,10 +144,16 @@ class WordEncoder:
                     marks = np.nonzero(ids == self.mark)[0]
                     counts = np.diff(np.concatenate([[-1], marks, [len(ids)]])) - 1
                     groups.append((own, ids[ids != self.mark], counts))
-        for i in np.nonzero(odd)[0]:
+        for i in rest[odd].tolist():
             ids = np.array(self._ids(texts[i]), np.int64)
             groups.append((np.array([i]), ids, np.array([len(ids)])))
-        lengths = np.zeros(len(texts), np.int64)
+        size = np.where(unit, np.diff(offsets), 0)
+        for length in np.unique(size[size > 0]).tolist():
+            same = np.nonzero(size == length)[0]
+            self.units._merge_rows(
+                self.units.first_ids(data, offsets[same], length),
+                lambda rows, ids, same=same: groups.append((same[rows], ids.ravel(), np.full(len(rows), ids.shape[1]))))
+        lengths = np.zeros(len(words), np.int64)
         for own, _, counts in groups:
             lengths[own] = counts
         begin = np.cumsum(lengths) - lengths
@@ -112,15 +164,27 @@ class WordEncoder:
 
     def encode(self, column) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts (null: empty), and where each text's begin, with the end."""
+        parts = [(ids, np.diff(bounds)) for ids, bounds in self.encode_parts(column)]
+        ids, sizes = (np.concatenate([np.empty(0, np.int64), *own]) for own in zip(*parts)) if parts else (np.empty(0, np.int64),) * 2
+        return ids, np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+
+    def encode_parts(self, column):
+        """``encode`` for about ``TEXT_BYTES`` of the texts after another; their words are looked up together."""
         data, offsets = text_bytes(column)
         if b"<|" not in data:  # special tokens are known by their case
             data = data.lower()
         words = pc.ascii_split_whitespace(pa.Array.from_buffers(
             pa.large_string(), len(offsets) - 1, [None, pa.py_buffer(offsets.copy()), pa.py_buffer(data)]))
+        del data
         bounds = words.offsets.to_numpy() - words.offsets[0].as_py()
         starts, lengths, flat = self.cache.look_up(words.flatten().cast(pa.large_binary()))
-        ends = np.concatenate([[0], np.cumsum(lengths)])
-        return flat[spread(starts, lengths)], ends[bounds]
+        del words
+        cuts = np.searchsorted(offsets, np.arange(TEXT_BYTES, offsets[-1], TEXT_BYTES))
+        cuts = np.unique(np.concatenate([[0], cuts, [len(offsets) - 1]]))
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            own = slice(bounds[a], bounds[b])
+            ends = np.concatenate([[0], np.cumsum(lengths[own])])
+            yield flat[spread(starts[own], lengths[own])], ends[bounds[a:b + 1] - bounds[a]]
 
 
 def tokenized_pieces(docs: DataFrame, path: str, limit: int = 4096, end_id: int = 1,
@@ -129,19 +193,21 @@ def tokenized_pieces(docs: DataFrame, path: str, limit: int = 4096, end_id: int
     def run(batches):
         encoder = WordEncoder(path)
         for batch in text_chunks(batches, "text"):
-            ids, bounds = encoder.encode(batch.column("text"))
-            ids = ids.astype("<u4")
-            row, piece, start, length, crc = [], [], [], [], []
-            for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
-                own = np.append(ids[a:b], np.uint32(end_id))
-                for k, at in enumerate(range(0, len(own), limit)):
-                    part = own[at:at + limit]
-                    row.append(i), piece.append(k), start.append(at)
-                    length.append(len(part)), crc.append(zlib.crc32(part.tobytes()))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()),
-                 pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
-                ["doc_id", "piece", "start", "length", "ids_crc32"])
+            done = 0
+            for ids, bounds in encoder.encode_parts(batch.column("text")):
+                ids = ids.astype("<u4")
+                row, piece, start, length, crc = [], [], [], [], []
+                for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
+                    own = np.append(ids[a:b], np.uint32(end_id))
+                    for k, at in enumerate(range(0, len(own), limit)):
+                        part = own[at:at + limit]
+                        row.append(done + i), piece.append(k), start.append(at)
+                        length.append(len(part)), crc.append(zlib.crc32(part.tobytes()))
+                done += len(bounds) - 1
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()),
+                     pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
+                    ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")
                        ).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")

@@ -137,6 +137,22 @@ def check_packed(rows, limit):
     return len(by_sequence)
 
 
+def test_lower_case_words_are_merged_without_the_library(monkeypatch):
+    """The library took most of the time of op7_packing."""
+    rng = random.Random(5)
+    own = ["".join(rng.choices("abehinorstäößéèñçжд", k=rng.randint(1, 24))) for _ in range(3000)] + ["z" * byte_bpe.LONG, "z" * 60, "É", "ΑΣ"]
+    library = Tokenizer.from_file(WORD)
+    encoder, asked = packing.WordEncoder(WORD), []
+    ask = encoder._ids
+    monkeypatch.setattr(encoder, "_ids", lambda text: asked.append(text) or ask(text))
+    monkeypatch.setattr(packing, "TEXT_BYTES", 1 << 12)
+    ids, bounds = encoder.encode(pa.array(own, pa.string()))
+    for i, text in enumerate(own):
+        assert ids[bounds[i]:bounds[i + 1]].tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+    assert sum(map(len, asked)) < 200  # only the longer word and capitals
+    assert len(list(encoder.encode_parts(pa.array(own, pa.string())))) > 10
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_packing_is_best_fit(spark, seed, monkeypatch):
     monkeypatch.setattr(packing, "ROWS_PER_TASK", 40)
