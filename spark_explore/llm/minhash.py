@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from spark_explore.llm.chunks import spread, text_chunks
 from spark_explore.llm.components import components
 from spark_explore.llm.set_checks import bitmap, confirmed_sets, in_bitmap, set_bytes, spot
-from spark_explore.llm.shingles import M1, mix, shingle_sets
+from spark_explore.llm.shingles import M1, SET_BYTES, mix, shingle_sets
 from spark_explore.sizing import cut_lineage
 
 HASHES, BANDS, ROWS, BITS = 256, 32, 4, 4
@@ -73,7 +73,7 @@ def set_keys(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 def features(docs: DataFrame, width: int = 5) -> DataFrame:
     """doc_id, n (shingles), the 128-bit key of the set, signature and band keys (null for an empty set)."""
     def run(batches):
-        for batch in text_chunks(batches, "text"):
+        for batch in text_chunks(batches, "text", SET_BYTES):
             sets, bounds = shingle_sets(batch.column("text"), width)
             n = np.diff(bounds)
             some = np.nonzero(n)[0]
@@ -116,7 +116,7 @@ def _keyed(ids: DataFrame, docs: DataFrame, classes: DataFrame, width: int, sche
 
     def run(batches):
         for batch in batches:
-            for part in text_chunks([batch.filter(in_bitmap(in_docs.value, batch.column("spot").to_numpy()))], "text", 1 << 20):
+            for part in text_chunks([batch.filter(in_bitmap(in_docs.value, batch.column("spot").to_numpy()))], "text", SET_BYTES):
                 sets, bounds = shingle_sets(part.column("text"), width)
                 some = np.nonzero(np.diff(bounds))[0]
                 if len(some):

@@ -6,6 +6,8 @@ import pyarrow.compute as pc
 
 from spark_explore.llm.chunks import spread, text_bytes
 
+SET_BYTES = 1 << 20  # of texts whose sets are made side by side
+
 M1, M2, M3 = (np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15))
 
 

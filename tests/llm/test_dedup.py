@@ -221,3 +221,18 @@ def test_removed_lines_are_written_before_the_texts_are_joined(spark):
     kept = line_dedup.dedup_lines(docs)
     assert "collect_list" not in kept._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(repr, (r["text"] for r in kept.collect()))) == sorted(map(repr, ["a b c\nd e f", "g h i", None, "a b c"]))
+
+
+def test_sets_are_made_of_bounded_texts(monkeypatch):
+    """Chunks of 6 MB took some 20 bytes a byte of text in every worker."""
+    sizes = []
+    real = minhash.shingle_sets
+    monkeypatch.setattr(minhash, "shingle_sets", lambda column, width: sizes.append(column.nbytes) or real(column, width))
+
+    class Docs:
+        def mapInArrow(self, run, schema):
+            batch = pa.RecordBatch.from_pydict({"doc_id": list(range(3000)), "text": [f"{i} a b c d e " * 60 for i in range(3000)]})
+            return list(run(iter([batch])))
+
+    assert sum(b.num_rows for b in minhash.features(Docs())) == 3000
+    assert max(sizes) <= 1.1 * (1 << 20)
