@@ -66,6 +66,77 @@ def words(column, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     return hashes, bounds
 
 
+_INSIDE = bytes(i != 0x20 and not 0x09 <= i <= 0x0D for i in range(256))
+_BLOCK = 1 << 16  # bytes hashed side by side
+_LONG = 64  # bytes of a word from which it is hashed byte by byte
+_POWERS = np.cumprod(np.concatenate([[np.uint64(1)], np.full(_BLOCK + _LONG, M1)]))
+_INVERSE = np.cumprod(np.concatenate([[np.uint64(1)], np.full(_BLOCK + _LONG, np.uint64(pow(int(M1), -1, 2**64)))]))
+
+
+def hashed_words(column) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words between ASCII white space, as written, and where each text's begin, with the end.
+
+    A word's hash is a polynomial over its bytes, taken from running sums over the text, so words are neither copied nor looked up.
+    """
+    data, offsets = text_bytes(column)
+    byte = np.frombuffer(data, np.uint8)
+    inside = np.frombuffer(data.translate(_INSIDE), bool)
+    begin, end = inside.copy(), inside.copy()
+    begin[1:] &= ~inside[:-1]
+    end[:-1] &= ~inside[1:]
+    edges = offsets[(offsets > 0) & (offsets < len(byte))]
+    begin[edges] = inside[edges]
+    end[edges - 1] = inside[edges - 1]
+    starts, ends = np.flatnonzero(begin), np.flatnonzero(end) + 1
+    size = ends - starts
+    out = np.empty(len(starts), np.uint64)
+    blocks = np.searchsorted(starts, np.arange(0, len(byte) + _BLOCK, _BLOCK))
+    for block, (i, j) in enumerate(zip(blocks[:-1], blocks[1:])):
+        at = block * _BLOCK
+        part = byte[at:at + _BLOCK + _LONG].astype(np.uint64)
+        part += np.uint64(1)
+        part *= _POWERS[:len(part)]
+        run = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(part, out=run[1:])
+        first = starts[i:j] - at
+        last = np.minimum(ends[i:j] - at, len(part))
+        out[i:j] = (run[last] - run[first]) * _INVERSE[first]
+    out = mix(mix(out) ^ size.astype(np.uint64))
+    if len(long := np.flatnonzero(size > _LONG)):
+        out[long] = byte_hashes(pa.array([data[starts[i]:ends[i]] for i in long], pa.large_binary()))
+    return out, np.searchsorted(starts, offsets)
+
+
+def word_sets(column, often=None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes of the words of every text, sorted or first by ``often(hashes)`` (up to 2^20), and where each text's begin, with the end.
+
+    Text, order and place of a word are sorted as one number, a fraction of a sort by several keys; only texts with words which that
+    leaves undecided are sorted by their whole hashes.
+    """
+    hashes, bounds = hashed_words(column)
+    owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    often = np.zeros(len(hashes), np.int64) if often is None else np.minimum(often(hashes), (1 << 20) - 1)
+    places = len(hashes).bit_length()
+    left = 44 - places - len(bounds).bit_length()  # bits of the hash
+    if left < 1:
+        order = np.lexsort((hashes, often, owner))
+    else:
+        value = (owner << 20 | often).astype(np.uint64) << np.uint64(left) | hashes >> np.uint64(64 - left)
+        both = np.sort(value << np.uint64(places) | np.arange(len(hashes), dtype=np.uint64))
+        order = (both & np.uint64((1 << places) - 1)).astype(np.int64)
+        both >>= np.uint64(places)
+        tie = (both[1:] == both[:-1]) & (hashes[order[1:]] != hashes[order[:-1]])
+        if tie.any():
+            some = np.zeros(len(bounds) - 1, bool)
+            some[owner[order[1:][tie]]] = True
+            at = np.flatnonzero(some[owner])  # texts lie at the same places before and after
+            order[at] = at[np.lexsort((hashes[at], often[at], owner[at]))]
+    hashes = hashes[order]
+    first = np.ones(len(hashes), bool)
+    first[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
+    return hashes[first], np.searchsorted(owner[first], np.arange(len(bounds)))
+
+
 def distinct(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct hashes of every text."""
     owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))

@@ -272,3 +272,57 @@ def test_sets_are_made_of_bounded_texts(monkeypatch):
 
     assert sum(b.num_rows for b in minhash.features(Docs())) == 3000
     assert max(sizes) <= 1.1 * (1 << 20)
+
+
+def test_postings_of_lines_travel_in_lists(spark, monkeypatch):
+    """No row per posting, and no join of the postings with frequent words, which grew faster than the input."""
+    met = []
+    real = line_dedup._meet
+
+    def meet(*given):
+        met.append(real(*given))
+        return met[-1]
+
+    monkeypatch.setattr(line_dedup, "_meet", meet)
+    docs = spark.createDataFrame([(i, " ".join(f"w{i * 7 % 50 + k}" for k in range(9))) for i in range(300)], "doc_id long, text string")
+    line_dedup.removed_lines(docs)
+    plan = met[0]._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan
+
+
+@pytest.mark.parametrize("names,values", [(("DEALT", "LONG_LIST", "HOT_LIST"), (16, 4, 3)), (("SPAN",), (1,))])
+def test_lines_dealt_in_small_pieces_equal_brute_force(spark, names, values, monkeypatch):
+    for name, value in zip(names, values):
+        monkeypatch.setattr(line_dedup, name, value)
+    test_lines_equal_brute_force(spark, 4, line_dedup.LONG_LIST, line_dedup.HOT_LIST, monkeypatch)
+
+
+def test_lines_of_repeated_and_far_ids(spark):
+    """Lines at equal places of texts that share an id are kept or removed together; ids may span all longs."""
+    far = 2**63 - 1
+    rows = [(-far, "a b c\nd e f"), (-far, "a b c\nd e f"), (-far, "x y z\nq"), (far, "a b c\nq\nnew one"), (far, None), (0, "d e f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    gone = {(r["doc_id"], r["line"]) for r in line_dedup.removed_lines(docs).where("removed").collect()}
+    assert gone == {(far, 0), (far, 1), (0, 0)}
+    assert sorted((r["doc_id"], r["text"]) for r in line_dedup.dedup_lines(docs).collect() if r["text"] is not None) == sorted(
+        [(-far, "a b c\nd e f"), (-far, "a b c\nd e f"), (-far, "x y z\nq"), (far, "new one"), (0, "")])
+    got = {r["doc_id"]: (r["n_lines"], r["n_removed"], r["removed"]) for r in line_dedup.summary(docs).collect()}
+    assert got[0] == (1, 1, "0") and got[-far] == (6, 0, "") and got[far][0] == 4
+
+
+def test_words_hashed_from_running_sums():
+    from spark_explore.llm.shingles import hashed_words, word_sets, words
+
+    rng = random.Random(2)
+    texts = [None, "", " ", "a", "a", " x\ty\x0bz\r\n", "é ü é", "w" * 64, "w" * 65 + " " + "v" * 200_000 + " q"]
+    texts += ["".join(rng.choice("ab \n\t\x1cé") for _ in range(rng.choice([20, 40, 150_000]))) for _ in range(60)]
+    column = pa.array(texts)
+    hashes, bounds = hashed_words(column)
+    known, at = words(column, lower=False)
+    assert bounds.tolist() == at.tolist()
+    assert len(set(zip(hashes.tolist(), known.tolist()))) == len(set(hashes.tolist())) == len(set(known.tolist()))
+    often = lambda h: (h >> np.uint64(61)).astype(np.int64)
+    sets, ends = word_sets(column, often)
+    for i in range(len(texts)):
+        own = sorted(set(hashes[bounds[i]:bounds[i + 1]].tolist()), key=lambda h: (h >> 61, h))
+        assert sets[ends[i]:ends[i + 1]].tolist() == own
